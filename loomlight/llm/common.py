@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20, column: str =
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, at = np.cumsum(size.astype(np.int64)), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
