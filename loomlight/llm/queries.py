@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import decontaminate, exact_dedup, packing, secret_scan, sharding, token_store
+from loomlight.llm import decontaminate, exact_dedup, packing, secret_scan, sharding, suffix_dedup, token_store
 from loomlight.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("kept", "removed")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_best_fit_packing, op5_sharding, op6_exact_dedup, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_secret_scan, op4_best_fit_packing, op5_sharding, op6_exact_dedup, op9_decontamination, op10_token_store)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -35,17 +35,18 @@ def place(items: np.ndarray, shards: int = SHARDS) -> np.ndarray:
 
 
 def _level(need: np.ndarray, out: np.ndarray, shards: int, rounds: int = 4000) -> np.ndarray:
-    """Evens bytes: moves from the fullest to the emptiest shard the item nearest to half their difference."""
+    """Evens bytes: moves to the emptiest shard, from the fullest one that has such an item, the item nearest to half their difference."""
     load = np.bincount(out, need[:, 0], shards)
     for _ in range(rounds):
-        a, b = int(load.argmax()), int(load.argmin())
-        gap = load[a] - load[b]
-        own = np.flatnonzero(out == a)
-        if not len(own):
+        b = int(load.argmin())
+        for a in np.argsort(-load, kind="stable").tolist():
+            gap, own = load[a] - load[b], np.flatnonzero(out == a)
+            own = own[(need[own, 0] > 0) & (need[own, 0] < gap * 0.999)]
+            if gap < 1e-4 or len(own):
+                break
+        if gap < 1e-4 or not len(own):
             break
         k = own[np.abs(need[own, 0] - gap / 2).argmin()]
-        if not 0 < need[k, 0] < gap * 0.999:
-            break
         out[k] = b
         load[a], load[b] = load[a] - need[k, 0], load[b] + need[k, 0]
     return out
