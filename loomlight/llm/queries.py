@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import decontaminate, exact_dedup, packing, secret_scan, sharding, suffix_dedup, token_store
+from loomlight.llm import decontaminate, exact_dedup, jaccard_join, packing, secret_scan, sharding, suffix_dedup, token_store
 from loomlight.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"), words=3, threshold=90)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -41,7 +45,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_secret_scan, op4_best_fit_packing, op5_sharding, op6_exact_dedup, op9_decontamination, op10_token_store)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_secret_scan, op4_best_fit_packing, op5_sharding, op6_exact_dedup, op8_jaccard_join, op9_decontamination, op10_token_store)}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
