@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import decontaminate, exact_dedup, jaccard_join, packing, secret_scan, sharding, suffix_dedup, token_store
+from loomlight.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secret_scan, sharding, suffix_dedup, token_store, toxicity
 from loomlight.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("kept", "removed")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
@@ -45,7 +53,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_secret_scan, op4_best_fit_packing, op5_sharding, op6_exact_dedup, op8_jaccard_join, op9_decontamination, op10_token_store)}
+    every = (
+        op1_suffix_dedup,
+        op2_toxicity,
+        op3_secret_scan,
+        op4_best_fit_packing,
+        op5_sharding,
+        op6_exact_dedup,
+        op7_quality,
+        op8_jaccard_join,
+        op9_decontamination,
+        op10_token_store,
+    )
+    return {f.__name__: f for f in every}
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
