@@ -26,6 +26,8 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_DOCS, SAMPLE_STRINGS = 1000, 2000
 #: Mean nats a character transition must favour the random model by.
 THRESHOLD = 1.0
+#: Counts that the single-character shares weigh.
+BACK_OFF = 10.0
 
 
 def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
@@ -61,16 +63,21 @@ def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAM
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> list[float]:
-    """Log-likelihood ratios of transitions, row by row over ALPHABET; counts start at a half."""
+    """Log-likelihood ratios of transitions, row by row over ALPHABET. Rare transitions lean on the class's share of the second character."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, F.lit(2)))
     rows = labelled(docs, sample_docs, strings).where(F.length("text") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count().collect()  # at most 2 x 67 x 67
     at, n = {c: i for i, c in enumerate(ALPHABET)}, len(ALPHABET)
-    counts = [[[0.5] * n for _ in range(n)] for _ in range(2)]
+    counts = [[[0.0] * n for _ in range(n)] for _ in range(2)]
     for r in rows:
         a, b = r["pair"]
         if a in at and b in at:
             counts[r["label"]][at[a]][at[b]] += r["count"]
-    return [math.log(counts[1][i][j] / sum(counts[1][i])) - math.log(counts[0][i][j] / sum(counts[0][i])) for i in range(n) for j in range(n)]
+    logs = []
+    for table in counts:
+        share = [sum(row[j] for row in table) + 0.5 for j in range(n)]
+        share = [x / sum(share) for x in share]
+        logs.append([[math.log((row[j] + BACK_OFF * share[j]) / (sum(row) + BACK_OFF)) for j in range(n)] for row in table])
+    return [logs[1][i][j] - logs[0][i][j] for i in range(n) for j in range(n)]
 
 
 def ratio(value: Column, model: list[float]) -> Column:
