@@ -98,7 +98,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     # Recipes take a key of their own, so that one shuffle removes repeated chunks and keeps every recipe.
     keyed = rows.withColumn("key", F.when(F.col("kind") == "object", F.col("key")).otherwise(F.unhex(F.format_string("%032x", F.monotonically_increasing_id()))))
     keyed.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = spark.read.parquet(f"{path}/chunks/kind=recipe").select("doc_id", F.col("body").alias("keys"), "lens")
+    recipes = _chunks(spark, path, "recipe").select("doc_id", F.col("body").alias("keys"), "lens")
     n = max(1, -(-recipes.count() // docs_per_block))
     ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "keys")
     ordered.select("doc_id", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"), "keys", "lens").write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -108,6 +108,10 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark.createDataFrame([(root,)], "root string").coalesce(1).write.parquet(f"{path}/root")
 
 
+def _chunks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    return spark.read.schema("key binary, doc_id long, body binary, lens binary, kind string").parquet(f"{path}/chunks").where(F.col("kind") == kind)
+
+
 def _blocks(recipes: DataFrame) -> DataFrame:
     """Each block's Merkle root over its documents in order, and its ids. A block has a bounded number of documents."""
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"|"), "keys", "lens"), 256)
@@ -182,7 +186,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     Each object is read, checked against its digest and reduced to a crc; only crcs travel.
     """
     verify(spark, path)
-    objects = spark.read.parquet(f"{path}/chunks/kind=object").select("key", "body")
+    objects = _chunks(spark, path, "object").select("key", "body")
     wide = _width(spark, path)
 
     def reduce(batches):
@@ -214,7 +218,7 @@ def _width(spark: SparkSession, path: str) -> str:
     if not r:
         return "<u2"
     key, n = bytes(r[0]["keys"][:16]), int(np.frombuffer(r[0]["lens"], "<u4")[0])
-    body = spark.read.parquet(f"{path}/chunks/kind=object").where(F.col("key") == F.lit(key)).select("body").take(1)[0]["body"]
+    body = _chunks(spark, path, "object").where(F.col("key") == F.lit(key)).select("body").take(1)[0]["body"]
     return f"<u{len(body) // n}"
 
 
@@ -230,7 +234,7 @@ def _with_start(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and ids (array of long) of every document, put together again from its chunks."""
     wide = _width(spark, path)
-    objects = spark.read.parquet(f"{path}/chunks/kind=object").select(F.col("key").alias("k"), "body")
+    objects = _chunks(spark, path, "object").select(F.col("key").alias("k"), "body")
     parts = _entries(spark.read.parquet(f"{path}/recipes")).join(objects, F.col("key") == F.col("k"))
     whole = parts.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "body"))).alias("parts"))
 
