@@ -73,31 +73,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, lots: int = LOTS) -> DataFrame
     # At most 3 x lots groups can have such a share.
     heavy = grouped.where((share >= 1.0 / lots) & (F.col("rows") > 1)).withColumn("share", share).collect()
     light = grouped.where(~((share >= 1.0 / lots) & (F.col("rows") > 1))).groupBy(lot.alias("lot")).agg(*sums).collect()
-    vectors, names = [], []
-    for r in heavy:
-        parts = max(1, min(r["rows"], int(np.ceil(r["share"] * shards * 8)) if r["share"] * shards > 1 / 8 else 1))
-        for p in range(parts):
-            names.append((bytes(r["key"]), parts, p, -1))
-            vectors.append([r["size"] / parts, r["tokens"] / parts, r["rows"] / parts])
-    for r in light:
-        names.append((None, 0, 0, r["lot"]))
-        vectors.append([r["size"], r["tokens"], r["rows"]])
-    got = place(np.array(vectors, float), shards).tolist()
+    parts = {bytes(r["key"]): max(1, min(r["rows"], int(np.ceil(r["share"] * shards * 8)))) for r in heavy}
+    out = rows.withColumn("lot", lot).withColumn("part", F.lit(None).cast("int"))
+    cut = []
+    if parts:
+        cuts = spark.createDataFrame([(bytearray(k), n) for k, n in parts.items()], "hk binary, hn int")  # bounded as `heavy`
+        part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("hn")).cast("int")
+        out = out.drop("part").join(F.broadcast(cuts), F.col("key") == F.col("hk"), "left").withColumn("part", part)
+        # Parts are counted, not assumed equal.
+        cut = out.where("hk is not null").groupBy("hk", "part").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
+    vectors = [[r["size"], r["tokens"], r["rows"]] for r in [*cut, *light]]
+    got = place(np.array(vectors, float).reshape(-1, 3), shards).tolist()
     of_lot = [-1] * lots
-    for n, s in zip(names, got, strict=True):
-        if n[3] >= 0:
-            of_lot[n[3]] = s
-    lot_shard = F.expr(f"split('{','.join(map(str, of_lot))}', ',')")
-    parts_of: dict[bytes, list[int]] = {}
-    for n, s in zip(names, got, strict=True):
-        if n[3] < 0:
-            parts_of.setdefault(n[0], []).append(s)
-    out = rows.withColumn("light", F.element_at(lot_shard, lot + 1).cast("int"))
-    if parts_of:
-        map_ = spark.createDataFrame([(bytearray(k), v) for k, v in parts_of.items()], "hk binary, hs array<int>")  # bounded as `heavy`
-        part = F.pmod(F.xxhash64("doc_id"), F.size("hs")) + 1
-        out = out.join(F.broadcast(map_), F.col("key") == F.col("hk"), "left").withColumn("shard", F.coalesce(F.element_at("hs", part.cast("int")), "light")).drop("hk", "hs")
+    for r, s in zip(light, got[len(cut) :], strict=True):
+        of_lot[r["lot"]] = s
+    lot_shard = F.element_at(F.expr(f"split('{','.join(map(str, of_lot))}', ',')"), F.col("lot") + 1).cast("int")
+    if cut:
+        shards_of = {k: [-1] * n for k, n in parts.items()}
+        for r, s in zip(cut, got, strict=False):
+            shards_of[bytes(r["hk"])][r["part"]] = s
+        places = spark.createDataFrame([(bytearray(k), v) for k, v in shards_of.items()], "pk binary, ps array<int>")
+        out = out.join(F.broadcast(places), F.col("hk") == F.col("pk"), "left").withColumn("shard", F.when(F.col("pk").isNotNull(), F.get("ps", F.col("part"))).otherwise(lot_shard))
     else:
-        out = out.withColumn("shard", F.col("light"))
+        out = out.withColumn("shard", lot_shard)
     placed = written(out.select("doc_id", "size", "text_crc32", "shard"))
     return rank_within(placed, "shard", ["doc_id", "text_crc32", "size"]).withColumnRenamed("rank", "slot")
