@@ -25,6 +25,8 @@ from loomlight.ship import map_arrow
 #: Labelled and unlabelled rows that the fit uses at most, in expectation; features kept; rounds.
 SAMPLE, POOL, FEATURES, ROUNDS = 6000, 6000, 3000, 3
 CONFIDENT, SHARE = 0.95, 0.1
+#: Most that each view's calibrated logit may say; metadata alone must not outweigh a clear text.
+TEXT_MOST, META_MOST = 8.0, 2.0
 
 _CAPITALS, _SMALL, _DIGITS = re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ]{2}[^\W\d_]*"), re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 DENSE_TEXT, DENSE_META = 4, 5
@@ -83,7 +85,7 @@ class CoModel:
     def logits(self, text: Rows, meta: Rows, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_fit[0] * self.text.logits(text, n) + self.text_fit[1]
         b = self.meta_fit[0] * self.meta.logits(meta, n) + self.meta_fit[1]
-        a, b = np.clip(a, -12, 12), np.clip(b, -12, 12)
+        a, b = np.clip(a, -TEXT_MOST, TEXT_MOST), np.clip(b, -META_MOST, META_MOST)
         return a, b, self.mix[0] * a + self.mix[1] * b + self.mix[2]
 
 
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
                 given[other][best[np.argsort(-sure[best], kind="stable")[:k]]] = value
     scores = [m.logits(indexed(v, m.codes), n)[fold] for m, v in zip(models, views, strict=True)]
     fits = [platt(s, label[fold]) for s in scores]
-    both = np.stack([np.clip(f[0] * s + f[1], -12, 12) for f, s in zip(fits, scores, strict=True)], 1)
+    both = np.stack([np.clip(f[0] * s + f[1], -most_, most_) for f, s, most_ in zip(fits, scores, (TEXT_MOST, META_MOST), strict=True)], 1)
     mix = (0.5, 0.5, 0.0)
     if len(np.unique(label[fold])) == 2:
         none = np.zeros(0, np.int64)
