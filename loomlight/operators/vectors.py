@@ -70,7 +70,7 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
 def _nearest(vectors: DataFrame, block: list, k: int, filtered: bool) -> DataFrame:
     spark = vectors.sparkSession
     qids = np.array([r["qid"] for r in block], np.int64)
-    q = np.array([r["values"] for r in block], float).reshape(len(block), -1)
+    q = np.array([r["values"] for r in block], float).reshape(len(block), -1 if block else 0)
     length = np.linalg.norm(q, axis=1, keepdims=True)
     books = np.array([r["book_id"] for r in block], object) if filtered else None
     share = spark.sparkContext.broadcast((qids, np.divide(q, length, out=np.zeros_like(q), where=length > 0), books))

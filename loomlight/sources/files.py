@@ -23,7 +23,7 @@ def pdf_texts(spark: SparkSession, folder: str, extract: Callable, suffix: str =
 
 def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(raw_id, text) of files raw-<id>.txt; files that vanish meanwhile are skipped."""
-    rows = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).option("pathGlobFilter", "raw-*.txt").text(folder)
+    rows = spark.read.option("ignoreMissingFiles", True).option("pathGlobFilter", "raw-*.txt").text(folder, wholetext=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"raw-(.*)\.txt", 1).alias("raw_id"), F.col("value").alias("text"))
 
 
