@@ -2,50 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[int, str] = {}
+from loomlight.storage import remove, scratch, table, written
 
+__all__ = ["claim", "kept", "lower_az", "rank_within", "ranges", "raw", "remove", "scratch", "slices", "table", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_OWNER = [""]
+_KEPT: list[dict] = []
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir. Only where that is unset (tests): below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    key = id(spark.sparkContext)
-    if key not in _OWN:
-        _OWN[key] = f"{base.rstrip('/')}/loomlight-{uuid.uuid4().hex[:12]}"
-        atexit.register(remove, spark, _OWN[key])
-    return f"{_OWN[key]}/{uuid.uuid4().hex[:12]}"
+def kept() -> dict:
+    """A memory of a Python worker that lasts between tasks, until another operator claims the worker."""
+    _KEPT.append({})
+    return _KEPT[-1]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Hadoop's file system; a session already stopped leaves it."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a written table: cuts the lineage with files that outlive a lost executor."""
-    spark = df.sparkSession
-    path = path or scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def claim(owner: str) -> None:
+    """Called in a task: frees what another operator left in this Python worker."""
+    if _OWNER[0] not in ("", owner):
+        for memory in _KEPT:
+            memory.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _OWNER[0] = owner
 
 
 def raw(column: pa.Array) -> list[bytes]:

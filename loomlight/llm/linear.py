@@ -70,19 +70,48 @@ class Rows:
         return Rows(number[self.row[own]], self.col[own], self.value[own], self.dense[keep])
 
 
-def choose(rows: Rows, label: np.ndarray, most: int, least: int = 3) -> np.ndarray:
-    """The features, by code, that tell the classes apart best by chi-square of presence."""
+def presence(rows: Rows, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a batch with the numbers of its rows of label 1 and 0 that have them."""
     codes, col = np.unique(rows.col, return_inverse=True)
-    n1, n0 = max(1, (label == 1).sum()), max(1, (label == 0).sum())
-    a = np.bincount(col, label[rows.row] == 1, len(codes))
-    b = np.bincount(col, label[rows.row] == 0, len(codes))
+    return codes, np.bincount(col, label[rows.row] == 1, len(codes)), np.bincount(col, label[rows.row] == 0, len(codes))
+
+
+def chi_square(a, b, n1: float, n0: float):
+    """How well presence in a of n1 and b of n0 rows tells the classes apart; for numbers, arrays or columns."""
     p = (a + b) / (n1 + n0)
-    chi = (a / n1 - b / n0) ** 2 / (p * (1 - p) + 1e-9) * (n1 * n0 / (n1 + n0))
+    return (a / n1 - b / n0) * (a / n1 - b / n0) / (p * (1 - p) + 1e-9) * (n1 * n0 / (n1 + n0))
+
+
+def choose(rows: Rows, label: np.ndarray, most: int, least: int = 3) -> np.ndarray:
+    """The features, by code, that tell the classes apart best by chi-square of presence."""
+    codes, a, b = presence(rows, label)
+    chi = chi_square(a, b, max(1, (label == 1).sum()), max(1, (label == 0).sum()))
     chi[a + b < least] = -1
     best = np.argsort(-chi, kind="stable")[:most]
     return np.sort(codes[best[chi[best] > 0]])
 
 
+def choose_from(docs, rows_of, most: int, least: int = 3) -> np.ndarray:
+    """choose() over labelled `docs` (a column `label`) without bringing their entries together: counts meet in Spark, and at most `most` codes reach the driver. `rows_of` gives the Rows of a batch."""
+    from pyspark.sql import functions as F
+
+    from loomlight.llm.common import slices
+    from loomlight.ship import map_arrow
+
+    def run(batches):
+        for batch in slices(batches, 2 << 20):
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            codes, a, b = presence(rows_of(batch), label)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["code", "a", "b"])
+
+    n = docs.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).collect()[0]
+    n1, n0 = float(max(1, n["n1"])), float(max(1, n["n0"]))
+    counts = map_arrow(docs, run, "code long, a long, b long").groupBy("code").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).where(F.col("a") + F.col("b") >= least)
+    chi = chi_square(F.col("a"), F.col("b"), n1, n0)
+    best = counts.select("code", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "code").limit(most).select("code").toArrow()
+    return np.sort(best.column("code").to_numpy())
+
+
 @dataclass
 class Model:
     codes: np.ndarray
@@ -105,11 +134,11 @@ def indexed(rows: Rows, codes: np.ndarray) -> Rows:
     return Rows(rows.row[own], at[own], rows.value[own], rows.dense)
 
 
-def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarray, Rows] | None = None, l2: float = 0.02, twin_weight: float = 1.0, steps: int = 300, rate: float = 0.1) -> Model:
-    """Logistic regression by Adam. `twins`: row numbers and their counterfactual rows; squared differences of logits are penalised."""
-    x, n = indexed(rows, codes), len(label)
+def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarray, Rows] | None = None, l2: float = 0.02, twin_weight: float = 1.0, steps: int = 300, rate: float = 0.1, ready: bool = False) -> Model:
+    """Logistic regression by Adam. `twins`: row numbers and their counterfactual rows; squared differences of logits are penalised. `ready`: columns are indices into `codes` already."""
+    x, n = rows if ready else indexed(rows, codes), len(label)
     m = Model(codes, np.zeros(len(codes)), np.zeros(rows.dense.shape[1]), float(np.log((label.sum() + 1) / (n - label.sum() + 1))))
-    t = indexed(twins[1], codes) if twins is not None and len(twins[0]) else None
+    t = (twins[1] if ready else indexed(twins[1], codes)) if twins is not None and len(twins[0]) else None
     moments = [[np.zeros_like(z), np.zeros_like(z)] for z in (m.w, m.v, np.zeros(1))]
     for step in range(1, steps + 1):
         z = m.logits(x, n)

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import slices
-from loomlight.llm.linear import Model, Rows, choose, code, counted, fit, packed, sigmoid, stems, unpacked, weight, words_in
+from loomlight.llm.common import claim, slices, written
+from loomlight.llm.linear import Model, Rows, choose_from, code, counted, fit, packed, sigmoid, stems, unpacked, weight, words_in
 from loomlight.ship import map_arrow
 
 # Identity terms, by language; a term is swapped for the next of its list.
@@ -63,35 +63,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     part = min(1.0, sample / max(1, n))
     use = use.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(part * 1_000_000))
 
-    def run(batches):
-        for batch in slices(batches):
-            for twin in (False, True):
-                texts, label = batch.column("text"), batch.column("label")
-                if twin:
-                    other = [swapped(x or "") for x in texts.to_pylist()]
-                    has = np.array([x is not None for x in other], bool)
-                    if not has.any():
-                        continue
-                    texts, label = pa.array([x for x in other if x is not None]), label.filter(pa.array(has))
-                    base = batch.column("text").filter(pa.array(has))
-                    first = packed(features(base), len(base))
-                rows = features(texts)
-                blobs = packed(rows, len(texts))
-                yield pa.RecordBatch.from_arrays([label, pa.array(blobs, pa.binary()), pa.array(rows.dense[:, 0]), pa.array(first if twin else [None] * len(blobs), pa.binary())], names=["label", "entries", "length", "base"])
-
     # The sample is bounded, so it is the side to send round.
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use), F.col("doc_id") == F.col("lid")).select("text", "label")
-    got = map_arrow(chosen, run, "label double, entries binary, length double, base binary").toArrow()
-    label, length = got.column("label").to_numpy(), got.column("length").to_numpy()
-    twin = np.array([x is not None for x in got.column("base").to_pylist()], bool)
+    chosen = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use), F.col("doc_id") == F.col("lid")).select("text", "label"))
+    codes = choose_from(chosen, lambda batch: features(batch.column("text")), most)
+    known = {int(c): i for i, c in enumerate(codes)}
+
+    def run(batches):
+        claim("toxicity")
+        for batch in slices(batches, 2 << 20):
+            plain = features(batch.column("text"), known)
+            blobs = packed(plain, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary()), pa.array([None] * batch.num_rows, pa.binary()), pa.array(plain.dense[:, 0])], names=["label", "entries", "twin", "length"])
+            other = [swapped(x or "") for x in batch.column("text").to_pylist()]
+            has = [i for i, x in enumerate(other) if x is not None]
+            if has:
+                twins = packed(features(pa.array([other[i] for i in has]), known), len(has))
+                take = pa.array(has)
+                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array([blobs[i] for i in has], pa.binary()), pa.array(twins, pa.binary()), pa.array(plain.dense[has, 0])], names=["label", "entries", "twin", "length"])
+
+    got = map_arrow(chosen, run, "label double, entries binary, twin binary, length double").toArrow()
+    label, length = got.column("label").to_numpy(), got.column("length").to_numpy()[:, None]
     if not len(label):
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(1), -3.0)
-    rows = unpacked(got.column("entries").to_pylist(), length[:, None])
-    # A counterfactual's original comes first in the fit, as a further labelled row.
-    base = [b if t else e for e, b, t in zip(got.column("entries").to_pylist(), got.column("base").to_pylist(), twin.tolist(), strict=True)]
-    plain = unpacked(base, length[:, None])
-    codes = choose(plain.take(~twin), label[~twin], most)
-    return fit(plain, label, codes, (np.flatnonzero(twin), rows.take(twin)), twin_weight=twin_weight)
+    twins = got.column("twin").to_pylist()
+    at = np.array([i for i, x in enumerate(twins) if x is not None], np.int64)
+    rows = unpacked(got.column("entries").to_pylist(), length)
+    return fit(rows, label, codes, (at, unpacked([twins[i] for i in at], length[at])), twin_weight=twin_weight, ready=True)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -99,9 +96,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("toxicity")
         m = share.value
         known = {int(c): i for i, c in enumerate(m.codes)}
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 2 << 20):
             rows = features(batch.column("text"), known)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(m.logits(rows, batch.num_rows)))], names=["doc_id", "score"])
 
