@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import slices
-from loomlight.llm.linear import Model, Rows, choose, code, counted, fit, indexed, packed, platt, sigmoid, unpacked, weight, words_in
+from loomlight.llm.common import claim, slices, written
+from loomlight.llm.linear import Model, Rows, choose, choose_from, code, counted, fit, indexed, packed, platt, sigmoid, unpacked, weight, words_in
 from loomlight.ship import map_arrow
 
 #: Labelled and unlabelled rows that the fit uses at most, in expectation; features kept; rounds.
@@ -89,6 +89,12 @@ class CoModel:
         return a, b, self.mix[0] * a + self.mix[1] * b + self.mix[2]
 
 
+def _only(rows: Rows, codes: np.ndarray) -> Rows:
+    """The entries whose code is among sorted `codes`."""
+    near = indexed(rows, codes)
+    return Rows(near.row, codes[near.col] if len(codes) else near.col, near.value, near.dense)
+
+
 def _columns(docs: DataFrame) -> DataFrame:
     """doc_id, text and metadata; metadata columns that are absent count as null."""
     have = set(docs.columns)
@@ -111,12 +117,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     fresh = every.join(F.broadcast(free), F.col("doc_id") == F.col("pid")).drop("pid").withColumn("label", F.lit(None).cast("double"))
     schema = "doc_id long, label double, text binary, text_dense array<double>, meta binary, meta_dense array<double>"
 
+    # A word's code matters only if labelled documents repeat it; the rest stays on the executors.
+    sample_rows = written(known.unionByName(fresh))
+    words = choose_from(sample_rows.where("label is not null"), lambda batch: text_view(batch.column("text")), 4 * most, least=5)
+    keep = docs.sparkSession.sparkContext.broadcast(words)
+
     def run(batches):
-        for batch in slices(batches):
+        claim("quality")
+        for batch in slices(batches, 2 << 20):
             a, b = text_view(batch.column("text")), meta_view(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed(a, batch.num_rows), pa.binary()), pa.array(list(a.dense), pa.list_(pa.float64())), pa.array(packed(b, batch.num_rows), pa.binary()), pa.array(list(b.dense), pa.list_(pa.float64()))], names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed(_only(a, keep.value), batch.num_rows), pa.binary()), pa.array(list(a.dense), pa.list_(pa.float64())), pa.array(packed(b, batch.num_rows), pa.binary()), pa.array(list(b.dense), pa.list_(pa.float64()))], names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
 
-    got = map_arrow(known.unionByName(fresh), run, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    got = map_arrow(sample_rows, run, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     n = got.num_rows
     label = got.column("label").to_numpy(zero_copy_only=False).astype(float)
     views = [unpacked(got.column(c).to_pylist(), np.array(got.column(f"{c}_dense").to_pylist(), float).reshape(n, k)) for c, k in (("text", DENSE_TEXT), ("meta", DENSE_META))]
@@ -159,8 +171,9 @@ def score(docs: DataFrame, model: CoModel) -> DataFrame:
     share = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("quality")
         m = share.value
-        for batch in slices(batches, 8 << 20):
+        for batch in slices(batches, 2 << 20):
             a, b = indexed(text_view(batch.column("text")), m.text.codes), indexed(meta_view(batch), m.meta.codes)
             x, y, z = m.logits(a, b, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sigmoid(v)) for v in (z, x, y))], names=["doc_id", "score", "text_score", "meta_score"])
