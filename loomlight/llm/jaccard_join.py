@@ -10,7 +10,7 @@
 4. The lists are then read block by block. Block pairs whose sizes or positions rule out the overlap
    are skipped, as are those whose sets already share one class; what remains is verified.
 
-Steps 2 to 4 see one copy of equal sets.
+Equal sets are one set from step 3 on, and sets without a shared list are gone.
 """
 
 from __future__ import annotations
@@ -23,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import slices, written
+from loomlight.llm.common import claim, slices, written
 from loomlight.llm.components import components
 from loomlight.ship import map_arrow
 
 #: Tokens that a set beyond step 1 must share with a partner, at most.
-SHARED = 16
+SHARED = 64
 FILTER_BITS, SKETCH_CELLS = 1 << 26, 1 << 22
+#: Most cells (bytes) of the second table of token counts.
+FINE_CELLS = 1 << 25
 #: Positions in one block of an inverted list.
 BLOCK = 16
 
@@ -91,6 +93,7 @@ def _filter(docs: DataFrame, sets: Sets, bits: int) -> np.ndarray:
     low, parts = bits - 1, 1024
 
     def run(batches):
+        claim("jaccard_join")
         held, size = [], 0
 
         def flush():
@@ -146,6 +149,7 @@ def _base(docs: DataFrame, sets: Sets, bits: int) -> DataFrame:
     low = np.uint64(bits - 1)
 
     def run(batches):
+        claim("jaccard_join")
         words = seen.value
         for batch in slices(batches):
             n, sig, tokens, sent = [], [], [], set()
@@ -166,9 +170,10 @@ def _base(docs: DataFrame, sets: Sets, bits: int) -> DataFrame:
 
 
 def _sketch(distinct: DataFrame, cells: int) -> np.ndarray:
-    """How often tokens occur, by hashed cell of a table of fixed size, in steps of a factor of two."""
+    """How often tokens occur, up to 100, by hashed cell of a table of fixed size. Any such table gives a valid order; a finer one only makes lists shorter."""
 
     def run(batches):
+        claim("jaccard_join")
         total: dict[int, int] = {}
         held = []
 
@@ -184,7 +189,7 @@ def _sketch(distinct: DataFrame, cells: int) -> np.ndarray:
         if held:
             yield send()
 
-    counted = map_arrow(distinct.select("tokens"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell", F.log2("n").cast("tinyint").alias("level")).toArrow()
+    counted = map_arrow(distinct.select("tokens"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell", F.least("n", F.lit(100)).cast("tinyint").alias("level")).toArrow()
     out = np.zeros(cells, np.int8)
     out[counted.column("cell").to_numpy()] = counted.column("level").to_numpy()
     return out
@@ -195,6 +200,7 @@ def _postings(distinct: DataFrame, sets: Sets, cells: int) -> DataFrame:
     share = distinct.sparkSession.sparkContext.broadcast(_sketch(distinct, cells))
 
     def run(batches):
+        claim("jaccard_join")
         level = share.value
         for b in batches:
             sig, size = b.column("sig"), []
@@ -213,6 +219,12 @@ def _postings(distinct: DataFrame, sets: Sets, cells: int) -> DataFrame:
     return map_arrow(distinct.select("sig", "tokens"), run, "token long, sig binary, n long, pos long, band int, block int")
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that two different sets have, once each."""
+    lists = postings.groupBy("token").agg(F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("s0 <> s1").select(F.col("token").alias("lt"))
+    return written(postings.join(lists, F.col("token") == F.col("lt"), "left_semi").distinct())
+
+
 def _verified(pairs: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) of sigs whose sets reach the threshold."""
     x = distinct.select(F.col("sig").alias("sx"), F.col("tokens").alias("tx"))
@@ -220,6 +232,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
     both = pairs.join(y, F.col("b") == F.col("sy")).select("a", "b", "ty").join(x, F.col("a") == F.col("sx")).select("a", "b", "tx", "ty")
 
     def run(batches):
+        claim("jaccard_join")
         for batch in batches:
             keep = []
             for p, q in zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist(), strict=True):
@@ -234,8 +247,12 @@ def _verified(pairs: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
 
 
 def _leaders(postings: DataFrame) -> DataFrame:
-    """Each set with the leader (least sig) that most of its lists have, within one size band."""
-    lists = postings.groupBy("token", "band").agg(F.min("sig").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("token").alias("lt"), F.col("band").alias("lb"), "lead")
+    """Each set with the leader that most of its lists have, within one size band.
+
+    A list's leader has its token at the earliest position: fewest rarer tokens stand before it, so it
+    is the one nearest to what the list's sets have in common.
+    """
+    lists = postings.groupBy("token", "band").agg(F.min_by("sig", F.struct("pos", "sig")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("token").alias("lt"), F.col("band").alias("lb"), "lead")
     near = postings.join(lists, (F.col("token") == F.col("lt")) & (F.col("band") == F.col("lb"))).where(F.col("sig") != F.col("lead"))
     votes = near.groupBy("sig", "lead").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("sig").agg(F.max_by("lead", F.struct("votes", "lead")).alias("lead")).select(F.col("lead").alias("a"), F.col("sig").alias("b"))
@@ -269,15 +286,21 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FI
     """
     sets = Sets(words, threshold)
     base = written(_base(docs, sets, bits))
-    may = base.where("sig is not null")
-    distinct = written(may.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens")))
-    postings = written(_postings(distinct, sets, cells))
+    bodies = base.where("tokens is not null").select("sig", "tokens")
+    postings = _shared(written(_postings(bodies, sets, cells)))
+    live = postings.select(F.col("sig").alias("l")).distinct()
+    distinct = written(bodies.join(live, F.col("sig") == F.col("l"), "left_semi").dropDuplicates(["sig"]))
+    # Few sets are left: a finer table orders their tokens, so that lists are as short as they can be.
+    many = distinct.agg(F.sum(F.length("tokens")).alias("n")).collect()[0]["n"] or 0
+    fine = max(1 << 16, min(FINE_CELLS, 1 << (many // 2).bit_length()))
+    postings = _shared(written(_postings(distinct, sets, fine)))
     links = written(_verified(_leaders(postings), distinct, threshold))
     roots = written(components(links))
     more = written(_verified(_rest(postings, roots, threshold), distinct, threshold))
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)))
-    labels = distinct.select("sig", "rep").join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+    reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    labels = reps.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("label")).withColumnRenamed("root", "r")
     of_sig = labels.join(least, F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "label")
     return base.select("doc_id", "n", "sig").join(of_sig, F.col("sig") == F.col("s"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
