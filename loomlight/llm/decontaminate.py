@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import raw, slices
+from loomlight.llm.common import claim, kept, raw, slices
 from loomlight.ship import map_arrow
 
 WINDOW = 10
@@ -26,7 +26,7 @@ BLOCK_BYTES = 8 << 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_BUILT: dict[str, object] = {}
+_BUILT: dict[str, object] = kept()
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -72,17 +72,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     Null or empty documents have no words. Repeated rows give repeated answers. An empty benchmark
     hits nothing.
     """
+    before, last, ddl = _passes(docs, benchmark, size)
+    return map_arrow(before, last, ddl)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, size: int):
+    """The table after all but the last block of windows, the last block's pass, and its columns."""
     sc = docs.sparkSession.sparkContext
     ddl = "doc_id long, text string, n_words long, hits array<struct<a:long,b:long>>, items array<long>"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<a:long,b:long>>)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("items"))
+    run = None
     for windows in blocks(benchmark, size):
-        shared, key = sc.broadcast(windows), hashlib.sha256(repr(sorted(windows)).encode()).hexdigest()
-        out = map_arrow(out, _scanner(shared, key), ddl)
-    return out
+        if run is not None:
+            out = map_arrow(out, run, ddl)
+        run = _scanner(sc.broadcast(windows), hashlib.sha256(repr(sorted(windows)).encode()).hexdigest())
+    return out, run, ddl
 
 
 def _scanner(shared, key: str):
     def run(batches):
+        claim("decontaminate")
         windows = shared.value
         find = _automaton(windows, key).iter if windows else lambda _: ()
         for batch in slices(batches):
@@ -107,8 +116,10 @@ def _scanner(shared, key: str):
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (code points of the original, maximal runs of hit words)."""
 
+    before, last, _ = _passes(docs, benchmark, size)
+
     def run(batches):
-        for b in batches:
+        for b in last(batches):
             rows = defaultdict(list)
             for text, n, hits, items in zip(raw(b.column("text")), b.column("n_words").to_pylist(), b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
                 spans, hit = [], 0
@@ -123,7 +134,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
                 rows["sha"].append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(rows["n_hit"], pa.int64()), pa.array(rows["n_items"], pa.int64()), pa.array(rows["sha"], pa.string()), pa.array([x > 0 for x in rows["n_hit"]], pa.bool_()), pa.array(rows["spans"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return map_arrow(scan(docs, benchmark, size), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
+    return map_arrow(before, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import raw, scratch, slices, written
+from loomlight.llm.common import claim, raw, scratch, slices, written
 from loomlight.ship import map_arrow
 
 LENGTH, GRAM = 200, 32
@@ -176,6 +176,7 @@ def _filter(docs: DataFrame, length: int, bits: int) -> np.ndarray:
     """A bit for every anchor that occurs twice; of fixed size, and what it has beyond costs time only."""
 
     def run(batches):
+        claim("suffix_dedup")
         for batch in slices(batches, 512 << 10):
             texts = raw(batch.column("text"))
             *_, h = units(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length)
@@ -209,6 +210,7 @@ def _places(docs: DataFrame, length: int, bits: int) -> DataFrame:
             yield emit("unit", [k for k, _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part], [v[3] for _, v in part], none, none, none)
 
     def run(batches):
+        claim("suffix_dedup")
         words, own, held = seen.value, {}, 0
         for batch in slices(batches, 512 << 10):
             texts = raw(batch.column("text"))
@@ -337,6 +339,7 @@ def remove(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS, hot:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
+        claim("suffix_dedup")
         for batch in slices(batches):
             out: dict[str, list] = {f.name: [] for f in schema}
             out["doc_id"] = batch.column("doc_id").to_pylist()

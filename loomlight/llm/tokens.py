@@ -14,7 +14,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ENCODERS: dict[int, WordEncoder] = {}
+from loomlight.llm.common import claim, kept
+
+_ENCODERS: dict[int, WordEncoder] = kept()
 
 #: Words of Latin-1 letters with at most one closing mark: composed characters only, each with a
 #: lower case of one character, so normalisation does nothing to them but lower the case.
@@ -39,7 +41,7 @@ class WordEncoder:
     At most `most` words are kept; beyond that the memory starts anew, which costs time only.
     """
 
-    def __init__(self, definition: str, most: int = 1_000_000):
+    def __init__(self, definition: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -131,6 +133,7 @@ class WordEncoder:
 
 def encoder(definition: str) -> WordEncoder:
     """The Python worker's own encoder, kept between tasks."""
+    claim("tokens")
     key = hash(definition)
     if key not in _ENCODERS:
         _ENCODERS.clear()
