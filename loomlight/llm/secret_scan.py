@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: Documents whose words train the model of ordinary identifiers, and generated strings of each form.
+#: Documents (in expectation, by a hash of doc_id) whose words train the model of ordinary identifiers, and generated strings of each form.
 SAMPLE_DOCS, SAMPLE_STRINGS = 1000, 2000
 #: Mean nats a character transition must favour the random model by.
 THRESHOLD = 1.0
@@ -57,7 +57,8 @@ def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAM
     spark = docs.sparkSession
     digest = F.sha2(F.col("id").cast("string"), 256)
     made = spark.range(strings).select(F.explode(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)), F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "[+/=]", "")))).alias("text"))
-    chosen = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    part = min(1.0, sample_docs / max(1, docs.count()))
+    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(part * 1_000_000)).select("text")
     words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_-]{5,}"), F.lit(0))).alias("text"))
     return made.select(F.lit(1).alias("label"), "text").unionByName(words.select(F.lit(0).alias("label"), "text"))
 
