@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import raw, slices, written
+from loomlight.llm.common import claim, raw, slices, written
 from loomlight.ship import map_arrow
 
 WINDOW, AVERAGE, LEAST, MOST = 32, 2048, 256, 16384
@@ -67,6 +67,7 @@ def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256 of the normalised text, recipe (its chunks' digests joined)."""
 
     def run(batches):
+        claim("exact_dedup")
         for batch in slices(batches, 2 << 20):
             texts, _, keys, counts = _cut(batch)
             ends = np.cumsum(counts).tolist()
@@ -80,6 +81,7 @@ def _repeated(listed: DataFrame, bits: int) -> np.ndarray:
     """A filter of fixed size that has every digest that occurs at least twice; what it has beyond costs time only."""
 
     def run(batches):
+        claim("exact_dedup")
         for b in batches:
             all_ = np.frombuffer(b"".join(b.column("recipe").to_pylist()), "<i8").reshape(-1, 2)
             keys, n = np.unique(all_, axis=0, return_counts=True) if len(all_) else (all_, np.zeros(0, np.int64))
@@ -98,6 +100,7 @@ def verify(docs: DataFrame, listed: DataFrame, bits: int = FILTER_BITS) -> None:
     seen = docs.sparkSession.sparkContext.broadcast(_repeated(listed, bits))
 
     def run(batches):
+        claim("exact_dedup")
         words, sent = seen.value, set()
         for batch in slices(batches, 2 << 20):
             _, chunks, keys, _ = _cut(batch)
@@ -123,7 +126,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     listed = written(recipes(docs))
     verify(docs, listed)
-    alike = listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "r")
+    # Written, so that the join below has an exchange on both sides and large groups can be split.
+    alike = written(listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "r"))
     joined = listed.join(alike, F.col("recipe") == F.col("r"), "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), "text_sha256")
