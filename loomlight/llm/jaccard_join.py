@@ -29,9 +29,9 @@ from loomlight.ship import map_arrow
 
 #: Tokens that a set beyond step 1 must share with a partner, at most.
 SHARED = 64
-FILTER_BITS, SKETCH_CELLS = 1 << 26, 1 << 22
-#: Most cells (bytes) of the second table of token counts.
-FINE_CELLS = 1 << 25
+FILTER_BITS = 1 << 26
+#: Most cells (bytes) of a table of token counts.
+MOST_CELLS = 1 << 25
 #: Positions in one block of an inverted list.
 BLOCK = 16
 
@@ -169,6 +169,12 @@ def _base(docs: DataFrame, sets: Sets, bits: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, sig binary, tokens binary")
 
 
+def _cells(bodies: DataFrame) -> int:
+    """Cells for a table of the tokens' counts: about four a token, within bounds."""
+    many = bodies.agg(F.sum(F.length("tokens")).alias("n")).collect()[0]["n"] or 0
+    return max(1 << 16, min(MOST_CELLS, 1 << (many // 2).bit_length()))
+
+
 def _sketch(distinct: DataFrame, cells: int) -> np.ndarray:
     """How often tokens occur, up to 100, by hashed cell of a table of fixed size. Any such table gives a valid order; a finer one only makes lists shorter."""
 
@@ -277,7 +283,7 @@ def _rest(postings: DataFrame, roots: DataFrame, t: int) -> DataFrame:
     return pairs.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FILTER_BITS, cells: int = SKETCH_CELLS) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FILTER_BITS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links of `threshold` percent).
 
     Fewer words than a shingle has: all of them are one shingle. Null, empty and blank texts have the
@@ -287,13 +293,11 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FI
     sets = Sets(words, threshold)
     base = written(_base(docs, sets, bits))
     bodies = base.where("tokens is not null").select("sig", "tokens")
-    postings = _shared(written(_postings(bodies, sets, cells)))
+    postings = _shared(written(_postings(bodies, sets, _cells(bodies))))
     live = postings.select(F.col("sig").alias("l")).distinct()
     distinct = written(bodies.join(live, F.col("sig") == F.col("l"), "left_semi").dropDuplicates(["sig"]))
-    # Few sets are left: a finer table orders their tokens, so that lists are as short as they can be.
-    many = distinct.agg(F.sum(F.length("tokens")).alias("n")).collect()[0]["n"] or 0
-    fine = max(1 << 16, min(FINE_CELLS, 1 << (many // 2).bit_length()))
-    postings = _shared(written(_postings(distinct, sets, fine)))
+    # Few sets are left: the table now has room to order their tokens exactly, so lists are as short as they can be.
+    postings = _shared(written(_postings(distinct, sets, _cells(distinct))))
     links = written(_verified(_leaders(postings), distinct, threshold))
     roots = written(components(links))
     more = written(_verified(_rest(postings, roots, threshold), distinct, threshold))
