@@ -26,10 +26,15 @@ LENGTH, GRAM = 200, 32
 FILTER_BITS = 1 << 26
 #: Bytes of unit text in one suffix array, and units of one anchor beyond which its windows are dealt out again.
 BATCH, HOT = 6 << 20, 20_000
+#: Low bits of a key that hold a gram's place within one stretch of the data.
+PLACE_BITS = 23
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Each window start's anchor place, and the hashes of all grams. The leftmost of equal least hashes wins."""
+def anchors(data: np.ndarray, length: int = LENGTH, place_bits: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Each window start's anchor place, and the hashes of all grams. The leftmost of equal least hashes wins.
+
+    Places are packed below the hashes, so data of more grams goes in stretches that overlap by a window.
+    """
     with np.errstate(over="ignore"):
         h = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
@@ -42,16 +47,21 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
-    bits = np.uint64((1 << 23) - 1)
-    key = (h & ~bits) | np.arange(len(h), dtype=np.uint64)
-    width, have = length - GRAM + 1, 1
-    while have * 2 <= width:
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    rest = width - have
-    if rest:
-        key = np.minimum(key[:-rest], key[rest:])
-    return (key & bits).astype(np.int64), h
+    bits = np.uint64((1 << place_bits) - 1)
+    width = length - GRAM + 1
+    step = (1 << place_bits) - width + 1
+    out = [np.zeros(0, np.int64)]
+    for a in range(0, len(h) - width + 1, step):
+        part = h[a : a + step + width - 1]
+        key, have = (part & ~bits) | np.arange(len(part), dtype=np.uint64), 1
+        while have * 2 <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        rest = width - have
+        if rest:
+            key = np.minimum(key[:-rest], key[rest:])
+        out.append((key & bits).astype(np.int64) + a)
+    return np.concatenate(out), h
 
 
 def units(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):

@@ -67,6 +67,27 @@ def test_suffix_dedup(docs, rows, hot):
     assert sum(w[2] for w in want) > 0
 
 
+def test_anchors_of_a_text_longer_than_the_place_bits():
+    r = np.random.default_rng(1)
+    data = r.integers(97, 101, 5000).astype(np.uint8)
+    data[3300:4300] = data[100:1100]
+    data[2000:2400] = 97  # ties
+    place, h = suffix_dedup.anchors(data, place_bits=9)
+    width, high = 200 - suffix_dedup.GRAM + 1, h >> np.uint64(9)
+    assert place.tolist() == [i + int(high[i : i + width].argmin()) for i in range(len(data) - 199)]
+    assert (h[place[100:901]] == h[place[3300:4101]]).all()
+
+
+def test_windows_beyond_8_mib_meet_their_equals():
+    data = np.random.default_rng(2).integers(0, 256, (1 << 23) + 100_000).astype(np.uint8)
+    far = (1 << 23) + 50_000
+    data[far : far + 1000] = data[1000:2000]
+    place, h = suffix_dedup.anchors(data)
+    assert (h[place[1000:1801]] == h[place[far : far + 801]]).all()
+    doc, first, count, _ = suffix_dedup.units(data, np.array([len(data)]))
+    assert count.sum() == len(data) - 199 and count.max() <= 200 - suffix_dedup.GRAM + 1
+
+
 # 2: toxicity
 
 
