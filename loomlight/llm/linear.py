@@ -134,15 +134,17 @@ def indexed(rows: Rows, codes: np.ndarray) -> Rows:
     return Rows(rows.row[own], at[own], rows.value[own], rows.dense)
 
 
-def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarray, Rows] | None = None, l2: float = 0.02, twin_weight: float = 1.0, steps: int = 300, rate: float = 0.1, ready: bool = False) -> Model:
-    """Logistic regression by Adam. `twins`: row numbers and their counterfactual rows; squared differences of logits are penalised. `ready`: columns are indices into `codes` already."""
+def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarray, Rows] | None = None, l2: float = 0.02, twin_weight: float = 1.0, steps: int = 300, rate: float = 0.1, ready: bool = False, weights: np.ndarray | None = None) -> Model:
+    """Logistic regression by Adam. `twins`: row numbers and their counterfactual rows; squared differences of logits are penalised. `ready`: columns are indices into `codes` already. `weights`: of the rows, 1 unless given."""
     x, n = rows if ready else indexed(rows, codes), len(label)
-    m = Model(codes, np.zeros(len(codes)), np.zeros(rows.dense.shape[1]), float(np.log((label.sum() + 1) / (n - label.sum() + 1))))
+    own = np.ones(n) if weights is None else weights
+    total, ones = max(1.0, float(own.sum())), float((own * label).sum())
+    m = Model(codes, np.zeros(len(codes)), np.zeros(rows.dense.shape[1]), float(np.log((ones + 1) / (float(own.sum()) - ones + 1))))
     t = (twins[1] if ready else indexed(twins[1], codes)) if twins is not None and len(twins[0]) else None
     moments = [[np.zeros_like(z), np.zeros_like(z)] for z in (m.w, m.v, np.zeros(1))]
     for step in range(1, steps + 1):
         z = m.logits(x, n)
-        g = (sigmoid(z) - label) / max(1, n)
+        g = own * (sigmoid(z) - label) / total
         grads = [np.bincount(x.col, g[x.row] * x.value, len(codes)).astype(float), x.dense.T @ g, np.array([g.sum()])]
         if t is not None:
             k = len(twins[0])
@@ -151,8 +153,8 @@ def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarra
             np.add.at(back, twins[0], d)
             grads[0] += np.bincount(x.col, back[x.row] * x.value, len(codes)) - np.bincount(t.col, d[t.row] * t.value, len(codes))
             grads[1] += x.dense.T @ back - t.dense.T @ d
-        grads[0] += l2 / max(1, n) * m.w
-        grads[1] += l2 / max(1, n) * m.v
+        grads[0] += l2 / total * m.w
+        grads[1] += l2 / total * m.v
         deltas = []
         for grad, (a, b) in zip(grads, moments, strict=True):
             a[:] = 0.9 * a + 0.1 * grad

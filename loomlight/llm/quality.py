@@ -1,16 +1,18 @@
 """A co-trained quality classifier.
 
 One view is a page's text: words, word shapes and repetition. The other is its metadata: language,
-source, size and line layout. Each round both are fitted, and each gives the other its most
-confident labels of unlabelled documents. The views are calibrated on labelled documents that
-neither was fitted on, and combined.
+source, size and line layout. Each round both are fitted, and each labels every unlabelled document
+that it is confident of for the other. Those documents are added up in Spark: by feature and label,
+which chooses features, and by label and the receiving view's own logit into mean rows, which the
+next fit weighs by their numbers. The views are calibrated on labelled documents that neither was
+fitted on, and combined.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.llm.common import claim, slices, written
-from loomlight.llm.linear import Model, Rows, choose, choose_from, code, counted, fit, indexed, packed, platt, sigmoid, unpacked, weight, words_in
+from loomlight.llm.linear import Model, Rows, chi_square, code, counted, fit, indexed, packed, platt, presence, sigmoid, unpacked, weight, words_in
 from loomlight.ship import map_arrow
 
-#: Labelled and unlabelled rows that the fit uses at most, in expectation; features kept; rounds.
-SAMPLE, POOL, FEATURES, ROUNDS = 6000, 6000, 3000, 3
+#: Labelled rows that the fit uses at most, in expectation; features kept; rounds. Unlabelled rows all take part.
+SAMPLE, FEATURES, ROUNDS = 6000, 3000, 3
+#: Confidence that a label is passed on with; weight of all labels passed on of a class, at most, as a share of the labelled rows.
 CONFIDENT, SHARE = 0.95, 0.1
+#: Mean rows stand for documents of one label and one logit of the receiving view, rounded within this bound; parts of 1 in sums, which are exact.
+LOGITS, PARTS = 8, 1 << 20
 #: Most that each view's calibrated logit may say; metadata alone must not outweigh a clear text.
 TEXT_MOST, META_MOST = 8.0, 2.0
 
@@ -81,6 +86,8 @@ class CoModel:
     text_fit: tuple[float, float]
     meta_fit: tuple[float, float]
     mix: tuple[float, float, float]
+    #: For each exchange, the documents labelled 1 and 0 for the text view, then for the metadata view.
+    acted: list[list[tuple[int, int]]] = field(default_factory=list)
 
     def logits(self, text: Rows, meta: Rows, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_fit[0] * self.text.logits(text, n) + self.text_fit[1]
@@ -107,55 +114,164 @@ def _sampled(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1_000_000)) < int(math.ceil(part * 1_000_000)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS, most: int = FEATURES) -> CoModel:
-    """Co-trains on about `sample` labelled and `pool` unlabelled rows at most, chosen by a hash of doc_id."""
-    every = _columns(docs)
-    use = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("lid"), F.col("quality").cast("double").alias("label"))
-    use = _sampled(use, "lid", sample, 1)
-    known = every.join(F.broadcast(use), F.col("doc_id") == F.col("lid")).drop("lid")
-    free = _sampled(every.select("doc_id"), "doc_id", pool, 2).select(F.col("doc_id").alias("pid")).distinct()
-    fresh = every.join(F.broadcast(free), F.col("doc_id") == F.col("pid")).drop("pid").withColumn("label", F.lit(None).cast("double"))
-    schema = "doc_id long, label double, text binary, text_dense array<double>, meta binary, meta_dense array<double>"
-
-    # A word's code matters only if labelled documents repeat it; the rest stays on the executors.
-    sample_rows = written(known.unionByName(fresh))
-    words = choose_from(sample_rows.where("label is not null"), lambda batch: text_view(batch.column("text")), 4 * most, least=5)
-    keep = docs.sparkSession.sparkContext.broadcast(words)
+def _stored(rows: DataFrame) -> DataFrame:
+    """Both views of `rows`, packed and written: doc_id, label, and entries and dense columns of each view."""
 
     def run(batches):
         claim("quality")
         for batch in slices(batches, 2 << 20):
-            a, b = text_view(batch.column("text")), meta_view(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(packed(_only(a, keep.value), batch.num_rows), pa.binary()), pa.array(list(a.dense), pa.list_(pa.float64())), pa.array(packed(b, batch.num_rows), pa.binary()), pa.array(list(b.dense), pa.list_(pa.float64()))], names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
-
-    got = map_arrow(sample_rows, run, schema).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    n = got.num_rows
-    label = got.column("label").to_numpy(zero_copy_only=False).astype(float)
-    views = [unpacked(got.column(c).to_pylist(), np.array(got.column(f"{c}_dense").to_pylist(), float).reshape(n, k)) for c, k in (("text", DENSE_TEXT), ("meta", DENSE_META))]
-    there = ~np.isnan(label)
-    fold = np.array([hash_ % 5 == 0 for hash_ in got.column("doc_id").to_pylist()], bool) & there  # for calibration
-    if len(np.unique(label[there & ~fold])) < 2:
+            out = [batch.column("doc_id"), batch.column("label")]
+            for view in (text_view(batch.column("text")), meta_view(batch)):
+                out += [pa.array(packed(view, batch.num_rows), pa.binary()), pa.array([x.tobytes() for x in view.dense], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
+
+    return written(map_arrow(rows, run, STORED))
+
+
+STORED = "doc_id long, label double, text binary, text_dense binary, meta binary, meta_dense binary"
+
+
+def _views(table) -> list[Rows]:
+    return [unpacked(table.column(c).to_pylist(), np.frombuffer(b"".join(table.column(f"{c}_dense").to_pylist()), float).reshape(-1, k)) for c, k in (("text", DENSE_TEXT), ("meta", DENSE_META))]
+
+
+def _fold(table) -> np.ndarray:
+    """The labelled rows kept for calibration."""
+    return np.array([x % 5 == 0 for x in table.column("doc_id").to_pylist()], bool)
+
+
+def _given(table, views: list[Rows], models: list[Model] | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each view its labels (NaN: none) and its own logits. Without models: those of labelled rows; with them: what the other view is confident of."""
+    n = table.num_rows
+    if models is None:
+        label = np.where(_fold(table), np.nan, table.column("label").to_numpy(zero_copy_only=False))
+        return [label, label], [np.zeros(n), np.zeros(n)]
+    z = [m.logits(indexed(v, m.codes), n) for m, v in zip(models, views, strict=True)]
+    p = [sigmoid(x) for x in z[::-1]]
+    return [np.where(x >= CONFIDENT, 1.0, np.where(1 - x >= CONFIDENT, 0.0, np.nan)) for x in p], z
+
+
+def _counts(rows: DataFrame, models: list[Model] | None) -> DataFrame:
+    """view, code, and the documents of label 1 and 0 that have it; code -1 is had by all."""
+
+    def run(batches):
+        claim("quality")
+        for batch in slices(batches, 4 << 20):
+            views = _views(batch)
+            labels, _ = _given(batch, views, models)
+            for i, (view, label) in enumerate(zip(views, labels, strict=True)):
+                on = ~np.isnan(label)
+                codes, a, b = presence(view.take(on), label[on])
+                a, b = np.append(a, (label == 1).sum()), np.append(b, (label == 0).sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), i, np.int32)), pa.array(np.append(codes, -1).astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["view", "code", "a", "b"])
+
+    return map_arrow(rows, run, "view int, code long, a long, b long").groupBy("view", "code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _totals(counts: DataFrame) -> list[tuple[int, int]]:
+    got = {r["view"]: (r["a"], r["b"]) for r in counts.where("code = -1").collect()}
+    return [got.get(i, (0, 0)) for i in range(2)]
+
+
+def _chosen(known: DataFrame, free: DataFrame | None, scale: list[tuple[float, float]], n: list[tuple[float, float]], most: int, least: int = 5) -> list[np.ndarray]:
+    """For each view, the codes that tell the classes apart best, by counts of labelled documents and weighted ones of the others."""
+    both = known.select("view", "code", F.col("a").cast("double"), F.col("b").cast("double"), (F.col("a") + F.col("b")).alias("k"))
+    out = []
+    for i in range(2):
+        one = both.where(F.col("view") == i)
+        if free is not None:
+            one = one.unionByName(free.where(F.col("view") == i).select("view", "code", (F.col("a") * scale[i][0]).alias("a"), (F.col("b") * scale[i][1]).alias("b"), (F.col("a") + F.col("b")).alias("k")))
+        sums = one.where("code >= 0").groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("k").alias("k")).where(F.col("k") >= least)
+        chi = F.round(chi_square(F.col("a"), F.col("b"), max(1.0, n[i][0]), max(1.0, n[i][1])), 9)
+        best = sums.select("code", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "code").limit(most).select("code").toArrow()
+        out.append(np.sort(best.column("code").to_numpy()).astype(np.int64))
+    return out
+
+
+def _means(free: DataFrame, models: list[Model], codes: list[np.ndarray], scale: list[tuple[float, float]]) -> list[tuple[Rows, np.ndarray, np.ndarray]]:
+    """For each view, mean rows of all documents that got a label: over indices of `codes`, with labels and weights."""
+    steps = 2 * LOGITS + 1
+    wide = [len(c) + k + 1 for c, k in zip(codes, (DENSE_TEXT, DENSE_META), strict=True)]  # features, dense columns, number
+
+    def run(batches):
+        claim("quality")
+        sums = [np.zeros(2 * steps * w) for w in wide]  # whole numbers, so their order does not matter
+        for batch in slices(batches, 4 << 20):
+            views = _views(batch)
+            for i, (view, label, z) in enumerate(zip(views, *_given(batch, views, models), strict=True)):
+                on = ~np.isnan(label)
+                part = indexed(view.take(on), codes[i])
+                at = (label[on] * steps + np.rint(np.clip(z[on], -LOGITS, LOGITS)) + LOGITS).astype(np.int64) * wide[i]
+                sums[i] += np.bincount(at[part.row] + part.col, np.rint(part.value * PARTS), len(sums[i]))
+                for j, column in enumerate((*part.dense.T, np.full(len(at), 1 / PARTS))):
+                    sums[i] += np.bincount(at + len(codes[i]) + j, np.rint(column * PARTS), len(sums[i]))
+        for i, own in enumerate(sums):
+            there = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), i, np.int32)), pa.array(there), pa.array(own[there].astype(np.int64))], names=["view", "at", "n"])
+
+    got = map_arrow(free, run, "view int, at long, n long").groupBy("view", "at").agg(F.sum("n").alias("n")).toArrow()
+    view, at, n = (got.column(c).to_numpy() for c in ("view", "at", "n"))
+    out = []
+    for i, w in enumerate(wide):
+        table = np.zeros(2 * steps * w)
+        table[at[view == i]] = n[view == i]
+        table = table.reshape(2 * steps, w)
+        some = np.flatnonzero(table[:, -1])
+        number = table[some, -1]
+        mean = table[some, :-1] / PARTS / number[:, None]
+        row, col = np.nonzero(mean[:, : len(codes[i])])
+        label = (some >= steps).astype(float)
+        out.append((Rows(row, col, mean[row, col], mean[:, len(codes[i]) :]), label, number * np.where(label == 1, *scale[i])))
+    return out
+
+
+def _beside(x: Rows, y: Rows) -> Rows:
+    return Rows(np.concatenate([x.row, y.row + len(x.dense)]), np.concatenate([x.col, y.col]), np.concatenate([x.value, y.value]), np.concatenate([x.dense, y.dense]))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, most: int = FEATURES) -> CoModel:
+    """Co-trains on about `sample` labelled rows at most, chosen by a hash of doc_id, and on all other rows without labels."""
+    every = _columns(docs)
+    use = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("lid"), F.col("quality").cast("double").alias("label"))
+    use = written(_sampled(use, "lid", sample, 1))
+    known = _stored(every.join(F.broadcast(use), F.col("doc_id") == F.col("lid")).drop("lid"))
+    known_counts = written(_counts(known, None))
+    n = _totals(known_counts)
+    if min(n[0]) == 0:
         none = np.zeros(0, np.int64)
         flat = [Model(none, np.zeros(0), np.zeros(k), 2.0) for k in (DENSE_TEXT, DENSE_META)]
         return CoModel(flat[0], flat[1], (1.0, 0.0), (1.0, 0.0), (0.5, 0.5, 0.0))
-    given = [np.where(there & ~fold, label, np.nan) for _ in views]
+    # Read in each round, so the views are taken once.
+    free = _stored(every.join(F.broadcast(use), F.col("doc_id") == F.col("lid"), "left_anti").withColumn("label", F.lit(None).cast("double")))
     models: list[Model] = []
+    acted = []
     for turn in range(rounds):
+        scale, more, free_counts = [(0.0, 0.0)] * 2, None, None
+        if turn:
+            free_counts = written(_counts(free, models))
+            acted.append(_totals(free_counts))
+            scale = [tuple(min(1.0, SHARE * sum(n[i]) / max(1, k)) for k in acted[-1][i]) for i in range(2)]
+        total = [tuple(n[i][c] + scale[i][c] * (acted[-1][i][c] if turn else 0) for c in range(2)) for i in range(2)]
+        codes = _chosen(known_counts, free_counts, scale, total, most)
+        if turn:
+            more = _means(free, models, codes, scale)
+
+        def only(batches, codes=codes):
+            claim("quality")
+            for batch in slices(batches, 4 << 20):
+                a, b = (packed(_only(v, c), batch.num_rows) for v, c in zip(_views(batch), codes, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(a, pa.binary()), batch.column("text_dense"), pa.array(b, pa.binary()), batch.column("meta_dense")], names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
+
+        got = map_arrow(known, only, STORED).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "label", "text", "meta")])
+        label, fold, views = got.column("label").to_numpy(), _fold(got), _views(got)
         models = []
-        for view, own in zip(views, given, strict=True):
-            on = ~np.isnan(own)
-            rows = view.take(on)
-            models.append(fit(rows, own[on], choose(rows, own[on], most, least=5)))
-        if turn == rounds - 1:
-            break
-        for i, other in ((0, 1), (1, 0)):
-            p = sigmoid(models[i].logits(indexed(views[i], models[i].codes), n))
-            open_ = np.isnan(given[other]) & ~there
-            k = max(1, int(SHARE * n / rounds))
-            for value, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.flatnonzero(open_ & (sure >= CONFIDENT))
-                given[other][best[np.argsort(-sure[best], kind="stable")[:k]]] = value
-    scores = [m.logits(indexed(v, m.codes), n)[fold] for m, v in zip(models, views, strict=True)]
+        for i, view in enumerate(views):
+            rows, own = indexed(view.take(~fold), codes[i]), label[~fold]
+            weights = np.ones(len(own))
+            if more is not None:
+                rows, own, weights = _beside(rows, more[i][0]), np.concatenate([own, more[i][1]]), np.concatenate([weights, more[i][2]])
+            models.append(fit(rows, own, codes[i], ready=True, weights=weights))
+    scores = [m.logits(indexed(v, m.codes), len(label))[fold] for m, v in zip(models, views, strict=True)]
     fits = [platt(s, label[fold]) for s in scores]
     both = np.stack([np.clip(f[0] * s + f[1], -most_, most_) for f, s, most_ in zip(fits, scores, (TEXT_MOST, META_MOST), strict=True)], 1)
     mix = (0.5, 0.5, 0.0)
@@ -163,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
         none = np.zeros(0, np.int64)
         m = fit(Rows(none, none, np.zeros(0), both / 4), label[fold], none, l2=1.0)
         mix = (float(m.v[0]) / 4, float(m.v[1]) / 4, m.bias)
-    return CoModel(models[0], models[1], fits[0], fits[1], mix)
+    return CoModel(models[0], models[1], fits[0], fits[1], mix, acted)
 
 
 def score(docs: DataFrame, model: CoModel) -> DataFrame:

@@ -287,6 +287,22 @@ def test_quality(spark):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def test_every_confident_document_acts_in_the_exchange(spark):
+    r = random.Random(17)
+    rows = []
+    for i in range(9000):  # more than any bounded pool held; "late" words occur in unlabelled documents only
+        good = i % 3 > 0
+        words = [f"{'g' if good else 'b'}{r.randrange(40)}" for _ in range(12)] + ([f"late{'g' if good else 'b'}"] if i >= 600 else [])
+        rows.append((i, " ".join(words), "en", "fine" if good else "poor", 0, int(good)))
+    docs = spark.createDataFrame([x[:5] for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(x[0], x[5], 0) for x in rows[:600]], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert model.acted[-1] == [(5600, 2800)] * 2
+    late = [quality.code("wlateg"), quality.code("wlateb")]
+    w = dict(zip(model.text.codes.tolist(), model.text.w, strict=True))
+    assert w[late[0]] > 0 > w[late[1]]
+
+
 def test_quality_edges(docs, no_docs, spark):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, labels).where("accepted").count() == docs.count()
