@@ -9,6 +9,7 @@
    of its lists; sets joined to one leader share its answers and are not compared with each other.
 4. The lists are then read block by block. Block pairs whose sizes or positions rule out the overlap
    are skipped, as are those whose sets already share one class; what remains is verified.
+5. For numbers of links, the sets of each class are compared with each other, block by block.
 
 Equal sets are one set from step 3 on, and sets without a shared list are gone.
 """
@@ -283,13 +284,8 @@ def _rest(postings: DataFrame, roots: DataFrame, t: int) -> DataFrame:
     return pairs.select(F.least("sigx", "sigy").alias("a"), F.greatest("sigx", "sigy").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FILTER_BITS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links of `threshold` percent).
-
-    Fewer words than a shingle has: all of them are one shingle. Null, empty and blank texts have the
-    empty set and no links. Equal sets link. Rows that repeat a doc_id are documents of their own; a
-    null doc_id is passed over when the least is taken. An empty table gives no rows.
-    """
+def _classed(docs: DataFrame, words: int, threshold: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, n, sig); the sets with partners or copies (sig, rep, copies, root); the sets that were compared (sig, tokens)."""
     sets = Sets(words, threshold)
     base = written(_base(docs, sets, bits))
     bodies = base.where("tokens is not null").select("sig", "tokens")
@@ -303,11 +299,127 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FI
     more = written(_verified(_rest(postings, roots, threshold), distinct, threshold))
     if not more.isEmpty():
         roots = written(components(links.unionByName(more)))
-    reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    labels = reps.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+    reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    labels = reps.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
+    return base.select("doc_id", "n", "sig"), labels, distinct
+
+
+def _component(labels: DataFrame) -> DataFrame:
+    """s, label: each set's least doc_id of its class."""
     least = labels.groupBy("root").agg(F.min("rep").alias("label")).withColumnRenamed("root", "r")
-    of_sig = labels.join(least, F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "label")
-    return base.select("doc_id", "n", "sig").join(of_sig, F.col("sig") == F.col("s"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    return labels.join(least, F.col("root") == F.col("r")).select(F.col("sig").alias("s"), "label")
+
+
+def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FILTER_BITS) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links of `threshold` percent).
+
+    Fewer words than a shingle has: all of them are one shingle. Null, empty and blank texts have the
+    empty set and no links. Equal sets link. Rows that repeat a doc_id are documents of their own; a
+    null doc_id is passed over when the least is taken. An empty table gives no rows.
+    """
+    base, labels, _ = _classed(docs, words, threshold, bits)
+    return base.join(_component(labels), F.col("sig") == F.col("s"), "left").select(*_answer())
+
+
+def _answer() -> list:
+    return [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id")]
+
+
+def _partners(members: DataFrame, t: int, most: int, most_bytes: int) -> DataFrame:
+    """For each set of `members` (sig, tokens, copies, root) that links to another, the copies of all such: s, partners.
+
+    A link's sets are of one class, so all pairs within classes are compared: by blocks of at most
+    about `most` sets, of equal or neighbouring size bands, whose common tokens are counted by matrix
+    products. Rows grow with pairs of blocks, not of sets.
+    """
+    size = F.length("tokens") / 8
+    band = F.floor(F.log(size) / F.lit(float(np.log(100 / t))) + 1e-9).cast("int") if t < 100 else size.cast("int")
+    held = members.withColumn("band", band)
+    parts = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(F.length("tokens")) / most_bytes)).cast("int")
+    whole = held.groupBy("root").agg(parts().alias("all_")).select(F.col("root").alias("wr"), "all_")
+    # A class that fits one block is one; others are cut by band and then by hash.
+    held = held.join(whole, F.col("root") == F.col("wr")).withColumn("band", F.when(F.col("all_") <= 1, F.lit(0)).otherwise(F.col("band"))).drop("wr", "all_")
+    held = written(held)
+    cut = held.groupBy("root", "band").agg(parts().alias("parts")).select(F.col("root").alias("cr"), F.col("band").alias("cb"), "parts")
+    held = written(held.join(cut, (F.col("root") == F.col("cr")) & (F.col("band") == F.col("cb"))).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).select("root", "band", "part", "sig", "tokens", "copies"))
+    blocks = held.select("root", "band", "part").distinct()
+    x, y = (blocks.select(F.col("root").alias(f"r{c}"), F.col("band").alias(f"b{c}"), F.col("part").alias(f"p{c}")) for c in "xy")
+    pairs = x.join(y, (F.col("rx") == F.col("ry")) & ((F.col("by") == F.col("bx") + 1) | ((F.col("by") == F.col("bx")) & (F.col("py") >= F.col("px")))))
+    pairs = written(pairs.select("rx", "bx", "px", "by", "py", F.xxhash64("rx", "bx", "px", "by", "py").alias("pair")))
+    at = lambda c: (F.col("root") == F.col("rx")) & (F.col("band") == F.col(f"b{c}")) & (F.col("part") == F.col(f"p{c}"))
+    out = ["pair", "rx", "bx", "px", "by", "py"]
+    left = held.join(pairs, at("x")).select(*out, F.lit(0).alias("side"), "sig", "tokens", "copies")
+    right = held.join(pairs.where("bx <> by or px <> py"), at("y")).select(*out, F.lit(1).alias("side"), "sig", "tokens", "copies")
+
+    def compared(rows):
+        sides = [[r for r in rows if r[0] == s] for s in (0, 1)]
+        one = not sides[1]
+        sets = [[np.frombuffer(r[2], np.uint64) for r in side] for side in (sides[0], sides[0] if one else sides[1])]
+        if len(sets[0]) < (2 if one else 1):
+            return
+        counts, numbers, codes = [], [], []
+        for side in sets:
+            n = np.array([len(s) for s in side])
+            counts.append(n), numbers.append(np.repeat(np.arange(len(n)), n)), codes.append(np.concatenate(side))
+        shared = np.intersect1d(*codes)
+        both = np.zeros((len(counts[0]), len(counts[1])), np.float32)  # whole numbers below 2^24
+        found = []
+        for number, code in zip(numbers, codes, strict=True):
+            place = np.minimum(np.searchsorted(shared, code), max(0, len(shared) - 1))
+            own = shared[place] == code if len(shared) else np.zeros(len(code), bool)
+            order = np.argsort(place[own], kind="stable")
+            found.append((number[own][order], place[own][order]))
+        for a in range(0, len(shared), 4096):
+            tables = []
+            for (number, place), n in zip(found, counts, strict=True):
+                lo, hi = np.searchsorted(place, [a, a + 4096])
+                table = np.zeros((len(n), min(4096, len(shared) - a)), np.float32)
+                table[number[lo:hi], place[lo:hi] - a] = 1
+                tables.append(table)
+            both += tables[0] @ tables[1].T
+        common = np.rint(both).astype(np.int64)
+        linked = (common > 0) & (100 * common >= t * (counts[0][:, None] + counts[1][None, :] - common))
+        if one:
+            np.fill_diagonal(linked, False)
+        weights = [np.array([r[3] for r in side]) for side in (sides[0], sides[0] if one else sides[1])]
+        yield from zip((r[1] for r in sides[0]), (linked @ weights[1]).tolist(), strict=True)
+        if not one:
+            yield from zip((r[1] for r in sides[1]), (linked.T @ weights[0]).tolist(), strict=True)
+
+    def run(batches):
+        claim("jaccard_join")
+        last, rows, sums = None, [], []
+
+        def send():
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in sums], pa.binary()), pa.array([k for _, k in sums], pa.int64())], names=["s", "k"])
+
+        for b in batches:
+            for *key, side, sig, tokens, copies in zip(*(b.column(c).to_pylist() for c in (*out, "side", "sig", "tokens", "copies")), strict=True):
+                if key != last:
+                    sums += compared(rows)
+                    last, rows = key, []
+                    if len(sums) > 20_000:
+                        yield send()
+                        sums = []
+                rows.append((side, sig, tokens, copies))
+        sums += compared(rows)
+        yield send()
+
+    dealt = left.unionByName(right).repartition("pair").sortWithinPartitions(*out, "side")
+    return map_arrow(dealt, run, "s binary, k long").groupBy("s").agg(F.sum("k").alias("partners"))
+
+
+def linked(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FILTER_BITS, most: int = 256, most_bytes: int = 4 << 20) -> DataFrame:
+    """classes() with n_links: how many other documents (rows) a document's set reaches the threshold with, equal sets included."""
+    base, labels, distinct = _classed(docs, words, threshold, bits)
+    labels = written(labels)
+    several = labels.groupBy("root").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("root").alias("mr"))
+    members = labels.join(several, F.col("root") == F.col("mr"), "left_semi").select(F.col("sig").alias("ms"), "copies", "root")
+    partners = _partners(distinct.join(members, F.col("sig") == F.col("ms")).drop("ms"), threshold, most, most_bytes)
+    copies = labels.select(F.col("sig").alias("cs"), "copies")
+    of_sig = _component(labels).join(copies, F.col("s") == F.col("cs")).drop("cs").join(partners.withColumnRenamed("s", "ps"), F.col("s") == F.col("ps"), "left")
+    of_sig = of_sig.select("s", "label", (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"))
+    return base.join(of_sig, F.col("sig") == F.col("s"), "left").select(*_answer(), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:

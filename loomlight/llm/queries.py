@@ -41,7 +41,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents"), words=3, threshold=90)
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), words=3, threshold=90)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,6 +355,28 @@ def test_jaccard_classes(spark, docs, rows, k, t):
     assert sorted(got, key=repr) == sorted(brute_classes(more, k, t), key=repr)
 
 
+@pytest.mark.parametrize(("k", "t", "most"), [(3, 90, 256), (1, 60, 3)])
+def test_jaccard_links(spark, rows, k, t, most):
+    r = random.Random(18)
+    base = [f"v{r.randrange(500)}" for _ in range(80)]
+    more = list(rows)
+    for i in range(30):
+        own = list(base)
+        for _ in range(i % 4):
+            own[r.randrange(len(own))] = f"y{r.randrange(9)}"
+        more += [(3000 + i, " ".join(own))] * (1 + i % 2)
+    sets = []
+    for _, x in more:
+        w = fold(x).split()
+        sets.append({tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    link = lambda a, b: bool(a & b) and 100 * len(a & b) >= t * len(a | b)
+    want = [(d, sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(more, sets, strict=True))]
+    table = spark.createDataFrame(more, "doc_id long, text string").repartition(3)
+    got = [(x["doc_id"], x["n_links"], x["component_id"]) for x in jaccard_join.linked(table, k, t, most=most).collect()]
+    assert sorted((g[:2] for g in got), key=repr) == sorted(want, key=repr)
+    assert sorted(((g[0], g[2]) for g in got), key=repr) == sorted(((x[0], x[2]) for x in brute_classes(more, k, t)), key=repr)
+
+
 def test_jaccard_empty(no_docs):
     assert jaccard_join.classes(no_docs).count() == 0
 
