@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomlight.storage import remove, scratch, table, written
 
-__all__ = ["claim", "kept", "lower_az", "rank_within", "ranges", "raw", "remove", "scratch", "slices", "table", "written"]
+__all__ = ["claim", "kept", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "scratch", "slices", "table", "written"]
 
 _OWNER = [""]
 _KEPT: list[dict] = []
@@ -71,6 +71,29 @@ def lower_az(column) -> F.Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def row_key() -> F.Column:
+    """Tells rows apart by doc_id, which may be null, and text; null text equals empty text."""
+    return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, group: str, largest: bool) -> DataFrame:
+    """`docs` with one row of each group of `rows` (group, doc_id, key); those that no group has stay.
+
+    The row with the largest or the least doc_id stays, one without doc_id only if all are. Of rows
+    with one key, which are of one group, any stays.
+    """
+    each = written(rows.groupBy(group, "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
+    best = F.max(F.struct("doc_id", "key")) if largest else F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    top = written(each.groupBy(group).agg(best.alias("top")).select(F.col("top.key").alias("tk")))
+    gone = each.join(top, F.col("key") == F.col("tk"), "left_anti").select(F.col("key").alias("_k"))
+    many = written(each.where("n > 1").join(top, F.col("key") == F.col("tk"), "left_semi").select(F.col("key").alias("_k")))
+    out, on = docs.withColumn("_key", row_key()), F.col("_key") == F.col("_k")
+    left = out.join(gone, on, "left_anti")
+    if not many.isEmpty():
+        left = left.join(many, on, "left_anti").unionByName(out.join(many, on, "left_semi").dropDuplicates(["_key"]))
+    return left.drop("_key")
+
+
 def rank_within(df: DataFrame, group: str, order: list[str], rows_per_bucket: int = 50_000) -> DataFrame:
     """Adds `rank`, long, gapless from 0 within each value of `group`.
 

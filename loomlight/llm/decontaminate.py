@@ -138,6 +138,22 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of `docs` without any window of the benchmark, with their columns."""
-    bad = report(docs, benchmark, size).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of `docs` without any window of the benchmark, each by its own text, with their columns."""
+    for windows in blocks(benchmark, size):
+        if not windows:
+            continue
+        run = _cleaner(docs.sparkSession.sparkContext.broadcast(windows), hashlib.sha256(repr(sorted(windows)).encode()).hexdigest())
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+        docs = map_arrow(rows, run, rows.select("_row").schema).select("_row.*")
+    return docs
+
+
+def _cleaner(shared, key: str):
+    def run(batches):
+        claim("decontaminate")
+        find = _automaton(shared.value, key).iter
+        for batch in slices(batches):
+            good = [next(find((b" " + b" ".join(words_of(t)) + b" ").decode("latin-1")), None) is None for t in raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array(good, pa.bool_()))], names=["_row"])
+
+    return run

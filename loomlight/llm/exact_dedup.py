@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import claim, raw, slices, written
+from loomlight.llm.common import claim, one_of_each, raw, row_key, slices, written
 from loomlight.ship import map_arrow
 
 WINDOW, AVERAGE, LEAST, MOST = 32, 2048, 256, 16384
@@ -64,7 +64,7 @@ def _cut(batch: pa.RecordBatch):
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the normalised text, recipe (its chunks' digests joined)."""
+    """doc_id, text_sha256 of the normalised text, recipe (its chunks' digests joined), key (of the row)."""
 
     def run(batches):
         claim("exact_dedup")
@@ -72,9 +72,9 @@ def recipes(docs: DataFrame) -> DataFrame:
             texts, _, keys, counts = _cut(batch)
             ends = np.cumsum(counts).tolist()
             lists = [b"".join(keys[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(lists, pa.binary())], names=["doc_id", "text_sha256", "recipe"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(lists, pa.binary()), batch.column("key")], names=["doc_id", "text_sha256", "recipe", "key"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, text_sha256 string, recipe binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key")), run, "doc_id long, text_sha256 string, recipe binary, key string")
 
 
 def _repeated(listed: DataFrame, bits: int) -> np.ndarray:
@@ -134,6 +134,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, one of each group of equal texts, with their columns."""
-    stay = groups(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_keep"), "left_semi")
+    """The rows of `docs` that stay, exactly one of each group of equal texts, with their columns.
+
+    That is the one with the largest doc_id; a group without any doc_id keeps one row too.
+    """
+    listed = written(recipes(docs))
+    verify(docs, listed)
+    return one_of_each(docs, listed, "recipe", largest=True)

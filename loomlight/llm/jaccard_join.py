@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import claim, slices, written
+from loomlight.llm.common import claim, one_of_each, row_key, slices, written
 from loomlight.llm.components import components
 from loomlight.ship import map_arrow
 
@@ -145,7 +145,7 @@ def _filter(docs: DataFrame, sets: Sets, bits: int) -> np.ndarray:
 
 
 def _base(docs: DataFrame, sets: Sets, bits: int) -> DataFrame:
-    """doc_id, n; and for sets that may have partners: sig (of the set) and tokens (packed, sorted)."""
+    """doc_id, n, key (of the row); and for sets that may have partners: sig (of the set) and tokens (packed, sorted)."""
     seen = docs.sparkSession.sparkContext.broadcast(_filter(docs, sets, bits))
     low = np.uint64(bits - 1)
 
@@ -165,9 +165,9 @@ def _base(docs: DataFrame, sets: Sets, bits: int) -> DataFrame:
                         body = None if key in sent else s.tobytes()
                         sent.add(key)
                 sig.append(key), tokens.append(body)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(tokens, pa.binary()), batch.column("key")], names=["doc_id", "n", "sig", "tokens", "key"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, sig binary, tokens binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key")), run, "doc_id long, n long, sig binary, tokens binary, key string")
 
 
 def _cells(bodies: DataFrame) -> int:
@@ -285,7 +285,7 @@ def _rest(postings: DataFrame, roots: DataFrame, t: int) -> DataFrame:
 
 
 def _classed(docs: DataFrame, words: int, threshold: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The documents (doc_id, n, sig); the sets with partners or copies (sig, rep, copies, root); the sets that were compared (sig, tokens)."""
+    """The documents (doc_id, n, sig, key); the sets with partners or copies (sig, rep, copies, root); the sets that were compared (sig, tokens)."""
     sets = Sets(words, threshold)
     base = written(_base(docs, sets, bits))
     bodies = base.where("tokens is not null").select("sig", "tokens")
@@ -301,7 +301,7 @@ def _classed(docs: DataFrame, words: int, threshold: int, bits: int) -> tuple[Da
         roots = written(components(links.unionByName(more)))
     reps = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     labels = reps.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
-    return base.select("doc_id", "n", "sig"), labels, distinct
+    return base.select("doc_id", "n", "sig", "key"), labels, distinct
 
 
 def _component(labels: DataFrame) -> DataFrame:
@@ -423,6 +423,7 @@ def linked(docs: DataFrame, words: int = 5, threshold: int = 80, bits: int = FIL
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each class stays, the one with the least doc_id, with its columns; rows without doc_id stay."""
-    gone = classes(docs, words, threshold).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each class stays, with its columns: the one with the least doc_id, or any if the class has none."""
+    base, labels, _ = _classed(docs, words, threshold, FILTER_BITS)
+    of_sig = labels.select(F.col("sig").alias("s"), "root")
+    return one_of_each(docs, base.join(of_sig, F.col("sig") == F.col("s")).select("root", "doc_id", "key"), "root", largest=False)

@@ -102,11 +102,11 @@ def _only(rows: Rows, codes: np.ndarray) -> Rows:
     return Rows(near.row, codes[near.col] if len(codes) else near.col, near.value, near.dense)
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    """doc_id, text and metadata; metadata columns that are absent count as null."""
+def _columns(docs: DataFrame, *more) -> DataFrame:
+    """doc_id, text and metadata, and `more`; metadata columns that are absent count as null."""
     have = set(docs.columns)
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*((F.col(c).cast(k) if c in have else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()))
+    return docs.select(*((F.col(c).cast(k) if c in have else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()), *more)
 
 
 def _sampled(rows: DataFrame, key: str, most: int, salt: int) -> DataFrame:
@@ -307,6 +307,16 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that are accepted, with their columns; rows without doc_id stay."""
-    bad = classify(docs, labels, threshold).where(~F.col("accepted")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    """The rows of `docs` that are accepted, each by its own text and metadata, with their columns."""
+    share = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches):
+        claim("quality")
+        m = share.value
+        for batch in slices(batches, 2 << 20):
+            a, b = indexed(text_view(batch.column("text")), m.text.codes), indexed(meta_view(batch), m.meta.codes)
+            good = sigmoid(m.logits(a, b, batch.num_rows)[0]) >= threshold
+            yield pa.RecordBatch.from_arrays([batch.column("_row").filter(pa.array(good))], names=["_row"])
+
+    rows = _columns(docs, F.struct(*docs.columns).alias("_row"))
+    return map_arrow(rows, run, rows.select("_row").schema).select("_row.*")

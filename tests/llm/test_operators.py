@@ -265,6 +265,24 @@ def test_exact_dedup_notices_a_collision(spark, docs, monkeypatch):
     assert exact_dedup.keep_one(docs).columns == docs.columns
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows without doc_id, repeated rows, and one doc_id with two texts."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, c), (1, d), (7, d), (1, "own text"), (7, "other text")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (a, b, c, d)
+
+
+def test_each_row_is_kept_or_not_by_itself(spark, odd):
+    docs, (a, b, c, d) = odd
+    left = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    rest = [(None, a), (None, b), (5, c), (1, "own text"), (7, "other text")]
+    assert left(exact_dedup.keep_one(docs)) == sorted([*rest, (7, d)], key=repr)
+    assert left(jaccard_join.keep_one(docs)) == sorted([*rest, (1, d)], key=repr)
+    bench = spark.createDataFrame([(1, d), (2, a)], "item_id long, text string")
+    assert left(decontaminate.clean(docs, bench)) == sorted([(None, b), (None, b), (5, c), (5, c), (1, "own text"), (7, "other text")], key=repr)
+
+
 def test_exact_dedup_empty(no_docs):
     assert exact_dedup.groups(no_docs).count() == 0
 
