@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[int, str] = {}
+_OWN: dict[str, str] = {}
+
+#: Spark's own switch: what a statement has shuffled goes when it ends. Off by default.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +24,7 @@ def scratch(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _OWN:
         _OWN[key] = f"{base.rstrip('/')}/loomlight-{uuid.uuid4().hex[:12]}"
         atexit.register(remove, spark, _OWN[key])
@@ -35,9 +40,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a written table: cuts the lineage with files that outlive a lost executor."""
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside leave no shuffle files behind; for those whose plans are not run again."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
+def written(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """df as a written table, in folders by a column if asked: cuts the lineage with files that outlive a lost executor."""
     spark = df.sparkSession
     path = path or scratch(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    with freeing(spark):
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
