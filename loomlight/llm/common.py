@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomlight.storage import remove, scratch, table, written
 
-__all__ = ["claim", "kept", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "scratch", "slices", "table", "written"]
+__all__ = ["claim", "kept", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "runs", "scratch", "slices", "table", "written"]
 
 _OWNER = [""]
 _KEPT: list[dict] = []
@@ -60,6 +60,29 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20, column: str =
             at = to
 
 
+def runs(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Consecutive rows with equal integers in `names`, with their batches cut to them."""
+    last, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        cut = np.flatnonzero(new).tolist()
+        for a, e in zip(cut, [*cut[1:], b.num_rows], strict=True):
+            key = tuple(int(k[a]) for k in keys)
+            if key != last:
+                if held:
+                    yield last, held
+                last, held = key, []
+            held.append(b.slice(a, e - a))
+    if held:
+        yield last, held
+
+
 def ranges(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each c, joined."""
     total = int(counts.sum())

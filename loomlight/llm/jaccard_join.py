@@ -19,7 +19,7 @@ one machine.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import claim, one_of_each, remove, row_key, scratch, slices, written
+from loomlight.llm.common import claim, one_of_each, remove, row_key, runs, scratch, slices, written
 from loomlight.llm.components import components
 from loomlight.ship import map_arrow
 
@@ -141,29 +141,6 @@ def _risen(blob: bytes) -> np.ndarray:
     return np.cumsum(_unplaned(blob, np.uint64), dtype=np.uint64)
 
 
-def _groups(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
-    """Consecutive rows with equal integers in `names`, with their batches cut to them."""
-    last, held = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-        new = np.zeros(b.num_rows, bool)
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        cut = np.flatnonzero(new).tolist()
-        for a, e in zip(cut, [*cut[1:], b.num_rows], strict=True):
-            key = tuple(int(k[a]) for k in keys)
-            if key != last:
-                if held:
-                    yield last, held
-                last, held = key, []
-            held.append(b.slice(a, e - a))
-    if held:
-        yield last, held
-
-
 _ROW = [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tk", pa.int64()), ("key", pa.string())]
 _SENT = pa.schema([("part", pa.int32()), ("owner", pa.int64()), *_ROW, ("need0", pa.int32()), ("need1", pa.int32()), ("parts", pa.binary()), ("owners", pa.binary())])
 _MET = pa.schema([("kind", pa.string()), ("owner", pa.int64()), *_ROW, ("need0", pa.int32()), ("need1", pa.int32()), ("shared", pa.int32())])
@@ -249,7 +226,7 @@ def _met(sent: DataFrame) -> DataFrame:
 
     def run(batches):
         claim("jaccard_join")
-        for (part,), held in _groups(batches, "part"):
+        for (part,), held in runs(batches, "part"):
             if part < 0:
                 for b in held:
                     yield _batch(_MET, b.num_rows, kind=["doc"] * b.num_rows, **{c: b.column(c) for c in ("owner", "doc_id", "n", "sig", "tk", "key", "need0", "need1")})
@@ -321,7 +298,7 @@ def _blocked(bodies: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches):
         claim("jaccard_join")
-        for (blk,), held in _groups(batches, "blk"):
+        for (blk,), held in runs(batches, "blk"):
             sigs, bodies, last = [], [], None
             for b in held:
                 for sig, tokens in zip(b.column("sig").to_pylist(), b.column("tokens").to_pylist(), strict=True):
@@ -347,7 +324,7 @@ def _levels(keys: DataFrame) -> DataFrame:
 
     def run(batches):
         claim("jaccard_join")
-        for _, held in _groups(batches, "bucket"):
+        for _, held in runs(batches, "bucket"):
             blks = [x for b in held for x in b.column("blk").to_pylist()]
             each = [_risen(x) for b in held for x in b.column("tokens").to_pylist()]
             many = np.concatenate([_unplaned(x, np.uint32) for b in held for x in b.column("many").to_pylist()])
@@ -371,7 +348,7 @@ def _postings(distinct: DataFrame, levels: DataFrame, sets: Sets) -> DataFrame:
 
     def run(batches):
         claim("jaccard_join")
-        for _, held in _groups(batches, "blk"):
+        for _, held in runs(batches, "blk"):
             keys, level, rows = [], [], []
             for b in held:
                 for side, sig, tokens, own in zip(*(b.column(c).to_pylist() for c in ("side", "sig", "tokens", "level")), strict=True):

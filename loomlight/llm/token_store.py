@@ -13,11 +13,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import scratch, slices, written
+from loomlight.llm.common import remove, runs, scratch, slices, written
 from loomlight.llm.tokens import encoder, tokenizer_json
 from loomlight.ship import map_arrow
 
@@ -61,14 +62,34 @@ def cuts(ids: np.ndarray, bounds: np.ndarray, average: int = AVERAGE, least: int
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, docs_per_block: int = 20_000) -> None:
     """Encodes all `docs` (doc_id, text) and writes the store below `path`.
 
-    Null or empty texts are the end id alone. Rows with one doc_id are kept each, next to each other.
-    Ids take two bytes where the vocabulary allows, else four.
+    Null or empty texts are the end id alone. Rows with one doc_id, or without any, are kept each,
+    next to each other, in any order. Ids take two bytes where the vocabulary allows, else four.
+    Further columns are ignored; an empty table gives an empty store.
     """
     spark = docs.sparkSession
-    definition = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
+    buckets = max(256, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = _packed(docs, tokenizer_json(tokenizer), end_id, buckets)
+    written(_distinct(found), f"{path}/chunks", by="kind")
+    recipes = _chunks(spark, path, "recipe").select("doc_id", F.col("body").alias("keys"), "lens")
+    # Rows of one doc_id may be many: the second column lets them go to several blocks.
+    recipes = recipes.withColumn("salt", F.monotonically_increasing_id())
+    n = max(1, -(-recipes.count() // docs_per_block))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("salt")]
+    ordered = recipes.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    written(ordered.select("doc_id", F.spark_partition_id().alias("block"), place.alias("place"), "keys", "lens"), f"{path}/recipes")
+    remove(spark, f"{path}/chunks/kind=recipe")
+    written(_blocks(spark.read.parquet(f"{path}/recipes")), f"{path}/manifest")
+    root = _root(spark.read.parquet(f"{path}/manifest").select("block", "root").collect())
+    spark.createDataFrame([(root,)], "root string").coalesce(1).write.parquet(f"{path}/root")
+
+
+def _packed(docs: DataFrame, definition: str, end_id: int, buckets: int) -> DataFrame:
+    """Rows of bucket -1 and below: recipes (doc_id, keys, lens); others: a batch's distinct chunks of a bucket, their keys, lengths and bodies joined."""
+    share = docs.sparkSession.sparkContext.broadcast(definition)
 
     def run(batches):
-        enc = encoder(definition.value)
+        enc, row = encoder(share.value), 512 * 31 * TaskContext.get().partitionId()
         for batch in slices(batches, 8 << 20):
             ids, counts = enc.encode(batch.column("text"))
             bounds = np.cumsum(counts + 1)
@@ -77,35 +98,69 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             mask[bounds - 1] = False
             full[mask] = ids
             ends = cuts(full, bounds)
-            view, width = memoryview(full).cast("B"), full.itemsize
-            starts = np.concatenate([[0], ends[:-1]])
-            blobs = [view[width * a : width * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            keys = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
-            lens = (ends - starts).astype("<u4")
-            upto = np.searchsorted(ends, bounds, "right").tolist()
-            doc, at = batch.column("doc_id").cast(pa.int64()).to_pylist(), 0
-            rows: dict[str, list] = {"kind": [], "key": [], "doc_id": [], "body": [], "lens": []}
-            for d, to in zip(doc, upto, strict=True):
-                rows["kind"].append("recipe"), rows["key"].append(b""), rows["doc_id"].append(d)
-                rows["body"].append(b"".join(keys[at:to])), rows["lens"].append(lens[at:to].tobytes())
-                at = to
-            once = {k: i for i, k in enumerate(keys)}
-            for k, i in once.items():
-                rows["kind"].append("object"), rows["key"].append(k), rows["doc_id"].append(None), rows["body"].append(bytes(blobs[i])), rows["lens"].append(None)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("body", pa.binary()), ("lens", pa.binary())]))
-
-    rows = map_arrow(docs.select("doc_id", "text"), run, "kind string, key binary, doc_id long, body binary, lens binary")
-    # Recipes take a key of their own, so that one shuffle removes repeated chunks and keeps every recipe.
-    keyed = rows.withColumn("key", F.when(F.col("kind") == "object", F.col("key")).otherwise(F.unhex(F.format_string("%032x", F.monotonically_increasing_id()))))
-    keyed.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = _chunks(spark, path, "recipe").select("doc_id", F.col("body").alias("keys"), "lens")
-    n = max(1, -(-recipes.count() // docs_per_block))
-    ordered = recipes.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "keys")
-    ordered.select("doc_id", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"), "keys", "lens").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    blocks = _blocks(spark.read.parquet(f"{path}/recipes"))
-    blocks.write.parquet(f"{path}/manifest")
-    root = _root(spark.read.parquet(f"{path}/manifest").select("block", "root").collect())
-    spark.createDataFrame([(root,)], "root string").coalesce(1).write.parquet(f"{path}/root")
+            width = full.itemsize
+            view, offsets = memoryview(full).cast("B"), np.concatenate([[0], ends * width])
+            at = offsets.tolist()
+            keys = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)])
+            lens = (np.diff(offsets) // width).astype("<u4")
+            upto = np.concatenate([[0], np.searchsorted(ends, bounds, "right")])
+            part = -1 - (row + np.arange(len(counts))) // 512 % 4096
+            row += len(counts)
+            yield _rows(len(counts), bucket=pa.array(part.astype(np.int32)), doc_id=batch.column("doc_id").cast(pa.int64()), keys=_bytes(16 * upto, keys), lens=_bytes(4 * upto, lens.tobytes()))
+            first = np.unique(np.frombuffer(keys, "V16"), return_index=True)[1]
+            own = np.frombuffer(keys, "V16")[first]
+            bucket = own.view("<u1").reshape(-1, 16)[:, :2].astype(np.int64) @ [256, 1] * buckets >> 16
+            bodies = _bytes(offsets, full.tobytes()).take(pa.array(first))
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            to = np.append(cut, len(own))
+            of = np.concatenate([[0], np.cumsum(lens[first].astype(np.int64))])[to] * width
+            yield _rows(len(cut), bucket=pa.array(bucket[cut].astype(np.int32)), keys=_bytes(16 * to, own.tobytes()), lens=_bytes(4 * to, lens[first].tobytes()), body=_bytes(of, bodies.buffers()[2]), width=pa.array([width] * len(cut), pa.int32()))
+
+    return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, keys binary, lens binary, body binary, width int")
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("width", pa.int32())])
+_CHUNKS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("body", pa.binary()), ("lens", pa.binary())])
+
+
+def _rows(n: int, schema: pa.Schema = _PACKED, **columns: pa.Array) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+
+def _bytes(offsets: np.ndarray, data) -> pa.Array:
+    """The pieces of `data` between offsets as an array, without a copy of each. A batch's data stays below 2 GB."""
+    buffer = data if isinstance(data, pa.Buffer) else pa.py_buffer(data)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i4").tobytes()), buffer])
+
+
+def _distinct(packed: DataFrame) -> DataFrame:
+    """kind `recipe`: as they came; kind `object`: every chunk once. One bucket's chunks are in a task's memory at a time."""
+
+    def objects(held: list[pa.RecordBatch]):
+        keys, bodies = [], []
+        for b in held:
+            for k, n, body, width in zip(*(b.column(c).to_pylist() for c in ("keys", "lens", "body", "width")), strict=True):
+                size = np.frombuffer(n, "<u4").astype(np.int64) * width
+                keys.append(k), bodies.append(_bytes(np.concatenate([[0], np.cumsum(size)]), body))
+        all_ = np.frombuffer(b"".join(keys), "V16")
+        first = np.unique(all_, return_index=True)[1]
+        once = pa.concat_arrays(bodies).take(pa.array(first))
+        key = _bytes(16 * np.arange(len(first) + 1), all_[first].tobytes())
+        for i in range(0, len(first), 8192):
+            n = min(8192, len(first) - i)
+            yield _rows(n, _CHUNKS, kind=pa.array(["object"] * n), key=key.slice(i, n), body=once.slice(i, n))
+
+    def run(batches):
+        for (bucket,), held in runs(batches, "bucket"):
+            if bucket >= 0:
+                yield from objects(held)
+                continue
+            for b in held:
+                yield _rows(b.num_rows, _CHUNKS, kind=pa.array(["recipe"] * b.num_rows), doc_id=b.column("doc_id"), body=b.column("keys"), lens=b.column("lens"))
+
+    dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
+    return map_arrow(dealt, run, "kind string, key binary, doc_id long, body binary, lens binary")
 
 
 def _chunks(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -141,33 +196,46 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _powers(base: np.ndarray) -> np.ndarray:
+    """base to the powers 0 to 255."""
+    out = np.array([1 << 31], np.uint32)
+    for _ in range(8):
+        out = np.concatenate([out, times(out, np.broadcast_to(base, len(out)))])
+        base = times(base, base)
+    return out
+
+
 def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """crc32 values carried over as many following bytes; those of a document's chunks, so shifted, combine by exclusive or."""
-    out, power, n = crc.astype(np.uint32), np.array([1 << 23], np.uint32), n_bytes.astype(np.int64).copy()  # x^8
+    out, n = crc.astype(np.uint32), n_bytes.astype(np.int64).copy()
+    powers = _powers(np.array([1 << 23], np.uint32))  # x^8
     while n.any():
-        odd = (n & 1).astype(bool)
-        out[odd] = times(out[odd], np.broadcast_to(power, int(odd.sum())))
-        power, n = times(power, power), n >> 1
+        out = times(out, powers[n & 255])
+        powers, n = _powers(times(powers[255:], powers[1:2])), n >> 8
     return out
 
 
 def _entries(recipes: DataFrame) -> DataFrame:
-    """One row per chunk of each recipe: block, place, doc_id, part, key, n, and the ids after it in its document."""
+    """One row per chunk of each recipe: block, place, doc_id, key, n, the ids after it in its document, and all of the document's."""
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             keys, lens = b.column("keys").to_pylist(), b.column("lens").to_pylist()
-            n = [np.frombuffer(x, "<u4").astype(np.int64) for x in lens]
-            k = np.array([len(x) for x in n])
-            row = np.repeat(np.arange(len(k)), k)
-            size = np.concatenate(n) if len(n) else np.zeros(0, np.int64)
-            total = np.array([x.sum() for x in n])
-            after = np.concatenate([x.sum() - np.cumsum(x) for x in n]) if len(n) else size
-            key = [x[i : i + 16] for x in keys for i in range(0, len(x), 16)]
+            k = np.array([len(x) // 4 for x in lens])
+            size = np.frombuffer(b"".join(lens), "<u4").astype(np.int64)
+            row, first = np.repeat(np.arange(len(k)), k), np.cumsum(k) - k
+            upto = np.concatenate([[0], np.cumsum(size)])
+            total = upto[first + k] - upto[first]
+            after = (upto[first] + total)[row] - upto[1:]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("block", "place", "doc_id")), pa.array(np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)), pa.array(key, pa.binary()), pa.array(size), pa.array(after), pa.array(total[row])], names=["block", "place", "doc_id", "part", "key", "n", "after", "total"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(take) for c in ("block", "place", "doc_id")), _bytes(16 * np.arange(len(row) + 1), b"".join(keys)), pa.array(size), pa.array(after), pa.array(total[row])],
+                names=["block", "place", "doc_id", "key", "n", "after", "total"],
+            )
 
-    return map_arrow(recipes.select("block", "place", "doc_id", "keys", "lens"), run, "block int, place long, doc_id long, part long, key binary, n long, after long, total long")
+    return map_arrow(recipes.select("block", "place", "doc_id", "keys", "lens"), run, "block int, place long, doc_id long, key binary, n long, after long, total long")
 
 
 def verify(spark: SparkSession, path: str) -> None:
@@ -195,8 +263,11 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             for k, x in zip(keys, body, strict=True):
                 if hashlib.blake2b(x, digest_size=16).digest() != k:
                     raise ValueError(f"object {k.hex()} is damaged")
-            ids = [np.frombuffer(x, wide) for x in body]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array([len(x) for x in ids], pa.int64())], names=["key", "crc", "size"])
+            ids = np.frombuffer(b"".join(body), wide).astype("<u4")
+            size = np.array([len(x) for x in body], np.int64) // np.dtype(wide).itemsize
+            view, ends = memoryview(ids).cast("B"), np.concatenate([[0], 4 * np.cumsum(size)]).tolist()
+            crc = [zlib.crc32(view[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(crc, pa.int64()), pa.array(size)], names=["key", "crc", "size"])
 
     found = map_arrow(objects, reduce, "key binary, crc long, size long").withColumnRenamed("key", "k")
     joined = _entries(spark.read.parquet(f"{path}/recipes")).join(found, F.col("key") == F.col("k"), "left")
@@ -236,7 +307,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     wide = _width(spark, path)
     objects = _chunks(spark, path, "object").select(F.col("key").alias("k"), "body")
     parts = _entries(spark.read.parquet(f"{path}/recipes")).join(objects, F.col("key") == F.col("k"))
-    whole = parts.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("part", "body"))).alias("parts"))
+    whole = parts.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("part"), "body"))).alias("parts"))
 
     def join(batches):
         for b in batches:
