@@ -12,15 +12,15 @@ import pyarrow.compute as pc
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def words_in(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct white-space words of a batch, each occurrence's index among them, and its row."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    own = coded.dictionary
     index, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(counts)), counts)
-    if "" in own:
-        real = index != own.index("")
+    if (none := pc.index(own, "").as_py()) >= 0:
+        real = index != none
         index, row = index[real], row[real]
     return own, index, row
 
@@ -172,7 +172,7 @@ def platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     if len(label) < 20 or len(np.unique(label)) < 2:
         return 1.0, 0.0
     scale = max(1e-6, float(np.abs(logit).mean()))
-    m = fit(Rows(none, none, np.zeros(0), (logit / scale)[:, None]), label, none, l2=1.0)
+    m = fit(Rows(none, none, np.zeros(0), (logit / scale)[:, None]), label, none, l2=0.3, steps=1000)
     return float(m.v[0]) / scale, m.bias
 
 

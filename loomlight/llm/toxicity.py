@@ -41,7 +41,8 @@ def swapped(text: str) -> str | None:
 
 def features(texts: pa.Array, known: dict[int, int] | None = None) -> Rows:
     """Rows over feature codes, or over indices of `known` codes; the dense column is the log of the length."""
-    own, index, row = words_in(texts)
+    words, index, row = words_in(texts)
+    own = words.to_pylist()
     if known is None:
         lists = [[code(f) for f in stems(w)] for w in own]
     else:
