@@ -13,9 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.storage import remove, scratch, table, written
+from loomlight.storage import freeing, remove, scratch, table, written
 
-__all__ = ["claim", "kept", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "runs", "scratch", "slices", "table", "written"]
+__all__ = ["claim", "freeing", "in_filter", "kept", "key_filter", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "runs", "scratch", "slices", "table", "written"]
 
 _OWNER = [""]
 _KEPT: list[dict] = []
@@ -99,6 +99,29 @@ def row_key() -> F.Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
+#: Bits of a filter for each of its keys, and most keys of one that is broadcast (32 MB).
+FILTER_BITS, FILTER_KEYS = 16, 1 << 24
+
+
+def key_filter(keys: DataFrame, most: int | None = None) -> np.ndarray | None:
+    """Bits, in words of 64, for the distinct `h` (long) of a written table: about one in 16 is set. None if they are too many to broadcast."""
+    n = keys.count()
+    if n > (FILTER_KEYS if most is None else most):
+        return None
+    bits = 1 << max(16, (FILTER_BITS * n).bit_length())
+    place = F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).cast("int")
+    with freeing(keys.sparkSession):
+        words = keys.groupBy(place.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    return out
+
+
+def in_filter(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of `h` may be among the filter's keys."""
+    return ((words[(h & (64 * len(words) - 1)) >> 6] >> (h & 63)) & 1).astype(bool)
+
+
 def one_of_each(docs: DataFrame, rows: DataFrame, group: str, largest: bool) -> DataFrame:
     """`docs` with one row of each group of `rows` (group, doc_id, key); those that no group has stay.
 
@@ -110,11 +133,12 @@ def one_of_each(docs: DataFrame, rows: DataFrame, group: str, largest: bool) ->
     top = written(each.groupBy(group).agg(best.alias("top")).select(F.col("top.key").alias("tk")))
     gone = each.join(top, F.col("key") == F.col("tk"), "left_anti").select(F.col("key").alias("_k"))
     many = written(each.where("n > 1").join(top, F.col("key") == F.col("tk"), "left_semi").select(F.col("key").alias("_k")))
-    out, on = docs.withColumn("_key", row_key()), F.col("_key") == F.col("_k")
+    # The row stands as one column, so that none of its names can clash.
+    out, on = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row")), F.col("key") == F.col("_k")
     left = out.join(gone, on, "left_anti")
     if not many.isEmpty():
-        left = left.join(many, on, "left_anti").unionByName(out.join(many, on, "left_semi").dropDuplicates(["_key"]))
-    return left.drop("_key")
+        left = left.join(many, on, "left_anti").unionByName(out.join(many, on, "left_semi").dropDuplicates(["key"]))
+    return left.select("row.*")
 
 
 def rank_within(df: DataFrame, group: str, order: list[str], rows_per_bucket: int = 50_000) -> DataFrame:

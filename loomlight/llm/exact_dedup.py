@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import claim, one_of_each, raw, row_key, slices, written
+from loomlight.llm.common import claim, freeing, in_filter, key_filter, one_of_each, raw, row_key, slices, written
 from loomlight.ship import map_arrow
 
 WINDOW, AVERAGE, LEAST, MOST = 32, 2048, 256, 16384
-FILTER_BITS = 1 << 23
 
 
 def boundaries(data: np.ndarray, bounds: np.ndarray, average: int = AVERAGE, least: int = LEAST, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
@@ -77,44 +76,51 @@ def recipes(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key")), run, "doc_id long, text_sha256 string, recipe binary, key string")
 
 
-def _repeated(listed: DataFrame, bits: int) -> np.ndarray:
-    """A filter of fixed size that has every digest that occurs at least twice; what it has beyond costs time only."""
+def _repeated(listed: DataFrame) -> DataFrame:
+    """(h, low) of every digest that occurs at least twice: its two halves."""
 
     def run(batches):
         claim("exact_dedup")
         for b in batches:
             all_ = np.frombuffer(b"".join(b.column("recipe").to_pylist()), "<i8").reshape(-1, 2)
             keys, n = np.unique(all_, axis=0, return_counts=True) if len(all_) else (all_, np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n)], names=["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(n)], names=["h", "low", "n"])
 
-    twice = map_arrow(listed.select("recipe"), run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1")
-    at = F.col("a").bitwiseAND(bits - 1)
-    words = twice.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(a & 63 as int))")).alias("mask")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    return out
+    counts = map_arrow(listed.select("recipe"), run, "h long, low long, n long").groupBy("h", "low").agg(F.sum("n").alias("n"))
+    return written(counts.where("n > 1").select("h", "low"))
 
 
-def verify(docs: DataFrame, listed: DataFrame, bits: int = FILTER_BITS) -> None:
-    """Compares the bytes of chunks with one digest; raises if two differ."""
-    seen = docs.sparkSession.sparkContext.broadcast(_repeated(listed, bits))
+def verify(docs: DataFrame, listed: DataFrame, most: int | None = None) -> None:
+    """Compares the bytes of chunks with one digest; raises if two differ.
+
+    A filter as large as the repeated digests ask for tells tasks what to move. Where it would be too
+    large to broadcast, all chunks move once, to a join with the repeated digests.
+    """
+    repeated = _repeated(listed)
+    words = key_filter(repeated, most)
+    seen = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         claim("exact_dedup")
-        words, sent = seen.value, set()
+        sent: set[bytes] = set()
         for batch in slices(batches, 2 << 20):
             _, chunks, keys, _ = _cut(batch)
             if not keys:
                 continue
-            a = np.frombuffer(b"".join(keys), "<i8")[::2]
-            hit = (words[(a & (bits - 1)) >> 6] >> (a & 63)) & 1
+            halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            hit = np.ones(len(keys), bool) if seen.value is None else in_filter(seen.value, halves[:, 0])
             keep = [i for i in np.flatnonzero(hit).tolist() if keys[i] not in sent and (sent.add(keys[i]) or True)]
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.binary()), pa.array([chunks[i] for i in keep], pa.binary())], names=["key", "body"])
-
-    moved = map_arrow(docs.select("text"), run, "key binary, body binary")
-    differ = moved.groupBy("key").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x <> y").select("key").limit(3).collect()
+            if len(sent) > 1 << 18:
+                sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(halves[keep, 0]), pa.array(halves[keep, 1]), pa.array([chunks[i] for i in keep], pa.binary())], names=["h", "low", "body"])
+
+    moved = map_arrow(docs.select("text"), run, "h long, low long, body binary")
+    if words is None:
+        moved = moved.join(repeated, ["h", "low"], "left_semi")
+    with freeing(docs.sparkSession):
+        differ = moved.groupBy("h", "low").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x <> y").select("h", "low").limit(3).collect()
     if differ:
-        raise ValueError(f"chunks differ under one digest: {[bytes(r['key']).hex() for r in differ]}")
+        raise ValueError(f"chunks differ under one digest: {[tuple(r) for r in differ]}")
 
 
 def groups(docs: DataFrame) -> DataFrame:
