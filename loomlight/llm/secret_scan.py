@@ -2,8 +2,8 @@
 
 Three fixed patterns give base spans. Beyond them, every long run of token characters is compared
 under two first-order character Markov models, one of random strings and one of ordinary
-identifiers, by mean log-likelihood ratio. Both models are counted from labelled samples: generated
-random strings, and words of a bounded sample of the documents.
+identifiers, by mean log-likelihood ratio. Both models are counted from labelled strings: generated
+random ones, and the words of all documents.
 """
 
 from __future__ import annotations
@@ -21,52 +21,91 @@ HEX = "[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
-#: Documents (in expectation, by a hash of doc_id) whose words train the model of ordinary identifiers, and generated strings of each form.
-SAMPLE_DOCS, SAMPLE_STRINGS = 1000, 2000
+#: Signs of equality end a run and do not join two.
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Generated strings of each form.
+SAMPLE_STRINGS = 2000
 #: Mean nats a character transition must favour the random model by.
 THRESHOLD = 1.0
 #: Counts that the single-character shares weigh.
 BACK_OFF = 10.0
 
 
-def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Array of (start, kind, end), code points, of the leftmost non-overlapping matches; with `least`, those whose group 2 is that long.
+def running(steps: Column) -> Column:
+    """For each number of an array the sum of those before it.
+
+    Arrays grow by copying, so sums run within blocks of about the root of the length: n numbers cost
+    about n times their root, and little for each.
+    """
+    n = F.size(steps)
+    wide = F.greatest(F.lit(64), F.ceil(F.sqrt(n)).cast("int"))
+    block = lambda i: F.slice(steps, i + 1, wide)
+    add = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))
+    at = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), wide)
+    totals = F.transform(at, lambda i: F.aggregate(block(i), F.lit(0), lambda s, x: s + x))
+    bases = F.slice(F.aggregate(totals, F.array(F.lit(0)), add), F.lit(1), F.size(at))
+    sums = F.zip_with(at, bases, lambda i, b: F.aggregate(block(i), F.array(b), add))
+    return F.flatten(F.transform(sums, lambda x: F.slice(x, F.lit(1), F.size(x) - 1)))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    The pieces between the matches give the offsets, so each match's place is a running sum of lengths.
+
+SPAN = "struct<start:int,kind:int,end:int,value:string>"
+
+
+def matches(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """STRUCT of all leftmost non-overlapping matches: `s`, the pieces between them, and `found`, (start, kind, end, value, good) in code points.
+
+    With `least`, a match is good if its group 2 is that long. The pieces between the matches give the offsets.
     """
     p = F.lit(pattern)
-    found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), (F.regexp_extract_all(text, p, F.lit(2)) if least else F.regexp_extract_all(text, p, F.lit(0))).alias("g"), F.split(text, pattern, -1).alias("s"))
-    nothing = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    group = F.regexp_extract_all(text, p, F.lit(2 if least else 0))
+    parts = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), group.alias("g"), F.split(text, pattern, -1).alias("s"))
 
-    def walk(x: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.element_at(x["s"], i))
-            end = start + F.length(F.element_at(x["m"], i))
-            one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-            keep = F.length(F.element_at(x["g"], i)) >= least
-            return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(x: Column) -> Column:
+        steps = F.zip_with(F.slice(x["s"], F.lit(1), F.size(x["m"])), x["m"], lambda s, m: F.length(s) + F.length(m))
+        ends = F.zip_with(running(steps), steps, lambda before, step: before + step)
+        rows = F.arrays_zip(ends.alias("end"), x["m"].alias("m"), x["g"].alias("g"))
+        one = lambda r: F.struct((r["end"] - F.length(r["m"])).alias("start"), F.lit(kind).alias("kind"), r["end"].alias("end"), r["m"].alias("value"), (F.length(r["g"]) >= least).alias("good"))
+        return F.struct(x["s"].alias("s"), F.transform(rows, one).alias("found"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(x["m"])), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+    return bound(parts, placed)
 
-    return F.when(text.rlike(pattern), F.element_at(F.transform(F.array(found), walk), 1)).otherwise(nothing)
 
+def spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """Array of (start, kind, end, value) of the good matches."""
+    good = F.filter(matches(text, pattern, kind, least)["found"], lambda x: x["good"])
+    rows = F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), rows).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
-def labelled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
-    """(label, text): 1 for generated random strings (hexadecimal, base 64, capitals with digits), 0 for words of sampled documents."""
-    spark = docs.sparkSession
+
+def masked(text: Column, pattern: str, least: int) -> Column:
+    """The text with its good matches blanked, at the same length."""
+
+    def whole(x: Column) -> Column:
+        blank = lambda s, m: F.concat(F.coalesce(s, F.lit("")), F.when(m["good"], F.repeat(F.lit("\x01"), F.length(m["value"]))).otherwise(F.coalesce(m["value"], F.lit(""))))
+        return F.array_join(F.zip_with(x["s"], x["found"], blank), "")
+
+    return F.when(text.rlike(pattern), bound(matches(text, pattern, 0, least), whole)).otherwise(text)
+
+
+def labelled(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> DataFrame:
+    """(label, texts): 1 for generated random strings (hexadecimal, base 64, capitals with digits), 0 for the words of every document."""
     digest = F.sha2(F.col("id").cast("string"), 256)
-    made = spark.range(strings).select(F.explode(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)), F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "[+/=]", "")))).alias("text"))
-    part = min(1.0, sample_docs / max(1, docs.count()))
-    chosen = docs.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(part * 1_000_000)).select("text")
-    words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z_-]{5,}"), F.lit(0))).alias("text"))
-    return made.select(F.lit(1).alias("label"), "text").unionByName(words.select(F.lit(0).alias("label"), "text"))
+    capitals = F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(digest, 256))), "[+/=]", ""))
+    made = docs.sparkSession.range(strings).select(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)), capitals).alias("texts"))
+    words = docs.select(F.regexp_extract_all(F.col("text").cast("string"), F.lit("[A-Za-z][A-Za-z_-]{5,40}"), F.lit(0)).alias("texts"))
+    return made.select(F.lit(1).alias("label"), "texts").unionByName(words.select(F.lit(0).alias("label"), "texts"))
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> list[float]:
+def train(docs: DataFrame, strings: int = SAMPLE_STRINGS) -> list[float]:
     """Log-likelihood ratios of transitions, row by row over ALPHABET. Rare transitions lean on the class's share of the second character."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, F.lit(2)))
-    rows = labelled(docs, sample_docs, strings).where(F.length("text") > 1).select("label", F.explode(pairs).alias("pair")).groupBy("label", "pair").count().collect()  # at most 2 x 67 x 67
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+    each = labelled(docs, strings).select("label", F.explode(F.flatten(F.transform("texts", pairs))).alias("pair"))
+    rows = each.groupBy("label", "pair").count().collect()  # at most 2 x 67 x 67
     at, n = {c: i for i, c in enumerate(ALPHABET)}, len(ALPHABET)
     counts = [[[0.0] * n for _ in range(n)] for _ in range(2)]
     for r in rows:
@@ -82,31 +121,36 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, strings: int = SAMPLE
 
 
 def ratio(value: Column, model: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string over ALPHABET."""
+    """Mean log-likelihood ratio of a string over ALPHABET, of two characters at least."""
     n = len(ALPHABET)
     table = F.expr(f"cast(split('{','.join(f'{x:.6f}' for x in model)}', ',') as array<double>)")  # folded to one literal
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, (place(i) - 1) * n + place(i + 1)))
-    return total / (F.length(value) - 1)
+    places = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
+    def mean(p: Column) -> Column:
+        many = F.size(p) - 1
+        steps = F.zip_with(F.slice(p, F.lit(1), many), F.slice(p, F.lit(2), many), lambda a, b: F.element_at(table, (a - 1) * n + b))
+        return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / many
 
-def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    return bound(places, mean)
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, base and all spans as arrays of (start, kind, end), kind an index of KINDS.
 
     Null text equals empty text and has no spans. Repeated rows give repeated answers; an empty
-    table trains on generated strings alone and gives no rows. Method spans that touch a base span
-    are left out: the base span stays.
+    table trains on generated strings alone and gives no rows; further columns are ignored. Base spans
+    stay. Beside them, runs are candidates that an assigned value does not touch and that hold no
+    access key and no run of hexadecimal digits.
     """
-    model = train(docs, sample_docs)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.concat(spans(F.col("t"), ASSIGN, 0, ASSIGN_LEAST), spans(F.col("t"), ACCESS, 1), spans(F.col("t"), HEX, 2))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", "t", base.alias("base"), spans(F.col("t"), CANDIDATE, 3).alias("more"))
-
-    def apart(x: Column, others: Column) -> Column:
-        return ~F.exists(others, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-
-    good = F.filter("more", lambda x: apart(x, F.col("base")) & (ratio(F.substring(F.col("t"), x["start"] + 1, x["end"] - x["start"]), model) >= threshold))
-    return found.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", good)).alias("all"))
+    model = train(docs)
+    t = F.col("t")
+    base = F.concat(spans(t, ASSIGN, 0, ASSIGN_LEAST), spans(t, ACCESS, 1), spans(t, HEX, 2))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).select("doc_id", "t", masked(t, ASSIGN, ASSIGN_LEAST).alias("open"))
+    found = found.select("doc_id", base.alias("base"), spans(F.col("open"), CANDIDATE, 3).alias("more"))
+    good = F.filter("more", lambda x: ~x["value"].rlike(f"{ACCESS}|{HEX}") & (ratio(x["value"], model) >= threshold))
+    bare = lambda rows: F.transform(rows, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return found.select("doc_id", F.array_sort(bare(F.col("base"))).alias("base"), F.array_sort(bare(F.concat("base", good))).alias("all"))
 
 
 def written_out(array: Column) -> Column:
@@ -115,8 +159,8 @@ def written_out(array: Column) -> Column:
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def digest(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts of base spans per kind, the base spans' digest and all spans as text."""
-    found = scan(docs, sample_docs, threshold)
+    found = scan(docs, threshold)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("all")).alias("spans"))
