@@ -99,16 +99,16 @@ def row_key() -> F.Column:
     return F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
-#: Bits of a filter for each of its keys, and most keys of one that is broadcast (32 MB).
-FILTER_BITS, FILTER_KEYS = 16, 1 << 24
+#: Bits of a filter for each of its keys, most keys of one that is broadcast, and most bits of it (32 MB).
+FILTER_BITS, FILTER_KEYS, FILTER_MOST = 64, 1 << 24, 1 << 28
 
 
 def key_filter(keys: DataFrame, most: int | None = None) -> np.ndarray | None:
-    """Bits, in words of 64, for the distinct `h` (long) of a written table: about one in 16 is set. None if they are too many to broadcast."""
+    """Bits, in words of 64, for the distinct `h` (long) of a written table: one in 64 is set, or one in 16 at most. None if they are too many to broadcast."""
     n = keys.count()
     if n > (FILTER_KEYS if most is None else most):
         return None
-    bits = 1 << max(16, (FILTER_BITS * n).bit_length())
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * n).bit_length()))
     place = F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).cast("int")
     with freeing(keys.sparkSession):
         words = keys.groupBy(place.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()

@@ -2,8 +2,8 @@
 
 A substring of LENGTH bytes has, among its 32-byte grams, one with the least hash; equal substrings
 have equal ones. So consecutive windows that share this anchor form a unit (the windows' bytes, at
-most twice the length), and only units with one anchor can hold equal windows. A fixed-size filter
-drops units whose anchor occurs once. Each task then builds suffix arrays over the distinct units of
+most twice the length), and only units with one anchor can hold equal windows. Units whose anchor
+occurs once drop out. Each task then builds suffix arrays over the distinct units of
 whole anchors by two-stage sorting: suffixes smaller than their successors are sorted directly, the
 others are induced by scanning the buckets of first bytes. Adjacent common prefixes of LENGTH bytes
 join windows into classes; a class with two places in the corpus is repeated, wherever they are.
@@ -19,18 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.llm.common import claim, raw, scratch, slices, written
+from loomlight.llm.common import claim, in_filter, key_filter, raw, slices, written
 from loomlight.ship import map_arrow
 
 LENGTH, GRAM = 200, 32
-FILTER_BITS = 1 << 26
-#: Bytes of unit text in one suffix array, and units of one anchor beyond which its windows are dealt out again.
-BATCH, HOT = 6 << 20, 20_000
+#: Bytes of unit text in one suffix array, and units of one anchor beyond which they are dealt out again, by another hash and then by window.
+BATCH, HOT = 3 << 20, 10_000
 #: Low bits of a key that hold a gram's place within one stretch of the data.
 PLACE_BITS = 23
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, place_bits: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH, place_bits: int = PLACE_BITS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Each window start's anchor place, and the hashes of all grams. The leftmost of equal least hashes wins.
 
     Places are packed below the hashes, so data of more grams goes in stretches that overlap by a window.
@@ -45,7 +44,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, place_bits: int = PLACE_BITS
     h = h[: max(0, len(data) - GRAM + 1)]
     with np.errstate(over="ignore"):
         h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ np.uint64(seed)) * np.uint64(0xD6E8FEB86659FD93)
         h ^= h >> np.uint64(29)
     bits = np.uint64((1 << place_bits) - 1)
     width = length - GRAM + 1
@@ -64,12 +63,12 @@ def anchors(data: np.ndarray, length: int = LENGTH, place_bits: int = PLACE_BITS
     return np.concatenate(out), h
 
 
-def units(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
+def units(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int = 0):
     """Runs of windows with one anchor, within single texts: text number, first start (in data), windows, anchor hash."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none
-    place, h = anchors(data, length)
+    place, h = anchors(data, length, seed=seed)
     begin = np.concatenate([[0], bounds[:-1]])
     size = np.maximum(0, bounds - begin - length + 1)
     doc = np.repeat(np.arange(len(bounds)), size)
@@ -182,8 +181,22 @@ def _runs(marks: np.ndarray) -> bytes:
     return np.flatnonzero(np.diff(np.concatenate([[False], marks, [False]]))).astype("<i4").tobytes()
 
 
-def _filter(docs: DataFrame, length: int, bits: int) -> np.ndarray:
-    """A bit for every anchor that occurs twice; of fixed size, and what it has beyond costs time only."""
+def _anchors_of(docs: DataFrame, length: int) -> DataFrame:
+    """(dig, h): the anchors of each text."""
+
+    def run(batches):
+        claim("suffix_dedup")
+        for batch in slices(batches, 512 << 10):
+            texts = raw(batch.column("text"))
+            doc, *_, h = units(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts]), length)
+            pairs = np.unique(np.stack([batch.column("dig").to_numpy()[doc], h], 1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["dig", "h"])
+
+    return map_arrow(docs.select("text", "dig"), run, "dig long, h long")
+
+
+def _repeated(docs: DataFrame, length: int) -> DataFrame:
+    """(h): every anchor that occurs twice."""
 
     def run(batches):
         claim("suffix_dedup")
@@ -193,19 +206,25 @@ def _filter(docs: DataFrame, length: int, bits: int) -> np.ndarray:
             keys, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], names=["h", "n"])
 
-    twice = map_arrow(docs.select("text"), run, "h long, n tinyint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    words = twice.groupBy(F.shiftright(F.col("h").bitwiseAND(bits - 1), 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("mask")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    return out
+    return written(map_arrow(docs.select("text"), run, "h long, n tinyint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
 
 
 PLACES = "kind string, unit binary, h long, count int, weight long, body binary, doc_id long, dig long, start long"
 
 
-def _places(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    """Rows of kind `unit` (once for each task) and kind `place` (each occurrence), of units whose anchor may repeat."""
-    seen = docs.sparkSession.sparkContext.broadcast(_filter(docs, length, bits))
+def _places(docs: DataFrame, length: int, most: int | None) -> DataFrame:
+    """Rows of kind `unit` (once for each task) and kind `place` (each occurrence), of units whose anchor may repeat.
+
+    A filter as large as the repeated anchors ask for picks the units. Where it would be too large to
+    broadcast, each text is joined with its own repeated anchors; texts then move once.
+    """
+    repeated = _repeated(docs, length)
+    words = key_filter(repeated, most)
+    seen = docs.sparkSession.sparkContext.broadcast(words)
+    if words is None:
+        own = _anchors_of(docs, length).distinct().join(repeated, "h", "left_semi")
+        own = written(own.groupBy("dig").agg(F.collect_list("h").alias("hs")).withColumnRenamed("dig", "od"))  # of one text
+        docs = docs.join(own, F.col("dig") == F.col("od")).drop("od")
     schema = pa.schema([("kind", pa.string()), ("unit", pa.binary()), ("h", pa.int64()), ("count", pa.int32()), ("weight", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("dig", pa.int64()), ("start", pa.int64())])
 
     def emit(kind, unit, h, count, weight, body, doc_id, dig, start):
@@ -221,12 +240,18 @@ def _places(docs: DataFrame, length: int, bits: int) -> DataFrame:
 
     def run(batches):
         claim("suffix_dedup")
-        words, own, held = seen.value, {}, 0
+        own, held = {}, 0
         for batch in slices(batches, 512 << 10):
             texts = raw(batch.column("text"))
             data, bounds = b"".join(texts), np.cumsum([len(t) for t in texts])
             doc, first, count, h = units(np.frombuffer(data, np.uint8), bounds, length)
-            keep = np.flatnonzero((words[(h & (bits - 1)) >> 6] >> (h & 63)) & 1)
+            if seen.value is None:
+                keep = np.zeros(len(h), bool)
+                for i, hs in enumerate(batch.column("hs")):
+                    of = slice(*np.searchsorted(doc, [i, i + 1]))
+                    keep[of] = np.isin(h[of], hs.values.to_numpy())
+            else:
+                keep = in_filter(seen.value, h)
             doc, first, count, h = doc[keep], first[keep], count[keep], h[keep]
             keys = []
             for a, c, x in zip(first.tolist(), count.tolist(), h.tolist(), strict=True):
@@ -296,47 +321,89 @@ def _windows(units_: DataFrame, length: int) -> DataFrame:
     return map_arrow(units_.select("unit", "count", "weight", "body"), run, "ends long, parent binary, place int, unit binary, weight long, body binary")
 
 
-def _hot(places: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """The runs for units of hot anchors. Their windows are dealt by both of their ends, equal ones added up first."""
-    one = hot.groupBy("unit").agg(F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body"))
-    each = written(_windows(one, length))
-    alone = each.groupBy("ends", "unit", "body").agg(F.sum("weight").alias("weight")).withColumn("count", F.lit(1))
-    found = _sorted_units(alone, "ends", length).select(F.col("unit").alias("u"))
-    marks = each.join(found, F.col("unit") == F.col("u"), "left_semi").groupBy("parent").agg(F.array_sort(F.collect_set("place")).alias("at"))  # of one unit: at most 2 x length
+def _again(units_: DataFrame, length: int, seed: int) -> DataFrame:
+    """Units cut anew by the anchors of another hash: h, parent, place, unit, count, weight, body."""
+
+    def run(it):
+        claim("suffix_dedup")
+        for b in it:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                bodies = part.column("body").to_pylist()
+                data, bounds = b"".join(bodies), np.cumsum([len(x) for x in bodies])
+                doc, first, count, h = units(np.frombuffer(data, np.uint8), bounds, length, seed)
+                own = [data[i : i + n + length - 1] for i, n in zip(first.tolist(), count.tolist(), strict=True)]
+                take = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h),
+                        part.column("unit").take(take),
+                        pa.array((first - np.concatenate([[0], bounds[:-1]])[doc]).astype(np.int32)),
+                        pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in own], pa.binary()),
+                        pa.array(count.astype(np.int32)),
+                        part.column("weight").take(take),
+                        pa.array(own, pa.binary()),
+                    ],
+                    names=["h", "parent", "place", "unit", "count", "weight", "body"],
+                )
+
+    return map_arrow(units_.select("unit", "weight", "body"), run, "h long, parent binary, place int, unit binary, count int, weight long, body binary")
+
+
+def _crowded(units_: DataFrame, hot: int) -> DataFrame:
+    """(hh): anchors of more than `hot` different units. Tasks may have sent the same ones, so those that may be such are counted again."""
+    many = written(units_.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("h").alias("hh")))
+    if many.isEmpty():
+        return many
+    counts = units_.join(many, F.col("h") == F.col("hh"), "left_semi").groupBy("h").agg(F.count_distinct("unit").alias("n"))
+    return written(counts.where(F.col("n") > hot).select(F.col("h").alias("hh")))
+
+
+def _found(units_: DataFrame, length: int, hot: int, turn: int = 0) -> DataFrame:
+    """(unit, runs) of written units (h, unit, count, weight, body; units may repeat). Those of hot anchors are cut by other hashes, twice, and then into windows."""
+    crowded = _crowded(units_, hot)
+    if crowded.isEmpty():
+        return _sorted_units(units_, "h", length)
+    on = F.col("h") == F.col("hh")
+    rest = _sorted_units(units_.join(crowded, on, "left_anti"), "h", length)
+    one = units_.join(crowded, on, "left_semi").groupBy("unit").agg(F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body"))
+    if turn < 2:
+        each = written(_again(one, length, 0x9E3779B97F4A7C15 * (turn + 1) % (1 << 64)))
+        own = written(each.groupBy("h", "unit").agg(F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body")))
+        inner = _found(own, length, hot, turn + 1)
+    else:
+        each = written(_windows(one, length))
+        own = each.groupBy("ends", "unit", "body").agg(F.sum("weight").alias("weight")).withColumn("count", F.lit(1))
+        inner = _sorted_units(own, "ends", length)
+    inner = written(inner.select(F.col("unit").alias("u"), "runs"))
+    parts = each.join(inner, F.col("unit") == F.col("u")).groupBy("parent").agg(F.collect_list(F.struct("place", "runs")).alias("parts"))  # of one unit: at most its windows
 
     def run(it):
         for b in it:
             runs = []
-            for at in b.column("at").to_pylist():
-                m = np.zeros(max(at) + 1, bool)
-                m[at] = True
-                runs.append(_runs(m))
+            for rows in b.column("parts").to_pylist():
+                marks = np.zeros(length + 1, bool)
+                for r in rows:
+                    x = np.frombuffer(r["runs"], "<i4") + r["place"]
+                    for i, j in zip(x[::2].tolist(), x[1::2].tolist(), strict=True):
+                        marks[i:j] = True
+                runs.append(_runs(marks))
             yield pa.RecordBatch.from_arrays([b.column("parent"), pa.array(runs, pa.binary())], names=["unit", "runs"])
 
-    return map_arrow(marks, run, "unit binary, runs binary")
+    return rest.unionByName(map_arrow(parts, run, "unit binary, runs binary"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT, most: int | None = None) -> DataFrame:
     """(doc_id, dig, places): of each document with repeated bytes, pairs of unit start and runs of repeated windows."""
-    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dig"))
-    path = scratch(spark)
-    _places(text, length, bits).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    every = spark.read.schema(PLACES).parquet(path)
+    every = written(_places(text, length, most), by="kind")
     unit_rows, place_rows = every.where("kind = 'unit'"), every.where("kind = 'place'").select("unit", "doc_id", "dig", "start")
-    crowded = unit_rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select(F.col("h").alias("hh"))
-    crowded = written(crowded)
-    if crowded.isEmpty():
-        found = _sorted_units(unit_rows, "h", length)
-    else:
-        on = F.col("h") == F.col("hh")
-        found = _sorted_units(unit_rows.join(crowded, on, "left_anti"), "h", length).unionByName(_hot(place_rows, unit_rows.join(crowded, on, "left_semi"), length))
-    found = written(found).withColumnRenamed("unit", "u")
+    found = written(_found(unit_rows, length, hot)).withColumnRenamed("unit", "u")
     joined = place_rows.join(found, F.col("unit") == F.col("u")).select("doc_id", "dig", "start", "runs").distinct()
     return joined.groupBy("doc_id", "dig").agg(F.collect_list(F.struct("start", "runs")).alias("places"))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT, most: int | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), removed (byte spans), kept_sha256.
 
     Every byte under a string of `length` bytes that starts at another place too is removed. Null
@@ -344,7 +411,7 @@ def remove(docs: DataFrame, length: int = LENGTH, bits: int = FILTER_BITS, hot:
     lose all bytes. An empty table gives no rows; further columns of `docs` are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dig"))
-    found = spans(docs, length, bits, hot).select(F.col("doc_id").alias("d"), F.col("dig").alias("g"), "places")
+    found = spans(docs, length, hot, most).select(F.col("doc_id").alias("d"), F.col("dig").alias("g"), "places")
     joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dig") == F.col("g")), "left").select("doc_id", "text", "places")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
