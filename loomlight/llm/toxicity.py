@@ -18,18 +18,32 @@ from loomlight.llm.common import claim, slices, written
 from loomlight.llm.linear import Model, Rows, choose_from, code, counted, fit, packed, sigmoid, stems, unpacked, weight, words_in
 from loomlight.ship import map_arrow
 
-# Identity terms, by language; a term is swapped for the next of its list.
+# Identity terms, by language and form; a term is swapped for the next of its line.
 IDENTITIES = {
-    "en": "women men muslims christians jews hindus buddhists atheists immigrants refugees gays lesbians blacks whites asians africans arabs latinos europeans americans elderly teenagers disabled blind deaf catholics protestants",
-    "fr": "femmes hommes musulmans chrétiens juifs hindous bouddhistes athées immigrés réfugiés homosexuels lesbiennes noirs blancs asiatiques africains arabes européens américains vieillards handicapés aveugles sourds catholiques protestants",
-    "de": "frauen männer muslime christen juden hindus buddhisten atheisten einwanderer flüchtlinge schwule lesben schwarze weiße asiaten afrikaner araber europäer amerikaner senioren behinderte blinde gehörlose katholiken protestanten",
-    "es": "mujeres hombres musulmanes cristianos judíos hindúes budistas ateos inmigrantes refugiados gais lesbianas negros blancos asiáticos africanos árabes europeos americanos ancianos discapacitados ciegos sordos católicos protestantes",
+    "en": [
+        "women men muslims christians jews hindus buddhists atheists immigrants refugees gays lesbians blacks whites asians africans arabs latinos europeans americans elderly teenagers disabled blind deaf catholics protestants",
+        "woman man muslim christian jew hindu buddhist atheist immigrant refugee lesbian teenager catholic protestant",
+        "female male jewish islamic gay straight transgender black white asian african arab latino european american",
+    ],
+    "fr": [
+        "femmes hommes musulmans chrétiens juifs hindous bouddhistes athées immigrés réfugiés homosexuels lesbiennes noirs blancs asiatiques africains arabes européens américains vieillards handicapés aveugles sourds catholiques protestants",
+        "femme homme musulman chrétien juif hindou bouddhiste athée immigré réfugié homosexuel lesbienne noir blanc asiatique africain arabe européen américain vieillard handicapé aveugle sourd catholique protestant",
+    ],
+    "de": [
+        "frauen männer muslime christen juden hindus buddhisten atheisten einwanderer flüchtlinge schwule lesben schwarze weiße asiaten afrikaner araber europäer amerikaner senioren behinderte blinde gehörlose katholiken protestanten",
+        "frau mann muslim christ jude buddhist atheist flüchtling lesbe asiat katholik protestant",
+        "muslimisch christlich jüdisch buddhistisch schwul lesbisch asiatisch afrikanisch arabisch europäisch amerikanisch katholisch protestantisch",
+    ],
+    "es": [
+        "mujeres hombres musulmanes cristianos judíos hindúes budistas ateos inmigrantes refugiados gais lesbianas negros blancos asiáticos africanos árabes europeos americanos ancianos discapacitados ciegos sordos católicos protestantes",
+        "mujer hombre musulmán cristiano judío hindú budista ateo inmigrante refugiado gay lesbiana negro blanco asiático africano árabe europeo americano anciano discapacitado ciego sordo católico protestante",
+    ],
 }
 
 #: Labelled rows that the fit uses at most, in expectation; and features kept.
 SAMPLE, FEATURES = 8000, 6000
 
-_NEXT = {a: b for line in IDENTITIES.values() for a, b in zip(line.split(), line.split()[1:] + line.split()[:1], strict=True)}
+_NEXT = {a: b for lines in IDENTITIES.values() for line in lines for a, b in zip(line.split(), line.split()[1:] + line.split()[:1], strict=True)}
 _TERM = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
