@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.ship import ship
@@ -71,6 +71,23 @@ def scan_verdict(per_page: Column) -> Column:
     return F.when(per_page >= 800, "TEXT").when(per_page >= 100, "PARTIAL").otherwise("SCANNED")
 
 
+def scan_report(scans: DataFrame) -> DataFrame:
+    """(file, num_pages, per_page, verdict, any_scanned) of (file, text, num_pages); a file that could not be read has the verdict ERROR."""
+    per_page = chars_per_page(F.col("text"), F.col("num_pages"))
+    rows = scans.select("file", "num_pages", per_page.alias("per_page"), F.when(F.col("text").isNull(), "ERROR").otherwise(scan_verdict(per_page)).alias("verdict"))
+    some = rows.agg(F.coalesce(F.bool_or(F.col("verdict") == "SCANNED"), F.lit(False)).alias("any_scanned"))
+    return rows.join(F.broadcast(some))  # one row
+
+
+def authorized(header: Column, token: str | None) -> Column:
+    """STRUCT<ok, reason> of an authorization header: anything goes without a token, else exactly `Bearer <token>`."""
+    if not token:
+        return F.struct(F.lit(True).alias("ok"), F.lit(None).cast("string").alias("reason"))
+    bearer = F.coalesce(header, F.lit("")).startswith("Bearer ")
+    ok = bearer & (F.substring(header, F.lit(8), F.length(header)) == F.lit(token))
+    return F.struct(ok.alias("ok"), F.when(~bearer, "missing bearer token").when(~ok, "invalid token").alias("reason"))
+
+
 def parse_json_array(column: Column, element: str) -> Column:
     """The array between the first `[` and the last `]`; anything else is an empty array."""
     body = F.regexp_extract(column, r"(?s)\[.*\]", 0)

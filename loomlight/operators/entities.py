@@ -46,6 +46,21 @@ def resolve(questions: DataFrame, index: DataFrame) -> DataFrame:
     return top.select("qid", "id", "key", (F.count(F.lit(1)).over(W.partitionBy("qid")) > 1).alias("ambiguous"))
 
 
+def _inside(names: DataFrame, keys: DataFrame, size: int = 6) -> DataFrame:
+    """(raw, key) where the key contains the name. A name stands under the rarest of its grams among the keys'; a short one under itself."""
+    rows = None
+    for n in range(1, size + 1):
+        some = names.where(F.length("norm") == n if n < size else F.length("norm") >= n).select("raw", "norm")
+        own = keys.select("key", F.explode(grams(F.col("key"), n)).alias("gram"))
+        often = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        each = some.select("raw", "norm", F.explode(grams(F.col("norm"), n)).alias("g")).join(often, F.col("g") == F.col("gram"), "left")
+        # A gram that no key has stands for no key at all, and is the rarest.
+        least = each.groupBy("raw", "norm").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("rare"))
+        hits = least.join(own, F.col("rare") == F.col("gram")).where(F.col("key").contains(F.col("norm"))).select("raw", "key")
+        rows = hits if rows is None else rows.unionByName(hits)
+    return rows
+
+
 def resolve_names(names: DataFrame, index: DataFrame, mode: str = "compat") -> DataFrame:
     """(raw, id): a unique exact key, else the longest key of five characters and one id that contains the name or is contained in it.
 
@@ -60,9 +75,6 @@ def resolve_names(names: DataFrame, index: DataFrame, mode: str = "compat") -> D
     forward = contained(open_.select(F.col("raw").alias("qid"), "norm"), long.select("key"), 5).select(F.col("qid").alias("raw"), "key")
     found = forward
     if mode == "compat":
-        first = open_.withColumn("g", F.substring("norm", 1, 3))
-        sizes = F.explode(F.array_distinct(F.concat(*(grams(F.col("key"), k) for k in (1, 2, 3)))))
-        parts = long.select("key", sizes.alias("gram"))
-        found = forward.unionByName(first.join(parts, F.col("g") == F.col("gram")).where(F.col("key").contains(F.col("norm"))).select("raw", "key")).distinct()
+        found = forward.unionByName(_inside(open_, long)).distinct()
     best = found.join(long, "key").groupBy("raw").agg(F.min_by("id", F.struct(-F.length("key"), "key")).alias("id"))
     return names.select("raw").distinct().join(exact.unionByName(best), "raw", "left")

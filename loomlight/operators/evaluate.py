@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomlight.storage import written
+
 # Fixed value: how a refusal reads.
 REFUSED = r"(?i)do not cover|cannot|no( relevant)? (information|answer)|not (found|covered)"
 
@@ -41,3 +45,16 @@ def checks(cases: DataFrame, answers: DataFrame) -> DataFrame:
 
 def totals(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if(F.col("pass")).alias("passed"), F.count_if(~F.col("pass")).alias("failed"), F.count_if(F.col("pass").isNull()).alias("skipped"))
+
+
+def run(cases: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The checks and their totals for a test set (id, question, sources and what is expected).
+
+    `answer` takes questions (qid, question, sources) and gives answers (qid, answer, citations), as
+    ask() does. A case that gets no answer fails what it asks for.
+    """
+    numbered = written(cases.withColumn("qid", F.monotonically_increasing_id()))
+    said = answer(numbered.select("qid", "question", "sources")).select("qid", "answer", F.size("citations").alias("n_citations"))
+    answers = numbered.select("id", "qid").join(said, "qid").drop("qid")
+    checked = written(checks(numbered.drop("qid"), answers))
+    return checked, totals(checked)

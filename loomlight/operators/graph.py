@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions.relations import LABELS, label
 from loomlight.functions.text import normalize_name, sql_quote
-from loomlight.storage import written
+from loomlight.storage import remove, scratch, written
 
 
 def edge_key() -> Column:
@@ -95,61 +95,76 @@ def warnings(nodes: DataFrame, seed: DataFrame, reviewed: DataFrame | None = Non
     return out.unionByName(row(closure(g, "parent").where("id = other"), "ancestor-cycle", F.col("id")))
 
 
-def closure(g: Graph, kind: str, most: int = 200) -> DataFrame:
-    """All (id, other) that repeated steps reach, by a semi-naive loop: each round joins only the new pairs. Cycles end it too."""
+def closure(g: Graph, kind: str) -> DataFrame:
+    """All (id, other) that repeated steps reach, by a semi-naive loop to the fixpoint: each round joins only the new pairs. Cycles end it too."""
     step = written(g.links.where(F.col("kind") == kind).select("id", "other"))
     seen = fresh = step
-    for _ in range(most):
-        ahead = step.select(F.col("id").alias("m"), F.col("other").alias("next"))
+    ahead = step.select(F.col("id").alias("m"), F.col("other").alias("next"))
+    while not fresh.isEmpty():
         found = fresh.join(ahead, F.col("other") == F.col("m")).select("id", F.col("next").alias("other")).distinct()
         fresh = written(found.join(seen, ["id", "other"], "left_anti"))
-        if fresh.isEmpty():
-            return seen
         seen = seen.unionByName(fresh)
-    raise RuntimeError("the closure is deeper than allowed")
+    return seen
 
 
-def ordered_closure(g: Graph, kind: str, most: int = 200) -> DataFrame:
-    """(id, other, path) with each pair's least path, so that ordering by path gives the depth-first order. Relaxes until nothing improves."""
-    step = written(g.step(kind).select("id", "other", F.element_at("path", 1).alias("ord")))
-    best = fresh = written(step.select("id", "other", F.array("ord").alias("path"), F.array("other").alias("via")))
+def ordered_closure(g: Graph, kind: str, starts: DataFrame | None = None) -> DataFrame:
+    """(id, other, path) with each pair's least path, so that ordering by path gives the depth-first order.
+
+    Only from `starts` (id), if given. Relaxes until nothing improves; each round is one written table.
+    """
+    step = g.step(kind).select("id", "other", F.element_at("path", 1).alias("ord"))
+    step = written(step)
+    first = step if starts is None else step.join(starts.select("id").distinct(), "id", "left_semi")
     ahead = step.select(F.col("id").alias("m"), F.col("other").alias("next"), "ord")
-    for _ in range(most):
+    path = scratch(step.sparkSession)
+    now = written(first.select("id", "other", F.array("ord").alias("path"), F.array("other").alias("via"), F.lit(True).alias("fresh")), path)
+    while not (fresh := now.where("fresh")).isEmpty():
         found = fresh.join(ahead, F.col("other") == F.col("m")).where(~F.array_contains("via", F.col("next")))
-        found = found.select("id", F.col("next").alias("other"), F.array_append("path", F.col("ord")).alias("path"), F.array_append("via", F.col("next")).alias("via"))
-        found = found.groupBy("id", "other").agg(F.min(F.struct("path", "via")).alias("x")).select("id", "other", "x.path", "x.via")
-        old = best.select(F.col("id").alias("i"), F.col("other").alias("o"), F.col("path").alias("was"))
-        fresh = written(found.join(old, (F.col("id") == F.col("i")) & (F.col("other") == F.col("o")), "left").where("was is null or path < was").select("id", "other", "path", "via"))
-        if fresh.isEmpty():
-            return best.select("id", "other", "path")
-        best = written(best.unionByName(fresh).groupBy("id", "other").agg(F.min(F.struct("path", "via")).alias("x")).select("id", "other", "x.path", "x.via"))
-    raise RuntimeError("the closure is deeper than allowed")
+        found = found.select("id", F.col("next").alias("other"), F.array_append("path", F.col("ord")).alias("path"), F.array_append("via", F.col("next")).alias("via"), "fresh")
+        both = now.withColumn("fresh", F.lit(False)).unionByName(found)
+        before, path = path, scratch(step.sparkSession)
+        now = written(both.groupBy("id", "other").agg(F.min(F.struct("path", "via", "fresh")).alias("x")).select("id", "other", "x.*"), path)
+        remove(step.sparkSession, before)
+    return now.select("id", "other", "path")
+
 
+def _from(rows: DataFrame, starts: DataFrame | None) -> DataFrame:
+    return rows if starts is None else rows.join(starts.select("id").distinct(), "id", "left_semi")
 
-def two_steps(g: Graph, first: str, second: str) -> DataFrame:
+
+def two_steps(g: Graph, first: str, second: str, starts: DataFrame | None = None) -> DataFrame:
     """(id, other, path) over two steps, each pair at its first place; a way back to oneself is left out for siblings only."""
-    a, b = g.step(first), g.step(second)
+    a, b = _from(g.step(first), starts), g.step(second)
     b = b.select(F.col("id").alias("m"), F.col("other").alias("o"), F.col("path").alias("p"))
     return a.join(b, F.col("other") == F.col("m")).groupBy("id", F.col("o").alias("other")).agg(F.min(F.concat("path", "p")).alias("path"))
 
 
-def relatives(g: Graph, rel: str) -> DataFrame:
-    """(id, other, path) for one of the eight relations."""
+def relatives(g: Graph, rel: str, starts: DataFrame | None = None) -> DataFrame:
+    """(id, other, path) for one of the eight relations, of all nodes or of `starts` (id)."""
     if rel in ("parent", "child", "spouse"):
-        return g.step(rel)
+        return _from(g.step(rel), starts)
     if rel == "sibling":
-        return two_steps(g, "parent", "child").where("id <> other")
+        return two_steps(g, "parent", "child", starts).where("id <> other")
     if rel in ("grandparent", "grandchild"):
-        return two_steps(g, *(["parent"] * 2 if rel == "grandparent" else ["child"] * 2))
-    return ordered_closure(g, "parent" if rel == "ancestor" else "child")
+        return two_steps(g, *(["parent"] * 2 if rel == "grandparent" else ["child"] * 2), starts)
+    return ordered_closure(g, "parent" if rel == "ancestor" else "child", starts)
+
 
+def facts(g: Graph, relations: list[str] | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """subject_id, subject, rel, gender (of the object), relation (label), object_id, object, path. Dangling ends keep their id as name.
 
-def facts(g: Graph, relations: list[str] | None = None) -> DataFrame:
-    """subject_id, subject, rel, gender (of the object), relation (label), object_id, object, path. Dangling ends keep their id as name."""
+    With `asked` (rel, id) only of these subjects: walks start from them.
+    """
     every = None
     for rel in relations or list(LABELS):
-        one = relatives(g, rel).select(F.lit(rel).alias("rel"), "id", "other", "path")
+        starts = None if asked is None else asked.where(F.col("rel") == rel).select("id")
+        one = relatives(g, rel, starts).select(F.lit(rel).alias("rel"), "id", "other", "path")
         every = one if every is None else every.unionByName(one)
+    return named(g, every)
+
+
+def named(g: Graph, every: DataFrame) -> DataFrame:
+    """facts() of (rel, id, other, path)."""
     n = g.nodes.select("id", "name", "gender")
     s = n.select(F.col("id").alias("sid"), F.col("name").alias("sname"))
     o = n.select(F.col("id").alias("oid"), F.col("name").alias("oname"), F.nullif("gender", F.lit("")).alias("gender"))
@@ -157,6 +172,30 @@ def facts(g: Graph, relations: list[str] | None = None) -> DataFrame:
     return joined.select(F.col("id").alias("subject_id"), F.coalesce("sname", F.col("id").cast("string")).alias("subject"), "rel", "gender", label(F.col("rel"), F.col("gender")).alias("relation"), F.col("other").alias("object_id"), F.coalesce("oname", F.col("other").cast("string")).alias("object"), "path")
 
 
+_PARENT, _CHILD = ("e.dst", "e.src"), ("e.src", "e.dst")
+
+
+def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
+    """(id, other) for one relation of `starts` (id), as Spark SQL over nodes and edges alone; ends without a node vanish. A cycle ends in an error."""
+    one = lambda here, there, kind: f"SELECT {here} AS id, {there} AS other FROM {{edges}} e JOIN {{starts}} s ON s.id = {here} WHERE e.type = '{kind}'"
+    two = lambda a, b: f"SELECT {a[0].replace('e.', 'x.')} AS id, {b[1].replace('e.', 'y.')} AS other FROM {{edges}} x JOIN {{starts}} s ON s.id = {a[0].replace('e.', 'x.')} JOIN {{edges}} y ON {b[0].replace('e.', 'y.')} = {a[1].replace('e.', 'x.')} WHERE x.type = 'parent' AND y.type = 'parent'"
+    if rel in ("ancestor", "descendant"):
+        here, there = _PARENT if rel == "ancestor" else _CHILD
+        body = f"""WITH RECURSIVE w(id, other) AS ({one(here, there, "parent")}
+            UNION ALL SELECT w.id, {there} FROM w JOIN {{edges}} e ON {here} = w.other WHERE e.type = 'parent') SELECT id, other FROM w"""
+    else:
+        body = {
+            "parent": one(*_PARENT, "parent"),
+            "child": one(*_CHILD, "parent"),
+            "spouse": f"{one(*_PARENT, 'spouse')} UNION ALL {one(*_CHILD, 'spouse')}",
+            "sibling": two(_PARENT, _CHILD) + " AND x.dst <> y.dst",
+            "grandparent": two(_PARENT, _PARENT),
+            "grandchild": two(_CHILD, _CHILD),
+        }[rel]
+    rows = g.nodes.sparkSession.sql(body, edges=g.edges, starts=starts.select("id").distinct())
+    return rows.join(g.nodes.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other").distinct()
+
+
 def name_index(nodes: DataFrame) -> DataFrame:
     """(key, id, n_aliases): normalised names and aliases, each once for a node; empty keys drop."""
     keys = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))))

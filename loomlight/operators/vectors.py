@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 import numpy as np
@@ -14,8 +15,6 @@ from pyspark.sql import functions as F
 from loomlight.ship import map_arrow
 
 TOP_K = 8
-#: Values of query vectors sent to the executors at once; more go in further blocks.
-BLOCK_VALUES = 4_000_000
 
 # Source names of the question form and the books they stand for.
 SOURCES = {"A Song of Ice and Fire": ["agot", "acok", "asos", "affc"], "fire-and-blood": ["fab"], "knight": ["kotsk"]}
@@ -45,61 +44,90 @@ def top_k(vectors: DataFrame, query: list[float], k: int = TOP_K, books: list[st
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def books_of(sources: Column, mapping: dict[str, list[str]] | None = None, default: str = DEFAULT_SOURCE) -> Column:
+    """source_filter for a column of source arrays: the books of each row, null for no filter. No source at all means the default one."""
+    known = F.create_map(*(x for s, b in (SOURCES if mapping is None else mapping).items() for x in (F.lit(s), F.array(*map(F.lit, b)))))
+    chosen = F.when(F.coalesce(F.size(sources), F.lit(0)) <= 0, F.array(F.lit(default))).otherwise(sources)
+    books = F.array_distinct(F.flatten(F.filter(F.transform(chosen, lambda s: known[s]), lambda b: b.isNotNull())))
+    return F.when(F.size(books) > 0, books)
+
+
+#: Values of query vectors in one block, bytes of vectors that one task holds, and tasks that share a part of the vectors.
+BLOCK_VALUES, PART_BYTES, SHARES = 1 << 16, 64 << 20, 8
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(qid, id, score, rank) of the k nearest for every query (qid, values; optional book_id must equal).
+    """(qid, id, score, rank) of the k nearest for every query (qid, values).
 
-    Query vectors go out in blocks of bounded size; each batch of vectors keeps its own k best for
-    each query, so the ranking shuffles k rows a query and batch.
+    A query may have book_id, which must equal, or books, one of which must equal (null: any). Queries
+    form blocks, vectors form parts that fit a task; every block meets every part in a task, which keeps
+    the k best of its part for each query. So the ranking shuffles k rows a query and part.
     """
-    filtered = "book_id" in queries.columns
-    rows = queries.select("qid", F.col("values").cast("array<double>").alias("values"), *(["book_id"] if filtered else [])).toLocalIterator(prefetchPartitions=True)
-    out, block, size = None, [], 0
-    for r in rows:
-        block.append(r)
-        size += len(r["values"])
-        if size >= BLOCK_VALUES:
-            part = _nearest(vectors, block, k, filtered)
-            out, block, size = part if out is None else out.unionByName(part), [], 0
-    if block or out is None:
-        part = _nearest(vectors, block, k, filtered)
-        out = part if out is None else out.unionByName(part)
+    size = vectors.select(F.size("values").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()[0]
+    parts = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // PART_BYTES))
+    blocks = max(1, -(-queries.count() * max(1, size["d"] or 1) // BLOCK_VALUES))
+    shares = min(SHARES, blocks)
+    books = F.col("books") if "books" in queries.columns else F.array("book_id") if "book_id" in queries.columns else F.lit(None).cast("array<string>")
+    any_book = F.lit(None).cast("string") if "book_id" not in vectors.columns else F.col("book_id").cast("string")
+    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("values").cast("array<double>").alias("values"), any_book.alias("book_id"))
+    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("task", F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts)))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("values").cast("array<double>").alias("qvalues"), books.alias("books"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("qid", "qvalues", "books")).alias("rows"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("task", F.col("part") + (F.col("block") % shares) * parts)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows_type = "array<struct<qid:bigint,qvalues:array<double>,books:array<string>>>"
+    left = own.select("task", F.lit(0).alias("side"), "id", "values", "book_id", none(rows_type).alias("rows"))
+    right = asked.select("task", F.lit(1).alias("side"), none("long").alias("id"), none("array<double>").alias("values"), none("string").alias("book_id"), "rows")
+
+    def run(batches):
+        last, held, matrix = None, [], None
+        for b in batches:
+            for task, side, id_, values, book, rows in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "values", "book_id", "rows")), strict=True):
+                if task != last:
+                    last, held, matrix = task, [], None
+                if not side:
+                    held.append((id_, values, book))
+                elif held:
+                    matrix = matrix or _unit(held)
+                    yield _nearest(rows, *matrix, k)
+
+    dealt = left.unionByName(right).repartition("task").sortWithinPartitions("task", "side")
+    out = map_arrow(dealt, run, "qid long, id long, score double")
     best = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _nearest(vectors: DataFrame, block: list, k: int, filtered: bool) -> DataFrame:
-    spark = vectors.sparkSession
-    qids = np.array([r["qid"] for r in block], np.int64)
-    q = np.array([r["values"] for r in block], float).reshape(len(block), -1 if block else 0)
-    length = np.linalg.norm(q, axis=1, keepdims=True)
-    books = np.array([r["book_id"] for r in block], object) if filtered else None
-    share = spark.sparkContext.broadcast((qids, np.divide(q, length, out=np.zeros_like(q), where=length > 0), books))
+def _unit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids in order, unit vectors and books of (id, values, book)."""
+    rows = sorted(rows, key=lambda r: r[0])
+    v = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.array([r[0] for r in rows], np.int64), np.divide(v, n, out=np.zeros_like(v), where=n > 0), np.array([r[2] for r in rows], object)
 
-    def run(batches):
-        ids_q, unit, own_books = share.value
-        for b in batches:
-            if not b.num_rows or not len(ids_q):
-                continue
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            v = np.array(b.column("values").flatten().to_numpy(zero_copy_only=False), float).reshape(b.num_rows, -1)
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-            for at in range(0, len(ids_q), 1024):
-                s = np.round(unit[at : at + 1024] @ v.T, 6)
-                if filtered:
-                    s = np.where(own_books[at : at + 1024, None] == np.array(b.column("book_id").to_pylist(), object)[None, :], s, -np.inf)
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, 1)
-                keep = np.isfinite(score)
-                row = np.broadcast_to(np.arange(at, at + len(s))[:, None], order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_q[row[keep]]), pa.array(ids[order[keep]].astype(np.int64)), pa.array(score[keep])], names=["qid", "id", "score"])
-
-    return map_arrow(vectors.select("id", "values", *(["book_id"] if filtered else [])), run, "qid long, id long, score double")
-
-
-def snippet(match: DataFrame) -> DataFrame:
-    """Matches as answers cite them: id, score, work, locator, type, book_id, url, text."""
-    return match.select("id", "score", F.col("book").alias("work"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")).alias("locator"), F.lit("novel").alias("type"), "book_id", F.lit(None).cast("string").alias("url"), "text")
+
+def _nearest(rows: list[dict], ids: np.ndarray, unit: np.ndarray, books: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of the vectors for each query, ties by id; queries of one selection of books go together."""
+    groups: dict[tuple | None, list[dict]] = {}
+    for r in rows:
+        groups.setdefault(None if r["books"] is None else tuple(r["books"]), []).append(r)
+    out = []
+    for chosen, some in groups.items():
+        on = np.arange(len(ids)) if chosen is None else np.flatnonzero(np.isin(books.astype(str), chosen))
+        if not len(on):
+            continue
+        q = np.array([r["qvalues"] for r in some], float).reshape(len(some), -1)
+        n = np.linalg.norm(q, axis=1, keepdims=True)
+        s = np.round(np.divide(q, n, out=np.zeros_like(q), where=n > 0) @ unit[on].T, 6)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        qids = np.repeat(np.array([r["qid"] for r in some], np.int64), order.shape[1])
+        out.append((qids, ids[on][order].ravel(), np.take_along_axis(s, order, 1).ravel()))
+    qids, found, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.RecordBatch.from_arrays([pa.array(qids), pa.array(found), pa.array(score)], names=["qid", "id", "score"])
+
+
+def snippet(match: DataFrame, *more: str) -> DataFrame:
+    """Matches as answers cite them: id, score, work, locator, type, book_id, url, text; `more` columns first."""
+    return match.select(*more, "id", "score", F.col("book").alias("work"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")).alias("locator"), F.lit("novel").alias("type"), "book_id", F.lit(None).cast("string").alias("url"), "text")
 
 
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -152,6 +180,14 @@ def hashing_embedder(dim: int = 384):
     return F.pandas_udf(embed, "array<float>")
 
 
+def hashed_words(text: Column, dim: int) -> Column:
+    """The words of a text as signed hashed counts, without Python. White space separates, case counts for nothing."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
+    sign = lambda s, h: s + F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(codes, lambda h: h % dim == i), F.lit(0.0), sign))
+
+
 class VectorStore(Protocol):
     def upsert(self, rows: DataFrame) -> None: ...
 
@@ -159,10 +195,28 @@ class VectorStore(Protocol):
 
 
 class TableStore:
-    """A store in a Parquet folder with one subfolder a book, so that the filter prunes files."""
+    """A store in a Parquet folder with one subfolder a book, so that the filter prunes files.
+
+    Each upsert writes a version of its own; the last one that was finished is the store's state, also
+    for an instance opened later. The first upsert notes dimension and metric.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 384):
-        self.spark, self.path, self.dim, self.version = spark, path.rstrip("/"), dim, 0
+        self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
+        self.version = max(self._finished(), default=0)
+        if self.version:
+            noted = spark.read.parquet(f"{self.path}/about").collect()[0]
+            if noted["dim"] != dim:
+                raise ValueError(f"the store has {noted['dim']} dimensions, not {dim}")
+
+    def _finished(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v{self.version}")
@@ -171,7 +225,9 @@ class TableStore:
         """Writes the next version; a reader of the one before is not disturbed."""
         rows = rows.withColumn("values", checked(F.col("values"), self.dim))
         new = upsert(self.rows(), rows.select(self.rows().columns)) if self.version else rows
-        new.write.partitionBy("book_id").parquet(f"{self.path}/v{self.version + 1}")
+        if not self.version:
+            self.spark.createDataFrame([(self.dim, "cosine")], "dim int, metric string").write.mode("overwrite").parquet(f"{self.path}/about")
+        new.write.partitionBy("book_id").mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
         self.version += 1
 
     def query(self, vector: list[float], k: int = TOP_K, books: list[str] | None = None) -> DataFrame:

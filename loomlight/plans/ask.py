@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,10 +12,11 @@ from loomlight.functions.relations import detect
 from loomlight.functions.text import normalize_name
 from loomlight.operators.answers import answer, compose
 from loomlight.operators.entities import resolve
-from loomlight.operators.graph import Graph, facts, name_index
+from loomlight.operators.graph import Graph, facts, name_index, named, sql_relatives
+from loomlight.operators.vectors import TOP_K, books_of, snippet, top_k_batch
 from loomlight.storage import written
 
-FACTS = 12
+FACTS, BACKEND = 12, "memory"
 
 
 def understood(questions: DataFrame, index: DataFrame) -> DataFrame:
@@ -23,23 +26,58 @@ def understood(questions: DataFrame, index: DataFrame) -> DataFrame:
     return rel.join(resolve(norm, index), "qid")
 
 
-def graph_facts(questions: DataFrame, g: Graph, index: DataFrame | None = None, most: int = FACTS) -> DataFrame:
-    """The facts that answer each question: qid, place (from 1), subject, rel, relation, object, ambiguous; at most `most`, in walking order."""
-    asked = understood(questions, index if index is not None else name_index(g.nodes))
-    rels = [r["rel"] for r in asked.select("rel").distinct().collect()]  # at most eight
-    if not rels:
-        rels = ["parent"]
-    known = facts(g, rels).withColumnRenamed("rel", "frel")
+def graph_facts(questions: DataFrame, g: Graph, index: DataFrame | None = None, most: int = FACTS, backend: str = BACKEND) -> DataFrame:
+    """The facts that answer each question: qid, place (from 1), subject, rel, relation, object, ambiguous; at most `most`.
+
+    Backend `memory`: in walking order; `sql`: by Spark SQL, in order of nodes.
+    """
+    asked = written(understood(questions, index if index is not None else name_index(g.nodes)))
+    rels = [r["rel"] for r in asked.select("rel").distinct().collect()] or ["parent"]  # at most eight
+    if backend == "sql":
+        known = None
+        for rel in rels:
+            one = sql_relatives(g, rel, asked.where(F.col("rel") == rel).select("id")).select(F.lit(rel).alias("rel"), "id", "other")
+            known = one if known is None else known.unionByName(one)
+        known = named(g, known.join(g.nodes.select(F.col("id").alias("other"), F.array("node_ord").alias("path")), "other"))
+    else:
+        known = facts(g, rels, asked.select("rel", "id").distinct())
+    known = known.withColumnRenamed("rel", "frel")
     order = g.nodes.select(F.col("id").alias("nid"), "node_ord")
     hits = asked.join(known, (F.col("id") == F.col("subject_id")) & (F.col("rel") == F.col("frel"))).where("wanted is null or gender = wanted").join(order, F.col("id") == F.col("nid"), "left")
     ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("node_ord", "path", "object_id")))
     return ranked.where(F.col("place") <= most).select("qid", "place", "subject_id", "subject", "rel", "relation", "object_id", "object", "ambiguous")
 
 
-def ask(questions: DataFrame, g: Graph, passages: DataFrame | None = None, provider: str | None = None) -> DataFrame:
-    """(qid, answer, citations, meta) of questions (qid, question, sources).
+NO_FACTS = "qid long, place int, subject_id string, subject string, rel string, relation string, object_id string, object string, ambiguous boolean"
+
+
+def graph_facts_or_none(questions: DataFrame, g: Graph, backend: str = BACKEND) -> tuple[DataFrame, str | None]:
+    """The facts as a written table, and no error; or no facts and the error's text. Passages then carry the answer."""
+    try:
+        return written(graph_facts(questions, g, backend=backend)), None
+    except Exception as e:  # noqa: BLE001  whatever a backend fails with
+        return questions.sparkSession.createDataFrame([], NO_FACTS), str(e) or type(e).__name__
+
+
+def retrieve(questions: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], k: int = TOP_K) -> DataFrame:
+    """The best passages for questions (qid, question, sources): qid, rank and the columns of snippet().
+
+    vectors: id, values, book_id, book, chunk_index, text. The same embedder must have made their
+    values. Each question's own sources filter the vectors; without any, the default source does.
+    """
+    asked = questions.select("qid", embed(F.col("question")).alias("values"), books_of(F.col("sources")).alias("books"))
+    best = top_k_batch(vectors.select("id", "values", "book_id"), asked, k).select("qid", "rank", F.col("id").alias("hit"), "score")
+    rows = best.join(vectors.drop("values"), F.col("hit") == F.col("id"))
+    return snippet(rows, "qid", "rank")
+
+
+def ask(questions: DataFrame, g: Graph, passages: DataFrame | None = None, provider: str | None = None, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, backend: str = BACKEND) -> DataFrame:
+    """(qid, answer, citations, meta) of questions (qid, question, sources); blank questions are left out.
 
-    passages: the best passage for each question (qid, work, locator, url, text), or None: then only
-    the graph answers. The graph side is not filtered by source.
+    With `vectors` and `embed` the best passage of each question is retrieved; else `passages` may
+    give it (qid, work, locator, url, text). The graph side is not filtered by source.
     """
-    return answer(questions, compose(graph_facts(questions, g)), passages, provider)
+    questions = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "")
+    if vectors is not None and embed is not None:
+        passages = retrieve(questions, vectors, embed).where("rank = 1")
+    return answer(questions, compose(graph_facts(questions, g, backend=backend)), passages, provider)

@@ -217,20 +217,50 @@ def eval_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.totals(E.checks(*_cases(spark, sf_dir)))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunks, with the documents of their numbers as texts."""
+    docs = table(spark, sf_dir, DOCS).select(F.col("doc_id").alias("d"), "text", F.col("source").alias("book"))
+    return _vectors(spark, sf_dir).join(docs, F.col("id") == F.col("d"), "left").drop("d").withColumn("chunk_index", F.col("id"))
+
+
+def _embedder(spark: SparkSession, sf_dir: str):
+    dim = len(_first(spark, sf_dir))
+    return lambda text: V.hashed_words(text, dim)
+
+
+def retrieve_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best passages of every question among the books of its own sources, the default ones where it names none."""
+    rows = A.retrieve(K.questions(spark, sf_dir), _passages(spark, sf_dir), _embedder(spark, sf_dir))
+    return rows.select("qid", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+def default_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books that each question is answered from; none where nothing is filtered."""
+    books = F.coalesce(F.array_join(V.books_of(F.col("sources")), ","), F.lit(""))
+    return K.questions(spark, sf_dir).select("qid", books.alias("books"))
+
+
 def ask_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for every customer, answered from the graph with its best passage: vectors stand for chunks, documents for their texts."""
-    q = K.questions(spark, sf_dir)
-    own = _vectors(spark, sf_dir).where(F.col("book_id").isin(V.source_filter(["fire-and-blood"])))
-    n = table(spark, sf_dir, "embeddings").count()
-    asked = q.select("qid", (F.col("qid") % n).alias("v")).join(_vectors(spark, sf_dir).select(F.col("id").alias("v"), "values"), "v").select("qid", "values")
-    best = V.top_k_batch(own, asked, 1)
-    docs = table(spark, sf_dir, DOCS).select(F.col("doc_id").alias("d"), "text")
-    top = best.join(docs, F.col("id") == F.col("d"), "left").select("qid", F.lit("Fire and Blood").alias("work"), F.concat(F.lit("chunk "), F.col("id").cast("string")).alias("locator"), F.lit(None).cast("string").alias("url"), "text")
-    rows = A.ask(q, K.family(spark, sf_dir), top)
-    return rows.select("qid", F.md5("answer").alias("answer_digest"), F.size("citations").cast("long").alias("n_citations"), F.element_at("citations", -1)["locator"].alias("passage"))
+    """A question for every customer, from its text to the cited answer: graph facts, and the best passage of its sources."""
+    rows = A.ask(K.questions(spark, sf_dir), K.family(spark, sf_dir), vectors=_passages(spark, sf_dir), embed=_embedder(spark, sf_dir))
+    last = F.try_element_at(F.col("citations"), F.lit(-1))["locator"]
+    return rows.select("qid", F.md5("answer").alias("answer_digest"), F.size("citations").cast("long").alias("n_citations"), F.when(last.startswith("chunk "), last).alias("passage"))
 
 
 _VEC = f"""vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_extract(['{"','".join(BOOKS)}'], label + 1) AS book_id FROM embeddings)"""
+_BOOKS_ASKED = "CASE c_custkey % 4 WHEN 1 THEN ['fab'] WHEN 2 THEN NULL ELSE ['agot', 'acok', 'asos', 'affc'] END"
+#: Questions as hashed words, and their scores with the vectors of their books.
+_RETRIEVED = f"""{_VEC}, dims AS (SELECT any_value(len(v)) AS dim FROM vec),
+asked AS (SELECT c_custkey AS qid, {_BOOKS_ASKED} AS books,
+    'who were ' || lower(c_name) || '''s ' || list_extract(['{"','".join(K.ASKED)}'], c_custkey % 8 + 1) || '?' AS t FROM customer),
+said_w AS (SELECT qid, unnest(string_split(t, ' ')) AS w FROM asked),
+codes AS (SELECT qid, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM said_w WHERE w <> ''),
+axes AS (SELECT qid, h % dim AS d, sum(CASE WHEN (h // dim) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS x FROM codes, dims GROUP BY ALL),
+long AS (SELECT qid, sqrt(sum(x * x)) AS n FROM axes GROUP BY qid),
+dots AS (SELECT axes.qid, vec.id, any_value(vec.book_id) AS book_id, sum(CAST(x AS DOUBLE) * v[CAST(d AS BIGINT) + 1]) AS dot,
+    any_value(sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS m FROM axes, vec GROUP BY axes.qid, vec.id),
+sc AS (SELECT dots.qid, dots.id, round(coalesce(dot / nullif(n * m, 0), 0), 6) AS score
+    FROM dots JOIN long ON long.qid = dots.qid JOIN asked ON asked.qid = dots.qid WHERE books IS NULL OR list_contains(books, book_id))"""
 _SCORED = f"WITH {_VEC}, s AS (SELECT a.id, a.book_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q WHERE q.id = 0)"
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
@@ -259,10 +289,14 @@ QUERIES = {
     "worklist_topk": (worklist_topk, f"{_GROUPS} SELECT key, n, array_to_string(ev[1:2], '; ') AS evidence FROM g WHERE cls = 'novel' AND n_chunks % 2 <> 0 ORDER BY n DESC, key LIMIT 20"),
     "eval_checks": (eval_checks, f"WITH {_CHECKS} SELECT id, name, pass FROM k"),
     "eval_totals": (eval_totals, f"WITH {_CHECKS} SELECT count(*) FILTER (WHERE pass) AS passed, count(*) FILTER (WHERE NOT pass) AS failed, count(*) FILTER (WHERE pass IS NULL) AS skipped FROM k"),
+    "retrieve_top8": (
+        retrieve_top8,
+        f"WITH {_RETRIEVED}, r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc) SELECT * FROM r WHERE rank <= 8",
+    ),
+    "default_source": (default_source, f"SELECT c_custkey AS qid, coalesce(array_to_string({_BOOKS_ASKED}, ','), '') AS books FROM customer"),
     "ask_flagship": (
         ask_flagship,
-        f"{K.ANSWERS}, {_VEC}, sc AS (SELECT c_custkey AS qid, a.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM customer JOIN vec b ON b.id = c_custkey % (SELECT count(*) FROM embeddings), vec a WHERE a.book_id = 'fab'), "
-        "top AS (SELECT qid, arg_min(id, (-score, id)) AS id FROM sc GROUP BY qid) "
-        "SELECT c_custkey AS qid, md5(coalesce(said.answer, d.text, 'The sources provided do not cover that. (stub)')) AS answer_digest, coalesce(said.n, 0) + 1 AS n_citations, 'chunk ' || top.id AS passage FROM customer LEFT JOIN said ON said.qid = c_custkey JOIN top ON top.qid = c_custkey LEFT JOIN documents d ON d.doc_id = top.id",
+        f"{K.ANSWERS}, {_RETRIEVED}, top AS (SELECT qid, arg_min(id, (-score, id)) AS id FROM sc GROUP BY qid) "
+        "SELECT c_custkey AS qid, md5(coalesce(said.answer, d.text, 'The sources provided do not cover that. (stub)')) AS answer_digest, coalesce(said.n, 0) + CASE WHEN top.id IS NULL THEN 0 ELSE 1 END AS n_citations, 'chunk ' || top.id AS passage FROM customer LEFT JOIN said ON said.qid = c_custkey LEFT JOIN top ON top.qid = c_custkey LEFT JOIN documents d ON d.doc_id = top.id",
     ),
 }

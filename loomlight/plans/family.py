@@ -69,9 +69,11 @@ ASKED_REL = [("parent", "male"), ("parent", "female"), ("parent", None), ("child
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question for every customer: qid, question, sources."""
+    """One question for every customer: qid, question, sources (none, a known one, one without a book, null)."""
+    k = F.col("c_custkey") % 4
+    sources = F.when(k == 0, F.expr("cast(array() as array<string>)")).when(k == 1, F.array(F.lit("fire-and-blood"))).when(k == 2, F.array(F.lit("wiki")))
     words = F.element_at(F.array(*(F.lit(w) for w in ASKED)), (F.col("c_custkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Who were "), F.col("c_name"), F.lit("'s "), words, F.lit("?")).alias("question"), F.array(F.lit("fire-and-blood")).alias("sources"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), F.concat(F.lit("Who were "), F.col("c_name"), F.lit("'s "), words, F.lit("?")).alias("question"), sources.alias("sources"))
 
 
 ASKED_SQL = ", ".join(f"({i}, '{r}', {repr(g) if g else 'NULL'})" for i, (r, g) in enumerate(ASKED_REL))

@@ -27,6 +27,12 @@ def _relation(rel: str, gender: str | None = None):
     return query
 
 
+def sql_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings by the SQL backend."""
+    g = K.family(spark, sf_dir)
+    return G.sql_relatives(g, "sibling", g.nodes.select("id")).select("id", F.col("other").alias("relative_id"))
+
+
 def _closure(kind: str):
     return lambda spark, sf_dir: G.closure(K.family(spark, sf_dir), kind).select("id", F.col("other").alias("relative_id"))
 
@@ -174,6 +180,7 @@ QUERIES = {
     "graph_children": (_relation("child"), f"WITH {K.BASE} SELECT src AS id, dst AS relative_id FROM par"),
     "graph_spouses": (_relation("spouse"), f"WITH {K.BASE} SELECT DISTINCT src AS id, dst AS relative_id FROM spo"),
     "graph_siblings": (_relation("sibling"), f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a JOIN par b ON a.src = b.src AND a.dst <> b.dst"),
+    "graph_sql_siblings": (sql_siblings, f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a JOIN par b ON a.src = b.src AND a.dst <> b.dst"),
     "graph_grandparents": (_relation("grandparent"), f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.src AS relative_id FROM par a JOIN par b ON a.src = b.dst"),
     "graph_grandchildren": (_relation("grandchild"), f"WITH {K.BASE} SELECT DISTINCT a.src AS id, b.dst AS relative_id FROM par a JOIN par b ON a.dst = b.src"),
     "graph_ancestors": (_closure("parent"), f"WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT dst, src FROM par UNION SELECT r.id, p.src FROM r JOIN par p ON p.dst = r.other) SELECT id, other AS relative_id FROM r"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 CHUNK = "id string, book_id string, book string, chunk_index int, chars int, text string"
 VECTOR = "id string, values array<float>, metadata struct<book_id:string,book:string,chunk_index:int,text:string>"
 EDGE = "type string, src string, dst string, source string, status string"
+REVIEWED = "type string, `from` string, `to` string, a string, b string, src string, dst string, source string, status string, evidenceChunks array<string>"
 CANDIDATE = "type string, src string, dst string, raw_subject string, raw_object string, relation string, evidence string, chunk_id string, book_id string, status string, resolved boolean, __processed string"
 SEED = "meta struct<version:string>, nodes array<struct<id:string,name:string,house:string,gender:string,aliases:array<string>>>, edges array<struct<type:string,`from`:string,`to`:string,a:string,b:string,source:string,status:string>>"
 CASE = "questions array<struct<id:string,question:string,type:string,sources:array<string>,expected_facts:array<string>,required_citation:boolean,must_refuse:boolean,must_not_reveal:array<string>,spoiler_ceiling:string,note:string>>"
@@ -22,14 +23,18 @@ def pdf_texts(spark: SparkSession, folder: str, extract: Callable, suffix: str =
 
 
 def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(raw_id, text) of files raw-<id>.txt; files that vanish meanwhile are skipped."""
-    rows = spark.read.option("ignoreMissingFiles", True).option("pathGlobFilter", "raw-*.txt").text(folder, wholetext=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"raw-(.*)\.txt", 1).alias("raw_id"), F.col("value").alias("text"))
+    """(raw_id, text) of files raw-<id>.txt, or of what write_raw wrote; files that vanish meanwhile are skipped."""
+    rows = spark.read.option("ignoreMissingFiles", True).option("pathGlobFilter", "*.txt").option("recursiveFileLookup", True).text(folder, wholetext=True)
+    path = F.col("_metadata.file_path")
+    own = F.url_decode(F.url_decode(F.regexp_extract(path, r"/raw_id=([^/]+)/[^/]*$", 1)))  # once for the folder, once for the path
+    named = F.regexp_extract(path, r"/raw-([^/]*)\.txt$", 1)
+    # Spark ends each text that it writes with a line break.
+    return rows.select(F.when(own != "", own).otherwise(named).alias("raw_id"), F.when(own != "", F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value")).alias("text")).where("raw_id <> ''")
 
 
 def write_raw(rows: DataFrame, folder: str) -> None:
-    """Texts (raw_id, text), a subfolder each."""
-    rows.select("raw_id", "text").write.partitionBy("raw_id").mode("overwrite").text(folder)
+    """Texts (raw_id, text), a file each, in a subfolder each."""
+    rows.select("raw_id", "text").write.partitionBy("raw_id").option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -61,11 +66,22 @@ def read_seed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_reviewed(spark: SparkSession, path: str) -> DataFrame:
-    """Reviewed edges with ordinals; an absent file has none."""
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)
-    rows = spark.read.schema(EDGE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path) if there else spark.createDataFrame([], EDGE)
-    return rows.withColumn("edge_ord", F.monotonically_increasing_id())
+    """Reviewed edges, whose ends stand as from and to, a and b, or src and dst, with ordinals; an absent or torn file has none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = spark.createDataFrame([], REVIEWED)
+    if fs.exists(at):  # a file is one JSON array; a folder, as write_reviewed leaves it, has a line an edge
+        rows = spark.read.schema(REVIEWED).option("multiLine", fs.getFileStatus(at).isFile()).option("mode", "DROPMALFORMED").json(path)
+    ends = [F.coalesce("src", "from", "a").alias("src"), F.coalesce("dst", "to", "b").alias("dst")]
+    return rows.select("type", *ends, "source", "status", F.col("evidenceChunks").alias("evidence_chunks"), F.monotonically_increasing_id().alias("edge_ord")).where("type is not null")
+
+
+def write_reviewed(rows: DataFrame, path: str) -> None:
+    """Reviewed edges (type, src, dst, source, status, optional evidence_chunks), rejected ones too, as JSON lines."""
+    parent = F.col("type") == "parent"
+    ends = [F.when(parent, F.col("src")).alias("from"), F.when(parent, F.col("dst")).alias("to"), F.when(~parent, F.col("src")).alias("a"), F.when(~parent, F.col("dst")).alias("b")]
+    chunks = [F.col("evidence_chunks").alias("evidenceChunks")] if "evidence_chunks" in rows.columns else []
+    rows.select("type", *ends, "source", "status", *chunks).write.mode("overwrite").json(path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -86,8 +102,17 @@ def write_parts(rows: DataFrame, path: str, size: int = 5000) -> None:
     rows.write.mode("overwrite").option("maxRecordsPerFile", size).json(path)
 
 
-def write_graph(graph, path: str) -> None:
-    """The compiled graph as tables below `path`; overwriting makes a reload repeatable."""
+def settings(spark: SparkSession, path: str, given: dict[str, str]) -> dict[str, str]:
+    """A settings file's values; those already given stay."""
+    return {r["key"]: r["value"] for r in read_settings(spark, path).collect()} | given
+
+
+def write_graph(graph, path: str, version: str | None = None) -> None:
+    """The compiled graph as tables below `path`, with a row of counts, version and time; overwriting makes a reload repeatable."""
+    from loomlight.operators.graph import counts
+
+    about = counts(graph).withColumns({"version": F.lit(version).cast("string"), "built_at": F.current_timestamp()})
+    about.write.mode("overwrite").parquet(f"{path}/meta")
     graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
     graph.links.write.mode("overwrite").parquet(f"{path}/links")

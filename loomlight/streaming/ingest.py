@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.storage import written
+
 
 def pending(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """The rows whose key is not among those done."""
@@ -22,14 +24,14 @@ def ingest(spark: SparkSession, source: str, schema: str, sink: str, checkpoint:
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = work(batch).withColumn("_epoch", F.lit(epoch)).persist()
+        # Written first: whatever executors are lost, `work` has one outcome for results and finished ids.
+        out = written(work(batch))
         bad = out.where(F.col(failed).isNotNull()).select("id") if failed in out.columns else None
         good = out.where(F.col(failed).isNull()).drop(failed) if failed in out.columns else out
         done = batch.select("id").distinct() if bad is None else batch.select("id").distinct().join(bad, "id", "left_anti")
         # A repeated epoch overwrites its own folder, so results are written once.
-        good.drop("_epoch").write.mode("overwrite").parquet(f"{sink}/results/epoch={epoch}")
+        good.write.mode("overwrite").parquet(f"{sink}/results/epoch={epoch}")
         done.write.mode("overwrite").parquet(f"{sink}/processed/epoch={epoch}")
-        out.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -192,3 +192,88 @@ def test_retry():
     assert retry(call, wait=waits.append) == "done" and waits == [1.0, 2.0, 4.0]
     with pytest.raises(TemporaryError):
         retry(lambda: (_ for _ in ()).throw(TemporaryError()), tries=1, wait=waits.append)
+
+
+def test_reviewed_edges_come_back(spark, tmp_path):
+    edges = [{"type": "parent", "from": "a", "to": "b", "source": "x", "status": "approved", "evidenceChunks": ["c1"]}, {"type": "spouse", "a": "a", "b": "c", "status": "rejected"}]
+    (tmp_path / "reviewed.json").write_text(json.dumps(edges))
+    rows = files.read_reviewed(spark, str(tmp_path / "reviewed.json"))
+    want = [("parent", "a", "b", "approved", ["c1"]), ("spouse", "a", "c", "rejected", None)]
+    key = lambda df: sorted([tuple(r) for r in df.select("type", "src", "dst", "status", "evidence_chunks").collect()], key=repr)
+    assert key(rows) == sorted(want, key=repr)
+    files.write_reviewed(rows, str(tmp_path / "again"))
+    assert key(files.read_reviewed(spark, str(tmp_path / "again"))) == sorted(want, key=repr)
+
+
+def test_raw_texts_come_back(spark, tmp_path):
+    rows = [("one", "a\nb\n"), ("t w/o", "x"), ("blank", "")]
+    files.write_raw(spark.createDataFrame(rows, "raw_id string, text string"), str(tmp_path / "raw"))
+    assert sorted(map(tuple, files.raw_texts(spark, str(tmp_path / "raw")).collect())) == sorted(rows)
+
+
+def test_a_store_opened_again_goes_on(spark, vectors, tmp_path):
+    path = str(tmp_path / "v")
+    V.TableStore(spark, path, 2).upsert(vectors)
+    again = V.TableStore(spark, path, 2)
+    assert {r["id"] for r in again.query([1.0, 0.0], 8).collect()} == {1, 2, 3, 4, 5}
+    again.upsert(spark.createDataFrame([(9, [1.0, 0.1], "a")], "id long, values array<float>, book_id string"))
+    assert V.TableStore(spark, path, 2).version == 2 and V.TableStore(spark, path, 2).rows().count() == 6
+    with pytest.raises(ValueError, match="dimensions"):
+        V.TableStore(spark, path, 3)
+
+
+def test_books_of_sources(spark):
+    rows = spark.createDataFrame([([],), (None,), (["wiki"],), (["knight", "wiki", "fire-and-blood"],)], "s array<string>")
+    got = [r["b"] for r in rows.select(V.books_of(F.col("s")).alias("b")).collect()]
+    assert got == [V.SOURCES[V.DEFAULT_SOURCE]] * 2 + [None, ["kotsk", "fab"]]
+
+
+def test_hashed_words_equal_the_plain_rule(spark):
+    import hashlib
+
+    got = spark.createDataFrame([(" The the\tcat ",), ("",), (None,)], "t string").select(V.hashed_words(F.col("t"), 8).alias("v")).collect()
+    want = [0.0] * 8
+    for w in ("the", "the", "cat"):
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        want[h % 8] += 1.0 if h // 8 % 2 == 0 else -1.0
+    assert got[0]["v"] == want and got[1]["v"] == got[2]["v"] == [0.0] * 8
+
+
+def test_small_parts(spark, tmp_path):
+    from loomlight.functions.text import authorized, scan_report
+
+    rows = spark.createDataFrame([("Bearer k",), ("Bearer x",), ("k",), (None,)], "h string")
+    got = [(r["a"]["ok"], r["a"]["reason"]) for r in rows.select(authorized(F.col("h"), "k").alias("a")).collect()]
+    assert got == [(True, None), (False, "invalid token"), (False, "missing bearer token"), (False, "missing bearer token")]
+    assert rows.select(authorized(F.col("h"), None)["ok"].alias("x")).distinct().collect() == [(True,)]
+    scans = spark.createDataFrame([("a.pdf", "x" * 900, 1), ("b.pdf", "x", 1), ("c.pdf", None, None)], "file string, text string, num_pages int")
+    got = {r["file"]: (r["verdict"], r["any_scanned"]) for r in scan_report(scans).collect()}
+    assert got == {"a.pdf": ("TEXT", True), "b.pdf": ("SCANNED", True), "c.pdf": ("ERROR", True)}
+    chunks = spark.createDataFrame([("b", 1), ("a", 2), ("a", 0)], "book_id string, chunk_index int")
+    assert [tuple(r) for r in R.first_chunks(chunks, 2).collect()] == [("a", 0), ("a", 2)]
+    (tmp_path / "vars").write_text("A=1\nB=2\n")
+    assert files.settings(spark, str(tmp_path / "vars"), {"B": "given"}) == {"A": "1", "B": "given"}
+    lines = spark.createDataFrame([("novel", -2, "k", "- x"), ("novel", -9, "j", "- y"), ("needs-node", -1, "z", "- z")], "section string, place int, key string, line string")
+    assert [r["line"].strip() for r in R.worklist_text(lines).collect()] == ["## needs-node (1)", "- z", "## novel (2)", "- y", "- x"]
+
+
+def plain_chunks(paras, target=1200, overlap=150, hard=1920, least=50):
+    """The rule restated: full pieces close before `target`, each begins with the end of the one before."""
+    done, held = [], ""
+    for p in paras:
+        if held and len(held) + 1 + len(p) > target:
+            done.append(held)
+            held = held[-overlap:]
+        held = held + " " + p if held else p
+        while len(held) > hard:
+            at = held[: target + 1].rfind(" ")
+            at = at if at > target // 2 else target
+            done.append(held[:at])
+            held = held[at - overlap :].lstrip()
+    return [x.strip() for x in [*done, held] if len(x.strip()) >= least]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text("ab ", min_size=1, max_size=900), st.integers(1, 5000).map(lambda n: "x" * n), st.integers(1, 900).map(lambda n: "word " * n)), max_size=9))
+def test_chunks_equal_the_plain_rule(paras):
+    assert C.pack(paras) == plain_chunks(paras)

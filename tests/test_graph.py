@@ -7,7 +7,8 @@ from loomlight.operators import graph as G
 from loomlight.operators.answers import NOTE, REFUSAL, answer, compose
 from loomlight.operators.entities import resolve, resolve_names
 from loomlight.functions.text import normalize_name
-from loomlight.plans.ask import ask, graph_facts
+from loomlight.operators.vectors import hashed_words
+from loomlight.plans.ask import ask, graph_facts, graph_facts_or_none
 
 NODE, EDGE = "id string, name string, house string, gender string, aliases array<string>, node_ord long", "type string, src string, dst string, source string, status string, edge_ord long"
 
@@ -168,3 +169,48 @@ def test_normal_names_in_the_index(spark, graph):
     keys = {r["key"] for r in G.name_index(graph.nodes).collect()}
     assert {"miller s girl", "the tall", "egg"} <= keys
     assert graph.nodes.select(normalize_name(F.lit(None).cast("string")).alias("x")).collect()[0]["x"] == ""
+
+
+def test_sql_backend_has_the_same_facts(spark, nodes, edges, graph):
+    for rel in ("parent", "child", "spouse", "sibling", "grandparent", "grandchild", "ancestor", "descendant"):
+        known = {r["id"] for r in nodes.collect()}
+        want = {(r["id"], r["other"]) for r in G.relatives(graph, rel).collect() if r["other"] in known and r["id"] in known}
+        assert {(r["id"], r["other"]) for r in G.sql_relatives(graph, rel, graph.nodes).collect()} == want
+    q = spark.createDataFrame([(1, "Who were Ed Marsh's parents?", ["knight"])], "qid long, question string, sources array<string>")
+    assert ask(q, graph, backend="sql").collect()[0]["answer"] == "Ed Marsh's parents were Cy Marsh (father) and Di Reed (mother)."
+
+
+def test_a_failing_backend_gives_no_facts(spark, nodes):
+    loop = spark.createDataFrame([("parent", "ada", "bo", "s", None, 0), ("parent", "bo", "ada", "s", None, 1)], EDGE)
+    q = spark.createDataFrame([(1, "Who were the ancestors of Bo Marsh?")], "qid long, question string")
+    rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop), backend="sql")
+    assert rows.count() == 0 and "RECURSION" in error
+    rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop))
+    assert rows.count() == 2 and error is None
+
+
+def test_retrieval_filters_by_each_question(spark, graph):
+    texts = ["rain falls on the fen", "snow falls on the hill", "rain on the wall"]
+    rows = [(i, t, b, b.upper(), i) for i, (t, b) in enumerate(zip(texts, ("fab", "agot", "kotsk"), strict=True))]
+    embed = lambda c: hashed_words(c, 64)
+    vectors = spark.createDataFrame(rows, "id long, text string, book_id string, book string, chunk_index int").withColumn("values", embed(F.col("text")))
+    q = spark.createDataFrame([(1, "rain on the wall", ["fire-and-blood"]), (2, "rain on the wall", []), (3, "rain on the wall", ["wiki"]), (4, "  ", [])], "qid long, question string, sources array<string>")
+    got = {r["qid"]: r for r in ask(q, graph, vectors=vectors, embed=embed).collect()}
+    assert {i: r["answer"] for i, r in got.items()} == {1: texts[0], 2: texts[1], 3: texts[2]}
+    assert got[1]["citations"][0]["work"] == "FAB" and got[1]["citations"][0]["locator"] == "chunk 0"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from loomlight.__main__ import main
+
+    seed = {"meta": {"version": "1"}, "nodes": [{"id": i, "name": n, "gender": x} for i, n, _, x, _ in PEOPLE], "edges": [{"type": t, "from": a, "to": b} for t, a, b in TIES if t == "parent"]}
+    (tmp_path / "seed.json").write_text(json.dumps(seed))
+    cases = {"questions": [{"id": "q1", "question": "Who was Ed Marsh's mother?", "sources": [], "expected_facts": ["Di Reed"], "required_citation": True}, {"id": "q2", "question": "Weather?", "must_refuse": True}]}
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    at = str(tmp_path / "seed.json")
+    assert main(["build-graph", at, str(tmp_path / "graph")], spark) == 0 and main(["build-graph", at, str(tmp_path / "graph"), "--strict"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "graph/meta")).collect()[0]["parent_edges"] == 9
+    assert main(["ask", at, "Who was Ed Marsh's mother?"], spark) == 0 and "Ed Marsh's mother was Di Reed." in capsys.readouterr().out
+    assert main(["eval", at, str(tmp_path / "cases.json")], spark) == 0 and "3 passed, 0 failed, 2 skipped" in capsys.readouterr().out
