@@ -52,23 +52,27 @@ def boundaries(data: np.ndarray, bounds: np.ndarray, average: int = AVERAGE, lea
     return np.array(out, np.int64), counts
 
 
-def _cut(batch: pa.RecordBatch):
+def identifier(chunk: bytes) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=16).digest()
+
+
+def _cut(batch: pa.RecordBatch, digest):
     texts = [t.lower() for t in raw(batch.column("text"))]
     data = b"".join(texts)
     bounds = np.cumsum([len(t) for t in texts])
     ends, counts = boundaries(np.frombuffer(data, np.uint8), bounds)
     starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
     chunks = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return texts, chunks, [hashlib.blake2b(c, digest_size=16).digest() for c in chunks], counts
+    return texts, chunks, [digest(c) for c in chunks], counts
 
 
-def recipes(docs: DataFrame) -> DataFrame:
+def recipes(docs: DataFrame, digest=identifier) -> DataFrame:
     """doc_id, text_sha256 of the normalised text, recipe (its chunks' digests joined), key (of the row)."""
 
     def run(batches):
         claim("exact_dedup")
         for batch in slices(batches, 2 << 20):
-            texts, _, keys, counts = _cut(batch)
+            texts, _, keys, counts = _cut(batch, digest)
             ends = np.cumsum(counts).tolist()
             lists = [b"".join(keys[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(lists, pa.binary()), batch.column("key")], names=["doc_id", "text_sha256", "recipe", "key"])
@@ -90,7 +94,7 @@ def _repeated(listed: DataFrame) -> DataFrame:
     return written(counts.where("n > 1").select("h", "low"))
 
 
-def verify(docs: DataFrame, listed: DataFrame, most: int | None = None) -> None:
+def verify(docs: DataFrame, listed: DataFrame, most: int | None = None, digest=identifier) -> None:
     """Compares the bytes of chunks with one digest; raises if two differ.
 
     A filter as large as the repeated digests ask for tells tasks what to move. Where it would be too
@@ -102,14 +106,14 @@ def verify(docs: DataFrame, listed: DataFrame, most: int | None = None) -> None:
 
     def run(batches):
         claim("exact_dedup")
-        sent: set[bytes] = set()
+        sent: set[tuple[bytes, int]] = set()  # with a hash of the bytes: chunks of one digest that differ all go
         for batch in slices(batches, 2 << 20):
-            _, chunks, keys, _ = _cut(batch)
+            _, chunks, keys, _ = _cut(batch, digest)
             if not keys:
                 continue
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             hit = np.ones(len(keys), bool) if seen.value is None else in_filter(seen.value, halves[:, 0])
-            keep = [i for i in np.flatnonzero(hit).tolist() if keys[i] not in sent and (sent.add(keys[i]) or True)]
+            keep = [i for i in np.flatnonzero(hit).tolist() if (own := (keys[i], hash(chunks[i]))) not in sent and (sent.add(own) or True)]
             if len(sent) > 1 << 18:
                 sent.clear()
             yield pa.RecordBatch.from_arrays([pa.array(halves[keep, 0]), pa.array(halves[keep, 1]), pa.array([chunks[i] for i in keep], pa.binary())], names=["h", "low", "body"])

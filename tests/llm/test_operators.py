@@ -484,3 +484,142 @@ def test_token_store_sees_damage(spark, docs, tmp_path):
 
 def test_token_store_empty(no_docs):
     assert token_store.store(no_docs).count() == 0
+
+
+def test_token_store_sees_a_damaged_object(spark, docs, tmp_path):
+    path = str(tmp_path / "store")
+    token_store.write(docs, path)
+    at = f"{path}/chunks/kind=object"
+    objects = spark.read.parquet(at).select("key", "doc_id", "body", "lens").collect()
+    objects = [(r["key"], r["doc_id"], bytes(r["body"])[:-2] + b"\x07\x00" if i == 0 else r["body"], r["lens"]) for i, r in enumerate(objects)]
+    spark.createDataFrame(objects, "key binary, doc_id long, body binary, lens binary").write.mode("overwrite").parquet(at)
+    with pytest.raises(Exception, match="damaged"):
+        token_store.digests(spark, path).collect()
+
+
+def test_token_store_spreads_rows_of_one_id(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"w{i} " * 3) for i in range(300)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    token_store.write(docs, path, docs_per_block=50)
+    assert spark.read.parquet(f"{path}/recipes").groupBy("block").count().agg(F.max("count")).collect()[0][0] < 120
+    assert token_store.digests(spark, path).count() == 300
+
+
+def test_other_tokenizers_encode_whole_texts(rows):
+    import json
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from loomlight.llm.tokens import WordEncoder, tokenizer_json
+
+    texts = [t for _, t in rows][:60] + ["Abc DEF ghi.  J'ai  ÉTÉ ß, <|endoftext|>x", None]
+    cased = json.loads(tokenizer_json())
+    cased["normalizer"] = {"type": "NFC"}
+    for definition in (tokenizer_json(), json.dumps(cased), tokenizer_json(public_tokenizers.path("byte_bpe_50k.json"))):
+        ids, counts = WordEncoder(definition, most=200).encode(pa.array(texts, pa.string()))
+        want = [e.ids for e in Tokenizer.from_str(definition).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_joins_stand_in_for_filters(docs):
+    removed = lambda most: sorted(map(tuple, suffix_dedup.remove(docs, most=most).select("doc_id", "n_removed", "kept_sha256").collect()), key=repr)
+    assert removed(0) == removed(None)
+    exact_dedup.verify(docs, exact_dedup.written(exact_dedup.recipes(docs)), most=0)
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_exact_dedup_raises_on_a_collision(docs, most):
+    first = lambda chunk: chunk[:1].ljust(16)  # noqa: E731  chunks of one first byte are alike
+    listed = exact_dedup.written(exact_dedup.recipes(docs, first))
+    with pytest.raises(ValueError, match="differ under one digest"):
+        exact_dedup.verify(docs, listed, most, first)
+
+
+def test_filter_is_sparse(spark):
+    from loomlight.llm.common import in_filter, key_filter
+
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h")).persist()
+    words = key_filter(keys)
+    held = np.array([r["h"] for r in keys.collect()])
+    assert in_filter(words, held).all() and key_filter(keys, most=10) is None
+    assert np.unpackbits(words.view(np.uint8)).mean() < 1 / 32
+
+
+def test_runs_of_hits_equal_brute_force():
+    r = random.Random(21)
+    for size in (10, 4, 3):
+        for _ in range(60):
+            items = [[r.choice("ab") if r.random() < 0.5 else r.choice("abcdef") for _ in range(r.choice([1, 2, 5, 9, 10, 14, 31]))] for _ in range(5)]
+            docs = [[r.choice("abcdefgh") for _ in range(r.choice([0, 1, 12, 300]))] for _ in range(4)]
+            for d in docs[1:]:
+                it = r.choice(items)
+                a = r.randrange(len(it))
+                d[len(d) // 2 : len(d) // 2] = it[a : a + r.choice([3, 10, 20, 40])]
+            vocab = sorted({w for it in items for w in it})
+            num = np.array([vocab.index(w) if w in vocab else -1 for d in docs for w in d], np.int64)
+            ends = np.cumsum([len(d) for d in docs])
+            words = np.array([vocab.index(w) for it in items for w in it], np.int32)
+            m = decontaminate.machine(decontaminate.Items(vocab, words, np.cumsum([len(it) for it in items]), np.arange(5)), size)
+            hit, pairs = np.zeros(len(num), bool), set()
+            for a, b, who in zip(*(x.tolist() for x in decontaminate.find(m, num, ends)), strict=True):
+                hit[a:b] = True
+                pairs.add((int(np.searchsorted(ends, a, "right")), who))
+            want, found, at = np.zeros(len(num), bool), set(), 0
+            for i, d in enumerate(docs):
+                for k, it in enumerate(items):
+                    n = min(size, len(it))
+                    wins = {tuple(it[j : j + n]) for j in range(len(it) - n + 1)}
+                    for j in range(len(d) - n + 1):
+                        if tuple(d[j : j + n]) in wins:
+                            want[at + j : at + j + n] = True
+                            found.add((i, k))
+                at += len(d)
+            assert (hit == want).all() and pairs == found
+
+
+def test_one_pass_for_four_megabytes_of_items(spark):
+    bench = spark.range(2000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(249)), lambda i: F.substring(F.md5((F.col("id") * 250 + i).cast("string")), 1, 8)), " ").alias("text"))
+    found = list(decontaminate.blocks(bench))
+    assert len(found) == 1 and len(found[0].words) == 500_000
+    m = decontaminate.machine(found[0])
+    assert len(m.edges) <= len(found[0].words)
+
+
+def test_secret_scan_of_a_long_run(spark):
+    import base64
+    import time
+
+    long = base64.b64encode(np.random.default_rng(3).bytes(750_000)).decode()
+    many = " ".join(f"{i * 2654435761 % (1 << 64):016x}" for i in range(20_000))
+    table = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in secret_scan.digest(table).collect()}
+    assert got[1]["spans"] == f"markov:0:{len(long)}" and got[2]["n_hex"] == 20_000 and time.time() - began < 90
+    assert got[2]["spans"].split(",")[-1] == f"hex:{17 * 19_999}:{17 * 20_000 - 1}"
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        got = spark.range(1).select(secret_scan.running(F.transform(F.expr(f"cast(sequence(1, {max(n, 1)}) as array<int>)") if n else F.expr("cast(array() as array<int>)"), lambda x: x % 7)).alias("s")).collect()[0]["s"]
+        assert list(got) == [sum(i % 7 for i in range(1, k)) for k in range(1, n + 1)] if n < 100 else list(got) == np.concatenate([[0], np.cumsum([i % 7 for i in range(1, n)])]).tolist()
+
+
+def test_shards_are_even_in_all_dimensions():
+    r = np.random.default_rng(6)
+    size = r.lognormal(8, 1.2, 4000)
+    items = np.stack([size, size / 6 * r.lognormal(0, 0.3, 4000), np.maximum(1, (20 * r.lognormal(0, 0.6, 4000)).round())], 1)
+    load = np.zeros((24, 3))
+    np.add.at(load, sharding.place(items), items)
+    assert (load.max(0) / load.min(0) < [1.001, 1.005, 1.005]).all()
+
+
+def test_kept_rows_keep_any_column_name(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "x", 1, "k"), (2, "a b c d e f", "y", 2, "k")], "doc_id long, text string, _key string, _keep int, row string")
+    for keep in (exact_dedup.keep_one, jaccard_join.keep_one):
+        got = keep(rows)
+        assert got.columns == rows.columns and got.count() == 1
+    bench = spark.createDataFrame([(1, "q r s")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.clean(rows, bench).collect())) == sorted(map(tuple, rows.collect()))
+
