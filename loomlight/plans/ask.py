@@ -79,5 +79,6 @@ def ask(questions: DataFrame, g: Graph, passages: DataFrame | None = None, provi
     """
     questions = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "")
     if vectors is not None and embed is not None:
-        passages = retrieve(questions, vectors, embed).where("rank = 1")
-    return answer(questions, compose(graph_facts(questions, g, backend=backend)), passages, provider)
+        passages = written(retrieve(questions, vectors, embed).where("rank = 1"))
+    # Both sides are written, so that Spark plans each of them alone.
+    return answer(questions, compose(written(graph_facts(questions, g, backend=backend))), passages, provider)
