@@ -73,11 +73,42 @@ _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_suffix_dedup": """
+            WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            blocks AS (SELECT doc_id, o, len(h) // 2 - 199 - o AS more, substr(h, 2 * o + 1, 2398) AS part
+                FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 1000)) AS o FROM d) cuts),
+            starts AS (SELECT doc_id, o, part, unnest(range(0, least(1000, more))) AS i FROM blocks),
+            windows AS (SELECT doc_id, o + i AS i, md5(substr(part, 2 * i + 1, 400)) AS s FROM starts),
+            twice AS (SELECT doc_id, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+            steps AS (SELECT doc_id, i, coalesce(i - lag(i) OVER w, 201) AS gap FROM twice WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+            runs AS (SELECT doc_id, i, sum(CASE WHEN gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+            spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM runs GROUP BY doc_id, run),
+            between_ AS (SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS done FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+            cut AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
+                           string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept
+                    FROM between_ s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+            SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+            FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id""",
         "op6_exact_dedup": f"""
             WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
+        "op8_jaccard_join": f"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM d),
+            postings AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+            pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM postings x JOIN postings y ON x.g = y.g AND x.doc_id < y.doc_id
+                WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+                GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+            links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+            reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+            least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
+            degree AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
+            SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+            FROM sets s LEFT JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)""",
         "op9_decontamination": f"""
             WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
