@@ -262,6 +262,27 @@ dots AS (SELECT axes.qid, vec.id, any_value(vec.book_id) AS book_id, sum(CAST(x
 sc AS (SELECT dots.qid, dots.id, round(coalesce(dot / nullif(n * m, 0), 0), 6) AS score
     FROM dots JOIN long ON long.qid = dots.qid JOIN asked ON asked.qid = dots.qid WHERE books IS NULL OR list_contains(books, book_id))"""
 _SCORED = f"WITH {_VEC}, s AS (SELECT a.id, a.book_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q WHERE q.id = 0)"
+#: Paragraphs joined by one blank, walked chunk by chunk: `walk` has a row for each chunk that is done.
+_CHUNKS = r"""WITH RECURSIVE lines AS (SELECT doc_id, source, list_filter(list_transform(
+        regexp_split_to_array(regexp_replace(regexp_replace(text, '\r', '', 'g'), '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '\n+'),
+        lambda p: regexp_replace(regexp_replace(p, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
+joined AS (SELECT doc_id, array_to_string(ps, ' ') AS t,
+        list_transform(range(1, len(ps) + 1), lambda i: CAST(list_sum(list_transform(ps[1 : i], lambda p: length(p) + 1)) AS BIGINT) - 1) AS ends
+        FROM lines WHERE len(ps) > 0),
+-- One step a chunk: k of them are done, the next one starts at a, and e of the paragraphs are used up.
+walk AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM joined
+    UNION ALL
+    SELECT doc_id, k + 1,
+        CASE WHEN long THEN ends[e + 1] - length(regexp_replace(substr(t, stop - 150 + 1, ends[e + 1] - stop + 150), '^\s+', '')) ELSE greatest(a, stop - 150) END,
+        CASE WHEN long THEN e ELSE whole END, a, stop
+    FROM (SELECT *, CASE WHEN NOT long THEN ends[whole] WHEN blank > 600 THEN a + blank ELSE a + 1200 END AS stop
+        FROM (SELECT w.*, t, ends, ends[e + 1] - a > 1920 AS long,
+                greatest(e + 1, len(list_filter(ends, lambda x: x <= a + 1200))) AS whole,
+                least(1201, length(t) - a) - strpos(reverse(substr(t, a + 1, 1201)), ' ') AS blank
+            FROM walk w JOIN joined USING (doc_id) WHERE e < len(ends)) steps) cut),
+chunks AS (SELECT doc_id, k, regexp_replace(substr(t, lo + 1, hi - lo), '^\s+|\s+$', '', 'g') AS text FROM walk JOIN joined USING (doc_id) WHERE k > 0),
+numbered AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, source AS book, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, chunks.text
+    FROM chunks JOIN documents USING (doc_id) WHERE length(chunks.text) >= 50)"""
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 QUERIES = {
@@ -272,8 +293,16 @@ QUERIES = {
     "page_chars": (page_chars, "WITH p AS (SELECT page_id, CAST(floor(length(trim(regexp_replace(html, '\\s+', ' ', 'g'))) / 2.0 + 0.5) AS BIGINT) AS per_page FROM pages) SELECT page_id, per_page, CASE WHEN per_page >= 800 THEN 'TEXT' WHEN per_page >= 100 THEN 'PARTIAL' ELSE 'SCANNED' END AS verdict FROM p"),
     "dehyphenate_paragraphs": (dehyphenate_paragraphs, f"WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r', '', 'g'), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '\\n+'), lambda p: {_TRIM.format(chr(39).join(['regexp_replace(p, ', '[ \\t]{2,}', ', ', ' ', ', ', 'g', ')']))}), lambda p: p <> '') AS ps FROM documents), e AS (SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS i FROM d) SELECT doc_id, i - 1 AS place, paragraph FROM e"),
     "book_slices": (book_slices, "WITH s AS (SELECT doc_id AS raw_id, CAST(i AS BIGINT) AS book_id, CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) AS start, text FROM documents, (VALUES (0, 0.0), (1, 0.3), (2, 0.6)) t(i, f) WHERE text IS NOT NULL), e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY raw_id ORDER BY start), length(text)) AS stop FROM s) SELECT raw_id, book_id, start, md5(substr(text, start + 1, stop - start)) AS digest FROM e"),
-    "chunk_documents": (chunk_documents, None),
-    "chunk_report": (chunk_report, None),
+    "chunk_documents": (
+        chunk_documents,
+        f"""{_CHUNKS} SELECT book_id || '#' || i AS id, book_id, book, CAST(i AS INTEGER) AS chunk_index,
+            CAST(length(text) AS INTEGER) AS chars, text FROM numbered""",
+    ),
+    "chunk_report": (
+        chunk_report,
+        f"""{_CHUNKS} SELECT book_id, book, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars,
+            arg_min(text, i) AS first_text FROM numbered GROUP BY book_id, book""",
+    ),
     "chunk_stride": (stride_chunks, "WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1050)) AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos // 1050 AS chunk_index, md5(substr(text, pos + 1, 1200)) AS digest FROM d"),
     "vector_topk": (vector_topk, f"{_SCORED} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 8"),
     "vector_topk_filtered": (vector_topk_filtered, f"{_SCORED} SELECT id, score, book_id FROM s WHERE book_id IN ('fab', 'kotsk') ORDER BY score DESC, id LIMIT 8"),
