@@ -42,7 +42,12 @@ def dehyphenate(column: Column) -> Column:
 def paragraphs(column: Column, breaks: str = r"\n{2,}") -> Column:
     """Array of non-empty paragraphs, inner line breaks and runs of blanks folded to one space."""
     parts = F.split(dehyphenate(column), breaks)
-    folded = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "\n", " "), "[ \t]{2,}", " "), rf"^{WIDE_SPACE}+|{WIDE_SPACE}+$", ""))
+    folded = F.transform(
+        parts,
+        lambda p: F.regexp_replace(
+            F.regexp_replace(F.regexp_replace(p, "\n", " "), "[ \t]{2,}", " "), rf"^{WIDE_SPACE}+|{WIDE_SPACE}+$", ""
+        ),
+    )
     return F.filter(folded, lambda p: p != "")
 
 
@@ -74,7 +79,12 @@ def scan_verdict(per_page: Column) -> Column:
 def scan_report(scans: DataFrame) -> DataFrame:
     """(file, num_pages, per_page, verdict, any_scanned) of (file, text, num_pages); a file that could not be read has the verdict ERROR."""
     per_page = chars_per_page(F.col("text"), F.col("num_pages"))
-    rows = scans.select("file", "num_pages", per_page.alias("per_page"), F.when(F.col("text").isNull(), "ERROR").otherwise(scan_verdict(per_page)).alias("verdict"))
+    rows = scans.select(
+        "file",
+        "num_pages",
+        per_page.alias("per_page"),
+        F.when(F.col("text").isNull(), "ERROR").otherwise(scan_verdict(per_page)).alias("verdict"),
+    )
     some = rows.agg(F.coalesce(F.bool_or(F.col("verdict") == "SCANNED"), F.lit(False)).alias("any_scanned"))
     return rows.join(F.broadcast(some))  # one row
 

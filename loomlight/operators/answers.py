@@ -23,7 +23,11 @@ def provider(name: str | None) -> str:
 def meta(name: str | None, sources: Column) -> Column:
     """The provider and the sources as they were asked for."""
     own = provider(name)
-    return F.concat(F.lit(f"provider={own} ({PROVIDERS[own]}) · sources=["), F.array_join(F.coalesce(sources, F.expr("cast(array() as array<string>)")), ", "), F.lit("]" + META_TAIL))
+    return F.concat(
+        F.lit(f"provider={own} ({PROVIDERS[own]}) · sources=["),
+        F.array_join(F.coalesce(sources, F.expr("cast(array() as array<string>)")), ", "),
+        F.lit("]" + META_TAIL),
+    )
 
 
 def compose(facts: DataFrame) -> DataFrame:
@@ -32,17 +36,42 @@ def compose(facts: DataFrame) -> DataFrame:
     One clause a subject, in order of its first fact: one label gives the gendered noun, several give
     the relation's plural with the label after each name.
     """
-    clause = facts.groupBy("qid", "subject").agg(F.min("place").alias("first"), F.array_sort(F.collect_list(F.struct("place", "object", "relation"))).alias("f"), F.count_distinct("relation").alias("labels"), F.first("rel").alias("rel"), F.bool_or("ambiguous").alias("ambiguous"))
+    clause = facts.groupBy("qid", "subject").agg(
+        F.min("place").alias("first"),
+        F.array_sort(F.collect_list(F.struct("place", "object", "relation"))).alias("f"),
+        F.count_distinct("relation").alias("labels"),
+        F.first("rel").alias("rel"),
+        F.bool_or("ambiguous").alias("ambiguous"),
+    )
     n = F.size("f")
     one = F.element_at("f", 1)["relation"]
     noun = F.when(F.col("labels") > 1, plural(F.col("rel"))).when(n > 1, plural(one)).otherwise(one)
-    items = F.when(F.col("labels") > 1, F.transform("f", lambda x: F.concat(x["object"], F.lit(" ("), x["relation"], F.lit(")")))).otherwise(F.transform("f", lambda x: x["object"]))
+    items = F.when(
+        F.col("labels") > 1, F.transform("f", lambda x: F.concat(x["object"], F.lit(" ("), x["relation"], F.lit(")")))
+    ).otherwise(F.transform("f", lambda x: x["object"]))
     text = F.concat("subject", F.lit("'s "), noun, F.when(n > 1, " were ").otherwise(" was "), list_join(items), F.lit("."))
-    cites = F.transform("f", lambda x: F.struct(x["place"].alias("place"), F.lit(GRAPH_WORK).alias("work"), F.concat(F.col("subject"), F.lit(" → "), x["relation"], F.lit(" → "), x["object"]).alias("locator")))
+    cites = F.transform(
+        "f",
+        lambda x: F.struct(
+            x["place"].alias("place"),
+            F.lit(GRAPH_WORK).alias("work"),
+            F.concat(F.col("subject"), F.lit(" → "), x["relation"], F.lit(" → "), x["object"]).alias("locator"),
+        ),
+    )
     rows = clause.select("qid", "first", "ambiguous", text.alias("text"), cites.alias("cites"))
-    whole = rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("first", "text"))).alias("t"), F.array_sort(F.flatten(F.collect_list("cites"))).alias("c"), F.bool_or("ambiguous").alias("ambiguous"))
+    whole = rows.groupBy("qid").agg(
+        F.array_sort(F.collect_list(F.struct("first", "text"))).alias("t"),
+        F.array_sort(F.flatten(F.collect_list("cites"))).alias("c"),
+        F.bool_or("ambiguous").alias("ambiguous"),
+    )
     answer = F.concat(F.array_join(F.transform("t", lambda x: x["text"]), " "), F.when(F.col("ambiguous"), NOTE).otherwise(""))
-    return whole.select("qid", answer.alias("answer"), F.transform("c", lambda x: F.struct(x["work"].alias("work"), x["locator"].alias("locator"), F.lit(None).cast("string").alias("url"))).alias("citations"))
+    return whole.select(
+        "qid",
+        answer.alias("answer"),
+        F.transform(
+            "c", lambda x: F.struct(x["work"].alias("work"), x["locator"].alias("locator"), F.lit(None).cast("string").alias("url"))
+        ).alias("citations"),
+    )
 
 
 def answer(questions: DataFrame, composed: DataFrame, top: DataFrame | None, provider_name: str | None = None) -> DataFrame:
@@ -57,4 +86,9 @@ def answer(questions: DataFrame, composed: DataFrame, top: DataFrame | None, pro
         joined = joined.join(top.select("qid", "work", "locator", "url", "text"), "qid", "left")
     none = F.expr("cast(array() as array<struct<work:string,locator:string,url:string>>)")
     passage = F.when(F.col("work").isNotNull(), F.array(F.struct("work", "locator", "url"))).otherwise(none)
-    return joined.select("qid", F.coalesce("answer", "text", F.lit(REFUSAL)).alias("answer"), F.concat(F.coalesce("citations", none), passage).alias("citations"), meta(provider_name, F.col("sources")).alias("meta"))
+    return joined.select(
+        "qid",
+        F.coalesce("answer", "text", F.lit(REFUSAL)).alias("answer"),
+        F.concat(F.coalesce("citations", none), passage).alias("citations"),
+        meta(provider_name, F.col("sources")).alias("meta"),
+    )

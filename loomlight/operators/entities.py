@@ -18,7 +18,12 @@ GRAM = 4
 
 def grams(text: Column, size: int) -> Column:
     """Distinct character grams; a text shorter than `size` has none."""
-    return F.array_distinct(F.when(F.length(text) >= size, F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.expr("cast(array() as array<string>)")))
+    return F.array_distinct(
+        F.when(
+            F.length(text) >= size,
+            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))),
+        ).otherwise(F.expr("cast(array() as array<string>)"))
+    )
 
 
 def anchored(keys: DataFrame, size: int) -> DataFrame:

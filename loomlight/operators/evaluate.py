@@ -35,16 +35,30 @@ def checks(cases: DataFrame, answers: DataFrame) -> DataFrame:
     row = lambda name, wanted, ok, detail: F.when(wanted, F.struct(F.lit(name).alias("name"), ok.alias("pass"), detail.alias("detail")))
     every = F.array(
         row("citation-present", F.col("required_citation"), F.coalesce("n_citations", F.lit(0)) > 0, none),
-        row("expected-facts-present", F.coalesce(F.size("expected_facts"), F.lit(0)) > 0, F.size(missing(text, F.col("expected_facts"))) == 0, missing(text, F.col("expected_facts"))),
+        row(
+            "expected-facts-present",
+            F.coalesce(F.size("expected_facts"), F.lit(0)) > 0,
+            F.size(missing(text, F.col("expected_facts"))) == 0,
+            missing(text, F.col("expected_facts")),
+        ),
         row("refuses-out-of-corpus", F.col("must_refuse"), text.rlike(REFUSED), none),
-        row("spoiler-ceiling-respected", F.col("must_not_reveal").isNotNull(), F.size(leaked(text, F.col("must_not_reveal"))) == 0, leaked(text, F.col("must_not_reveal"))),
+        row(
+            "spoiler-ceiling-respected",
+            F.col("must_not_reveal").isNotNull(),
+            F.size(leaked(text, F.col("must_not_reveal"))) == 0,
+            leaked(text, F.col("must_not_reveal")),
+        ),
         row("llm-judge-correctness", F.lit(True), F.lit(None).cast("boolean"), none),
     )
     return both.select("id", F.explode(F.filter(every, lambda c: c.isNotNull())).alias("c")).select("id", "c.*")
 
 
 def totals(checked: DataFrame) -> DataFrame:
-    return checked.agg(F.count_if(F.col("pass")).alias("passed"), F.count_if(~F.col("pass")).alias("failed"), F.count_if(F.col("pass").isNull()).alias("skipped"))
+    return checked.agg(
+        F.count_if(F.col("pass")).alias("passed"),
+        F.count_if(~F.col("pass")).alias("failed"),
+        F.count_if(F.col("pass").isNull()).alias("skipped"),
+    )
 
 
 def run(cases: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

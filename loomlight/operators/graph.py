@@ -22,7 +22,9 @@ from loomlight.storage import remove, scratch, written
 def edge_key() -> Column:
     """Identity of an edge; the ends of a spouse edge in either order."""
     a, b = F.col("src").cast("string"), F.col("dst").cast("string")
-    return F.when(F.col("type") == "parent", F.concat_ws("|", "type", a, b)).when(F.col("type") == "spouse", F.concat_ws("|", "type", F.least(a, b), F.greatest(a, b))).otherwise(F.concat_ws("|", "type", F.to_json(F.struct("src", "dst"))))
+    return F.when(F.col("type") == "parent", F.concat_ws("|", "type", a, b)).when(
+        F.col("type") == "spouse", F.concat_ws("|", "type", F.least(a, b), F.greatest(a, b))
+    ).otherwise(F.concat_ws("|", "type", F.to_json(F.struct("src", "dst"))))
 
 
 @dataclass
@@ -39,7 +41,9 @@ class Graph:
         own = self.edges.where("src <> dst")
         parent, spouse = own.where("type = 'parent'"), own.where("type = 'spouse'")
         row = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.col(a).alias("id"), F.col(b).alias("other"), F.col("edge_ord").alias("ord"))
-        every = row(parent, "parent", "dst", "src").unionByName(row(parent, "child", "src", "dst")).unionByName(row(spouse, "spouse", "src", "dst")).unionByName(row(spouse, "spouse", "dst", "src"))
+        every = row(parent, "parent", "dst", "src").unionByName(row(parent, "child", "src", "dst")).unionByName(
+            row(spouse, "spouse", "src", "dst")
+        ).unionByName(row(spouse, "spouse", "dst", "src"))
         return every.groupBy("kind", "id", "other").agg(F.min("ord").alias("ord"))
 
     def step(self, kind: str) -> DataFrame:
@@ -53,7 +57,9 @@ def compile_graph(nodes: DataFrame, seed: DataFrame, reviewed: DataFrame | None
     whose key is new.
     """
     last = W.partitionBy("id").orderBy(F.desc("node_ord"))
-    unique = nodes.withColumn("_n", F.row_number().over(last)).withColumn("_first", F.min("node_ord").over(W.partitionBy("id"))).where("_n = 1").withColumn("node_ord", F.col("_first")).drop("_n", "_first")
+    unique = nodes.withColumn("_n", F.row_number().over(last)).withColumn(
+        "_first", F.min("node_ord").over(W.partitionBy("id"))
+    ).where("_n = 1").withColumn("node_ord", F.col("_first")).drop("_n", "_first")
     keyed = seed.withColumn("key", edge_key()).withColumn("rank", F.lit(0))
     if reviewed is not None:
         good = approved(reviewed)
@@ -89,7 +95,9 @@ def warnings(nodes: DataFrame, seed: DataFrame, reviewed: DataFrame | None = Non
         loose = approved(reviewed)
         gone = loose.join(known, F.col("src") == F.col("_id"), "left_anti").unionByName(loose.join(known, F.col("dst") == F.col("_id"), "left_anti")).distinct()
         out = out.unionByName(row(gone, "unknown-node", edge_key()))
-    out = out.unionByName(row(g.edges.where("src = dst"), "self-edge", edge_key())).unionByName(row(g.edges.where("type not in ('parent', 'spouse')"), "unknown-type", edge_key()))
+    out = out.unionByName(row(g.edges.where("src = dst"), "self-edge", edge_key())).unionByName(
+        row(g.edges.where("type not in ('parent', 'spouse')"), "unknown-type", edge_key())
+    )
     many = g.links.where("kind = 'parent'").groupBy("id").count().where("count > 2")
     out = out.unionByName(row(many, "more-than-two-parents", F.col("id")))
     return out.unionByName(row(closure(g, "parent").where("id = other"), "ancestor-cycle", F.col("id")))
@@ -120,7 +128,13 @@ def ordered_closure(g: Graph, kind: str, starts: DataFrame | None = None) -> Dat
     now = written(first.select("id", "other", F.array("ord").alias("path"), F.array("other").alias("via"), F.lit(True).alias("fresh")), path)
     while not (fresh := now.where("fresh")).isEmpty():
         found = fresh.join(ahead, F.col("other") == F.col("m")).where(~F.array_contains("via", F.col("next")))
-        found = found.select("id", F.col("next").alias("other"), F.array_append("path", F.col("ord")).alias("path"), F.array_append("via", F.col("next")).alias("via"), "fresh")
+        found = found.select(
+            "id",
+            F.col("next").alias("other"),
+            F.array_append("path", F.col("ord")).alias("path"),
+            F.array_append("via", F.col("next")).alias("via"),
+            "fresh",
+        )
         both = now.withColumn("fresh", F.lit(False)).unionByName(found)
         before, path = path, scratch(step.sparkSession)
         now = written(both.groupBy("id", "other").agg(F.min(F.struct("path", "via", "fresh")).alias("x")).select("id", "other", "x.*"), path)
@@ -169,7 +183,16 @@ def named(g: Graph, every: DataFrame) -> DataFrame:
     s = n.select(F.col("id").alias("sid"), F.col("name").alias("sname"))
     o = n.select(F.col("id").alias("oid"), F.col("name").alias("oname"), F.nullif("gender", F.lit("")).alias("gender"))
     joined = every.join(s, F.col("id") == F.col("sid"), "left").join(o, F.col("other") == F.col("oid"), "left")
-    return joined.select(F.col("id").alias("subject_id"), F.coalesce("sname", F.col("id").cast("string")).alias("subject"), "rel", "gender", label(F.col("rel"), F.col("gender")).alias("relation"), F.col("other").alias("object_id"), F.coalesce("oname", F.col("other").cast("string")).alias("object"), "path")
+    return joined.select(
+        F.col("id").alias("subject_id"),
+        F.coalesce("sname", F.col("id").cast("string")).alias("subject"),
+        "rel",
+        "gender",
+        label(F.col("rel"), F.col("gender")).alias("relation"),
+        F.col("other").alias("object_id"),
+        F.coalesce("oname", F.col("other").cast("string")).alias("object"),
+        "path",
+    )
 
 
 _PARENT, _CHILD = ("e.dst", "e.src"), ("e.src", "e.dst")
@@ -177,8 +200,11 @@ _PARENT, _CHILD = ("e.dst", "e.src"), ("e.src", "e.dst")
 
 def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
     """(id, other) for one relation of `starts` (id), as Spark SQL over nodes and edges alone; ends without a node vanish. A cycle ends in an error."""
-    one = lambda here, there, kind: f"SELECT {here} AS id, {there} AS other FROM {{edges}} e JOIN {{starts}} s ON s.id = {here} WHERE e.type = '{kind}'"
-    two = lambda a, b: f"SELECT {a[0].replace('e.', 'x.')} AS id, {b[1].replace('e.', 'y.')} AS other FROM {{edges}} x JOIN {{starts}} s ON s.id = {a[0].replace('e.', 'x.')} JOIN {{edges}} y ON {b[0].replace('e.', 'y.')} = {a[1].replace('e.', 'x.')} WHERE x.type = 'parent' AND y.type = 'parent'"
+    one = lambda here, there, kind: f"""SELECT {here} AS id, {there} AS other FROM {{edges}} e JOIN {{starts}} s ON s.id = {here}
+        WHERE e.type = '{kind}'"""
+    two = lambda a, b: f"""SELECT {a[0].replace('e.', 'x.')} AS id, {b[1].replace('e.', 'y.')} AS other FROM {{edges}} x
+        JOIN {{starts}} s ON s.id = {a[0].replace('e.', 'x.')} JOIN {{edges}} y ON {b[0].replace('e.', 'y.')} = {a[1].replace('e.', 'x.')}
+        WHERE x.type = 'parent' AND y.type = 'parent'"""
     if rel in ("ancestor", "descendant"):
         here, there = _PARENT if rel == "ancestor" else _CHILD
         body = f"""WITH RECURSIVE w(id, other) AS ({one(here, there, "parent")}
@@ -199,14 +225,32 @@ def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
 def name_index(nodes: DataFrame) -> DataFrame:
     """(key, id, n_aliases): normalised names and aliases, each once for a node; empty keys drop."""
     keys = F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))))
-    return nodes.select("id", F.size(F.coalesce("aliases", F.expr("cast(array() as array<string>)"))).alias("n_aliases"), keys.alias("k")).select(normalize_name(F.col("k")).alias("key"), "id", "n_aliases").where("key <> ''").distinct()
+    return nodes.select(
+        "id", F.size(F.coalesce("aliases", F.expr("cast(array() as array<string>)"))).alias("n_aliases"), keys.alias("k")
+    ).select(normalize_name(F.col("k")).alias("key"), "id", "n_aliases").where("key <> ''").distinct()
 
 
 def load_script(g: Graph) -> DataFrame:
     """(part, ord, line): a SQL script that empties both tables and inserts every node and edge again."""
     text = lambda c: sql_quote(F.col(c).cast("string"))
-    nodes = g.nodes.select(F.lit(1).alias("part"), F.col("node_ord").alias("ord"), F.concat(F.lit("INSERT INTO nodes (id, name, house, gender) VALUES ("), F.concat_ws(", ", text("id"), text("name"), text("house"), text("gender")), F.lit(");")).alias("line"))
-    edges = g.edges.select(F.lit(2).alias("part"), F.col("edge_ord").alias("ord"), F.concat(F.lit("INSERT INTO edges (type, src, dst, source) VALUES ("), F.concat_ws(", ", text("type"), text("src"), text("dst"), sql_quote(F.coalesce(F.nullif("source", F.lit("")), F.lit("seed")))), F.lit(");")).alias("line"))
+    nodes = g.nodes.select(
+        F.lit(1).alias("part"),
+        F.col("node_ord").alias("ord"),
+        F.concat(
+            F.lit("INSERT INTO nodes (id, name, house, gender) VALUES ("),
+            F.concat_ws(", ", text("id"), text("name"), text("house"), text("gender")),
+            F.lit(");"),
+        ).alias("line"),
+    )
+    edges = g.edges.select(
+        F.lit(2).alias("part"),
+        F.col("edge_ord").alias("ord"),
+        F.concat(
+            F.lit("INSERT INTO edges (type, src, dst, source) VALUES ("),
+            F.concat_ws(", ", text("type"), text("src"), text("dst"), sql_quote(F.coalesce(F.nullif("source", F.lit("")), F.lit("seed")))),
+            F.lit(");"),
+        ).alias("line"),
+    )
     spark = g.nodes.sparkSession
     head = spark.createDataFrame([(0, 0, "DELETE FROM edges;"), (0, 1, "DELETE FROM nodes;")], "part int, ord long, line string")
     return head.unionByName(nodes.withColumn("ord", F.col("ord").cast("long"))).unionByName(edges.withColumn("ord", F.col("ord").cast("long")))

@@ -22,7 +22,12 @@ def regex_extractor() -> Column:
     name = r"([A-Z][\w']*(?: [A-Z][\w']*)*)"
     found = lambda words, group: F.regexp_extract_all(prompt_text(F.col("text")), F.lit(f"{name},? {words} {name}"), F.lit(group))
     rows = lambda words, rel, a, b: F.zip_with(found(words, a), found(words, b), lambda x, y: F.struct(x.alias("subject"), F.lit(rel).alias("relation"), y.alias("object"), F.lit("").alias("evidence")))
-    return F.to_json(F.concat(rows("(?:was |is )?(?:the )?(?:son|daughter|child) of", "parent-of", 2, 1), rows("(?:was )?(?:married to|wed|wedded)", "spouse-of", 1, 2)))
+    return F.to_json(
+        F.concat(
+            rows("(?:was |is )?(?:the )?(?:son|daughter|child) of", "parent-of", 2, 1),
+            rows("(?:was )?(?:married to|wed|wedded)", "spouse-of", 1, 2),
+        )
+    )
 
 
 def first_chunks(chunks: DataFrame, most: int) -> DataFrame:
@@ -38,7 +43,16 @@ def candidates(outputs: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """
     each = outputs.select("chunk_id", "book_id", F.explode(parse_json_array(F.col("output"), RELATION)).alias("r"))
     kind = F.when(F.col("r.relation") == "parent-of", "parent").when(F.col("r.relation") == "spouse-of", "spouse")
-    rows = each.select(kind.alias("type"), F.col("r.subject").alias("raw_subject"), F.col("r.object").alias("raw_object"), F.col("r.relation").alias("relation"), F.substring(F.coalesce("r.evidence", F.lit("")), 1, 300).alias("evidence"), "chunk_id", "book_id", F.lit("pending").alias("status")).where("type is not null")
+    rows = each.select(
+        kind.alias("type"),
+        F.col("r.subject").alias("raw_subject"),
+        F.col("r.object").alias("raw_object"),
+        F.col("r.relation").alias("relation"),
+        F.substring(F.coalesce("r.evidence", F.lit("")), 1, 300).alias("evidence"),
+        "chunk_id",
+        "book_id",
+        F.lit("pending").alias("status"),
+    ).where("type is not null")
     if index is None:
         return rows
     names = rows.select(F.col("raw_subject").alias("raw")).unionByName(rows.select(F.col("raw_object").alias("raw")))
@@ -51,13 +65,22 @@ def candidates(outputs: DataFrame, index: DataFrame | None = None) -> DataFrame:
 def candidate_key() -> Column:
     a, b = F.col("src").cast("string"), F.col("dst").cast("string")
     known = F.when(F.col("type") == "parent", F.concat_ws("|", "type", a, b)).otherwise(F.concat_ws("|", "type", F.least(a, b), F.greatest(a, b)))
-    return F.when(F.col("resolved"), known).otherwise(F.concat_ws("|", F.lit("unresolved"), "type", F.coalesce("raw_subject", F.lit("")), F.coalesce("raw_object", F.lit(""))))
+    return F.when(F.col("resolved"), known).otherwise(
+        F.concat_ws("|", F.lit("unresolved"), "type", F.coalesce("raw_subject", F.lit("")), F.coalesce("raw_object", F.lit("")))
+    )
 
 
 def groups(rows: DataFrame, seed_keys: DataFrame) -> DataFrame:
     """Candidates by edge: key, cls (confirms-seed, novel, needs-node), n, n_chunks, evidence (sorted set), first edge."""
     keyed = rows.withColumn("key", candidate_key())
-    one = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("chunk_id").alias("n_chunks"), F.array_sort(F.collect_set(F.nullif("evidence", F.lit("")))).alias("evidence"), F.bool_or("resolved").alias("resolved"), F.min_by(F.struct("type", "src", "dst", "raw_subject", "raw_object"), "chunk_id").alias("edge"), F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("chunks"))
+    one = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("chunk_id").alias("n_chunks"),
+        F.array_sort(F.collect_set(F.nullif("evidence", F.lit("")))).alias("evidence"),
+        F.bool_or("resolved").alias("resolved"),
+        F.min_by(F.struct("type", "src", "dst", "raw_subject", "raw_object"), "chunk_id").alias("edge"),
+        F.array_sort(F.collect_set(F.col("chunk_id").cast("string"))).alias("chunks"),
+    )
     seeds = seed_keys.select(F.col("key").alias("seed")).distinct()
     cls = F.when(~F.col("resolved"), "needs-node").when(F.col("seed").isNotNull(), "confirms-seed").otherwise("novel")
     return one.join(seeds, F.col("key") == F.col("seed"), "left").withColumn("cls", cls).drop("seed")
@@ -75,7 +98,14 @@ def undecided(grouped: DataFrame, decided: DataFrame) -> DataFrame:
 def decide(grouped: DataFrame, decisions: DataFrame) -> DataFrame:
     """Reviewed edges from decisions (key, verdict `a` or `r`; others leave an edge open)."""
     taken = grouped.join(decisions.where("verdict in ('a', 'r')"), "key")
-    return taken.select("edge.type", "edge.src", "edge.dst", "chunks", F.when(F.col("verdict") == "a", "extracted:reviewed").alias("source"), F.when(F.col("verdict") == "a", "approved").otherwise("rejected").alias("status"))
+    return taken.select(
+        "edge.type",
+        "edge.src",
+        "edge.dst",
+        "chunks",
+        F.when(F.col("verdict") == "a", "extracted:reviewed").alias("source"),
+        F.when(F.col("verdict") == "a", "approved").otherwise("rejected").alias("status"),
+    )
 
 
 def worklist(grouped: DataFrame, decided: DataFrame | None = None, evidence: int = 2) -> DataFrame:
@@ -87,13 +117,39 @@ def worklist(grouped: DataFrame, decided: DataFrame | None = None, evidence: int
         status = F.coalesce("_s", F.lit("pending"))
     arrow = F.when(F.col("edge.type") == "parent", "parent-of").otherwise("spouse-of")
     name = lambda side, raw: F.coalesce(F.when(F.col("resolved"), F.col(f"edge.{side}").cast("string")), F.col(f"edge.{raw}"))
-    head = F.concat(F.lit("- **"), name("src", "raw_subject"), F.lit(" "), arrow, F.lit(" "), name("dst", "raw_object"), F.lit("** (seen "), F.col("n").cast("string"), F.lit(" times in "), F.col("n_chunks").cast("string"), F.lit(" chunks; "), status, F.lit(")"))
+    head = F.concat(
+        F.lit("- **"),
+        name("src", "raw_subject"),
+        F.lit(" "),
+        arrow,
+        F.lit(" "),
+        name("dst", "raw_object"),
+        F.lit("** (seen "),
+        F.col("n").cast("string"),
+        F.lit(" times in "),
+        F.col("n_chunks").cast("string"),
+        F.lit(" chunks; "),
+        status,
+        F.lit(")"),
+    )
     quotes = F.transform(F.slice("evidence", 1, evidence), lambda e: F.concat(F.lit("    - "), e))
-    return rows.select(F.col("cls").alias("section"), (-F.col("n")).alias("place"), "key", F.array_join(F.concat(F.array(head), quotes), "\n").alias("line")).orderBy("section", "place", "key")
+    return rows.select(
+        F.col("cls").alias("section"),
+        (-F.col("n")).alias("place"),
+        "key",
+        F.array_join(F.concat(F.array(head), quotes), "\n").alias("line"),
+    ).orderBy("section", "place", "key")
 
 
 def worklist_text(lines: DataFrame) -> DataFrame:
     """(line) of worklist(): each section under a heading with its number of edges, in order."""
     heads = lines.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
-    heads = heads.select("section", F.lit(None).cast("long").alias("place"), F.lit("").alias("key"), F.format_string("\n## %s (%d)\n", "section", "n").alias("line"))
-    return heads.unionByName(lines.select("section", F.col("place").cast("long").alias("place"), "key", "line")).orderBy("section", F.col("place").asc_nulls_first(), "key").select("line")
+    heads = heads.select(
+        "section",
+        F.lit(None).cast("long").alias("place"),
+        F.lit("").alias("key"),
+        F.format_string("\n## %s (%d)\n", "section", "n").alias("line"),
+    )
+    return heads.unionByName(
+        lines.select("section", F.col("place").cast("long").alias("place"), "key", "line")
+    ).orderBy("section", F.col("place").asc_nulls_first(), "key").select("line")

@@ -70,19 +70,32 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     books = F.col("books") if "books" in queries.columns else F.array("book_id") if "book_id" in queries.columns else F.lit(None).cast("array<string>")
     any_book = F.lit(None).cast("string") if "book_id" not in vectors.columns else F.col("book_id").cast("string")
     own = vectors.select(F.col("id").cast("long").alias("id"), F.col("values").cast("array<double>").alias("values"), any_book.alias("book_id"))
-    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("task", F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts)))
+    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn(
+        "task", F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
+    )
     asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("values").cast("array<double>").alias("qvalues"), books.alias("books"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("qid", "qvalues", "books")).alias("rows"))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(
+        F.collect_list(F.struct("qid", "qvalues", "books")).alias("rows")
+    )
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("task", F.col("part") + (F.col("block") % shares) * parts)
     none = lambda kind: F.lit(None).cast(kind)
     rows_type = "array<struct<qid:bigint,qvalues:array<double>,books:array<string>>>"
     left = own.select("task", F.lit(0).alias("side"), "id", "values", "book_id", none(rows_type).alias("rows"))
-    right = asked.select("task", F.lit(1).alias("side"), none("long").alias("id"), none("array<double>").alias("values"), none("string").alias("book_id"), "rows")
+    right = asked.select(
+        "task",
+        F.lit(1).alias("side"),
+        none("long").alias("id"),
+        none("array<double>").alias("values"),
+        none("string").alias("book_id"),
+        "rows",
+    )
 
     def run(batches):
         last, held, matrix = None, [], None
         for b in batches:
-            for task, side, id_, values, book, rows in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "values", "book_id", "rows")), strict=True):
+            for task, side, id_, values, book, rows in zip(
+                *(b.column(c).to_pylist() for c in ("task", "side", "id", "values", "book_id", "rows")), strict=True
+            ):
                 if task != last:
                     last, held, matrix = task, [], None
                 if not side:
@@ -127,7 +140,17 @@ def _nearest(rows: list[dict], ids: np.ndarray, unit: np.ndarray, books: np.ndar
 
 def snippet(match: DataFrame, *more: str) -> DataFrame:
     """Matches as answers cite them: id, score, work, locator, type, book_id, url, text; `more` columns first."""
-    return match.select(*more, "id", "score", F.col("book").alias("work"), F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")).alias("locator"), F.lit("novel").alias("type"), "book_id", F.lit(None).cast("string").alias("url"), "text")
+    return match.select(
+        *more,
+        "id",
+        "score",
+        F.col("book").alias("work"),
+        F.concat(F.lit("chunk "), F.col("chunk_index").cast("string")).alias("locator"),
+        F.lit("novel").alias("type"),
+        "book_id",
+        F.lit(None).cast("string").alias("url"),
+        "text",
+    )
 
 
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -153,7 +176,9 @@ def parts(rows: DataFrame, order: str, size: int = 5000) -> DataFrame:
     counted = rows.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
     starts = counted.select("_c", (F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_s"))  # a row for each range
     own = F.row_number().over(W.partitionBy("_cell").orderBy(order))
-    return rows.withColumn("_cell", cell).withColumn("_r", own).join(starts, F.col("_cell") == F.col("_c")).withColumn("part", (F.floor((F.col("_s") + F.col("_r") - 1) / size) + 1).cast("long")).drop("_cell", "_r", "_c", "_n", "_s")
+    return rows.withColumn("_cell", cell).withColumn("_r", own).join(starts, F.col("_cell") == F.col("_c")).withColumn(
+        "part", (F.floor((F.col("_s") + F.col("_r") - 1) / size) + 1).cast("long")
+    ).drop("_cell", "_r", "_c", "_n", "_s")
 
 
 def checked(values: Column, dim: int) -> Column:

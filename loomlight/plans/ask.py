@@ -22,7 +22,9 @@ FACTS, BACKEND = 12, "memory"
 def understood(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(qid, rel, wanted, id, key, ambiguous): relation and entities of questions (qid, question) that have both."""
     norm = written(questions.select("qid", normalize_name(F.col("question")).alias("norm")))
-    rel = norm.select("qid", detect(F.col("norm")).alias("r")).where("r is not null").select("qid", F.col("r.rel").alias("rel"), F.col("r.gender").alias("wanted"))
+    rel = norm.select("qid", detect(F.col("norm")).alias("r")).where("r is not null").select(
+        "qid", F.col("r.rel").alias("rel"), F.col("r.gender").alias("wanted")
+    )
     return rel.join(resolve(norm, index), "qid")
 
 
@@ -43,7 +45,9 @@ def graph_facts(questions: DataFrame, g: Graph, index: DataFrame | None = None,
         known = facts(g, rels, asked.select("rel", "id").distinct())
     known = known.withColumnRenamed("rel", "frel")
     order = g.nodes.select(F.col("id").alias("nid"), "node_ord")
-    hits = asked.join(known, (F.col("id") == F.col("subject_id")) & (F.col("rel") == F.col("frel"))).where("wanted is null or gender = wanted").join(order, F.col("id") == F.col("nid"), "left")
+    hits = asked.join(
+        known, (F.col("id") == F.col("subject_id")) & (F.col("rel") == F.col("frel"))
+    ).where("wanted is null or gender = wanted").join(order, F.col("id") == F.col("nid"), "left")
     ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("node_ord", "path", "object_id")))
     return ranked.where(F.col("place") <= most).select("qid", "place", "subject_id", "subject", "rel", "relation", "object_id", "object", "ambiguous")
 
@@ -71,7 +75,15 @@ def retrieve(questions: DataFrame, vectors: DataFrame, embed: Callable[[Column],
     return snippet(rows, "qid", "rank")
 
 
-def ask(questions: DataFrame, g: Graph, passages: DataFrame | None = None, provider: str | None = None, vectors: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, backend: str = BACKEND) -> DataFrame:
+def ask(
+    questions: DataFrame,
+    g: Graph,
+    passages: DataFrame | None = None,
+    provider: str | None = None,
+    vectors: DataFrame | None = None,
+    embed: Callable[[Column], Column] | None = None,
+    backend: str = BACKEND,
+) -> DataFrame:
     """(qid, answer, citations, meta) of questions (qid, question, sources); blank questions are left out.
 
     With `vectors` and `embed` the best passage of each question is retrieved; else `passages` may

@@ -60,7 +60,9 @@ def dehyphenate_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def book_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a bundle whose books start at fixed shares of its length."""
-    rows = table(spark, sf_dir, DOCS).where("text is not null").select(F.col("doc_id").alias("raw_id"), "text", F.posexplode(F.array(*(F.lit(x) for x in (0.0, 0.3, 0.6)))).alias("book_id", "share"))
+    rows = table(spark, sf_dir, DOCS).where("text is not null").select(
+        F.col("doc_id").alias("raw_id"), "text", F.posexplode(F.array(*(F.lit(x) for x in (0.0, 0.3, 0.6)))).alias("book_id", "share")
+    )
     starts = rows.select("raw_id", "book_id", F.floor(F.length("text") * F.col("share")).alias("start"), "text")
     return C.slices(starts).select("raw_id", F.col("book_id").cast("long").alias("book_id"), "start", F.md5("text").alias("digest"))
 
@@ -140,20 +142,40 @@ def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model output over line items: parts and suppliers as customers, three kinds of relation, torn for some."""
     kind = F.element_at(F.array(F.lit("parent-of"), F.lit("spouse-of"), F.lit("rival-of")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     name = lambda n: F.concat(F.lit("Customer#"), F.lpad((F.col(n) % 40 + F.when(F.col(n) % 5 == 0, 900_000_000).otherwise(0)).cast("string"), 9, "0"))
-    body = F.concat(F.lit('Sure: [{"subject":"'), name("l_partkey"), F.lit('","relation":"'), kind, F.lit('","object":"'), name("l_suppkey"), F.lit('","evidence":"'), F.concat_ws(" ", F.lit("line"), F.col("l_linenumber").cast("string")), F.lit('"}'), F.when(F.col("l_orderkey") % 11 == 0, "").otherwise("]"))
+    body = F.concat(
+        F.lit('Sure: [{"subject":"'),
+        name("l_partkey"),
+        F.lit('","relation":"'),
+        kind,
+        F.lit('","object":"'),
+        name("l_suppkey"),
+        F.lit('","evidence":"'),
+        F.concat_ws(" ", F.lit("line"), F.col("l_linenumber").cast("string")),
+        F.lit('"}'),
+        F.when(F.col("l_orderkey") % 11 == 0, "").otherwise("]"),
+    )
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("book_id"), body.alias("output"))
 
 
-_OUT = """l AS (SELECT l_orderkey AS chunk_id, l_returnflag AS book_id, list_extract(['parent-of', 'spouse-of', 'rival-of'], l_linenumber % 3 + 1) AS relation,
+_OUT = """l AS (SELECT l_orderkey AS chunk_id, l_returnflag AS book_id, list_extract(['parent-of', 'spouse-of', 'rival-of'],
+    l_linenumber % 3 + 1) AS relation,
     'Customer#' || lpad(CAST(l_partkey % 40 + CASE WHEN l_partkey % 5 = 0 THEN 900000000 ELSE 0 END AS VARCHAR), 9, '0') AS a,
-    'Customer#' || lpad(CAST(l_suppkey % 40 + CASE WHEN l_suppkey % 5 = 0 THEN 900000000 ELSE 0 END AS VARCHAR), 9, '0') AS b, 'line ' || l_linenumber AS evidence
+    'Customer#' || lpad(CAST(l_suppkey % 40 + CASE WHEN l_suppkey % 5 = 0 THEN 900000000
+        ELSE 0 END AS VARCHAR), 9, '0') AS b, 'line ' || l_linenumber AS evidence
     FROM lineitem WHERE l_orderkey % 11 <> 0),
-can AS (SELECT chunk_id, book_id, CASE relation WHEN 'parent-of' THEN 'parent' ELSE 'spouse' END AS type, a, b, evidence, x.c_custkey AS src, y.c_custkey AS dst
+can AS (SELECT chunk_id, book_id, CASE relation WHEN 'parent-of' THEN 'parent'
+    ELSE 'spouse' END AS type, a, b, evidence, x.c_custkey AS src, y.c_custkey AS dst
     FROM l LEFT JOIN customer x ON x.c_name = l.a LEFT JOIN customer y ON y.c_name = l.b WHERE relation <> 'rival-of')"""
-_GROUPS = f"""WITH {K.BASE}, {_OUT}, seed AS (SELECT 'parent|' || src || '|' || dst AS key FROM par UNION ALL SELECT 'spouse|' || least(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) || '|' || greatest(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) FROM spo),
-kd AS (SELECT *, src IS NOT NULL AND dst IS NOT NULL AS ok, CASE WHEN src IS NULL OR dst IS NULL THEN 'unresolved|' || type || '|' || a || '|' || b
-    WHEN type = 'parent' THEN 'parent|' || src || '|' || dst ELSE 'spouse|' || least(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) || '|' || greatest(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) END AS key FROM can),
-g AS (SELECT key, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks, list_sort(list(DISTINCT evidence)) AS ev, CASE WHEN NOT bool_or(ok) THEN 'needs-node' WHEN key IN (SELECT key FROM seed) THEN 'confirms-seed' ELSE 'novel' END AS cls FROM kd GROUP BY key)"""
+_GROUPS = f"""WITH {K.BASE}, {_OUT}, seed AS (SELECT 'parent|' || src || '|' || dst AS key FROM par UNION ALL
+    SELECT 'spouse|' || least(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) || '|' || greatest(CAST(src AS VARCHAR), CAST(dst AS VARCHAR))
+    FROM spo),
+kd AS (SELECT *, src IS NOT NULL AND dst IS NOT NULL AS ok, CASE
+    WHEN src IS NULL OR dst IS NULL THEN 'unresolved|' || type || '|' || a || '|' || b
+    WHEN type = 'parent' THEN 'parent|' || src || '|' || dst ELSE 'spouse|' || least(CAST(src AS VARCHAR),
+        CAST(dst AS VARCHAR)) || '|' || greatest(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) END AS key FROM can),
+g AS (SELECT key, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks, list_sort(list(DISTINCT evidence)) AS ev, CASE
+    WHEN NOT bool_or(ok) THEN 'needs-node' WHEN key IN (SELECT key FROM seed) THEN 'confirms-seed' ELSE 'novel' END AS cls FROM kd
+    GROUP BY key)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,14 +219,22 @@ def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = table(spark, sf_dir, "benchmark")
     words = F.split(F.lower(F.col("text")), " ")
     first, second = F.element_at(words, 1), F.element_at(words, 2)
-    cases = b.select(F.col("item_id").alias("id"), F.array(first).alias("expected_facts"), (F.col("item_id") % 2 == 0).alias("required_citation"), (F.col("item_id") % 5 == 0).alias("must_refuse"), F.when(F.col("item_id") % 3 == 0, F.array(second)).alias("must_not_reveal"))
+    cases = b.select(
+        F.col("item_id").alias("id"),
+        F.array(first).alias("expected_facts"),
+        (F.col("item_id") % 2 == 0).alias("required_citation"),
+        (F.col("item_id") % 5 == 0).alias("must_refuse"),
+        F.when(F.col("item_id") % 3 == 0, F.array(second)).alias("must_not_reveal"),
+    )
     return cases, table(spark, sf_dir, DOCS).select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), (F.col("n_chars") % 3).alias("n_citations"))
 
 
-_CHECKS = r"""c AS (SELECT b.item_id AS id, lower(string_split(b.text, ' ')[1]) AS w1, lower(string_split(b.text, ' ')[2]) AS w2, coalesce(d.text, '') AS t, coalesce(d.n_chars % 3, 0) AS n FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
+_CHECKS = r"""c AS (SELECT b.item_id AS id, lower(string_split(b.text, ' ')[1]) AS w1, lower(string_split(b.text, ' ')[2]) AS w2,
+    coalesce(d.text, '') AS t, coalesce(d.n_chars % 3, 0) AS n FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id),
 k AS (SELECT id, 'citation-present' AS name, n > 0 AS pass FROM c WHERE id % 2 = 0
     UNION ALL SELECT id, 'expected-facts-present', contains(lower(t), w1) FROM c
-    UNION ALL SELECT id, 'refuses-out-of-corpus', regexp_matches(t, '(?i)do not cover|cannot|no( relevant)? (information|answer)|not (found|covered)') FROM c WHERE id % 5 = 0
+    UNION ALL SELECT id, 'refuses-out-of-corpus', regexp_matches(t,
+        '(?i)do not cover|cannot|no( relevant)? (information|answer)|not (found|covered)') FROM c WHERE id % 5 = 0
     UNION ALL SELECT id, 'spoiler-ceiling-respected', NOT contains(lower(t), w2) FROM c WHERE id % 3 = 0
     UNION ALL SELECT id, 'llm-judge-correctness', NULL FROM c)"""
 
@@ -244,7 +274,12 @@ def ask_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question for every customer, from its text to the cited answer: graph facts, and the best passage of its sources."""
     rows = A.ask(K.questions(spark, sf_dir), K.family(spark, sf_dir), vectors=_passages(spark, sf_dir), embed=_embedder(spark, sf_dir))
     last = F.try_element_at(F.col("citations"), F.lit(-1))["locator"]
-    return rows.select("qid", F.md5("answer").alias("answer_digest"), F.size("citations").cast("long").alias("n_citations"), F.when(last.startswith("chunk "), last).alias("passage"))
+    return rows.select(
+        "qid",
+        F.md5("answer").alias("answer_digest"),
+        F.size("citations").cast("long").alias("n_citations"),
+        F.when(last.startswith("chunk "), last).alias("passage"),
+    )
 
 
 _VEC = f"""vec AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, list_extract(['{"','".join(BOOKS)}'], label + 1) AS book_id FROM embeddings)"""
@@ -261,38 +296,61 @@ dots AS (SELECT axes.qid, vec.id, any_value(vec.book_id) AS book_id, sum(CAST(x
     any_value(sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS m FROM axes, vec GROUP BY axes.qid, vec.id),
 sc AS (SELECT dots.qid, dots.id, round(coalesce(dot / nullif(n * m, 0), 0), 6) AS score
     FROM dots JOIN long ON long.qid = dots.qid JOIN asked ON asked.qid = dots.qid WHERE books IS NULL OR list_contains(books, book_id))"""
-_SCORED = f"WITH {_VEC}, s AS (SELECT a.id, a.book_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q WHERE q.id = 0)"
+_SCORED = f"""WITH {_VEC}, s AS (SELECT a.id, a.book_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q
+    WHERE q.id = 0)"""
 #: Paragraphs joined by one blank, walked chunk by chunk: `walk` has a row for each chunk that is done.
 _CHUNKS = r"""WITH RECURSIVE lines AS (SELECT doc_id, source, list_filter(list_transform(
         regexp_split_to_array(regexp_replace(regexp_replace(text, '\r', '', 'g'), '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '\n+'),
         lambda p: regexp_replace(regexp_replace(p, '[ \t]{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM documents),
 joined AS (SELECT doc_id, array_to_string(ps, ' ') AS t,
-        list_transform(range(1, len(ps) + 1), lambda i: CAST(list_sum(list_transform(ps[1 : i], lambda p: length(p) + 1)) AS BIGINT) - 1) AS ends
+        list_transform(range(1, len(ps) + 1), lambda i: CAST(list_sum(list_transform(ps[1 : i],
+            lambda p: length(p) + 1)) AS BIGINT) - 1) AS ends
         FROM lines WHERE len(ps) > 0),
 -- One step a chunk: k of them are done, the next one starts at a, and e of the paragraphs are used up.
-walk AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM joined
+walk AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS e, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi
+    FROM joined
     UNION ALL
     SELECT doc_id, k + 1,
-        CASE WHEN long THEN ends[e + 1] - length(regexp_replace(substr(t, stop - 150 + 1, ends[e + 1] - stop + 150), '^\s+', '')) ELSE greatest(a, stop - 150) END,
+        CASE WHEN long THEN ends[e + 1] - length(regexp_replace(substr(t, stop - 150 + 1, ends[e + 1] - stop + 150), '^\s+', ''))
+            ELSE greatest(a, stop - 150) END,
         CASE WHEN long THEN e ELSE whole END, a, stop
     FROM (SELECT *, CASE WHEN NOT long THEN ends[whole] WHEN blank > 600 THEN a + blank ELSE a + 1200 END AS stop
         FROM (SELECT w.*, t, ends, ends[e + 1] - a > 1920 AS long,
                 greatest(e + 1, len(list_filter(ends, lambda x: x <= a + 1200))) AS whole,
                 least(1201, length(t) - a) - strpos(reverse(substr(t, a + 1, 1201)), ' ') AS blank
             FROM walk w JOIN joined USING (doc_id) WHERE e < len(ends)) steps) cut),
-chunks AS (SELECT doc_id, k, regexp_replace(substr(t, lo + 1, hi - lo), '^\s+|\s+$', '', 'g') AS text FROM walk JOIN joined USING (doc_id) WHERE k > 0),
-numbered AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, source AS book, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i, chunks.text
+chunks AS (SELECT doc_id, k, regexp_replace(substr(t, lo + 1, hi - lo), '^\s+|\s+$', '', 'g') AS text FROM walk JOIN joined USING (doc_id)
+    WHERE k > 0),
+numbered AS (SELECT CAST(doc_id AS VARCHAR) AS book_id, source AS book, row_number() OVER (PARTITION BY doc_id
+    ORDER BY k) - 1 AS i, chunks.text
     FROM chunks JOIN documents USING (doc_id) WHERE length(chunks.text) >= 50)"""
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 
 QUERIES = {
     "normalize_text": (normalize_text, f"SELECT doc_id, {NORM.format('text')} AS norm FROM documents"),
-    "source_id": (source_ids, "WITH f AS (SELECT DISTINCT 'The ' || source || ' ' || lang || ' (Final)_Copy.pdf' AS file FROM documents) SELECT file, CASE WHEN regexp_matches(lower(file), 'bundle|src1[0-4]') THEN 'bundle-1-4' WHEN regexp_matches(lower(file), 'src7') THEN 'fire-and-blood' WHEN regexp_matches(lower(file), 'src9') THEN 'knight-seven-kingdoms' ELSE substr(lower(regexp_replace(regexp_replace(file, '\\.pdf$', ''), '[^A-Za-z0-9]+', '-', 'g')), 1, 40) END AS source_id FROM f"),
-    "sample_positions": (sample_positions, "SELECT doc_id, CAST(f AS DOUBLE) AS fraction, substr(text, CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) + 1, 900) AS sample FROM documents, (VALUES (0.0), (0.12), (0.5)) t(f) WHERE text IS NOT NULL"),
-    "quality_verdict": (quality_verdict, "WITH p AS (SELECT doc_id, CAST(floor(length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) / CAST(coalesce(nullif(n_chars // 1000, 0), 1) AS DOUBLE) + 0.5) AS BIGINT) AS per_page FROM documents) SELECT doc_id, per_page, CASE WHEN per_page >= 800 THEN 'TEXT' WHEN per_page >= 100 THEN 'PARTIAL' ELSE 'SCANNED' END AS verdict FROM p"),
-    "page_chars": (page_chars, "WITH p AS (SELECT page_id, CAST(floor(length(trim(regexp_replace(html, '\\s+', ' ', 'g'))) / 2.0 + 0.5) AS BIGINT) AS per_page FROM pages) SELECT page_id, per_page, CASE WHEN per_page >= 800 THEN 'TEXT' WHEN per_page >= 100 THEN 'PARTIAL' ELSE 'SCANNED' END AS verdict FROM p"),
-    "dehyphenate_paragraphs": (dehyphenate_paragraphs, f"WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r', '', 'g'), '([A-Za-z])-\\n([a-z])', '\\1\\2', 'g'), '\\n+'), lambda p: {_TRIM.format(chr(39).join(['regexp_replace(p, ', '[ \\t]{2,}', ', ', ' ', ', ', 'g', ')']))}), lambda p: p <> '') AS ps FROM documents), e AS (SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS i FROM d) SELECT doc_id, i - 1 AS place, paragraph FROM e"),
-    "book_slices": (book_slices, "WITH s AS (SELECT doc_id AS raw_id, CAST(i AS BIGINT) AS book_id, CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) AS start, text FROM documents, (VALUES (0, 0.0), (1, 0.3), (2, 0.6)) t(i, f) WHERE text IS NOT NULL), e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY raw_id ORDER BY start), length(text)) AS stop FROM s) SELECT raw_id, book_id, start, md5(substr(text, start + 1, stop - start)) AS digest FROM e"),
+    "source_id": (source_ids, """WITH f AS (SELECT DISTINCT 'The ' || source || ' ' || lang || ' (Final)_Copy.pdf' AS file FROM documents)
+        SELECT file, CASE WHEN regexp_matches(lower(file), 'bundle|src1[0-4]') THEN 'bundle-1-4'
+        WHEN regexp_matches(lower(file), 'src7') THEN 'fire-and-blood' WHEN regexp_matches(lower(file), 'src9') THEN 'knight-seven-kingdoms'
+        ELSE substr(lower(regexp_replace(regexp_replace(file, '\\.pdf$', ''), '[^A-Za-z0-9]+', '-', 'g')), 1, 40) END AS source_id FROM f"""),
+    "sample_positions": (sample_positions, """SELECT doc_id, CAST(f AS DOUBLE) AS fraction, substr(text,
+        CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) + 1, 900) AS sample FROM documents, (VALUES (0.0), (0.12), (0.5)) t(f)
+        WHERE text IS NOT NULL"""),
+    "quality_verdict": (quality_verdict, """WITH p AS (SELECT doc_id, CAST(floor(length(trim(regexp_replace(coalesce(text, ''), '\\s+',
+        ' ', 'g'))) / CAST(coalesce(nullif(n_chars // 1000, 0), 1) AS DOUBLE) + 0.5) AS BIGINT) AS per_page FROM documents)
+        SELECT doc_id, per_page, CASE WHEN per_page >= 800 THEN 'TEXT' WHEN per_page >= 100 THEN 'PARTIAL' ELSE 'SCANNED' END AS verdict
+        FROM p"""),
+    "page_chars": (page_chars, """WITH p AS (SELECT page_id, CAST(floor(length(trim(regexp_replace(html, '\\s+', ' ',
+        'g'))) / 2.0 + 0.5) AS BIGINT) AS per_page FROM pages) SELECT page_id, per_page, CASE WHEN per_page >= 800 THEN 'TEXT'
+        WHEN per_page >= 100 THEN 'PARTIAL' ELSE 'SCANNED' END AS verdict FROM p"""),
+    "dehyphenate_paragraphs": (dehyphenate_paragraphs, f"""WITH d AS (SELECT doc_id,
+        list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r', '', 'g'), '([A-Za-z])-\\n([a-z])',
+        '\\1\\2', 'g'), '\\n+'), lambda p: {_TRIM.format(chr(39).join(['regexp_replace(p, ', '[ \\t]{2,}', ', ', ' ', ', ', 'g', ')']))}),
+        lambda p: p <> '') AS ps FROM documents), e AS (SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) AS i FROM d)
+        SELECT doc_id, i - 1 AS place, paragraph FROM e"""),
+    "book_slices": (book_slices, """WITH s AS (SELECT doc_id AS raw_id, CAST(i AS BIGINT) AS book_id,
+        CAST(floor(length(text) * CAST(f AS DOUBLE)) AS BIGINT) AS start, text FROM documents, (VALUES (0, 0.0), (1, 0.3), (2, 0.6)) t(i, f)
+        WHERE text IS NOT NULL), e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY raw_id ORDER BY start), length(text)) AS stop
+        FROM s) SELECT raw_id, book_id, start, md5(substr(text, start + 1, stop - start)) AS digest FROM e"""),
     "chunk_documents": (
         chunk_documents,
         f"""{_CHUNKS} SELECT book_id || '#' || i AS id, book_id, book, CAST(i AS INTEGER) AS chunk_index,
@@ -303,29 +361,45 @@ QUERIES = {
         f"""{_CHUNKS} SELECT book_id, book, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars,
             arg_min(text, i) AS first_text FROM numbered GROUP BY book_id, book""",
     ),
-    "chunk_stride": (stride_chunks, "WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1050)) AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos // 1050 AS chunk_index, md5(substr(text, pos + 1, 1200)) AS digest FROM d"),
+    "chunk_stride": (stride_chunks, """WITH d AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 1050)) AS pos
+        FROM documents WHERE text IS NOT NULL) SELECT doc_id, pos // 1050 AS chunk_index, md5(substr(text, pos + 1, 1200)) AS digest FROM d"""),
     "vector_topk": (vector_topk, f"{_SCORED} SELECT id, score FROM s ORDER BY score DESC, id LIMIT 8"),
-    "vector_topk_filtered": (vector_topk_filtered, f"{_SCORED} SELECT id, score, book_id FROM s WHERE book_id IN ('fab', 'kotsk') ORDER BY score DESC, id LIMIT 8"),
-    "vector_topk_batch": (vector_topk_batch, f"WITH {_VEC}, s AS (SELECT q.id AS qid, a.id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 8"),
-    "snippet_projection": (snippet_projection, f"{_SCORED} SELECT id, score, source AS work, 'chunk ' || id AS locator, 'novel' AS type, book_id, text FROM s LEFT JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 8"),
-    "vector_upsert": (vector_upsert, "SELECT doc_id AS id, 'label-' || quality AS source FROM labels UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
-    "vector_parts": (vector_parts, "WITH n AS (SELECT l_orderkey * 8 + l_linenumber AS id, row_number() OVER (ORDER BY l_orderkey * 8 + l_linenumber) AS r FROM lineitem) SELECT (r - 1) // 5000 + 1 AS part, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM n GROUP BY 1"),
+    "vector_topk_filtered": (vector_topk_filtered, f"""{_SCORED} SELECT id, score, book_id FROM s WHERE book_id IN ('fab', 'kotsk')
+        ORDER BY score DESC, id LIMIT 8"""),
+    "vector_topk_batch": (vector_topk_batch, f"""WITH {_VEC}, s AS (SELECT q.id AS qid, a.id, round(list_cosine_similarity(a.v, q.v),
+        6) AS score FROM vec a, vec q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid
+        ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 8"""),
+    "snippet_projection": (snippet_projection, f"""{_SCORED} SELECT id, score, source AS work, 'chunk ' || id AS locator, 'novel' AS type,
+        book_id, text FROM s LEFT JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 8"""),
+    "vector_upsert": (vector_upsert, """SELECT doc_id AS id, 'label-' || quality AS source FROM labels UNION ALL SELECT doc_id, source
+        FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""),
+    "vector_parts": (vector_parts, """WITH n AS (SELECT l_orderkey * 8 + l_linenumber AS id, row_number()
+        OVER (ORDER BY l_orderkey * 8 + l_linenumber) AS r FROM lineitem)
+        SELECT (r - 1) // 5000 + 1 AS part, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM n GROUP BY 1"""),
     "resume_antijoin": (resume_antijoin, "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "json_relations": (event_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"),
-    "candidates": (candidates, f"WITH {_OUT} SELECT type, book_id, src IS NOT NULL AND dst IS NOT NULL AS resolved, count(*) AS n, min(a) AS least, max(evidence) AS most FROM can GROUP BY 1, 2, 3"),
+    "candidates": (candidates, f"""WITH {_OUT} SELECT type, book_id, src IS NOT NULL
+        AND dst IS NOT NULL AS resolved, count(*) AS n, min(a) AS least, max(evidence) AS most FROM can GROUP BY 1, 2, 3"""),
     "review_groups": (review_groups, f"{_GROUPS} SELECT key, n, n_chunks, array_to_string(ev, '; ') AS evidence, cls FROM g"),
-    "review_classes": (review_classes, f"{_GROUPS} SELECT cls, count(*) AS edges, CAST(sum(n) AS BIGINT) AS candidates FROM g GROUP BY cls"),
-    "worklist_topk": (worklist_topk, f"{_GROUPS} SELECT key, n, array_to_string(ev[1:2], '; ') AS evidence FROM g WHERE cls = 'novel' AND n_chunks % 2 <> 0 ORDER BY n DESC, key LIMIT 20"),
+    "review_classes": (review_classes, f"""{_GROUPS} SELECT cls, count(*) AS edges, CAST(sum(n) AS BIGINT) AS candidates FROM g
+        GROUP BY cls"""),
+    "worklist_topk": (worklist_topk, f"""{_GROUPS} SELECT key, n, array_to_string(ev[1:2], '; ') AS evidence FROM g WHERE cls = 'novel'
+        AND n_chunks % 2 <> 0 ORDER BY n DESC, key LIMIT 20"""),
     "eval_checks": (eval_checks, f"WITH {_CHECKS} SELECT id, name, pass FROM k"),
-    "eval_totals": (eval_totals, f"WITH {_CHECKS} SELECT count(*) FILTER (WHERE pass) AS passed, count(*) FILTER (WHERE NOT pass) AS failed, count(*) FILTER (WHERE pass IS NULL) AS skipped FROM k"),
+    "eval_totals": (eval_totals, f"""WITH {_CHECKS} SELECT count(*) FILTER (WHERE pass) AS passed,
+        count(*) FILTER (WHERE NOT pass) AS failed, count(*) FILTER (WHERE pass IS NULL) AS skipped FROM k"""),
     "retrieve_top8": (
         retrieve_top8,
-        f"WITH {_RETRIEVED}, r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc) SELECT * FROM r WHERE rank <= 8",
+        f"""WITH {_RETRIEVED}, r AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc)
+            SELECT * FROM r WHERE rank <= 8""",
     ),
-    "default_source": (default_source, f"SELECT c_custkey AS qid, coalesce(array_to_string({_BOOKS_ASKED}, ','), '') AS books FROM customer"),
+    "default_source": (default_source, f"""SELECT c_custkey AS qid, coalesce(array_to_string({_BOOKS_ASKED}, ','), '') AS books
+        FROM customer"""),
     "ask_flagship": (
         ask_flagship,
         f"{K.ANSWERS}, {_RETRIEVED}, top AS (SELECT qid, arg_min(id, (-score, id)) AS id FROM sc GROUP BY qid) "
-        "SELECT c_custkey AS qid, md5(coalesce(said.answer, d.text, 'The sources provided do not cover that. (stub)')) AS answer_digest, coalesce(said.n, 0) + CASE WHEN top.id IS NULL THEN 0 ELSE 1 END AS n_citations, 'chunk ' || top.id AS passage FROM customer LEFT JOIN said ON said.qid = c_custkey LEFT JOIN top ON top.qid = c_custkey LEFT JOIN documents d ON d.doc_id = top.id",
+        """SELECT c_custkey AS qid, md5(coalesce(said.answer, d.text, 'The sources provided do not cover that. (stub)')) AS answer_digest,
+            coalesce(said.n, 0) + CASE WHEN top.id IS NULL THEN 0 ELSE 1 END AS n_citations, 'chunk ' || top.id AS passage FROM customer
+            LEFT JOIN said ON said.qid = c_custkey LEFT JOIN top ON top.qid = c_custkey LEFT JOIN documents d ON d.doc_id = top.id""",
     ),
 }

@@ -39,14 +39,23 @@ def _closure(kind: str):
 
 def preorder12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.ordered_closure(K.family(spark, sf_dir), "parent")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("path"))).where("place <= 12").select("id", "place", F.col("other").alias("relative_id"))
+    return rows.withColumn(
+        "place", F.row_number().over(W.partitionBy("id").orderBy("path"))
+    ).where("place <= 12").select("id", "place", F.col("other").alias("relative_id"))
 
 
 def _noted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Reviewed edges from orders: customer to a neighbour, some approved, some repeated, some to unknown customers."""
     o = table(spark, sf_dir, "orders")
     status = F.element_at(F.array(F.lit("approved"), F.lit("rejected"), F.lit(""), F.lit(None).cast("string")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = o.select(F.lit("parent").alias("type"), F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("dst"), F.lit("extracted:reviewed").alias("source"), status.alias("status"), F.col("o_orderkey").alias("edge_ord"))
+    rows = o.select(
+        F.lit("parent").alias("type"),
+        F.col("o_custkey").alias("src"),
+        (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("dst"),
+        F.lit("extracted:reviewed").alias("source"),
+        status.alias("status"),
+        F.col("o_orderkey").alias("edge_ord"),
+    )
     return K.nodes(spark, sf_dir), rows
 
 
@@ -94,7 +103,8 @@ def _part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), alias.alias("aliases"))
 
 
-_PART_INDEX = """idx AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(strip_accents(lower(k)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS key, id, n_aliases
+_PART_INDEX = """idx AS (SELECT DISTINCT trim(regexp_replace(regexp_replace(strip_accents(lower(k)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ',
+    'g')) AS key, id, n_aliases
     FROM (SELECT p_partkey AS id, p_name AS k, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS n_aliases FROM part
           UNION ALL SELECT p_partkey, p_brand, 1 FROM part WHERE p_partkey % 2 = 0))"""
 
@@ -123,16 +133,20 @@ def _names(mode: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Raw names: customers', cut short or with a title, against customers."""
         c = table(spark, sf_dir, "customer")
-        raw = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("Ser "), "c_name")).otherwise(F.substring("c_name", 1, 17))
+        raw = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(
+            F.col("c_custkey") % 3 == 1, F.concat(F.lit("Ser "), "c_name")
+        ).otherwise(F.substring("c_name", 1, 17))
         index = G.name_index(K.nodes(spark, sf_dir))
         return resolve_names(c.select(raw.alias("raw")), index, mode).select("raw", F.col("id").alias("resolved_id"))
 
     return query
 
 
-_RESOLVE_NAMES = f"""WITH {K.NODES}, raw AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'Ser ' || c_name ELSE substr(c_name, 1, 17) END AS raw FROM customer),
+_RESOLVE_NAMES = f"""WITH {K.NODES}, raw AS (SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'Ser ' || c_name
+    ELSE substr(c_name, 1, 17) END AS raw FROM customer),
 n AS (SELECT raw, trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM raw),
-idx AS (SELECT trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS key, min(id) AS id FROM nodes GROUP BY 1 HAVING count(*) = 1),
+idx AS (SELECT trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS key, min(id) AS id FROM nodes
+    GROUP BY 1 HAVING count(*) = 1),
 ex AS (SELECT n.raw, idx.id FROM n JOIN idx ON n.norm = idx.key),
 fz AS (SELECT n.raw, arg_min(idx.id, (-length(idx.key), idx.key)) AS id FROM n JOIN idx ON length(idx.key) >= 5 AND {{how}}
        WHERE n.norm <> '' AND n.raw NOT IN (SELECT raw FROM ex) GROUP BY n.raw)
@@ -141,7 +155,9 @@ SELECT raw.raw, coalesce(ex.id, fz.id) AS resolved_id FROM raw LEFT JOIN ex ON r
 
 def detect_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations in every turn of the conversations and in one generated question for each customer."""
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tid"), "text")
+    turns = table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tid"), "text"
+    )
     asked = K.questions(spark, sf_dir).select(F.concat(F.lit("ask:"), F.col("qid").cast("string")).alias("tid"), F.col("question").alias("text"))
     r = turns.unionByName(asked).withColumn("r", detect(normalize_name(F.col("text"))))
     return r.select("tid", F.col("r.rel").alias("rel"), F.col("r.gender").alias("gender"))
@@ -154,8 +170,10 @@ def _detect_sql() -> str:
     gen = " ".join(f"WHEN regexp_matches(n, '{p}') THEN {repr(g) if g else 'NULL'}" for p, _, g in PATTERNS)
     words = "','".join(K.ASKED)
     return f"""WITH t AS (SELECT 'turn:' || conv_id || ':' || turn AS tid, text FROM conversations
-        UNION ALL SELECT 'ask:' || c_custkey, 'Who were ' || c_name || '''s ' || list_extract(['{words}'], c_custkey % 8 + 1) || '?' FROM customer),
-    n AS (SELECT tid, ' ' || trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) || ' ' AS n FROM t)
+        UNION ALL SELECT 'ask:' || c_custkey, 'Who were ' || c_name || '''s ' || list_extract(['{words}'], c_custkey % 8 + 1) || '?'
+            FROM customer),
+    n AS (SELECT tid, ' ' || trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9 ]+', ' ', 'g'), ' +',
+        ' ', 'g')) || ' ' AS n FROM t)
     SELECT tid, CASE {rel} END AS rel, CAST(CASE {gen} END AS VARCHAR) AS gender FROM n"""
 
 
@@ -167,7 +185,11 @@ def compose_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = K.questions(spark, sf_dir)
     rows = answer(q, compose(A.graph_facts(q, K.family(spark, sf_dir))), None)
-    return rows.select("qid", F.size("citations").cast("long").alias("n"), F.array_join(F.transform("citations", lambda c: c["locator"]), "; ").alias("locators"))
+    return rows.select(
+        "qid",
+        F.size("citations").cast("long").alias("n"),
+        F.array_join(F.transform("citations", lambda c: c["locator"]), "; ").alias("locators"),
+    )
 
 
 def load_script(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,30 +198,59 @@ def load_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "graph_parents": (_relation("parent"), f"WITH {K.BASE} SELECT dst AS id, src AS relative_id FROM par"),
-    "graph_father": (_relation("parent", "male"), f"WITH {K.BASE} SELECT dst AS id, src AS relative_id FROM par JOIN nodes n ON n.id = src WHERE n.gender = 'male'"),
+    "graph_father": (_relation("parent", "male"), f"""WITH {K.BASE} SELECT dst AS id, src AS relative_id FROM par
+        JOIN nodes n ON n.id = src WHERE n.gender = 'male'"""),
     "graph_children": (_relation("child"), f"WITH {K.BASE} SELECT src AS id, dst AS relative_id FROM par"),
     "graph_spouses": (_relation("spouse"), f"WITH {K.BASE} SELECT DISTINCT src AS id, dst AS relative_id FROM spo"),
-    "graph_siblings": (_relation("sibling"), f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a JOIN par b ON a.src = b.src AND a.dst <> b.dst"),
-    "graph_sql_siblings": (sql_siblings, f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a JOIN par b ON a.src = b.src AND a.dst <> b.dst"),
-    "graph_grandparents": (_relation("grandparent"), f"WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.src AS relative_id FROM par a JOIN par b ON a.src = b.dst"),
-    "graph_grandchildren": (_relation("grandchild"), f"WITH {K.BASE} SELECT DISTINCT a.src AS id, b.dst AS relative_id FROM par a JOIN par b ON a.dst = b.src"),
-    "graph_ancestors": (_closure("parent"), f"WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT dst, src FROM par UNION SELECT r.id, p.src FROM r JOIN par p ON p.dst = r.other) SELECT id, other AS relative_id FROM r"),
-    "graph_descendants": (_closure("child"), f"WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT src, dst FROM par UNION SELECT r.id, p.dst FROM r JOIN par p ON p.src = r.other) SELECT id, other AS relative_id FROM r"),
-    "graph_ancestors_preorder12": (preorder12, f"WITH RECURSIVE {K.BASE}, {K.walk(True)}, b AS (SELECT id, other, min(path) AS path FROM walk GROUP BY id, other), n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY path) AS INTEGER) AS place, other AS relative_id FROM b) SELECT * FROM n WHERE place <= 12"),
-    "graph_edge_dedupe": (edge_dedupe, f"WITH {_REVIEWED} SELECT 'parent|' || src || '|' || dst AS key, min(ord) AS first_ord, count(*) AS copies FROM rev GROUP BY 1"),
-    "graph_add_only_merge": (add_only_merge, f"WITH {K.BASE}, {_REVIEWED} SELECT src, dst, min(ord) AS edge_ord FROM ok WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) AND NOT EXISTS (SELECT 1 FROM par WHERE par.src = ok.src AND par.dst = ok.dst) GROUP BY src, dst"),
-    "graph_counts": (graph_counts, f"WITH {K.BASE}, {_REVIEWED}, a AS (SELECT DISTINCT src, dst FROM ok WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) AND NOT EXISTS (SELECT 1 FROM par WHERE par.src = ok.src AND par.dst = ok.dst)) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM par) + (SELECT count(*) FROM a) AS parent_edges, (SELECT count(*) FROM pair) AS spouse_edges, (SELECT count(*) FROM a) AS added_from_review"),
-    "graph_warnings": (graph_warnings, f"WITH {K.BASE}, {_REVIEWED}, l AS (SELECT DISTINCT 'parent|' || src || '|' || dst AS key, ord FROM ok WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes)) SELECT 'unknown-node' AS kind, count(*) AS n, min(key) AS least FROM l HAVING count(*) > 0"),
-    "graph_fact_labels": (fact_labels, f"{K.FACTS} SELECT rel, relation, count(*) AS n, CAST(sum(object_id) AS BIGINT) AS object_sum FROM facts GROUP BY rel, relation"),
+    "graph_siblings": (_relation("sibling"), f"""WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a
+        JOIN par b ON a.src = b.src AND a.dst <> b.dst"""),
+    "graph_sql_siblings": (sql_siblings, f"""WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.dst AS relative_id FROM par a
+        JOIN par b ON a.src = b.src AND a.dst <> b.dst"""),
+    "graph_grandparents": (_relation("grandparent"), f"""WITH {K.BASE} SELECT DISTINCT a.dst AS id, b.src AS relative_id FROM par a
+        JOIN par b ON a.src = b.dst"""),
+    "graph_grandchildren": (_relation("grandchild"), f"""WITH {K.BASE} SELECT DISTINCT a.src AS id, b.dst AS relative_id FROM par a
+        JOIN par b ON a.dst = b.src"""),
+    "graph_ancestors": (_closure("parent"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT dst, src FROM par UNION SELECT r.id, p.src
+        FROM r JOIN par p ON p.dst = r.other) SELECT id, other AS relative_id FROM r"""),
+    "graph_descendants": (_closure("child"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT src, dst FROM par UNION
+        SELECT r.id, p.dst FROM r JOIN par p ON p.src = r.other) SELECT id, other AS relative_id FROM r"""),
+    "graph_ancestors_preorder12": (preorder12, f"""WITH RECURSIVE {K.BASE}, {K.walk(True)}, b AS (SELECT id, other, min(path) AS path
+        FROM walk GROUP BY id, other), n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id
+        ORDER BY path) AS INTEGER) AS place, other AS relative_id FROM b) SELECT * FROM n WHERE place <= 12"""),
+    "graph_edge_dedupe": (edge_dedupe, f"""WITH {_REVIEWED} SELECT 'parent|' || src || '|' || dst AS key, min(ord) AS first_ord,
+        count(*) AS copies FROM rev GROUP BY 1"""),
+    "graph_add_only_merge": (add_only_merge, f"""WITH {K.BASE}, {_REVIEWED} SELECT src, dst, min(ord) AS edge_ord FROM ok
+        WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) AND NOT EXISTS (SELECT 1 FROM par WHERE par.src = ok.src
+        AND par.dst = ok.dst) GROUP BY src, dst"""),
+    "graph_counts": (graph_counts, f"""WITH {K.BASE}, {_REVIEWED}, a AS (SELECT DISTINCT src, dst FROM ok WHERE src IN (SELECT id
+        FROM nodes) AND dst IN (SELECT id FROM nodes) AND NOT EXISTS (SELECT 1 FROM par WHERE par.src = ok.src AND par.dst = ok.dst))
+        SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM par) + (SELECT count(*)
+        FROM a) AS parent_edges, (SELECT count(*) FROM pair) AS spouse_edges, (SELECT count(*) FROM a) AS added_from_review"""),
+    "graph_warnings": (graph_warnings, f"""WITH {K.BASE}, {_REVIEWED}, l AS (SELECT DISTINCT 'parent|' || src || '|' || dst AS key, ord
+        FROM ok WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes))
+        SELECT 'unknown-node' AS kind, count(*) AS n, min(key) AS least FROM l HAVING count(*) > 0"""),
+    "graph_fact_labels": (fact_labels, f"""{K.FACTS} SELECT rel, relation, count(*) AS n, CAST(sum(object_id) AS BIGINT) AS object_sum
+        FROM facts GROUP BY rel, relation"""),
     "graph_facts_top12": (facts_top12, f"{K.FACTS}, {K.QUESTIONS} SELECT qid, place, relation, object_id, object FROM cut"),
     "name_index": (name_index, f"WITH {_PART_INDEX} SELECT DISTINCT key, id FROM idx WHERE key <> ''"),
-    "name_collisions": (name_collisions, f"WITH {_PART_INDEX} SELECT key, count(*) AS ids FROM idx WHERE key <> '' GROUP BY key HAVING count(*) > 1"),
-    "prominence_tiebreak": (prominence, f"WITH {_PART_INDEX}, r AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY n_aliases DESC) AS r FROM idx WHERE key <> '') SELECT key, count(*) AS kept, min(id) AS least_id, count(*) > 1 AS ambiguous FROM r WHERE r = 1 GROUP BY key"),
-    "resolve_entities": (_resolve, "SELECT c_custkey AS qid, c_custkey AS id, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS key, false AS ambiguous FROM customer"),
+    "name_collisions": (name_collisions, f"""WITH {_PART_INDEX} SELECT key, count(*) AS ids FROM idx WHERE key <> '' GROUP BY key
+        HAVING count(*) > 1"""),
+    "prominence_tiebreak": (prominence, f"""WITH {_PART_INDEX}, r AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY n_aliases DESC) AS r
+        FROM idx WHERE key <> '') SELECT key, count(*) AS kept, min(id) AS least_id, count(*) > 1 AS ambiguous FROM r WHERE r = 1
+        GROUP BY key"""),
+    "resolve_entities": (_resolve, """SELECT c_custkey AS qid, c_custkey AS id, trim(regexp_replace(regexp_replace(lower(c_name),
+        '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS key, false AS ambiguous FROM customer"""),
     "resolve_name_compat": (_names("compat"), _RESOLVE_NAMES.format(how="(contains(n.norm, idx.key) OR contains(idx.key, n.norm))")),
     "resolve_name_strict": (_names("strict"), _RESOLVE_NAMES.format(how="contains(n.norm, idx.key)")),
     "detect_relation": (detect_relation, _detect_sql()),
     "compose_answer": (compose_answer, f"{K.ANSWERS} SELECT qid, answer FROM said"),
-    "citations": (citations, f"{K.ANSWERS} SELECT c_custkey AS qid, coalesce(n, 0) AS n, coalesce(cites, '') AS locators FROM customer LEFT JOIN said ON qid = c_custkey"),
-    "sql_load_script": (load_script, f"WITH {K.BASE} SELECT 0 AS part, 'DELETE FROM edges;' AS line UNION ALL SELECT 0, 'DELETE FROM nodes;' UNION ALL SELECT 1, 'INSERT INTO nodes (id, name, house, gender) VALUES (''' || id || ''', ''' || replace(name, '''', '''''') || ''', ''' || house || ''', ''' || gender || ''');' FROM nodes UNION ALL SELECT 2, 'INSERT INTO edges (type, src, dst, source) VALUES (''parent'', ''' || src || ''', ''' || dst || ''', ''seed'');' FROM par UNION ALL SELECT 2, 'INSERT INTO edges (type, src, dst, source) VALUES (''spouse'', ''' || (b - 1) || ''', ''' || b || ''', ''seed'');' FROM pair"),
+    "citations": (citations, f"""{K.ANSWERS} SELECT c_custkey AS qid, coalesce(n, 0) AS n, coalesce(cites, '') AS locators FROM customer
+        LEFT JOIN said ON qid = c_custkey"""),
+    "sql_load_script": (load_script, f"""WITH {K.BASE} SELECT 0 AS part, 'DELETE FROM edges;' AS line UNION ALL
+        SELECT 0, 'DELETE FROM nodes;' UNION ALL SELECT 1,
+        'INSERT INTO nodes (id, name, house, gender) VALUES (''' || id || ''', ''' || replace(name, '''',
+        '''''') || ''', ''' || house || ''', ''' || gender || ''');' FROM nodes UNION ALL
+        SELECT 2, 'INSERT INTO edges (type, src, dst, source) VALUES (''parent'', ''' || src || ''', ''' || dst || ''', ''seed'');' FROM par
+        UNION ALL SELECT 2,
+        'INSERT INTO edges (type, src, dst, source) VALUES (''spouse'', ''' || (b - 1) || ''', ''' || b || ''', ''seed'');' FROM pair"""),
 }

@@ -29,7 +29,10 @@ def raw_texts(spark: SparkSession, folder: str) -> DataFrame:
     own = F.url_decode(F.url_decode(F.regexp_extract(path, r"/raw_id=([^/]+)/[^/]*$", 1)))  # once for the folder, once for the path
     named = F.regexp_extract(path, r"/raw-([^/]*)\.txt$", 1)
     # Spark ends each text that it writes with a line break.
-    return rows.select(F.when(own != "", own).otherwise(named).alias("raw_id"), F.when(own != "", F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value")).alias("text")).where("raw_id <> ''")
+    return rows.select(
+        F.when(own != "", own).otherwise(named).alias("raw_id"),
+        F.when(own != "", F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value")).alias("text"),
+    ).where("raw_id <> ''")
 
 
 def write_raw(rows: DataFrame, folder: str) -> None:
@@ -73,13 +76,25 @@ def read_reviewed(spark: SparkSession, path: str) -> DataFrame:
     if fs.exists(at):  # a file is one JSON array; a folder, as write_reviewed leaves it, has a line an edge
         rows = spark.read.schema(REVIEWED).option("multiLine", fs.getFileStatus(at).isFile()).option("mode", "DROPMALFORMED").json(path)
     ends = [F.coalesce("src", "from", "a").alias("src"), F.coalesce("dst", "to", "b").alias("dst")]
-    return rows.select("type", *ends, "source", "status", F.col("evidenceChunks").alias("evidence_chunks"), F.monotonically_increasing_id().alias("edge_ord")).where("type is not null")
+    return rows.select(
+        "type",
+        *ends,
+        "source",
+        "status",
+        F.col("evidenceChunks").alias("evidence_chunks"),
+        F.monotonically_increasing_id().alias("edge_ord"),
+    ).where("type is not null")
 
 
 def write_reviewed(rows: DataFrame, path: str) -> None:
     """Reviewed edges (type, src, dst, source, status, optional evidence_chunks), rejected ones too, as JSON lines."""
     parent = F.col("type") == "parent"
-    ends = [F.when(parent, F.col("src")).alias("from"), F.when(parent, F.col("dst")).alias("to"), F.when(~parent, F.col("src")).alias("a"), F.when(~parent, F.col("dst")).alias("b")]
+    ends = [
+        F.when(parent, F.col("src")).alias("from"),
+        F.when(parent, F.col("dst")).alias("to"),
+        F.when(~parent, F.col("src")).alias("a"),
+        F.when(~parent, F.col("dst")).alias("b"),
+    ]
     chunks = [F.col("evidence_chunks").alias("evidenceChunks")] if "evidence_chunks" in rows.columns else []
     rows.select("type", *ends, "source", "status", *chunks).write.mode("overwrite").json(path)
 
@@ -92,7 +107,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of KEY=VALUE lines; comments and blank lines go, matching quotes too, the first of a key stays."""
     line = F.trim("value")
-    pair = spark.read.text(path).where(~line.rlike("^(#|$)") & line.contains("=")).select(F.trim(F.regexp_extract(line, "^([^=]+)=", 1)).alias("key"), F.trim(F.regexp_extract(line, "^[^=]+=(.*)$", 1)).alias("v"), F.monotonically_increasing_id().alias("o"))
+    pair = spark.read.text(path).where(~line.rlike("^(#|$)") & line.contains("=")).select(
+        F.trim(F.regexp_extract(line, "^([^=]+)=", 1)).alias("key"),
+        F.trim(F.regexp_extract(line, "^[^=]+=(.*)$", 1)).alias("v"),
+        F.monotonically_increasing_id().alias("o"),
+    )
     bare = F.when(F.col("v").rlike("^\".*\"$|^'.*'$"), F.substring("v", F.lit(2), F.length("v") - 2)).otherwise(F.col("v"))
     return pair.groupBy("key").agg(F.min_by(bare, "o").alias("value"))
 

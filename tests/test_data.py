@@ -27,7 +27,9 @@ def test_chunks_overlap_and_cut_at_spaces(spark):
     got = C.pack([long])
     assert all(len(c) <= 1200 for c in got[:-1]) and got[0].endswith("word")
     assert C.pack(["z" * 49]) == [] and C.pack([]) == []
-    rows = C.chunk(spark.createDataFrame([("b", "Book", "p" * 60 + "\n\n" + "q" * 1200)], "book_id string, book string, text string")).orderBy("chunk_index").collect()
+    rows = C.chunk(
+        spark.createDataFrame([("b", "Book", "p" * 60 + "\n\n" + "q" * 1200)], "book_id string, book string, text string")
+    ).orderBy("chunk_index").collect()
     assert [r["id"] for r in rows] == ["b#0", "b#1"] and rows[0]["chars"] == 60
 
 
@@ -103,7 +105,13 @@ def test_parts(spark):
 
 
 def test_review(spark):
-    said = [("c1", "x", 'ok [{"subject":"A","relation":"parent-of","object":"B","evidence":"e1"}]'), ("c2", "x", '[{"subject":"A","relation":"parent-of","object":"B","evidence":7},{"subject":"A","relation":"rival-of","object":"B"}]'), ("c3", "x", '[{"subject":"B","relation":"spouse-of","object":"Q"}]'), ("c4", "x", "torn [{"), ("c5", "x", '[{"subject":"B","relation":"spouse-of","object":"A","evidence":"' + "y" * 400 + '"}]')]
+    said = [
+        ("c1", "x", 'ok [{"subject":"A","relation":"parent-of","object":"B","evidence":"e1"}]'),
+        ("c2", "x", '[{"subject":"A","relation":"parent-of","object":"B","evidence":7},{"subject":"A","relation":"rival-of","object":"B"}]'),
+        ("c3", "x", '[{"subject":"B","relation":"spouse-of","object":"Q"}]'),
+        ("c4", "x", "torn [{"),
+        ("c5", "x", '[{"subject":"B","relation":"spouse-of","object":"A","evidence":"' + "y" * 400 + '"}]'),
+    ]
     index = spark.createDataFrame([("a", "ida", 0), ("b", "idb", 0)], "key string, id string, n_aliases int")
     rows = R.candidates(spark.createDataFrame(said, "chunk_id string, book_id string, output string"), index)
     assert rows.count() == 4 and rows.agg(F.max(F.length("evidence"))).collect()[0][0] == 300
@@ -118,16 +126,23 @@ def test_review(spark):
 
 
 def test_regex_extractor(spark):
-    rows = spark.createDataFrame([("c", "b", "There was Jon Reed, son of Mary Reed. Ann Poe married to Bo Poe.")], "chunk_id string, book_id string, text string")
+    rows = spark.createDataFrame(
+        [("c", "b", "There was Jon Reed, son of Mary Reed. Ann Poe married to Bo Poe.")], "chunk_id string, book_id string, text string"
+    )
     got = R.candidates(rows.withColumn("output", R.regex_extractor())).select("type", "raw_subject", "raw_object").collect()
     assert {tuple(r) for r in got} == {("parent", "Mary Reed", "Jon Reed"), ("spouse", "Ann Poe", "Bo Poe")}
 
 
 def test_checks(spark):
-    cases = spark.createDataFrame([("1", ["Ann"], True, False, ["Bo"]), ("2", None, False, True, None), ("3", ["x"], True, False, None)], "id string, expected_facts array<string>, required_citation boolean, must_refuse boolean, must_not_reveal array<string>")
+    cases = spark.createDataFrame(
+        [("1", ["Ann"], True, False, ["Bo"]), ("2", None, False, True, None), ("3", ["x"], True, False, None)],
+        "id string, expected_facts array<string>, required_citation boolean, must_refuse boolean, must_not_reveal array<string>",
+    )
     answers = spark.createDataFrame([("1", "ANN met bo", 2), ("2", "The sources do not cover that", 0)], "id string, answer string, n_citations int")
     got = {(r["id"], r["name"]): (r["pass"], r["detail"]) for r in E.checks(cases, answers).collect()}
-    assert got["1", "expected-facts-present"] == (True, []) and got["1", "spoiler-ceiling-respected"] == (False, ["Bo"]) and got["2", "refuses-out-of-corpus"][0]
+    assert got["1", "expected-facts-present"] == (True, []) and got[
+        "1", "spoiler-ceiling-respected"
+    ] == (False, ["Bo"]) and got["2", "refuses-out-of-corpus"][0]
     assert got["3", "citation-present"][0] is False and got["3", "expected-facts-present"] == (False, ["x"])
     assert tuple(E.totals(E.checks(cases, answers)).collect()[0]) == (3, 3, 3)
 
@@ -139,7 +154,11 @@ def test_files(spark, tmp_path):
     assert {r["id"] for r in files.done_ids(spark, str(tmp_path / "v.jsonl")).collect()} == {"a", "b"}
     with pytest.raises(Exception, match="(?i)malformed"):
         files.read_jsonl(spark, str(tmp_path / "v.jsonl"), "id string", strict=True).collect()
-    seed = {"meta": {"version": "1"}, "nodes": [{"id": "a", "name": "A", "aliases": ["x"]}], "edges": [{"type": "parent", "from": "a", "to": "b"}, {"type": "spouse", "a": "a", "b": "c"}]}
+    seed = {
+        "meta": {"version": "1"},
+        "nodes": [{"id": "a", "name": "A", "aliases": ["x"]}],
+        "edges": [{"type": "parent", "from": "a", "to": "b"}, {"type": "spouse", "a": "a", "b": "c"}],
+    }
     (tmp_path / "seed.json").write_text(json.dumps(seed, indent=1))
     nodes, edges = files.read_seed(spark, str(tmp_path / "seed.json"))
     assert nodes.count() == 1 and [(r["src"], r["dst"]) for r in edges.orderBy("edge_ord").collect()] == [("a", "b"), ("a", "c")]
@@ -195,7 +214,10 @@ def test_retry():
 
 
 def test_reviewed_edges_come_back(spark, tmp_path):
-    edges = [{"type": "parent", "from": "a", "to": "b", "source": "x", "status": "approved", "evidenceChunks": ["c1"]}, {"type": "spouse", "a": "a", "b": "c", "status": "rejected"}]
+    edges = [
+        {"type": "parent", "from": "a", "to": "b", "source": "x", "status": "approved", "evidenceChunks": ["c1"]},
+        {"type": "spouse", "a": "a", "b": "c", "status": "rejected"},
+    ]
     (tmp_path / "reviewed.json").write_text(json.dumps(edges))
     rows = files.read_reviewed(spark, str(tmp_path / "reviewed.json"))
     want = [("parent", "a", "b", "approved", ["c1"]), ("spouse", "a", "c", "rejected", None)]
@@ -253,7 +275,10 @@ def test_small_parts(spark, tmp_path):
     assert [tuple(r) for r in R.first_chunks(chunks, 2).collect()] == [("a", 0), ("a", 2)]
     (tmp_path / "vars").write_text("A=1\nB=2\n")
     assert files.settings(spark, str(tmp_path / "vars"), {"B": "given"}) == {"A": "1", "B": "given"}
-    lines = spark.createDataFrame([("novel", -2, "k", "- x"), ("novel", -9, "j", "- y"), ("needs-node", -1, "z", "- z")], "section string, place int, key string, line string")
+    lines = spark.createDataFrame(
+        [("novel", -2, "k", "- x"), ("novel", -9, "j", "- y"), ("needs-node", -1, "z", "- z")],
+        "section string, place int, key string, line string",
+    )
     assert [r["line"].strip() for r in R.worklist_text(lines).collect()] == ["## needs-node (1)", "- z", "## novel (2)", "- y", "- x"]
 
 

@@ -19,7 +19,17 @@ def test_names_match():
 
 def test_works_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries())[:1], 'pipeline' in e.queries(), len(e.oracle_sql()) > 40)"], cwd=tmp_path / "r", capture_output=True, text=True, check=True)
+    said = subprocess.run(
+        [
+            sys.executable,
+            "-c",
+            "import __spark_entry__ as e; print(sorted(e.queries())[:1], 'pipeline' in e.queries(), len(e.oracle_sql()) > 40)",
+        ],
+        cwd=tmp_path / "r",
+        capture_output=True,
+        text=True,
+        check=True,
+    )
     assert said.stdout.strip() == "['ask_flagship'] False True"
 
 

@@ -82,7 +82,10 @@ def test_prominent_namesake_wins_and_equals_are_ambiguous(spark, graph):
 
 
 def test_answers(spark, graph):
-    q = spark.createDataFrame([(1, "Who were Ed Marsh's parents?", ["knight"]), (2, "Who are the parents of Tim Holt?", []), (3, "Weather?", None)], "qid long, question string, sources array<string>")
+    q = spark.createDataFrame(
+        [(1, "Who were Ed Marsh's parents?", ["knight"]), (2, "Who are the parents of Tim Holt?", []), (3, "Weather?", None)],
+        "qid long, question string, sources array<string>",
+    )
     got = {r["qid"]: r for r in ask(q, graph).collect()}
     assert got[1]["answer"] == "Ed Marsh's parents were Cy Marsh (father) and Di Reed (mother)."
     assert [c["locator"] for c in got[1]["citations"]] == ["Ed Marsh → father → Cy Marsh", "Ed Marsh → mother → Di Reed"]
@@ -107,13 +110,42 @@ def test_twelve_facts_at_most(spark, nodes):
 
 def test_compile_and_warnings(spark, nodes, edges):
     twice = nodes.unionByName(spark.createDataFrame([("ada", "Ada Again", "M", "female", [], 50)], NODE))
-    more = edges.unionByName(spark.createDataFrame([("parent", "ada", "cy", "x", None, 20), ("spouse", "di", "cy", "x", None, 21), ("parent", "ed", "ed", "x", None, 22), ("rival", "ed", "cy", "x", None, 23), ("parent", "ed", "ada", "x", None, 24), ("parent", "flo", "cy", "x", None, 25)], EDGE))
-    reviewed = spark.createDataFrame([("parent", "ed", "kid", "r", "approved", 1), ("parent", "ada", "cy", "r", None, 2), ("parent", "ed", "gone", "r", "", 3), ("spouse", "ed", "kid", "r", "rejected", 4)], EDGE)
+    more = edges.unionByName(
+        spark.createDataFrame(
+            [
+                ("parent", "ada", "cy", "x", None, 20),
+                ("spouse", "di", "cy", "x", None, 21),
+                ("parent", "ed", "ed", "x", None, 22),
+                ("rival", "ed", "cy", "x", None, 23),
+                ("parent", "ed", "ada", "x", None, 24),
+                ("parent", "flo", "cy", "x", None, 25),
+            ],
+            EDGE,
+        )
+    )
+    reviewed = spark.createDataFrame(
+        [
+            ("parent", "ed", "kid", "r", "approved", 1),
+            ("parent", "ada", "cy", "r", None, 2),
+            ("parent", "ed", "gone", "r", "", 3),
+            ("spouse", "ed", "kid", "r", "rejected", 4),
+        ],
+        EDGE,
+    )
     g = G.compile_graph(twice, more, reviewed)
     assert g.nodes.where("id = 'ada'").select("name", "node_ord").collect() == [("Ada Again", 0)]
     assert G.counts(g).collect()[0].asDict() == {"nodes": 11, "parent_edges": 13, "spouse_edges": 2, "added_from_review": 1}
     kinds = {(r["kind"], r["key"]) for r in G.warnings(twice, more, reviewed).collect()}
-    assert {("duplicate-node", "ada"), ("duplicate-edge", "parent|ada|cy"), ("duplicate-edge", "spouse|cy|di"), ("unknown-node", "parent|ed|gone"), ("self-edge", "parent|ed|ed"), ("more-than-two-parents", "cy"), ("ancestor-cycle", "ed"), ("ancestor-cycle", "ada")} <= kinds
+    assert {
+        ("duplicate-node", "ada"),
+        ("duplicate-edge", "parent|ada|cy"),
+        ("duplicate-edge", "spouse|cy|di"),
+        ("unknown-node", "parent|ed|gone"),
+        ("self-edge", "parent|ed|ed"),
+        ("more-than-two-parents", "cy"),
+        ("ancestor-cycle", "ed"),
+        ("ancestor-cycle", "ada"),
+    } <= kinds
     assert sum(k == "unknown-type" for k, _ in kinds) == 1
 
 
@@ -194,7 +226,10 @@ def test_retrieval_filters_by_each_question(spark, graph):
     rows = [(i, t, b, b.upper(), i) for i, (t, b) in enumerate(zip(texts, ("fab", "agot", "kotsk"), strict=True))]
     embed = lambda c: hashed_words(c, 64)
     vectors = spark.createDataFrame(rows, "id long, text string, book_id string, book string, chunk_index int").withColumn("values", embed(F.col("text")))
-    q = spark.createDataFrame([(1, "rain on the wall", ["fire-and-blood"]), (2, "rain on the wall", []), (3, "rain on the wall", ["wiki"]), (4, "  ", [])], "qid long, question string, sources array<string>")
+    q = spark.createDataFrame(
+        [(1, "rain on the wall", ["fire-and-blood"]), (2, "rain on the wall", []), (3, "rain on the wall", ["wiki"]), (4, "  ", [])],
+        "qid long, question string, sources array<string>",
+    )
     got = {r["qid"]: r for r in ask(q, graph, vectors=vectors, embed=embed).collect()}
     assert {i: r["answer"] for i, r in got.items()} == {1: texts[0], 2: texts[1], 3: texts[2]}
     assert got[1]["citations"][0]["work"] == "FAB" and got[1]["citations"][0]["locator"] == "chunk 0"
@@ -205,9 +240,18 @@ def test_command_line(spark, tmp_path, capsys):
 
     from loomlight.__main__ import main
 
-    seed = {"meta": {"version": "1"}, "nodes": [{"id": i, "name": n, "gender": x} for i, n, _, x, _ in PEOPLE], "edges": [{"type": t, "from": a, "to": b} for t, a, b in TIES if t == "parent"]}
+    seed = {
+        "meta": {"version": "1"},
+        "nodes": [{"id": i, "name": n, "gender": x} for i, n, _, x, _ in PEOPLE],
+        "edges": [{"type": t, "from": a, "to": b} for t, a, b in TIES if t == "parent"],
+    }
     (tmp_path / "seed.json").write_text(json.dumps(seed))
-    cases = {"questions": [{"id": "q1", "question": "Who was Ed Marsh's mother?", "sources": [], "expected_facts": ["Di Reed"], "required_citation": True}, {"id": "q2", "question": "Weather?", "must_refuse": True}]}
+    cases = {
+        "questions": [
+            {"id": "q1", "question": "Who was Ed Marsh's mother?", "sources": [], "expected_facts": ["Di Reed"], "required_citation": True},
+            {"id": "q2", "question": "Weather?", "must_refuse": True},
+        ]
+    }
     (tmp_path / "cases.json").write_text(json.dumps(cases))
     at = str(tmp_path / "seed.json")
     assert main(["build-graph", at, str(tmp_path / "graph")], spark) == 0 and main(["build-graph", at, str(tmp_path / "graph"), "--strict"], spark) == 0

@@ -43,7 +43,15 @@ def test_quality_of_scans(spark, chars, pages, want):
 
 @pytest.mark.parametrize(
     ("said", "n"),
-    [('[{"subject":"a"}]', 1), ('Sure!\n```json\n[{"subject":"a"},\n{"subject":"b"}]\n```', 2), ("no list", 0), ('[{"subject":"a"', 0), ('{"subject":"a"}', 0), (None, 0), ("[]", 0)],
+    [
+        ('[{"subject":"a"}]', 1),
+        ('Sure!\n```json\n[{"subject":"a"},\n{"subject":"b"}]\n```', 2),
+        ("no list", 0),
+        ('[{"subject":"a"', 0),
+        ('{"subject":"a"}', 0),
+        (None, 0),
+        ("[]", 0),
+    ],
 )
 def test_parse_json_array(spark, said, n):
     assert len(one(spark, X.parse_json_array(F.col("t"), "struct<subject:string>"), t=said)) == n
