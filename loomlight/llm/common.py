@@ -15,7 +15,25 @@ from pyspark.sql import functions as F
 
 from loomlight.storage import freeing, remove, scratch, table, written
 
-__all__ = ["claim", "freeing", "in_filter", "kept", "key_filter", "lower_az", "one_of_each", "row_key", "rank_within", "ranges", "raw", "remove", "runs", "scratch", "slices", "table", "written"]
+__all__ = [
+    "claim",
+    "freeing",
+    "in_filter",
+    "kept",
+    "key_filter",
+    "lower_az",
+    "one_of_each",
+    "row_key",
+    "rank_within",
+    "ranges",
+    "raw",
+    "remove",
+    "runs",
+    "scratch",
+    "slices",
+    "table",
+    "written",
+]
 
 _OWNER = [""]
 _KEPT: list[dict] = []

@@ -271,7 +271,16 @@ def _scanner(shared):
                 items[i].append(x)
             items = [sorted(set(x)) if x else x for x in items]
             n = np.diff(ends, prepend=0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text"),
+                    pa.array(n, pa.int64()),
+                    pa.array(hits, _HITS),
+                    pa.array(items, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text", "n_words", "hits", "items"],
+            )
 
     return run
 
@@ -295,16 +304,32 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFra
                         mark[x["a"] + 1 : x["b"] + 1] = 1
                     hit, turn = int(mark.sum()), np.flatnonzero(np.diff(mark)).tolist()
                     at = [m.span() for m in _WORD.finditer(text)]
-                    spans = [{"start": len(text[: at[x][0]].decode()), "end": len(text[: at[y - 1][1]].decode())} for x, y in zip(turn[::2], turn[1::2], strict=True)]
+                    spans = [
+                        {
+                            "start": len(text[: at[x][0]].decode()), "end": len(text[: at[y - 1][1]].decode())
+                        } for x, y in zip(turn[::2], turn[1::2], strict=True)
+                    ]
                 rows["n_hit"].append(hit), rows["n_items"].append(len(items)), rows["spans"].append(spans)
                 rows["sha"].append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
             contaminated = pa.array([x > 0 for x in rows["n_hit"]], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_words"), pa.array(rows["n_hit"], pa.int64()), pa.array(rows["n_items"], pa.int64()), pa.array(rows["sha"], pa.string()), contaminated, pa.array(rows["spans"], span)],
+                [
+                    b.column("doc_id"),
+                    b.column("n_words"),
+                    pa.array(rows["n_hit"], pa.int64()),
+                    pa.array(rows["n_items"], pa.int64()),
+                    pa.array(rows["sha"], pa.string()),
+                    contaminated,
+                    pa.array(rows["spans"], span),
+                ],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return map_arrow(before, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
+    return map_arrow(
+        before,
+        run,
+        "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>",
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

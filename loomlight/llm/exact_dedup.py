@@ -75,9 +75,21 @@ def recipes(docs: DataFrame, digest=identifier) -> DataFrame:
             texts, _, keys, counts = _cut(batch, digest)
             ends = np.cumsum(counts).tolist()
             lists = [b"".join(keys[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array(lists, pa.binary()), batch.column("key")], names=["doc_id", "text_sha256", "recipe", "key"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key")), run, "doc_id long, text_sha256 string, recipe binary, key string")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                    pa.array(lists, pa.binary()),
+                    batch.column("key"),
+                ],
+                names=["doc_id", "text_sha256", "recipe", "key"],
+            )
+
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("key")),
+        run,
+        "doc_id long, text_sha256 string, recipe binary, key string",
+    )
 
 
 def _repeated(listed: DataFrame) -> DataFrame:
@@ -116,7 +128,10 @@ def verify(docs: DataFrame, listed: DataFrame, most: int | None = None, digest=i
             keep = [i for i in np.flatnonzero(hit).tolist() if (own := (keys[i], hash(chunks[i]))) not in sent and (sent.add(own) or True)]
             if len(sent) > 1 << 18:
                 sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(halves[keep, 0]), pa.array(halves[keep, 1]), pa.array([chunks[i] for i in keep], pa.binary())], names=["h", "low", "body"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(halves[keep, 0]), pa.array(halves[keep, 1]), pa.array([chunks[i] for i in keep], pa.binary())],
+                names=["h", "low", "body"],
+            )
 
     moved = map_arrow(docs.select("text"), run, "h long, low long, body binary")
     if words is None:
@@ -140,7 +155,13 @@ def groups(docs: DataFrame) -> DataFrame:
     alike = written(listed.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("recipe", "r"))
     joined = listed.join(alike, F.col("recipe") == F.col("r"), "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"), "text_sha256")
+    return joined.select(
+        "doc_id",
+        keep.alias("keep_id"),
+        F.coalesce("n", F.lit(1)).alias("group_size"),
+        F.coalesce(F.col("doc_id") == keep, F.lit(False)).alias("kept"),
+        "text_sha256",
+    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -142,14 +142,26 @@ def _risen(blob: bytes) -> np.ndarray:
 
 
 _ROW = [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tk", pa.int64()), ("key", pa.string())]
-_SENT = pa.schema([("part", pa.int32()), ("owner", pa.int64()), *_ROW, ("need0", pa.int32()), ("need1", pa.int32()), ("parts", pa.binary()), ("owners", pa.binary())])
+_SENT = pa.schema(
+    [
+        ("part", pa.int32()),
+        ("owner", pa.int64()),
+        *_ROW,
+        ("need0", pa.int32()),
+        ("need1", pa.int32()),
+        ("parts", pa.binary()),
+        ("owners", pa.binary()),
+    ]
+)
 _MET = pa.schema([("kind", pa.string()), ("owner", pa.int64()), *_ROW, ("need0", pa.int32()), ("need1", pa.int32()), ("shared", pa.int32())])
 _ROW_DDL = "doc_id long, n long, sig binary, tk long, key string, need0 int, need1 int"
 
 
 def _batch(schema: pa.Schema, rows: int, **columns) -> pa.RecordBatch:
     """Columns that are not given are null."""
-    arrays = [columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema]
+    arrays = [
+        columns[f.name] if isinstance(columns.get(f.name), pa.Array) else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema
+    ]
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
@@ -181,12 +193,29 @@ def _sent(docs: DataFrame, sets: Sets, buckets: int) -> DataFrame:
             ends = list(zip(cut, [*cut[1:], len(keys)][: len(cut)], strict=True))
             for i in range(0, len(ends), 4096):
                 some = ends[i : i + 4096]
-                yield _batch(_SENT, len(some), part=[int(bucket[a]) for a, _ in some], owner=[base] * len(some), parts=[_falling(keys[a:b]) for a, b in some], owners=[_planes(own[a:b]) for a, b in some])
+                yield _batch(
+                    _SENT,
+                    len(some),
+                    part=[int(bucket[a]) for a, _ in some],
+                    owner=[base] * len(some),
+                    parts=[_falling(keys[a:b]) for a, b in some],
+                    owners=[_planes(own[a:b]) for a, b in some],
+                )
             for place, (columns, n, sig, number) in enumerate(rows):
                 at = np.array(number)
                 have = at >= 0
                 side = lambda s: pa.array(np.where(have, need[2 * at + s] if len(need) else 0, NEVER), pa.int32())  # noqa: B023, E731
-                yield _batch(_SENT, len(n), part=[-1 - (task * 31 + turn * 7 + place) % 4096] * len(n), owner=pa.array(base + 2 * at, pa.int64(), mask=~have), n=n, sig=sig, need0=side(0), need1=side(1), **columns)
+                yield _batch(
+                    _SENT,
+                    len(n),
+                    part=[-1 - (task * 31 + turn * 7 + place) % 4096] * len(n),
+                    owner=pa.array(base + 2 * at, pa.int64(), mask=~have),
+                    n=n,
+                    sig=sig,
+                    need0=side(0),
+                    need1=side(1),
+                    **columns,
+                )
 
         for batch in slices(batches):
             n, sig, number = [], [], []
@@ -229,7 +258,12 @@ def _met(sent: DataFrame) -> DataFrame:
         for (part,), held in runs(batches, "part"):
             if part < 0:
                 for b in held:
-                    yield _batch(_MET, b.num_rows, kind=["doc"] * b.num_rows, **{c: b.column(c) for c in ("owner", "doc_id", "n", "sig", "tk", "key", "need0", "need1")})
+                    yield _batch(
+                        _MET,
+                        b.num_rows,
+                        kind=["doc"] * b.num_rows,
+                        **{c: b.column(c) for c in ("owner", "doc_id", "n", "sig", "tk", "key", "need0", "need1")},
+                    )
                 continue
             keys, owners = [], []
             for b in held:
@@ -306,13 +340,28 @@ def _blocked(bodies: DataFrame, blocks: int) -> DataFrame:
                         sigs.append(sig), bodies.append(tokens)
                     last = sig
             for i in range(0, len(sigs), 2048):
-                yield _batch(_BLOCK, len(sigs[i : i + 2048]), kind=["set"] * len(sigs[i : i + 2048]), blk=[blk] * len(sigs[i : i + 2048]), sig=sigs[i : i + 2048], tokens=bodies[i : i + 2048])
+                yield _batch(
+                    _BLOCK,
+                    len(sigs[i : i + 2048]),
+                    kind=["set"] * len(sigs[i : i + 2048]),
+                    blk=[blk] * len(sigs[i : i + 2048]),
+                    sig=sigs[i : i + 2048],
+                    tokens=bodies[i : i + 2048],
+                )
             keys, many = np.unique(np.frombuffer(b"".join(bodies), np.uint64), return_counts=True)
             bucket = ((keys >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int32)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
             ends = list(zip(cut, [*cut[1:], len(keys)], strict=True))
             many = many.astype(np.uint32)
-            yield _batch(_BLOCK, len(ends), kind=["key"] * len(ends), blk=[blk] * len(ends), bucket=bucket[cut], tokens=[_falling(keys[a:b]) for a, b in ends], many=[_planes(many[a:b]) for a, b in ends])
+            yield _batch(
+                _BLOCK,
+                len(ends),
+                kind=["key"] * len(ends),
+                blk=[blk] * len(ends),
+                bucket=bucket[cut],
+                tokens=[_falling(keys[a:b]) for a, b in ends],
+                many=[_planes(many[a:b]) for a, b in ends],
+            )
 
     dealt = bodies.withColumn("blk", F.pmod(F.xxhash64("sig"), F.lit(blocks)).cast("int"))
     dealt = dealt.repartition("blk").sortWithinPartitions("blk", "sig")
@@ -337,7 +386,9 @@ def _levels(keys: DataFrame) -> DataFrame:
                 own = level[place[at : at + len(x)]]
                 out[0].append(_falling(x[own > 0])), out[1].append(own[own > 0].tobytes())
                 at += len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(blks, pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["blk", "tokens", "level"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blks, pa.int32()), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], names=["blk", "tokens", "level"]
+            )
 
     dealt = keys.select("blk", "bucket", "tokens", "many").repartition("bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, run, "blk int, tokens binary, level binary")
@@ -378,7 +429,14 @@ def _postings(distinct: DataFrame, levels: DataFrame, sets: Sets) -> DataFrame:
         band = (np.searchsorted(sets.edges, n, "right") - 1).astype(np.int32)
         sig = pa.array([r[0] for r in rows], pa.binary()).take(pa.array(row))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(got).view(np.int64)), sig, pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64)), pa.array(band), pa.array((pos // BLOCK).astype(np.int32))],
+            [
+                pa.array(np.concatenate(got).view(np.int64)),
+                sig,
+                pa.array(n.astype(np.int64)),
+                pa.array(pos.astype(np.int64)),
+                pa.array(band),
+                pa.array((pos // BLOCK).astype(np.int32)),
+            ],
             names=["token", "sig", "n", "pos", "band", "block"],
         )
 
@@ -404,7 +462,9 @@ def _verified(pairs: DataFrame, distinct: DataFrame, t: int) -> DataFrame:
                 if keep[-1]:
                     diffs.append(diff.tobytes())
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array(diffs, pa.binary())], names=["a", "b", "diff"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array(diffs, pa.binary())], names=["a", "b", "diff"]
+            )
 
     return map_arrow(both, run, "a binary, b binary, diff binary")
 
@@ -444,7 +504,9 @@ def _leaders(postings: DataFrame) -> DataFrame:
 
 def _mixed(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """The postings with their set's class, of tokens that sets of several classes have."""
-    held = postings.join(roots, F.col("sig") == F.col("node"), "left").select("token", "sig", "n", "pos", "band", "block", F.coalesce("root", "sig").alias("root"))
+    held = postings.join(roots, F.col("sig") == F.col("node"), "left").select(
+        "token", "sig", "n", "pos", "band", "block", F.coalesce("root", "sig").alias("root")
+    )
     held = written(held)
     several = written(held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("token").alias("mt")))
     return written(held.join(several, F.col("token") == F.col("mt"), "left_semi"))
@@ -465,7 +527,11 @@ def _neighbours(held: DataFrame, t: int) -> DataFrame:
 def _rest(held: DataFrame, t: int) -> DataFrame:
     """Pairs of different classes that the lists leave open, by pairs of blocks that cannot be skipped."""
     names = ("band", "block", "n0", "n1", "p0", "r0", "r1")
-    blocks = written(held.groupBy("token", "band", "block").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.min("root").alias("r0"), F.max("root").alias("r1")))
+    blocks = written(
+        held.groupBy("token", "band", "block").agg(
+            F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("pos").alias("p0"), F.min("root").alias("r0"), F.max("root").alias("r1")
+        )
+    )
     x, y = (blocks.select(F.col("token").alias(f"t{s}"), *(F.col(c).alias(f"{c}_{s}") for c in names)) for s in "xy")
     two = x.join(y, (F.col("tx") == F.col("ty")) & (F.col("band_x") <= F.col("band_y")) & (F.col("band_y") <= F.col("band_x") + 1))
     one_class = (F.col("r0_x") == F.col("r1_x")) & (F.col("r0_y") == F.col("r1_y")) & (F.col("r0_x") == F.col("r0_y"))
@@ -535,7 +601,9 @@ def _profiles(members: DataFrame, distinct: DataFrame, links: DataFrame) -> Data
     many = members.join(led, F.col("sig") == F.col("a"), "left").select("root", "sig", F.coalesce("led", F.lit(0)).alias("led"))
     leads = written(many.groupBy("root").agg(F.max_by("sig", F.struct("led", "sig")).alias("lead")).withColumnRenamed("root", "lr"))
     own = members.join(leads, F.col("root") == F.col("lr")).drop("lr")
-    given = own.join(links.select("a", "b", "diff"), (F.col("sig") == F.col("b")) & (F.col("lead") == F.col("a")), "left").select("root", "sig", "n", "copies", "lead", "diff")
+    given = own.join(
+        links.select("a", "b", "diff"), (F.col("sig") == F.col("b")) & (F.col("lead") == F.col("a")), "left"
+    ).select("root", "sig", "n", "copies", "lead", "diff")
     given = written(given.withColumn("diff", F.when(F.col("sig") == F.col("lead"), F.lit(b"")).otherwise(F.col("diff"))))
     x = distinct.select(F.col("sig").alias("sx"), F.col("tokens").alias("tx"))
     y = distinct.select(F.col("sig").alias("sy"), F.col("tokens").alias("ty"))
@@ -546,7 +614,10 @@ def _profiles(members: DataFrame, distinct: DataFrame, links: DataFrame) -> Data
         claim("jaccard_join")
         for b in batches:
             diff = [_differing(p, q).tobytes() for p, q in zip(b.column("tx").to_pylist(), b.column("ty").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("root", "sig", "n", "copies")), pa.array(diff, pa.binary())], names=["root", "sig", "n", "copies", "diff"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("root", "sig", "n", "copies")), pa.array(diff, pa.binary())],
+                names=["root", "sig", "n", "copies", "diff"],
+            )
 
     rest = map_arrow(both.select("root", "sig", "n", "copies", "tx", "ty"), run, "root binary, sig binary, n long, copies long, diff binary")
     every = given.where("diff is not null").select("root", "sig", "n", "copies", "diff").unionByName(rest)
@@ -577,16 +648,22 @@ def _partners(profiles: DataFrame, t: int, most: int) -> DataFrame:
     never = (100 + t) * (F.col("d0y") - F.col("d1x")) > (100 - t) * (F.col("n1x") + F.col("n1y"))
     two = written(two.withColumn("sure", sure).where(sure | ~never).select("rx", "gx", "gy", "sure", "weightx", "weighty", "partsx", "partsy"))
     whole = two.where("sure")
-    given = whole.select("rx", F.col("gx").alias("wg"), F.col("weighty").alias("w")).unionByName(whole.where("gx <> gy").select("rx", F.col("gy").alias("wg"), F.col("weightx").alias("w")))
+    given = whole.select("rx", F.col("gx").alias("wg"), F.col("weighty").alias("w")).unionByName(
+        whole.where("gx <> gy").select("rx", F.col("gy").alias("wg"), F.col("weightx").alias("w"))
+    )
     given = written(given.groupBy(F.col("rx").alias("wr"), "wg").agg(F.sum("w").alias("w"), F.lit(True).alias("there")))
     itself = written(whole.where("gx = gy").select(F.col("rx").alias("ir"), F.col("gx").alias("ig")))
-    counted = placed.join(given, (F.col("root") == F.col("wr")) & (F.col("g") == F.col("wg"))).join(itself, (F.col("root") == F.col("ir")) & (F.col("g") == F.col("ig")), "left")
+    counted = placed.join(given, (F.col("root") == F.col("wr")) & (F.col("g") == F.col("wg"))).join(
+        itself, (F.col("root") == F.col("ir")) & (F.col("g") == F.col("ig")), "left"
+    )
     counted = counted.select(F.col("sig").alias("s"), (F.col("w") - F.when(F.col("ir").isNotNull(), F.col("copies")).otherwise(0)).alias("k"))
     number = lambda side: F.explode(F.sequence(F.lit(0), F.col(f"parts{side}") - 1)).alias(f"p{side}")
     pairs = two.where("not sure").select("rx", "gx", "gy", "partsy", number("x")).select("rx", "gx", "px", "gy", number("y")).where("gx <> gy or px <= py")
     pairs = written(pairs.withColumn("pair", F.xxhash64("rx", "gx", "px", "gy", "py")))
     cut = stats.select(F.col("root").alias("cr"), F.col("g").alias("cg"), "parts")
-    held = placed.join(cut, (F.col("root") == F.col("cr")) & (F.col("g") == F.col("cg"))).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
+    held = placed.join(
+        cut, (F.col("root") == F.col("cr")) & (F.col("g") == F.col("cg"))
+    ).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"))
     held = written(held.select("root", "g", "part", "sig", "n", "copies", "diff"))
     at = lambda s: (F.col("root") == F.col("rx")) & (F.col("g") == F.col(f"g{s}")) & (F.col("part") == F.col(f"p{s}"))
     out = ["pair", "rx", "gx", "px", "gy", "py"]
@@ -630,7 +707,11 @@ def _compared(rows: list[tuple], t: int, wide: int = 4096) -> list[tuple[bytes,
         return []
     sides[1] = sides[0] if one else sides[1]
     diffs = [[np.frombuffer(r[4], np.uint64) for r in side] for side in sides]
-    n, d, weight = ([np.array(x, np.int64) for x in y] for y in ([[r[2] for r in s] for s in sides], [[len(x) for x in s] for s in diffs], [[r[3] for r in s] for s in sides]))
+    n, d, weight = (
+        [np.array(x, np.int64) for x in y] for y in (
+            [[r[2] for r in s] for s in sides], [[len(x) for x in s] for s in diffs], [[r[3] for r in s] for s in sides]
+        )
+    )
     codes = [np.concatenate(x) for x in diffs]
     owner = [np.repeat(np.arange(len(x)), x) for x in d]
     shared = np.intersect1d(*codes)

@@ -102,11 +102,15 @@ def choose_from(docs, rows_of, most: int, least: int = 3) -> np.ndarray:
         for batch in slices(batches, 2 << 20):
             label = batch.column("label").to_numpy(zero_copy_only=False)
             codes, a, b = presence(rows_of(batch), label)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["code", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(codes.astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["code", "a", "b"]
+            )
 
     n = docs.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).collect()[0]
     n1, n0 = float(max(1, n["n1"])), float(max(1, n["n0"]))
-    counts = map_arrow(docs, run, "code long, a long, b long").groupBy("code").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).where(F.col("a") + F.col("b") >= least)
+    counts = map_arrow(docs, run, "code long, a long, b long").groupBy("code").agg(
+        F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")
+    ).where(F.col("a") + F.col("b") >= least)
     chi = chi_square(F.col("a"), F.col("b"), n1, n0)
     best = counts.select("code", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "code").limit(most).select("code").toArrow()
     return np.sort(best.column("code").to_numpy())
@@ -134,7 +138,18 @@ def indexed(rows: Rows, codes: np.ndarray) -> Rows:
     return Rows(rows.row[own], at[own], rows.value[own], rows.dense)
 
 
-def fit(rows: Rows, label: np.ndarray, codes: np.ndarray, twins: tuple[np.ndarray, Rows] | None = None, l2: float = 0.02, twin_weight: float = 1.0, steps: int = 300, rate: float = 0.1, ready: bool = False, weights: np.ndarray | None = None) -> Model:
+def fit(
+    rows: Rows,
+    label: np.ndarray,
+    codes: np.ndarray,
+    twins: tuple[np.ndarray, Rows] | None = None,
+    l2: float = 0.02,
+    twin_weight: float = 1.0,
+    steps: int = 300,
+    rate: float = 0.1,
+    ready: bool = False,
+    weights: np.ndarray | None = None,
+) -> Model:
     """Logistic regression by Adam. `twins`: row numbers and their counterfactual rows; squared differences of logits are penalised. `ready`: columns are indices into `codes` already. `weights`: of the rows, 1 unless given."""
     x, n = rows if ready else indexed(rows, codes), len(label)
     own = np.ones(n) if weights is None else weights

@@ -194,7 +194,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             base = (ends - counts)[row] + start
             view = memoryview(full).cast("B")
             blobs = [view[4 * b : 4 * (b + n)] for b, n in zip(base.tolist(), length.tolist(), strict=True)]
-            columns = [batch.column("doc_id").take(pa.array(row)).cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(b) for b in blobs], pa.int64())]
+            columns = [
+                batch.column("doc_id").take(pa.array(row)).cast(pa.int64()),
+                pa.array(piece, pa.int32()),
+                pa.array(start),
+                pa.array(length),
+                pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
+            ]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array([bytes(b) for b in blobs], pa.binary())] if with_ids else []), schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -67,7 +67,14 @@ def text_view(texts: pa.Array) -> Rows:
 def meta_view(batch: pa.RecordBatch) -> Rows:
     """Language and source; dense: log of declared length, of stored size, of lines, and whether the declared length is the real one. No words."""
     n = batch.num_rows
-    col = np.array([[code(f"lang={a}"), code(f"source={b}")] for a, b in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)], np.int64).reshape(n, 2)
+    col = np.array(
+        [
+            [code(f"lang={a}"), code(f"source={b}")] for a, b in zip(
+                batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True
+            )
+        ],
+        np.int64,
+    ).reshape(n, 2)
     text = pc.fill_null(batch.column("text").cast(pa.string()), "")
     size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(float)
     lines = pc.count_substring(text, "\n").to_numpy(zero_copy_only=False) + 1.0
@@ -132,7 +139,11 @@ STORED = "doc_id long, label double, text binary, text_dense binary, meta binary
 
 
 def _views(table) -> list[Rows]:
-    return [unpacked(table.column(c).to_pylist(), np.frombuffer(b"".join(table.column(f"{c}_dense").to_pylist()), float).reshape(-1, k)) for c, k in (("text", DENSE_TEXT), ("meta", DENSE_META))]
+    return [
+        unpacked(
+            table.column(c).to_pylist(), np.frombuffer(b"".join(table.column(f"{c}_dense").to_pylist()), float).reshape(-1, k)
+        ) for c, k in (("text", DENSE_TEXT), ("meta", DENSE_META))
+    ]
 
 
 def _fold(table) -> np.ndarray:
@@ -186,7 +197,15 @@ def _counts(rows: DataFrame, givers: list[Giver] | None) -> DataFrame:
                 on = ~np.isnan(label)
                 codes, a, b = presence(view.take(on), label[on])
                 a, b = np.append(a, (label == 1).sum()), np.append(b, (label == 0).sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), i, np.int32)), pa.array(np.append(codes, -1).astype(np.int64)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["view", "code", "a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(a), i, np.int32)),
+                        pa.array(np.append(codes, -1).astype(np.int64)),
+                        pa.array(a.astype(np.int64)),
+                        pa.array(b.astype(np.int64)),
+                    ],
+                    names=["view", "code", "a", "b"],
+                )
 
     return map_arrow(rows, run, "view int, code long, a long, b long").groupBy("view", "code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
@@ -196,14 +215,24 @@ def _totals(counts: DataFrame) -> list[tuple[int, int]]:
     return [got.get(i, (0, 0)) for i in range(2)]
 
 
-def _chosen(known: DataFrame, free: DataFrame | None, scale: list[tuple[float, float]], n: list[tuple[float, float]], most: int, least: int = 5) -> list[np.ndarray]:
+def _chosen(
+    known: DataFrame, free: DataFrame | None, scale: list[tuple[float, float]], n: list[tuple[float, float]], most: int, least: int = 5
+) -> list[np.ndarray]:
     """For each view, the codes that tell the classes apart best, by counts of labelled documents and weighted ones of the others."""
     both = known.select("view", "code", F.col("a").cast("double"), F.col("b").cast("double"), (F.col("a") + F.col("b")).alias("k"))
     out = []
     for i in range(2):
         one = both.where(F.col("view") == i)
         if free is not None:
-            one = one.unionByName(free.where(F.col("view") == i).select("view", "code", (F.col("a") * scale[i][0]).alias("a"), (F.col("b") * scale[i][1]).alias("b"), (F.col("a") + F.col("b")).alias("k")))
+            one = one.unionByName(
+                free.where(F.col("view") == i).select(
+                    "view",
+                    "code",
+                    (F.col("a") * scale[i][0]).alias("a"),
+                    (F.col("b") * scale[i][1]).alias("b"),
+                    (F.col("a") + F.col("b")).alias("k"),
+                )
+            )
         sums = one.where("code >= 0").groupBy("code").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("k").alias("k")).where(F.col("k") >= least)
         chi = F.round(chi_square(F.col("a"), F.col("b"), max(1.0, n[i][0]), max(1.0, n[i][1])), 9)
         best = sums.select("code", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "code").limit(most).select("code").toArrow()
@@ -230,7 +259,10 @@ def _means(free: DataFrame, givers: list[Giver], codes: list[np.ndarray], scale:
                     sums[i] += np.bincount(at + len(codes[i]) + j, np.rint(column * PARTS), len(sums[i]))
         for i, own in enumerate(sums):
             there = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), i, np.int32)), pa.array(there), pa.array(own[there].astype(np.int64))], names=["view", "at", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(there), i, np.int32)), pa.array(there), pa.array(own[there].astype(np.int64))],
+                names=["view", "at", "n"],
+            )
 
     got = map_arrow(free, run, "view int, at long, n long").groupBy("view", "at").agg(F.sum("n").alias("n")).toArrow()
     view, at, n = (got.column(c).to_numpy() for c in ("view", "at", "n"))
@@ -249,7 +281,12 @@ def _means(free: DataFrame, givers: list[Giver], codes: list[np.ndarray], scale:
 
 
 def _beside(x: Rows, y: Rows) -> Rows:
-    return Rows(np.concatenate([x.row, y.row + len(x.dense)]), np.concatenate([x.col, y.col]), np.concatenate([x.value, y.value]), np.concatenate([x.dense, y.dense]))
+    return Rows(
+        np.concatenate([x.row, y.row + len(x.dense)]),
+        np.concatenate([x.col, y.col]),
+        np.concatenate([x.value, y.value]),
+        np.concatenate([x.dense, y.dense]),
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, most: int = FEATURES) -> CoModel:
@@ -288,7 +325,17 @@ def _trained(docs: DataFrame, labels: DataFrame, sample: int, rounds: int, most:
             claim("quality")
             for batch in slices(batches, 4 << 20):
                 a, b = (packed(_only(v, c), batch.num_rows) for v, c in zip(_views(batch), codes, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(a, pa.binary()), batch.column("text_dense"), pa.array(b, pa.binary()), batch.column("meta_dense")], names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        batch.column("label"),
+                        pa.array(a, pa.binary()),
+                        batch.column("text_dense"),
+                        pa.array(b, pa.binary()),
+                        batch.column("meta_dense"),
+                    ],
+                    names=["doc_id", "label", "text", "text_dense", "meta", "meta_dense"],
+                )
 
         got = map_arrow(known, only, STORED).toArrow().sort_by([(c, "ascending") for c in ("doc_id", "label", "text", "meta")])
         label, fold, views = got.column("label").to_numpy(), _fold(got), _views(got)
@@ -323,7 +370,9 @@ def _scored(rows: DataFrame, model: CoModel, views_of) -> DataFrame:
         for batch in slices(batches, 4 << 20):
             a, b = (indexed(v, own.codes) for v, own in zip(views_of(batch), (m.text, m.meta), strict=True))
             x, y, z = m.logits(a, b, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(sigmoid(v)) for v in (z, x, y))], names=["doc_id", "score", "text_score", "meta_score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(sigmoid(v)) for v in (z, x, y))], names=["doc_id", "score", "text_score", "meta_score"]
+            )
 
     return map_arrow(rows, run, SCORES)
 

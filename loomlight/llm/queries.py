@@ -29,7 +29,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +95,8 @@ def oracle_sql() -> dict[str, str]:
             cut AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS stop,
                            string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept
                     FROM between_ s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
-            SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans,
+                0) AS n_spans,
                    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
             FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id""",
         "op6_exact_dedup": f"""
@@ -96,7 +105,8 @@ def oracle_sql() -> dict[str, str]:
                    doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM n WINDOW w AS (PARTITION BY t)""",
         "op8_jaccard_join": f"""
-            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x20\\x09-\\x0D]+') AS w
+                FROM documents),
             sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
                             ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' ')) END) AS g FROM d),
             postings AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
@@ -104,22 +114,29 @@ def oracle_sql() -> dict[str, str]:
                 WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
                 GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
             links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-            reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other),
+            reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM links UNION SELECT reach.doc_id, links.b FROM reach
+                JOIN links ON links.a = reach.other),
             least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id),
             degree AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a)
-            SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
+            SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(n_links,
+                0) AS n_links
             FROM sets s LEFT JOIN least USING (doc_id) LEFT JOIN degree USING (doc_id)""",
         "op9_decontamination": f"""
-            WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-            b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+            WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                FROM documents),
+            b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                FROM benchmark),
             win AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
-                    FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+                    FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b
+                        WHERE len(w) > 0)),
             ks AS (SELECT DISTINCT k FROM win),
             pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-            occ AS (SELECT p.doc_id, p.i, ks.k, array_to_string(p.w[p.i : p.i + ks.k - 1], ' ') AS s FROM pos p, ks WHERE p.i + ks.k - 1 <= len(p.w)),
+            occ AS (SELECT p.doc_id, p.i, ks.k, array_to_string(p.w[p.i : p.i + ks.k - 1], ' ') AS s FROM pos p, ks
+                WHERE p.i + ks.k - 1 <= len(p.w)),
             hit AS (SELECT o.doc_id, o.i, o.k, win.item_id FROM occ o JOIN win ON o.s = win.s AND o.k = win.k),
             n AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hit) GROUP BY doc_id),
-            it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+            it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x
+                FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
             SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n.n_hit, 0) AS n_hit, coalesce(it.n_items, 0) AS n_items,
                    sha256(coalesce(it.x, '')) AS items_sha256, coalesce(n.n_hit, 0) > 0 AS contaminated
             FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id""",

@@ -156,11 +156,21 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def written_out(array: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
-    return F.array_join(F.transform(array, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(
+            array, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
+        ),
+        ",",
+    )
 
 
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Counts of base spans per kind, the base spans' digest and all spans as text."""
     found = scan(docs, threshold)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), F.sha2(written_out(F.col("base")), 256).alias("base_sha256"), written_out(F.col("all")).alias("spans"))
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        F.sha2(written_out(F.col("base")), 256).alias("base_sha256"),
+        written_out(F.col("all")).alias("spans"),
+    )

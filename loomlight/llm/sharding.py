@@ -85,7 +85,15 @@ def assign(docs: DataFrame, shards: int = SHARDS, lots: int = LOTS) -> DataFrame
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     words = (F.length(text) - F.length(F.translate(text, " \n\t", "")) + 1).cast("long")
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), words.alias("tokens"), F.unhex(F.md5(text)).alias("key")))
+    rows = written(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + 8).cast("long").alias("size"),
+            F.crc32(text).alias("text_crc32"),
+            words.alias("tokens"),
+            F.unhex(F.md5(text)).alias("key"),
+        )
+    )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.sum("rows").alias("rows")]
     total = rows.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()[0]
     if not total["rows"]:
@@ -104,7 +112,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, lots: int = LOTS) -> DataFrame
         part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("hn")).cast("int")
         out = out.drop("part").join(F.broadcast(cuts), F.col("key") == F.col("hk"), "left").withColumn("part", part)
         # Parts are counted, not assumed equal.
-        cut = out.where("hk is not null").groupBy("hk", "part").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
+        cut = out.where("hk is not null").groupBy("hk", "part").agg(
+            F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")
+        ).collect()
     vectors = [[r["size"], r["tokens"], r["rows"]] for r in [*cut, *light]]
     got = place(np.array(vectors, float).reshape(-1, 3), shards).tolist()
     of_lot = [-1] * lots
@@ -116,7 +126,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, lots: int = LOTS) -> DataFrame
         for r, s in zip(cut, got, strict=False):
             shards_of[bytes(r["hk"])][r["part"]] = s
         places = spark.createDataFrame([(bytearray(k), v) for k, v in shards_of.items()], "pk binary, ps array<int>")
-        out = out.join(F.broadcast(places), F.col("hk") == F.col("pk"), "left").withColumn("shard", F.when(F.col("pk").isNotNull(), F.get("ps", F.col("part"))).otherwise(lot_shard))
+        out = out.join(F.broadcast(places), F.col("hk") == F.col("pk"), "left").withColumn(
+            "shard", F.when(F.col("pk").isNotNull(), F.get("ps", F.col("part"))).otherwise(lot_shard)
+        )
     else:
         out = out.withColumn("shard", lot_shard)
     placed = written(out.select("doc_id", "size", "text_crc32", "shard"))

@@ -225,18 +225,53 @@ def _places(docs: DataFrame, length: int, most: int | None) -> DataFrame:
         own = _anchors_of(docs, length).distinct().join(repeated, "h", "left_semi")
         own = written(own.groupBy("dig").agg(F.collect_list("h").alias("hs")).withColumnRenamed("dig", "od"))  # of one text
         docs = docs.join(own, F.col("dig") == F.col("od")).drop("od")
-    schema = pa.schema([("kind", pa.string()), ("unit", pa.binary()), ("h", pa.int64()), ("count", pa.int32()), ("weight", pa.int64()), ("body", pa.binary()), ("doc_id", pa.int64()), ("dig", pa.int64()), ("start", pa.int64())])
+    schema = pa.schema(
+        [
+            ("kind", pa.string()),
+            ("unit", pa.binary()),
+            ("h", pa.int64()),
+            ("count", pa.int32()),
+            ("weight", pa.int64()),
+            ("body", pa.binary()),
+            ("doc_id", pa.int64()),
+            ("dig", pa.int64()),
+            ("start", pa.int64()),
+        ]
+    )
 
     def emit(kind, unit, h, count, weight, body, doc_id, dig, start):
         n = len(unit)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(unit, pa.binary()), pa.array(h, pa.int64()), pa.array(count, pa.int32()), pa.array(weight, pa.int64()), pa.array(body, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(dig, pa.int64()), pa.array(start, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([kind] * n, pa.string()),
+                pa.array(unit, pa.binary()),
+                pa.array(h, pa.int64()),
+                pa.array(count, pa.int32()),
+                pa.array(weight, pa.int64()),
+                pa.array(body, pa.binary()),
+                pa.array(doc_id, pa.int64()),
+                pa.array(dig, pa.int64()),
+                pa.array(start, pa.int64()),
+            ],
+            schema=schema,
+        )
 
     def flush(own: dict):
         rows = list(own.items())
         for i in range(0, len(rows), 4096):
             part = rows[i : i + 4096]
             none = [None] * len(part)
-            yield emit("unit", [k for k, _ in part], [v[0] for _, v in part], [v[1] for _, v in part], [v[2] for _, v in part], [v[3] for _, v in part], none, none, none)
+            yield emit(
+                "unit",
+                [k for k, _ in part],
+                [v[0] for _, v in part],
+                [v[1] for _, v in part],
+                [v[2] for _, v in part],
+                [v[3] for _, v in part],
+                none,
+                none,
+                none,
+            )
 
     def run(batches):
         claim("suffix_dedup")
@@ -302,7 +337,9 @@ def _sorted_units(rows: DataFrame, key: str, length: int) -> DataFrame:
         for part in batches_of(it):
             marks = repeated([x[3] for x in part], np.array([x[1] for x in part]), np.array([x[2] for x in part], float), length)
             rows_ = [(x[0], _runs(m)) for x, m in zip(part, marks, strict=True) if m.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.binary()), pa.array([r[1] for r in rows_], pa.binary())], names=["unit", "runs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows_], pa.binary()), pa.array([r[1] for r in rows_], pa.binary())], names=["unit", "runs"]
+            )
 
     dealt = rows.select(key, "unit", "count", "weight", "body").repartition(F.col(key)).sortWithinPartitions(key, "unit")
     return map_arrow(dealt, run, "unit binary, runs binary")
@@ -316,7 +353,17 @@ def _windows(units_: DataFrame, length: int) -> DataFrame:
             for unit, count, weight, body in zip(*(b.column(c).to_pylist() for c in ("unit", "count", "weight", "body")), strict=True):
                 parts = [body[i : i + length] for i in range(count)]
                 ends = [hashlib.blake2b(p[:64] + p[-64:], digest_size=8).digest() for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(ends), "<i8")), pa.array([unit] * count, pa.binary()), pa.array(np.arange(count), pa.int32()), pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in parts], pa.binary()), pa.array([weight] * count, pa.int64()), pa.array(parts, pa.binary())], names=["ends", "parent", "place", "unit", "weight", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.frombuffer(b"".join(ends), "<i8")),
+                        pa.array([unit] * count, pa.binary()),
+                        pa.array(np.arange(count), pa.int32()),
+                        pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in parts], pa.binary()),
+                        pa.array([weight] * count, pa.int64()),
+                        pa.array(parts, pa.binary()),
+                    ],
+                    names=["ends", "parent", "place", "unit", "weight", "body"],
+                )
 
     return map_arrow(units_.select("unit", "count", "weight", "body"), run, "ends long, parent binary, place int, unit binary, weight long, body binary")
 
@@ -366,7 +413,9 @@ def _found(units_: DataFrame, length: int, hot: int, turn: int = 0) -> DataFrame
         return _sorted_units(units_, "h", length)
     on = F.col("h") == F.col("hh")
     rest = _sorted_units(units_.join(crowded, on, "left_anti"), "h", length)
-    one = units_.join(crowded, on, "left_semi").groupBy("unit").agg(F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body"))
+    one = units_.join(crowded, on, "left_semi").groupBy("unit").agg(
+        F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body")
+    )
     if turn < 2:
         each = written(_again(one, length, 0x9E3779B97F4A7C15 * (turn + 1) % (1 << 64)))
         own = written(each.groupBy("h", "unit").agg(F.first("count").alias("count"), F.sum("weight").alias("weight"), F.first("body").alias("body")))
@@ -413,7 +462,17 @@ def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT, most: int | No
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("dig"))
     found = spans(docs, length, hot, most).select(F.col("doc_id").alias("d"), F.col("dig").alias("g"), "places")
     joined = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("dig") == F.col("g")), "left").select("doc_id", "text", "places")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_bytes", pa.int64()),
+            ("n_removed", pa.int64()),
+            ("n_spans", pa.int64()),
+            ("kept_sha256", pa.string()),
+            ("kept", pa.binary()),
+            ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+        ]
+    )
 
     def run(batches):
         claim("suffix_dedup")
@@ -436,4 +495,8 @@ def remove(docs: DataFrame, length: int = LENGTH, hot: int = HOT, most: int | No
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest()), out["kept"].append(kept), out["removed"].append(cut)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return map_arrow(joined, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>")
+    return map_arrow(
+        joined,
+        run,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,end:long>>",
+    )

@@ -106,7 +106,13 @@ def _packed(docs: DataFrame, definition: str, end_id: int, buckets: int) -> Data
             upto = np.concatenate([[0], np.searchsorted(ends, bounds, "right")])
             part = -1 - (row + np.arange(len(counts))) // 512 % 4096
             row += len(counts)
-            yield _rows(len(counts), bucket=pa.array(part.astype(np.int32)), doc_id=batch.column("doc_id").cast(pa.int64()), keys=_bytes(16 * upto, keys), lens=_bytes(4 * upto, lens.tobytes()))
+            yield _rows(
+                len(counts),
+                bucket=pa.array(part.astype(np.int32)),
+                doc_id=batch.column("doc_id").cast(pa.int64()),
+                keys=_bytes(16 * upto, keys),
+                lens=_bytes(4 * upto, lens.tobytes()),
+            )
             first = np.unique(np.frombuffer(keys, "V16"), return_index=True)[1]
             own = np.frombuffer(keys, "V16")[first]
             bucket = own.view("<u1").reshape(-1, 16)[:, :2].astype(np.int64) @ [256, 1] * buckets >> 16
@@ -114,12 +120,28 @@ def _packed(docs: DataFrame, definition: str, end_id: int, buckets: int) -> Data
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             to = np.append(cut, len(own))
             of = np.concatenate([[0], np.cumsum(lens[first].astype(np.int64))])[to] * width
-            yield _rows(len(cut), bucket=pa.array(bucket[cut].astype(np.int32)), keys=_bytes(16 * to, own.tobytes()), lens=_bytes(4 * to, lens[first].tobytes()), body=_bytes(of, bodies.buffers()[2]), width=pa.array([width] * len(cut), pa.int32()))
+            yield _rows(
+                len(cut),
+                bucket=pa.array(bucket[cut].astype(np.int32)),
+                keys=_bytes(16 * to, own.tobytes()),
+                lens=_bytes(4 * to, lens[first].tobytes()),
+                body=_bytes(of, bodies.buffers()[2]),
+                width=pa.array([width] * len(cut), pa.int32()),
+            )
 
     return map_arrow(docs.select("doc_id", "text"), run, "bucket int, doc_id long, keys binary, lens binary, body binary, width int")
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("body", pa.binary()), ("width", pa.int32())])
+_PACKED = pa.schema(
+    [
+        ("bucket", pa.int32()),
+        ("doc_id", pa.int64()),
+        ("keys", pa.binary()),
+        ("lens", pa.binary()),
+        ("body", pa.binary()),
+        ("width", pa.int32()),
+    ]
+)
 _CHUNKS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("body", pa.binary()), ("lens", pa.binary())])
 
 
@@ -157,7 +179,14 @@ def _distinct(packed: DataFrame) -> DataFrame:
                 yield from objects(held)
                 continue
             for b in held:
-                yield _rows(b.num_rows, _CHUNKS, kind=pa.array(["recipe"] * b.num_rows), doc_id=b.column("doc_id"), body=b.column("keys"), lens=b.column("lens"))
+                yield _rows(
+                    b.num_rows,
+                    _CHUNKS,
+                    kind=pa.array(["recipe"] * b.num_rows),
+                    doc_id=b.column("doc_id"),
+                    body=b.column("keys"),
+                    lens=b.column("lens"),
+                )
 
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     return map_arrow(dealt, run, "kind string, key binary, doc_id long, body binary, lens binary")
@@ -171,14 +200,23 @@ def _blocks(recipes: DataFrame) -> DataFrame:
     """Each block's Merkle root over its documents in order, and its ids. A block has a bounded number of documents."""
     leaf = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"|"), "keys", "lens"), 256)
     n = _sum_lens()
-    return recipes.select("block", "place", leaf.alias("leaf"), n.alias("n")).groupBy("block").agg(F.sum("n").alias("ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), ""), 256).alias("root"))
+    return recipes.select("block", "place", leaf.alias("leaf"), n.alias("n")).groupBy("block").agg(
+        F.sum("n").alias("ids"),
+        F.sha2(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "leaf"))), lambda x: x["leaf"]), ""), 256
+        ).alias("root"),
+    )
 
 
 def _sum_lens():
     """Ids of a recipe: its little-endian lengths added."""
     hexed = F.hex("lens")
     word = lambda i: F.concat(*(F.substring(hexed, i * 8 + k, 2) for k in (7, 5, 3, 1)))
-    return F.aggregate(F.sequence(F.lit(0), (F.length("lens") / 4).cast("int") - 1), F.lit(0).cast("long"), lambda s, i: s + F.conv(word(i), 16, 10).cast("long"))
+    return F.aggregate(
+        F.sequence(F.lit(0), (F.length("lens") / 4).cast("int") - 1),
+        F.lit(0).cast("long"),
+        lambda s, i: s + F.conv(word(i), 16, 10).cast("long"),
+    )
 
 
 def _root(rows) -> str:
@@ -231,18 +269,30 @@ def _entries(recipes: DataFrame) -> DataFrame:
             after = (upto[first] + total)[row] - upto[1:]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(take) for c in ("block", "place", "doc_id")), _bytes(16 * np.arange(len(row) + 1), b"".join(keys)), pa.array(size), pa.array(after), pa.array(total[row])],
+                [
+                    *(b.column(c).take(take) for c in ("block", "place", "doc_id")),
+                    _bytes(16 * np.arange(len(row) + 1), b"".join(keys)),
+                    pa.array(size),
+                    pa.array(after),
+                    pa.array(total[row]),
+                ],
                 names=["block", "place", "doc_id", "key", "n", "after", "total"],
             )
 
-    return map_arrow(recipes.select("block", "place", "doc_id", "keys", "lens"), run, "block int, place long, doc_id long, key binary, n long, after long, total long")
+    return map_arrow(
+        recipes.select("block", "place", "doc_id", "keys", "lens"),
+        run,
+        "block int, place long, doc_id long, key binary, n long, after long, total long",
+    )
 
 
 def verify(spark: SparkSession, path: str) -> None:
     """Raises if a block's or the whole manifest's root differs from what the recipe files now give."""
     manifest = spark.read.parquet(f"{path}/manifest")
     now = _blocks(spark.read.parquet(f"{path}/recipes")).select(F.col("block").alias("b"), F.col("root").alias("r"), F.col("ids").alias("i"))
-    wrong = manifest.join(now, F.col("block") == F.col("b"), "full").where(~F.col("root").eqNullSafe(F.col("r")) | ~F.col("ids").eqNullSafe(F.col("i"))).limit(5).collect()
+    wrong = manifest.join(now, F.col("block") == F.col("b"), "full").where(
+        ~F.col("root").eqNullSafe(F.col("r")) | ~F.col("ids").eqNullSafe(F.col("i"))
+    ).limit(5).collect()
     root = spark.read.parquet(f"{path}/root").collect()[0]["root"]
     if wrong or root != _root(manifest.select("block", "root").collect()):
         raise ValueError(f"the store at {path} fails its manifest: {wrong}")
@@ -277,9 +327,14 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc, size, n, after = (b.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "size", "n", "after"))
             if b.column("size").null_count or (size != n).any():
                 raise ValueError("a recipe names an object that is absent or of another length")
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("block", "place", "doc_id", "total")), pa.array(shifted(crc, 4 * after).astype(np.int64))], names=["block", "place", "doc_id", "total", "crc"])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("block", "place", "doc_id", "total")), pa.array(shifted(crc, 4 * after).astype(np.int64))],
+                names=["block", "place", "doc_id", "total", "crc"],
+            )
 
-    whole = map_arrow(joined, carry, "block int, place long, doc_id long, total long, crc long").groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
+    whole = map_arrow(joined, carry, "block int, place long, doc_id long, total long, crc long").groupBy("block", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("total").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32")
+    )
     return _with_start(spark, path, written(whole))
 
 
@@ -299,7 +354,9 @@ def _with_start(spark: SparkSession, path: str, docs: DataFrame) -> DataFrame:
     before = np.cumsum([0, *(r["ids"] for r in rows)]).tolist()
     heads = spark.createDataFrame([(r["block"], b) for r, b in zip(rows, before, strict=False)], "head int, before long")  # a row a block
     own = F.sum("n_tokens").over(W.partitionBy("block").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-    return docs.withColumn("own", F.coalesce(own, F.lit(0))).join(heads, F.col("block") == F.col("head")).select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.withColumn("own", F.coalesce(own, F.lit(0))).join(heads, F.col("block") == F.col("head")).select(
+        "doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "ids_crc32"
+    )
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -307,7 +364,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     wide = _width(spark, path)
     objects = _chunks(spark, path, "object").select(F.col("key").alias("k"), "body")
     parts = _entries(spark.read.parquet(f"{path}/recipes")).join(objects, F.col("key") == F.col("k"))
-    whole = parts.groupBy("block", "place").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("part"), "body"))).alias("parts"))
+    whole = parts.groupBy("block", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("part"), "body"))).alias("parts")
+    )
 
     def join(batches):
         for b in batches:

@@ -77,7 +77,9 @@ class WordEncoder:
             #: The same model for lower-case plain words joined by spaces, ASCII ones and others; each ends in one id of `ends`.
             self.ascii, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
             self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.latin.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
             self.ends = np.zeros(max(vocab.values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(known["model"]["end_of_word_suffix"])]] = True
             self._clear()

@@ -79,7 +79,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     use = use.where(F.pmod(F.xxhash64("lid"), F.lit(1_000_000)) < int(part * 1_000_000))
 
     # The sample is bounded, so it is the side to send round.
-    chosen = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(use), F.col("doc_id") == F.col("lid")).select("text", "label"))
+    chosen = written(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), "text"
+        ).join(F.broadcast(use), F.col("doc_id") == F.col("lid")).select("text", "label")
+    )
     codes = choose_from(chosen, lambda batch: features(batch.column("text")), most)
     known = {int(c): i for i, c in enumerate(codes)}
 
@@ -88,13 +92,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
         for batch in slices(batches, 2 << 20):
             plain = features(batch.column("text"), known)
             blobs = packed(plain, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary()), pa.array([None] * batch.num_rows, pa.binary()), pa.array(plain.dense[:, 0])], names=["label", "entries", "twin", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("label"),
+                    pa.array(blobs, pa.binary()),
+                    pa.array([None] * batch.num_rows, pa.binary()),
+                    pa.array(plain.dense[:, 0]),
+                ],
+                names=["label", "entries", "twin", "length"],
+            )
             other = [swapped(x or "") for x in batch.column("text").to_pylist()]
             has = [i for i, x in enumerate(other) if x is not None]
             if has:
                 twins = packed(features(pa.array([other[i] for i in has]), known), len(has))
                 take = pa.array(has)
-                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array([blobs[i] for i in has], pa.binary()), pa.array(twins, pa.binary()), pa.array(plain.dense[has, 0])], names=["label", "entries", "twin", "length"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("label").take(take),
+                        pa.array([blobs[i] for i in has], pa.binary()),
+                        pa.array(twins, pa.binary()),
+                        pa.array(plain.dense[has, 0]),
+                    ],
+                    names=["label", "entries", "twin", "length"],
+                )
 
     got = map_arrow(chosen, run, "label double, entries binary, twin binary, length double").toArrow()
     label, length = got.column("label").to_numpy(), got.column("length").to_numpy()[:, None]

@@ -21,7 +21,18 @@ def rows():
         own = list(base)
         own[r.randrange(len(own))] = f"x{i}"
         out.append((i, " ".join(own)))
-    out += [(52, out[3][1]), (53, out[3][1].upper()), (54, None), (55, ""), (56, " \n\t"), (57, line(9000)), (58, "Ünïcödé ß İ 𝒳 'S don't \x00 tab\tend"), (59, out[57][1] if len(out) > 57 else ""), (60, out[35][1]), (60, out[35][1])]
+    out += [
+        (52, out[3][1]),
+        (53, out[3][1].upper()),
+        (54, None),
+        (55, ""),
+        (56, " \n\t"),
+        (57, line(9000)),
+        (58, "Ünïcödé ß İ 𝒳 'S don't \x00 tab\tend"),
+        (59, out[57][1] if len(out) > 57 else ""),
+        (60, out[35][1]),
+        (60, out[35][1]),
+    ]
     out.append((None, line(40)))
     return out
 

@@ -108,7 +108,9 @@ def toxic_rows(n=600):
 
 def test_toxicity_learns_and_stays_out_of_held_out_rows(spark):
     rows = toxic_rows()
-    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame(
+        [(r[0], 1, r[2]) for r in rows], "doc_id long, quality int, toxic int"
+    )
     got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     held = [(got[i]["predicted"], y) for i, _, y in rows if got[i]["held_out"]]
@@ -226,7 +228,9 @@ def test_packing_empty(no_docs):
 
 def test_sharding(docs, rows):
     got = sharding.assign(docs, shards=4).collect()
-    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == sorted(
+        ((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows), key=repr
+    )
     slots = defaultdict(list)
     for r in got:
         slots[r["shard"]].append(r["slot"])
@@ -234,7 +238,10 @@ def test_sharding(docs, rows):
 
 
 def test_sharding_splits_a_hot_group_and_evens_bytes(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "same text " * 20).otherwise(F.repeat(F.lit("ab "), (F.col("id") % 97 + 1).cast("int"))).alias("text"))
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "same text " * 20).otherwise(F.repeat(F.lit("ab "), (F.col("id") % 97 + 1).cast("int"))).alias("text"),
+    )
     size = [r["s"] for r in sharding.assign(docs, shards=24).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
     assert len(size) == 24 and max(size) < 1.02 * min(size)
 
@@ -411,7 +418,17 @@ def test_components_of_a_long_chain(spark):
 def test_decontamination(spark, docs, rows):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     words = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    items = [(1, rows[35][1][40:200]), (2, rows[0][1]), (3, "İ 𝒳 'S"), (4, None), (5, "?!"), (6, rows[57][1][1000:3000]), (12, rows[20][1].upper()), (None, "x"), (2, rows[5][1])]
+    items = [
+        (1, rows[35][1][40:200]),
+        (2, rows[0][1]),
+        (3, "İ 𝒳 'S"),
+        (4, None),
+        (5, "?!"),
+        (6, rows[57][1][1000:3000]),
+        (12, rows[20][1].upper()),
+        (None, "x"),
+        (2, rows[5][1]),
+    ]
     own = defaultdict(set)
     for i, t in items:
         w = words(t)
@@ -477,7 +494,14 @@ def test_token_store_sees_damage(spark, docs, tmp_path):
     path = str(tmp_path / "store")
     token_store.write(docs, path)
     recipes = spark.read.parquet(f"{path}/recipes").collect()
-    spark.createDataFrame([(r["doc_id"], r["block"], r["place"], r["keys"], bytes(r["lens"])[:-1] + b"\x01") if r["doc_id"] == 3 else tuple(r) for r in recipes], "doc_id long, block int, place long, keys binary, lens binary").write.mode("overwrite").parquet(f"{path}/recipes")
+    spark.createDataFrame(
+        [
+            (
+                r["doc_id"], r["block"], r["place"], r["keys"], bytes(r["lens"])[:-1] + b"\x01"
+            ) if r["doc_id"] == 3 else tuple(r) for r in recipes
+        ],
+        "doc_id long, block int, place long, keys binary, lens binary",
+    ).write.mode("overwrite").parquet(f"{path}/recipes")
     with pytest.raises(ValueError, match="manifest"):
         token_store.verify(spark, path)
 
@@ -580,7 +604,12 @@ def test_runs_of_hits_equal_brute_force():
 
 
 def test_one_pass_for_four_megabytes_of_items(spark):
-    bench = spark.range(2000).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(249)), lambda i: F.substring(F.md5((F.col("id") * 250 + i).cast("string")), 1, 8)), " ").alias("text"))
+    bench = spark.range(2000).select(
+        F.col("id").alias("item_id"),
+        F.array_join(
+            F.transform(F.sequence(F.lit(0), F.lit(249)), lambda i: F.substring(F.md5((F.col("id") * 250 + i).cast("string")), 1, 8)), " "
+        ).alias("text"),
+    )
     found = list(decontaminate.blocks(bench))
     assert len(found) == 1 and len(found[0].words) == 500_000
     m = decontaminate.machine(found[0])
@@ -602,8 +631,16 @@ def test_secret_scan_of_a_long_run(spark):
 
 def test_running_sums(spark):
     for n in (0, 1, 63, 64, 65, 5000):
-        got = spark.range(1).select(secret_scan.running(F.transform(F.expr(f"cast(sequence(1, {max(n, 1)}) as array<int>)") if n else F.expr("cast(array() as array<int>)"), lambda x: x % 7)).alias("s")).collect()[0]["s"]
-        assert list(got) == [sum(i % 7 for i in range(1, k)) for k in range(1, n + 1)] if n < 100 else list(got) == np.concatenate([[0], np.cumsum([i % 7 for i in range(1, n)])]).tolist()
+        got = spark.range(1).select(
+            secret_scan.running(
+                F.transform(
+                    F.expr(f"cast(sequence(1, {max(n, 1)}) as array<int>)") if n else F.expr("cast(array() as array<int>)"), lambda x: x % 7
+                )
+            ).alias("s")
+        ).collect()[0]["s"]
+        assert list(got) == [
+            sum(i % 7 for i in range(1, k)) for k in range(1, n + 1)
+        ] if n < 100 else list(got) == np.concatenate([[0], np.cumsum([i % 7 for i in range(1, n)])]).tolist()
 
 
 def test_shards_are_even_in_all_dimensions():
@@ -616,7 +653,9 @@ def test_shards_are_even_in_all_dimensions():
 
 
 def test_kept_rows_keep_any_column_name(spark):
-    rows = spark.createDataFrame([(1, "a b c d e f", "x", 1, "k"), (2, "a b c d e f", "y", 2, "k")], "doc_id long, text string, _key string, _keep int, row string")
+    rows = spark.createDataFrame(
+        [(1, "a b c d e f", "x", 1, "k"), (2, "a b c d e f", "y", 2, "k")], "doc_id long, text string, _key string, _keep int, row string"
+    )
     for keep in (exact_dedup.keep_one, jaccard_join.keep_one):
         got = keep(rows)
         assert got.columns == rows.columns and got.count() == 1
