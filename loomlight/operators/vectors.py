@@ -166,19 +166,28 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(old.join(new.select("id"), "id", "left_anti"))
 
 
+#: Ranges of ids whose counts one task adds up.
+RANGES = 1 << 14
+
+
 def parts(rows: DataFrame, order: str, size: int = 5000) -> DataFrame:
     """Adds `part`, from 1, of at most `size` rows in the order of a unique integer column.
 
-    Places come from counts of ranges of that column, so no single task sorts all rows.
+    Places come from counts of ranges of that column, added up within groups of ranges and over the
+    groups, so no single task sorts all rows or all ranges.
     """
     width = size * 8
     cell = F.floor(F.col(order) / width)
-    counted = rows.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counted.select("_c", (F.sum("_n").over(W.orderBy("_c").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_s"))  # a row for each range
+    counted = rows.groupBy(cell.alias("_c")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_g", F.floor(F.col("_c") / RANGES))
+    before = lambda w, n: F.sum(n).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col(n)
+    groups = counted.groupBy(F.col("_g").alias("_h")).agg(F.sum("_n").alias("_m"))
+    groups = groups.select("_h", before(W.orderBy("_h"), "_m").alias("_b"))  # a row for each RANGES * width ids
+    starts = counted.withColumn("_s", before(W.partitionBy("_g").orderBy("_c"), "_n")).join(groups, F.col("_g") == F.col("_h"))
+    starts = starts.select("_c", (F.col("_b") + F.col("_s")).alias("_s"))
     own = F.row_number().over(W.partitionBy("_cell").orderBy(order))
-    return rows.withColumn("_cell", cell).withColumn("_r", own).join(starts, F.col("_cell") == F.col("_c")).withColumn(
-        "part", (F.floor((F.col("_s") + F.col("_r") - 1) / size) + 1).cast("long")
-    ).drop("_cell", "_r", "_c", "_n", "_s")
+    placed = rows.withColumn("_cell", cell).withColumn("_r", own).join(starts, F.col("_cell") == F.col("_c"))
+    part = F.floor((F.col("_s") + F.col("_r") - 1) / size) + 1
+    return placed.withColumn("part", part.cast("long")).drop("_cell", "_r", "_c", "_s")
 
 
 def checked(values: Column, dim: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +88,14 @@ def ask(
     """(qid, answer, citations, meta) of questions (qid, question, sources); blank questions are left out.
 
     With `vectors` and `embed` the best passage of each question is retrieved; else `passages` may
-    give it (qid, work, locator, url, text). The graph side is not filtered by source.
+    give it (qid, work, locator, url, text). The graph side is not filtered by source; where it fails,
+    a warning says so and the passages answer alone.
     """
     questions = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "")
     if vectors is not None and embed is not None:
         passages = written(retrieve(questions, vectors, embed).where("rank = 1"))
     # Both sides are written, so that Spark plans each of them alone.
-    return answer(questions, compose(written(graph_facts(questions, g, backend=backend))), passages, provider)
+    found, error = graph_facts_or_none(questions, g, backend)
+    if error:
+        warnings.warn(f"no graph facts: {error}", RuntimeWarning, stacklevel=2)
+    return answer(questions, compose(found), passages, provider)

@@ -217,6 +217,10 @@ def test_a_failing_backend_gives_no_facts(spark, nodes):
     q = spark.createDataFrame([(1, "Who were the ancestors of Bo Marsh?")], "qid long, question string")
     rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop), backend="sql")
     assert rows.count() == 0 and "RECURSION" in error
+    asked = q.withColumn("sources", F.array(F.lit("knight")))
+    with pytest.warns(RuntimeWarning, match="no graph facts"):
+        said = ask(asked, G.compile_graph(nodes, loop), backend="sql").collect()
+    assert len(said) == 1 and said[0]["answer"] and not said[0]["citations"]
     rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop))
     assert rows.count() == 2 and error is None
 
