@@ -5,12 +5,27 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlight.llm import components, decontaminate, exact_dedup, jaccard_join, linear, packing, quality, secret_scan, sharding, suffix_dedup, token_store, toxicity
+from loomlight.llm import (
+    components,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    linear,
+    packing,
+    quality,
+    queries,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+    token_store,
+    toxicity,
+)
 from loomlight.llm.tokens import default_tokenizer
 
 
@@ -246,6 +261,14 @@ def test_sharding_splits_a_hot_group_and_evens_bytes(spark):
     assert len(size) == 24 and max(size) < 1.02 * min(size)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_the_law_bytes_holds_on_documents(spark):
+    got = queries.op5_sharding(spark, "/root/testdata/sf0.01")
+    assert {r["law"] for r in got.select("law").distinct().collect()} == {"bytes"}
+    size = [r["s"] for r in got.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(size) == 24 and max(size) <= 1.02 * min(size)
+
+
 def test_sharding_empty(no_docs):
     assert sharding.assign(no_docs).count() == 0
 
