@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.llm import decontaminate, exact_dedup, jaccard_join, packing, quality, secret_scan, sharding, suffix_dedup, token_store, toxicity
+from loomlight.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    packing,
+    periodic_runs,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    suffix_dedup,
+    token_store,
+    toxicity,
+    vector_codes,
+)
 from loomlight.llm.common import table
 
 
@@ -60,6 +75,47 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"), words=4, most=4)
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text); in those whose crc32 of doc_id ends in 0, the words from one on repeat a first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        times = F.ceil((n - a) / p).cast("int")
+        period = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+        tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.concat_ws(" ", F.concat(F.slice(w, F.lit(1), a.cast("int")), tail))).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # Inside transform() the words stand for one value, and are taken once.
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.longest(periodic_runs.detect(with_tails(table(spark, sf_dir, "documents"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.*",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("codebooks_sha256", F.lit(hashlib.sha256((books.text() if books else "").encode()).hexdigest()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup,
@@ -72,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_join,
         op9_decontamination,
         op10_token_store,
+        op11_simhash,
+        op12_periodic_runs,
+        op13_vector_codes,
     )
     return {f.__name__: f for f in every}
 
@@ -79,8 +138,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def _vector_codes_sql() -> str:
+    """Four rounds of the same two steps: the nearest entry of each part, and the floored means."""
+    step = """
+            near{i} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := CAST(list_sum(list_transform(range(1, len(v) + 1),
+                lambda j: (v[j] - c[j]) * (v[j] - c[j]))) AS BIGINT), e := e)) AS best FROM cut JOIN book{i} USING (p) GROUP BY r, p),"""
+    mean = """
+            sums{i} AS (SELECT p, best.e AS e, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n
+                FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS j FROM near{i} JOIN cut USING (r, p)) GROUP BY ALL),
+            moved{i} AS (SELECT p, e, list((s - (s % n + n) % n) // n ORDER BY j) AS c FROM sums{i} GROUP BY p, e),
+            book{k} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN moved{i} m ON b.p = m.p AND b.e = m.e),"""
+    rounds = "".join(step.format(i=i) + mean.format(i=i, k=i + 1) for i in range(4)) + step.format(i=4)
+    return f"""
+            WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+                    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+                FROM embeddings WHERE embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+            cut AS MATERIALIZED (SELECT r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS v
+                FROM (SELECT r, x, unnest(range(0, 4)) AS p FROM kept)),
+            book0 AS (SELECT p, r AS e, v AS c FROM cut WHERE r < 256),{rounds}
+            coded AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+                FROM near4 GROUP BY r),
+            books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM book4)
+            SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+            FROM kept JOIN coded USING (r), books"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_vector_codes": _vector_codes_sql(),
         "op1_suffix_dedup": """
             WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
             blocks AS (SELECT doc_id, o, len(h) // 2 - 199 - o AS more, substr(h, 2 * o + 1, 2398) AS part
