@@ -1,15 +1,16 @@
 """Near copies by 64-bit SimHash fingerprints and vantage-point trees over Hamming distance.
 
-A node of a tree has a vantage point and eight bits: it parts the fingerprints by their distance from
-the vantage point on these bits. Nodes of one path have different bits, so the triangle bounds
-|d(x, v) - d(y, v)| of a path add up to a bound of the whole distance of x and y, and a branch is
-pruned once they exceed the limit. (Distances over all 64 bits lie close to 32; a single bound of 4
-would prune an eighth of a level.) After eight nodes the bits are dealt anew and the bound starts again.
-
-The upper part of the tree is built from a bounded sample and parts all fingerprints into shards. Each
-is at home in one shard, and asks at those shards beyond its own that its bounds cannot exclude: so
-every pair meets in exactly one task. A task parts its own shard further, one vantage point a level,
-and compares what the bounds leave. It reports links as a forest, never all pairs of a dense group.
+Fingerprints within 4 bits differ in one bit at most in one of three thirds of their bits. So there
+are three trees, one for each third. A node of a tree has a vantage point and a few bits: it parts the
+fingerprints by their distance from the vantage point on these bits, first those of the third, then
+the rest. Nodes of one path have different bits, so the triangle bounds |d(x, v) - d(y, v)| of a path
+add up, and a branch is pruned once they exceed 1 within the third or 4 in all. (Distances over all
+64 bits lie close to 32: one bound of 4 would prune an eighth of a level.)
+
+The upper part of a tree is built from a bounded sample and parts all fingerprints into shards. Each
+is at home in one shard of a tree, and asks at those shards beyond its own that its bounds cannot
+exclude. A task parts its own shard further, one vantage point a level, and compares what the bounds
+leave. It reports links as a forest, never all pairs of a dense group.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ STRETCH, SEED = 2 << 20, 42
 #: Fingerprints at home in a shard, by the sample's estimate, and fingerprints that the sample has (512 kB).
 SHARD, SAMPLE = 1 << 15, 1 << 16
 
-#: Bits that a node looks at, and fingerprints of a task's shard that share a leaf, about.
-SEGMENT, LEAF = 8, 100
+#: Trees, bits that their nodes look at, within the tree's part and outside it, and fingerprints of a task's shard that share a leaf, about.
+PARTS, WITHIN, OUTSIDE, LEAF = 3, 3, 8, 100
 
 #: Fingerprints that are read at once, and the most pairs compared at once.
 BLOCK, PAIRS = 1 << 16, 1 << 21
@@ -110,11 +111,13 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
-def segments() -> list[int]:
-    """Masks of the bits that the nodes of a path look at, by depth: eight bytes, then eight times every eighth bit."""
-    whole = [((1 << SEGMENT) - 1) << at for at in range(0, 64, SEGMENT)]
-    spread = [sum(1 << b for b in range(at, 64, 64 // SEGMENT)) for at in range(64 // SEGMENT)]
-    return whole + spread
+def segments(part: int, parts: int = PARTS) -> tuple[list[int], int]:
+    """Masks of the bits that the nodes of a path look at, by depth, and how many of them lie in the tree's own part of the bits."""
+    bits = np.arange(64)
+    own = np.array_split(bits, parts)[part]
+    cut = lambda some, width: [sum(1 << int(b) for b in x) for x in np.array_split(some, -(-len(some) // width))]
+    within = cut(own, WITHIN)
+    return within + cut(np.setdiff1d(bits, own), OUTSIDE), len(within)
 
 
 def _far(x: np.ndarray, vantage, mask) -> np.ndarray:
@@ -129,21 +132,19 @@ def _vantage(points: np.ndarray, mask: np.uint64) -> np.uint64:
 
 
 class Tree:
-    """The upper part of the tree: arrays by node. Built from a sample that stands for `n` fingerprints."""
+    """The upper part of one tree: lists by node. Built from a sample that stands for `n` fingerprints."""
 
-    def __init__(self, sample: np.ndarray, n: int, shard: int = SHARD):
+    def __init__(self, sample: np.ndarray, n: int, part: int, shard: int = SHARD):
+        masks, self.within = segments(part)
+        self.masks = np.array(masks, np.uint64)
         self.vantage: list[int] = []
         self.depth: list[int] = []
         self.children: list[list[tuple[int, int, int]]] = []  # (least distance, largest, node); at a leaf none
         self.shards: dict[int, int] = {}
-        self.masks = np.array(segments(), np.uint64)
         self._grow(np.sort(sample), 0, n / max(1, len(sample)), shard)
 
     def _grow(self, own: np.ndarray, depth: int, weight: float, shard: int) -> int:
         node = len(self.vantage)
-        self.depth.append(depth)
-        self.vantage.append(0)
-        self.children.append([])
         want = -(-len(own) * weight // shard)
         while want > 1 and depth < len(self.masks):  # bits in which all agree part nothing
             v = _vantage(own, self.masks[depth])
@@ -151,69 +152,72 @@ class Tree:
             if far.min() < far.max():
                 break
             depth += 1
-        self.depth[node] = depth
+        self.depth.append(depth)
+        self.vantage.append(0)
+        self.children.append([])
         if want <= 1 or depth == len(self.masks):
             self.shards[node] = len(self.shards)
             return node
         self.vantage[node] = int(v)
-        count = np.bincount(far, minlength=SEGMENT + 1)
+        most = int(self.masks[depth]).bit_count()
+        count = np.bincount(far, minlength=most + 1)
         bands, low, held = [], 0, 0
-        for d in range(SEGMENT + 1):
+        for d in range(most + 1):
             held += count[d]
             if held >= len(own) / want and count[d + 1 :].any():
                 bands.append((low, d))
                 low, held = d + 1, 0
-        bands.append((low, SEGMENT))
+        bands.append((low, most))
         self.children[node] = [(a, b, self._grow(own[(far >= a) & (far <= b)], depth + 1, weight, shard)) for a, b in bands]
         return node
 
     def route(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, shard, at home) for each fingerprint and each shard that may hold one within `most` bits of it."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        left, home = np.full(len(x), most), np.ones(len(x), bool)
+        """(row, shard, at home) for each fingerprint and each shard that may hold one within `most` bits of it, and within the part's share of these in the part."""
+        todo = [(0, np.arange(len(x)), np.full(len(x), most), np.full(len(x), most // PARTS), np.ones(len(x), bool))]
         rows, shards, homes = [], [], []
-        todo = [(row, node, left, home, 0)]
         while todo:
-            row, node, left, home, start = todo.pop()
-            for at in np.unique(node).tolist():
-                on = node == at
-                r, b, h = row[on], left[on], home[on]
-                if at in self.shards:
-                    rows.append(r)
-                    shards.append(np.full(len(r), self.shards[at]))
-                    homes.append(h)
-                    continue
-                depth, half = self.depth[at], len(self.masks) // 2
-                if start < half <= depth:  # other bits from here on, which bound the distance by themselves
-                    b = np.full(len(b), most)
-                far = _far(x[r], np.uint64(self.vantage[at]), self.masks[depth])
-                for low, high, child in self.children[at]:
-                    short = b - np.maximum(0, np.maximum(low - far, far - high))
-                    go = short >= 0
-                    if go.any():
-                        todo.append((r[go], np.full(int(go.sum()), child), short[go], h[go] & (far[go] >= low) & (far[go] <= high), depth))
+            node, row, left, own, home = todo.pop()
+            if node in self.shards:
+                rows.append(row)
+                shards.append(np.full(len(row), self.shards[node]))
+                homes.append(home)
+                continue
+            far = _far(x[row], np.uint64(self.vantage[node]), self.masks[self.depth[node]])
+            for low, high, child in self.children[node]:
+                bound = np.maximum(0, np.maximum(low - far, far - high))
+                rest = own - bound if self.depth[node] < self.within else own
+                go = np.flatnonzero((left >= bound) & (rest >= 0))
+                if len(go):
+                    todo.append((child, row[go], (left - bound)[go], rest[go], home[go] & (bound[go] == 0)))
         return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
 
 
 class Shard:
     """The fingerprints of one shard in leaves of a tree with one vantage point a level, and which of them are linked."""
 
-    def __init__(self, own: np.ndarray, most: int):
-        self.most, self.masks = most, np.array(segments()[: 64 // SEGMENT], np.uint64)
-        own = np.sort(own)
-        self.levels = min(len(self.masks), int(np.log2(max(1, len(own) / LEAF)) / 2.5) + 1)
-        self.vantage = [_vantage(own, m) for m in self.masks[: self.levels]]
-        sign = self.sign(own)
-        order = np.lexsort(sign.T)
-        self.fp, sign = own[order], sign[order]
-        self.parent = np.arange(len(own))
-        new = np.concatenate([[True], (sign[1:] != sign[:-1]).any(1)])
-        self.start = np.flatnonzero(new)
+    def __init__(self, own: np.ndarray, most: int, part: int):
+        masks, within = segments(part)
+        self.most, own, code = most, np.sort(own), np.zeros(len(own), np.int64)
+        self.masks, self.vantage, self.within, leaves = [], [], 0, 1
+        for k, m in enumerate(np.array(masks, np.uint64)):  # levels until the leaves are small
+            if leaves * LEAF >= len(own):
+                break
+            v = _vantage(own, m)
+            finer = code * 16 + _far(own, v, m)
+            if (n := len(np.unique(finer))) > leaves:
+                self.masks.append(m)
+                self.vantage.append(v)
+                self.within += k < within
+                code, leaves = np.unique(finer, return_inverse=True)[1], n
+        order = np.argsort(code, kind="stable")
+        self.fp, self.parent = own[order], np.arange(len(own))
+        self.start = np.flatnonzero(np.diff(code[order], prepend=-1))
         self.size = np.diff(np.append(self.start, len(own)))
-        self.leaf = np.ascontiguousarray(sign[new].T)
+        self.leaf = np.ascontiguousarray(self.sign(self.fp[self.start]).T)
 
     def sign(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bitwise_count((x ^ v) & m) for v, m in zip(self.vantage, self.masks, strict=False)], 1).astype(np.int8)
+        out = [np.bitwise_count((x ^ v) & m).astype(np.int8) for v, m in zip(self.vantage, self.masks, strict=True)]
+        return np.stack(out, 1) if out else np.zeros((len(x), 0), np.int8)
 
     def roots(self, i: np.ndarray) -> np.ndarray:
         at = self.parent[i]
@@ -231,10 +235,13 @@ class Shard:
 
     def near(self, x: np.ndarray, sign: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(i, j): x[i] and the shard's fp[j] are within the limit. All of x have one signature; leaves before `first` are left out."""
-        bound = np.abs(self.leaf[0, first:] - sign[0])
-        for far, own in zip(self.leaf[1:, first:], sign[1:], strict=True):
-            bound += np.abs(far - own)
-        met = np.flatnonzero(bound <= self.most) + first
+        bound, open_ = np.zeros(self.leaf.shape[1] - first, np.int8), None
+        for k, own in enumerate(sign):
+            if k == self.within:
+                open_ = bound <= self.most // PARTS
+            bound += np.abs(self.leaf[k, first:] - own)
+        open_ = bound <= self.most // PARTS if open_ is None else open_ & (bound <= self.most)
+        met = np.flatnonzero(open_) + first
         if not len(met):
             return
         other = np.repeat(self.start[met], self.size[met]) + ranges(self.size[met])
@@ -253,8 +260,9 @@ class Shard:
     def asked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a, b): fingerprints of x that the shard has links of, each with one of them; the rest of its links are joined here."""
         sign = self.sign(x)
-        order = np.lexsort(sign.T)
-        x, sign = x[order], sign[order]
+        if sign.shape[1]:
+            order = np.lexsort(sign.T)
+            x, sign = x[order], sign[order]
         cut = [0, *(np.flatnonzero((sign[1:] != sign[:-1]).any(1)) + 1).tolist(), len(x)]
         a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for at, to in zip(cut, cut[1:], strict=False):
@@ -278,28 +286,30 @@ def links(prints: DataFrame, most: int = 4, shard: int = SHARD) -> DataFrame:
     sample = prints.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow().column("fp").to_numpy()
     if not len(sample):
         sample = np.zeros(1, np.int64)
-    tree = Tree(sample.view(np.uint64), n, shard)
+    trees = [Tree(sample.view(np.uint64), n, part, shard) for part in range(PARTS)]
+    first = np.cumsum([0, *(len(t.shards) for t in trees)])
 
     def deal(batches):
         claim("simhash")
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 fp = b.column("fp").slice(at, BLOCK)
-                row, to, home = tree.route(fp.to_numpy(zero_copy_only=False).view(np.uint64), most)
-                own = np.zeros(len(fp), np.int64)
-                own[row[home]] = to[home]
-                keep = np.flatnonzero(to >= own[row])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[keep]), pa.array(~home[keep]), fp.take(pa.array(row[keep]))], names=["shard", "guest", "fp"]
-                )
+                for part, tree in enumerate(trees):
+                    row, to, home = tree.route(fp.to_numpy(zero_copy_only=False).view(np.uint64), most)
+                    own = np.zeros(len(fp), np.int64)
+                    own[row[home]] = to[home]
+                    keep = np.flatnonzero(to >= own[row])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to[keep] + first[part]), pa.array(~home[keep]), fp.take(pa.array(row[keep]))], names=["shard", "guest", "fp"]
+                    )
 
     def compare(batches):
         claim("simhash")
-        for _, held in runs(batches, "shard"):
+        for (at,), held in runs(batches, "shard"):
             own = _column(held, "fp", False)
             if not len(own):
                 continue
-            s = Shard(own, most)
+            s = Shard(own, most, int(np.searchsorted(first, at, "right")) - 1)
             s.own_links()
             for b in held:
                 some = b.filter(b.column("guest"))
@@ -308,8 +318,7 @@ def links(prints: DataFrame, most: int = 4, shard: int = SHARD) -> DataFrame:
             yield _pairs(*s.forest())
 
     dealt = map_arrow(prints.select("fp"), deal, "shard long, guest boolean, fp long")
-    tasks = max(1, len(tree.shards))
-    met = dealt.repartition(tasks, "shard").sortWithinPartitions("shard", "guest")
+    met = dealt.repartition(int(first[-1]), "shard").sortWithinPartitions("shard", "guest")
     return map_arrow(met, compare, "a long, b long")
 
 
