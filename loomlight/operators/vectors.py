@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import uuid
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomlight.operators import vector_index
 from loomlight.ship import map_arrow
+from loomlight.sources.log_table import LogTable
+from loomlight.storage import written
 
 TOP_K = 8
 
@@ -229,45 +232,73 @@ class VectorStore(Protocol):
 
 
 class TableStore:
-    """A store in a Parquet folder with one subfolder a book, so that the filter prunes files.
+    """A store in a log-structured table, with an exact inverted-file index that its first upsert makes.
 
-    Each upsert writes a version of its own; the last one that was finished is the store's state, also
-    for an instance opened later. The first upsert notes dimension and metric.
+    Dimension, metric and centroids are noted with the first upsert. Later ones write their own rows
+    and the bounds of the cells these fall into; nothing else is rewritten until compact(). Each change is
+    a version of its own; the last one committed is the store's state, also for an instance opened later.
     """
 
     def __init__(self, spark: SparkSession, path: str, dim: int = 384):
         self.spark, self.path, self.dim = spark, path.rstrip("/"), dim
-        self.version = max(self._finished(), default=0)
-        if self.version:
-            noted = spark.read.parquet(f"{self.path}/about").collect()[0]
-            if noted["dim"] != dim:
-                raise ValueError(f"the store has {noted['dim']} dimensions, not {dim}")
-
-    def _finished(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return [int(n[1:]) for n in names if re.fullmatch(r"v\d+", n) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        self.log = LogTable(spark, f"{self.path}/table")
+        noted = self.log.about.get("dim", dim)
+        if noted != dim:
+            raise ValueError(f"the store has {noted} dimensions, not {dim}")
+
+    @property
+    def version(self) -> int:
+        return self.log.version
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+        return self.log.read().drop("cell", "off")
+
+    def _centroids(self, name: str) -> np.ndarray:
+        found = self.spark.read.parquet(f"{self.path}/{name}").orderBy("cell").toArrow()  # bounded by vector_index.CENTROID_BYTES
+        return vector_index.matrix(found.column("values").combine_chunks(), self.dim)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Writes the next version; a reader of the one before is not disturbed."""
+        """Rows (id, values, book_id and others) added, or put in place of those with their id."""
         rows = rows.withColumn("values", checked(F.col("values"), self.dim))
-        new = upsert(self.rows(), rows.select(self.rows().columns)) if self.version else rows
-        if not self.version:
-            self.spark.createDataFrame([(self.dim, "cosine")], "dim int, metric string").write.mode("overwrite").parquet(f"{self.path}/about")
-        new.write.partitionBy("book_id").mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        about = self.log.about
+        if not about:
+            centroids = vector_index.fit(rows)
+            about = {"dim": self.dim, "metric": "cosine", "centroids": f"centroids-{uuid.uuid4().hex[:12]}"}
+            listed = self.spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(centroids)], "cell int, values array<double>")
+            listed.coalesce(1).write.parquet(f"{self.path}/{about['centroids']}")
+        else:
+            centroids = self._centroids(about["centroids"])
+        own = written(vector_index.assigned(rows, centroids))
+        # Noted before the rows are: bounds of rows that are never committed only widen a cell.
+        vector_index.cells_of(own).coalesce(1).write.mode("append").parquet(f"{self.path}/cells")
+        self.log.upsert(own, about, sort=("book_id", "cell"))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Takes out the rows with these ids (id)."""
+        self.log.delete(ids)
+
+    def compact(self, share: float = 0.25) -> list[int]:
+        """Merges what upserts have added into those buckets where that is `share` of what is there already."""
+        return self.log.compact(share)
+
+    def nearest(self, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+        """(qid, id, score, rank) of the k nearest for queries (qid, values, optional books: null for any); exact."""
+        if not self.log.about:
+            raise ValueError("the store is empty")
+        books = F.col("books") if "books" in queries.columns else F.lit(None).cast("array<string>")
+        asked = queries.select("qid", checked(F.col("values"), self.dim).alias("values"), books.alias("books"))
+        cells = vector_index.merged(self.spark.read.parquet(f"{self.path}/cells"))
+        return vector_index.search(self.log.read, cells, self._centroids(self.log.about["centroids"]), asked, k)
 
     def query(self, vector: list[float], k: int = TOP_K, books: list[str] | None = None) -> DataFrame:
+        """The k nearest rows with their columns but `values`, and score."""
         if len(vector) != self.dim:
             raise ValueError(f"the query has {len(vector)} dimensions, the store {self.dim}")
-        return top_k(self.rows(), vector, k, books)
+        asked = self.spark.createDataFrame([(0, [float(x) for x in vector], books)], "qid int, values array<double>, books array<string>")
+        found = self.nearest(asked, k).select("id", "score").collect()
+        hits = self.spark.createDataFrame([tuple(r) for r in found], f"id {self.rows().schema['id'].dataType.simpleString()}, score double")
+        own = self.log.read(F.col("id").isin([r["id"] for r in found])).drop("values", "cell", "off")
+        return own.join(hits, "id").orderBy(F.desc("score"), "id")
 
 
 def vector_store(backend: str, spark: SparkSession, path: str, dim: int = 384) -> VectorStore:

@@ -13,7 +13,7 @@ from loomlight.operators import review as R
 from loomlight.operators import vectors as V
 from loomlight.plans import ask as A
 from loomlight.plans import family as K
-from loomlight.storage import table
+from loomlight.storage import scratch, table
 from loomlight.streaming.ingest import pending
 
 NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -108,6 +108,36 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _store(spark: SparkSession, sf_dir: str) -> V.TableStore:
+    own = _vectors(spark, sf_dir)
+    dim = own.agg(F.max(F.size("values")).alias("d")).collect()[0]["d"]
+    store = V.TableStore(spark, scratch(spark), dim or 1)
+    store.upsert(own)
+    return store
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a query; those of every third query in two books only."""
+    some = F.when(F.col("id") % 3 == 0, F.array(F.lit("fab"), F.lit("agot")))
+    return _vectors(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid"), "values", some.alias("books"))
+
+
+def vector_topk_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors through the index, exact, with a book filter of each query's own."""
+    return _store(spark, sf_dir).nearest(_asked(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+def vector_store_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors in a store after upserts, a deletion, a compaction and rows that come back."""
+    store, own = _store(spark, sf_dir), _vectors(spark, sf_dir)
+    store.upsert(own.where("id % 7 = 0").select("id", F.reverse("values").alias("values"), F.lit("misc").alias("book_id")))
+    store.delete(own.where("id % 11 = 0").select("id"))
+    store.compact(0.2)
+    more = own.where("id % 5 = 0").select((F.col("id") + 1000000).alias("id"), F.transform("values", lambda x: -x).alias("values"), "book_id")
+    store.upsert(more.unionByName(own.where("id % 33 = 0")))
+    return store.nearest(_asked(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
 def snippet_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = V.top_k(_vectors(spark, sf_dir), _first(spark, sf_dir))
     docs = table(spark, sf_dir, DOCS).select(F.col("doc_id").alias("d"), "text", F.col("source").alias("book"))
@@ -298,6 +328,10 @@ sc AS (SELECT dots.qid, dots.id, round(coalesce(dot / nullif(n * m, 0), 0), 6) A
     FROM dots JOIN long ON long.qid = dots.qid JOIN asked ON asked.qid = dots.qid WHERE books IS NULL OR list_contains(books, book_id))"""
 _SCORED = f"""WITH {_VEC}, s AS (SELECT a.id, a.book_id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM vec a, vec q
     WHERE q.id = 0)"""
+#: The eight nearest of `now` for every twentieth vector, every third of these in two books only.
+_NEAREST = """s AS (SELECT q.id AS qid, a.id, round(list_cosine_similarity(a.v, q.v), 6) AS score FROM now a, vec q
+    WHERE q.id % 20 = 0 AND (q.id % 3 <> 0 OR a.book_id IN ('fab', 'agot'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 8"""
 #: Paragraphs joined by one blank, walked chunk by chunk: `walk` has a row for each chunk that is done.
 _CHUNKS = r"""WITH RECURSIVE lines AS (SELECT doc_id, source, list_filter(list_transform(
         regexp_split_to_array(regexp_replace(regexp_replace(text, '\r', '', 'g'), '([A-Za-z])-\n([a-z])', '\1\2', 'g'), '\n+'),
@@ -369,6 +403,11 @@ QUERIES = {
     "vector_topk_batch": (vector_topk_batch, f"""WITH {_VEC}, s AS (SELECT q.id AS qid, a.id, round(list_cosine_similarity(a.v, q.v),
         6) AS score FROM vec a, vec q WHERE q.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid
         ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM r WHERE rank <= 8"""),
+    "vector_topk_ivf": (vector_topk_ivf, f"WITH {_VEC}, now AS (SELECT * FROM vec), {_NEAREST}"),
+    "vector_store_upserted": (vector_store_upserted, f"""WITH {_VEC}, now AS (
+        SELECT id, CASE WHEN id % 7 = 0 AND id % 33 <> 0 THEN list_reverse(v) ELSE v END AS v,
+            CASE WHEN id % 7 = 0 AND id % 33 <> 0 THEN 'misc' ELSE book_id END AS book_id FROM vec WHERE id % 11 <> 0 OR id % 33 = 0
+        UNION ALL SELECT id + 1000000, list_transform(v, lambda x: -x), book_id FROM vec WHERE id % 5 = 0), {_NEAREST}"""),
     "snippet_projection": (snippet_projection, f"""{_SCORED} SELECT id, score, source AS work, 'chunk ' || id AS locator, 'novel' AS type,
         book_id, text FROM s LEFT JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 8"""),
     "vector_upsert": (vector_upsert, """SELECT doc_id AS id, 'label-' || quality AS source FROM labels UNION ALL SELECT doc_id, source

@@ -59,3 +59,38 @@ def written(df: DataFrame, path: str | None = None, by: str | None = None) -> Da
     with freeing(spark):
         (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path, on whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, by name; nothing if it is absent."""
+    fs, at = hadoop(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small text to a path that must not exist yet; False if it does. Of two writers one succeeds."""
+    fs, at = hadoop(spark, path)
+    try:
+        out = fs.create(at, False)
+    except Exception:
+        if fs.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    fs, at = hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
