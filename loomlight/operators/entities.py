@@ -1,8 +1,8 @@
 """Entities named in questions, and single raw names.
 
-Containment is tested without word boundaries. Instead of comparing every text with every key, each
-key stands under one of its character grams, the rarest in the index; texts join by the grams they
-have, and the containment itself is checked on what meets. That finds exactly the same pairs.
+Containment is tested without word boundaries, and without comparing texts with keys: what contains a
+key has a window of its length that equals it. So the windows of a text, one set for each length that
+keys have, meet the keys in an equi-join, and whatever meets is a hit.
 """
 
 from __future__ import annotations
@@ -13,30 +13,32 @@ from pyspark.sql import functions as F
 
 from loomlight.functions.text import normalize_name
 
-GRAM = 4
+#: Keys that questions are searched for have so many characters at least.
+LEAST = 4
 
 
-def grams(text: Column, size: int) -> Column:
-    """Distinct character grams; a text shorter than `size` has none."""
-    return F.array_distinct(
-        F.when(
-            F.length(text) >= size,
-            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))),
-        ).otherwise(F.expr("cast(array() as array<string>)"))
-    )
+def lengths(texts: DataFrame, column: str, least: int = 1) -> list[int]:
+    """The distinct lengths of a column's values from `least` on; as many as the longest value has characters at most."""
+    found = texts.select(F.length(column).alias("n")).where(F.col("n") >= least).distinct().collect()
+    return sorted(r["n"] for r in found)
 
 
-def anchored(keys: DataFrame, size: int) -> DataFrame:
-    """keys (key) with `gram`, the rarest of its grams."""
-    every = keys.select("key", F.explode(grams(F.col("key"), size)).alias("gram"))
-    often = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return every.join(often, "gram").groupBy("key").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+def windows(text: Column, sizes: list[int]) -> Column:
+    """The distinct substrings of the given lengths."""
+    none = F.expr("cast(array() as array<string>)")
 
+    def of(n: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
+        return F.when(F.length(text) >= n, F.array_distinct(every)).otherwise(none)
 
-def contained(texts: DataFrame, keys: DataFrame, size: int = GRAM) -> DataFrame:
-    """(qid, key) where the normalised text has the key; keys shorter than `size` are passed over."""
-    from_text = texts.select("qid", "norm", F.explode(grams(F.col("norm"), size)).alias("g"))
-    return from_text.join(anchored(keys, size), F.col("g") == F.col("gram")).where(F.col("norm").contains(F.col("key"))).select("qid", "key").distinct()
+    return F.flatten(F.transform(F.array(*(F.lit(n) for n in sizes)), of)) if sizes else none
+
+
+def contained(texts: DataFrame, keys: DataFrame, least: int = LEAST) -> DataFrame:
+    """(qid, key) where the normalised text has the key; keys shorter than `least` are passed over."""
+    keys = keys.where(F.length("key") >= least).select("key").distinct()
+    parts = texts.select("qid", F.explode(windows(F.col("norm"), lengths(keys, "key"))).alias("w"))
+    return parts.join(keys, F.col("w") == F.col("key")).select("qid", "key").distinct()
 
 
 def resolve(questions: DataFrame, index: DataFrame) -> DataFrame:
@@ -44,26 +46,23 @@ def resolve(questions: DataFrame, index: DataFrame) -> DataFrame:
 
     questions: qid, norm. index: key, id, n_aliases. Keys need four characters.
     """
-    hits = contained(questions, index.where(F.length("key") >= GRAM).select("key").distinct())
+    hits = contained(questions, index.select("key"))
     longest = hits.withColumn("_r", F.rank().over(W.partitionBy("qid").orderBy(F.desc(F.length("key"))))).where("_r = 1")
     ids = longest.join(index, "key").groupBy("qid", "id").agg(F.min("key").alias("key"), F.max("n_aliases").alias("n_aliases"))
     top = ids.withColumn("_r", F.rank().over(W.partitionBy("qid").orderBy(F.desc("n_aliases")))).where("_r = 1")
     return top.select("qid", "id", "key", (F.count(F.lit(1)).over(W.partitionBy("qid")) > 1).alias("ambiguous"))
 
 
-def _inside(names: DataFrame, keys: DataFrame, size: int = 6) -> DataFrame:
-    """(raw, key) where the key contains the name. A name stands under the rarest of its grams among the keys'; a short one under itself."""
-    rows = None
-    for n in range(1, size + 1):
-        some = names.where(F.length("norm") == n if n < size else F.length("norm") >= n).select("raw", "norm")
-        own = keys.select("key", F.explode(grams(F.col("key"), n)).alias("gram"))
-        often = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-        each = some.select("raw", "norm", F.explode(grams(F.col("norm"), n)).alias("g")).join(often, F.col("g") == F.col("gram"), "left")
-        # A gram that no key has stands for no key at all, and is the rarest.
-        least = each.groupBy("raw", "norm").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("rare"))
-        hits = least.join(own, F.col("rare") == F.col("gram")).where(F.col("key").contains(F.col("norm"))).select("raw", "key")
-        rows = hits if rows is None else rows.unionByName(hits)
-    return rows
+def inside(names: DataFrame, keys: DataFrame) -> DataFrame:
+    """(raw, key): for each name (raw, norm) the longest of the keys that contain it, ties by text.
+
+    The windows of keys, of the lengths that names have, are narrowed to names before they are grouped, and
+    a window keeps one key on its way: so no list of all keys with a common window arises.
+    """
+    wanted = names.select("norm").where("norm <> ''").distinct()
+    parts = keys.select("key", F.explode(windows(F.col("key"), lengths(wanted, "norm"))).alias("w"))
+    best = parts.join(wanted, F.col("w") == F.col("norm"), "left_semi").groupBy("w").agg(F.min_by("key", F.struct(-F.length("key"), "key")).alias("key"))
+    return names.select("raw", "norm").join(best, F.col("norm") == F.col("w")).select("raw", "key")
 
 
 def resolve_names(names: DataFrame, index: DataFrame, mode: str = "compat") -> DataFrame:
@@ -80,6 +79,6 @@ def resolve_names(names: DataFrame, index: DataFrame, mode: str = "compat") -> D
     forward = contained(open_.select(F.col("raw").alias("qid"), "norm"), long.select("key"), 5).select(F.col("qid").alias("raw"), "key")
     found = forward
     if mode == "compat":
-        found = forward.unionByName(_inside(open_, long)).distinct()
+        found = forward.unionByName(inside(open_, long))
     best = found.join(long, "key").groupBy("raw").agg(F.min_by("id", F.struct(-F.length("key"), "key")).alias("id"))
     return names.select("raw").distinct().join(exact.unionByName(best), "raw", "left")

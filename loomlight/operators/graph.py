@@ -7,6 +7,7 @@ Nodes: id, name, house, gender, aliases, node_ord. Edges: type, src, dst, source
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -46,6 +47,12 @@ class Graph:
         ).unionByName(row(spouse, "spouse", "dst", "src"))
         return every.groupBy("kind", "id", "other").agg(F.min("ord").alias("ord"))
 
+    def settled(self) -> Graph:
+        """The same graph with its links written, in folders by kind, for plans that read them several times."""
+        out = Graph(self.nodes, self.edges, self.added)
+        out.__dict__["links"] = written(self.links, by="kind")
+        return out
+
     def step(self, kind: str) -> DataFrame:
         return self.links.where(F.col("kind") == kind).select("id", "other", F.array("ord").alias("path"))
 
@@ -100,7 +107,67 @@ def warnings(nodes: DataFrame, seed: DataFrame, reviewed: DataFrame | None = Non
     )
     many = g.links.where("kind = 'parent'").groupBy("id").count().where("count > 2")
     out = out.unionByName(row(many, "more-than-two-parents", F.col("id")))
-    return out.unionByName(row(closure(g, "parent").where("id = other"), "ancestor-cycle", F.col("id")))
+    rings = strongly_connected(g.links.where("kind = 'parent'").select(F.col("id").alias("src"), F.col("other").alias("dst")))
+    return out.unionByName(row(rings.where("size > 1"), "ancestor-cycle", F.col("id")))
+
+
+def strongly_connected(edges: DataFrame) -> DataFrame:
+    """(id, component, size) of every node of edges (src, dst) that lies on a cycle of two nodes or more: the least id of its component.
+
+    Nodes without an edge in or out are trimmed again and again. In what is left every node takes the
+    largest id that reaches it; a node that keeps its own is the root of a component, which is
+    whatever of its colour reaches it. These leave and the rest goes on. No closure is built; each round is one
+    written table. Self edges count for nothing.
+    """
+    spark = edges.sparkSession
+    left = written(edges.where("src <> dst").select("src", "dst").distinct())
+    kind, found = left.schema["src"].dataType.simpleString(), []
+    while not (left := _trimmed(left)).isEmpty():
+        ends = left.select(F.col("src").alias("id")).unionByName(left.select(F.col("dst").alias("id"))).distinct()
+        colour = _spread(ends.select("id", F.col("id").alias("colour")), left)
+        inner = left.join(_as(colour, "s"), F.col("src") == F.col("s_id")).join(_as(colour, "d"), F.col("dst") == F.col("d_id"))
+        inner = written(inner.where("s_colour = d_colour").select("src", "dst"))
+        mine = colour.where("id = colour")
+        own = fresh = mine
+        while not fresh.isEmpty():  # against the edges, within the colour
+            back = inner.join(_as(fresh, "f"), F.col("dst") == F.col("f_id")).select(F.col("src").alias("id"), F.col("f_colour").alias("colour")).distinct()
+            fresh = written(back.join(own.select("id"), "id", "left_anti"))
+            own = own.unionByName(fresh)
+        own = written(own)
+        found.append(own)
+        gone = own.select("id")
+        left = written(left.join(gone, F.col("src") == F.col("id"), "left_anti").join(gone, F.col("dst") == F.col("id"), "left_anti"))
+    every = spark.createDataFrame([], f"id {kind}, colour {kind}")
+    for one in found:
+        every = every.unionByName(one)
+    sizes = every.groupBy("colour").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    return every.join(sizes.where("size > 1"), "colour").select("id", "component", "size")
+
+
+def _as(colour: DataFrame, name: str) -> DataFrame:
+    return colour.select(F.col("id").alias(f"{name}_id"), F.col("colour").alias(f"{name}_colour"))
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """The edges on cycles or between them: those whose ends have edges both in and out, to the fixpoint."""
+    n = left.count()
+    while n:
+        inward, outward = left.select(F.col("dst").alias("i")).distinct(), left.select(F.col("src").alias("o")).distinct()
+        less = written(left.join(inward, F.col("src") == F.col("i"), "left_semi").join(outward, F.col("dst") == F.col("o"), "left_semi"))
+        if (m := less.count()) == n:
+            break
+        left, n = less, m
+    return left
+
+
+def _spread(colour: DataFrame, left: DataFrame) -> DataFrame:
+    """Along the edges the largest colour wins, to the fixpoint; only what has changed goes on."""
+    now = fresh = written(colour)
+    while not fresh.isEmpty():
+        new = left.join(_as(fresh, "f"), F.col("src") == F.col("f_id")).groupBy("dst").agg(F.max("f_colour").alias("new"))
+        now = written(now.join(new, F.col("id") == F.col("dst"), "left").select("id", F.greatest("colour", "new").alias("colour"), F.coalesce(F.col("new") > F.col("colour"), F.lit(False)).alias("moved")))
+        fresh, now = now.where("moved").select("id", "colour"), now.select("id", "colour")
+    return now
 
 
 def closure(g: Graph, kind: str) -> DataFrame:
@@ -197,9 +264,41 @@ def named(g: Graph, every: DataFrame) -> DataFrame:
 
 _PARENT, _CHILD = ("e.dst", "e.src"), ("e.src", "e.dst")
 
+# Semi-naive: each turn joins the pairs of the turn before with one step, and keeps those not known yet. Cycles end it.
+_REACH = """BEGIN
+  DECLARE turn INT DEFAULT 0;
+  DECLARE fresh BIGINT DEFAULT 0;
+  CREATE TABLE {reach} (id {kind}, other {kind}, since INT) USING parquet PARTITIONED BY (since) LOCATION '{path}';
+  INSERT INTO {reach} SELECT DISTINCT p.id, p.other, 0 FROM {step} p JOIN {starts} s ON s.id = p.id;
+  SET fresh = (SELECT count(*) FROM {reach} r WHERE r.since = turn);
+  WHILE fresh > 0 DO
+    INSERT INTO {reach} SELECT DISTINCT r.id, p.other, turn + 1 FROM {reach} r JOIN {step} p ON p.id = r.other
+      LEFT ANTI JOIN {reach} k ON k.id = r.id AND k.other = p.other WHERE r.since = turn;
+    SET turn = turn + 1;
+    SET fresh = (SELECT count(*) FROM {reach} r WHERE r.since = turn);
+  END WHILE;
+END"""
+
+
+def sql_closure(step: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, other) that repeated steps (id, other) reach from starts (id), by a Spark SQL script over tables."""
+    spark, path, name = step.sparkSession, scratch(step.sparkSession), uuid.uuid4().hex[:12]
+    step, reach = written(step), f"reach_{name}"
+    step.createOrReplaceTempView(f"step_{name}")
+    starts.createOrReplaceTempView(f"starts_{name}")
+    kind = step.schema["id"].dataType.simpleString()
+    try:
+        spark.sql(_REACH.format(reach=reach, step=f"step_{name}", starts=f"starts_{name}", kind=kind, path=path))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {reach}")  # its files stay
+        spark.catalog.dropTempView(f"step_{name}")
+        spark.catalog.dropTempView(f"starts_{name}")
+    return spark.read.schema(f"id {kind}, other {kind}, since int").parquet(path).select("id", "other")
+
 
 def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
-    """(id, other) for one relation of `starts` (id), as Spark SQL over nodes and edges alone; ends without a node vanish. A cycle ends in an error."""
+    """(id, other) for one relation of `starts` (id), as Spark SQL over nodes and edges alone; ends without a node vanish."""
+    spark, starts = g.nodes.sparkSession, written(starts.select("id").distinct())
     one = lambda here, there, kind: f"""SELECT {here} AS id, {there} AS other FROM {{edges}} e JOIN {{starts}} s ON s.id = {here}
         WHERE e.type = '{kind}'"""
     two = lambda a, b: f"""SELECT {a[0].replace('e.', 'x.')} AS id, {b[1].replace('e.', 'y.')} AS other FROM {{edges}} x
@@ -207,8 +306,8 @@ def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
         WHERE x.type = 'parent' AND y.type = 'parent'"""
     if rel in ("ancestor", "descendant"):
         here, there = _PARENT if rel == "ancestor" else _CHILD
-        body = f"""WITH RECURSIVE w(id, other) AS ({one(here, there, "parent")}
-            UNION ALL SELECT w.id, {there} FROM w JOIN {{edges}} e ON {here} = w.other WHERE e.type = 'parent') SELECT id, other FROM w"""
+        step = spark.sql(f"SELECT DISTINCT {here} AS id, {there} AS other FROM {{edges}} e WHERE e.type = 'parent' AND e.src <> e.dst", edges=g.edges)
+        rows = sql_closure(step, starts)
     else:
         body = {
             "parent": one(*_PARENT, "parent"),
@@ -218,7 +317,7 @@ def sql_relatives(g: Graph, rel: str, starts: DataFrame) -> DataFrame:
             "grandparent": two(_PARENT, _PARENT),
             "grandchild": two(_CHILD, _CHILD),
         }[rel]
-    rows = g.nodes.sparkSession.sql(body, edges=g.edges, starts=starts.select("id").distinct())
+        rows = spark.sql(body, edges=g.edges, starts=starts)
     return rows.join(g.nodes.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other").distinct()
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, NumberFormatException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,39 +29,52 @@ def understood(questions: DataFrame, index: DataFrame) -> DataFrame:
     return rel.join(resolve(norm, index), "qid")
 
 
-def graph_facts(questions: DataFrame, g: Graph, index: DataFrame | None = None, most: int = FACTS, backend: str = BACKEND) -> DataFrame:
-    """The facts that answer each question: qid, place (from 1), subject, rel, relation, object, ambiguous; at most `most`.
+#: What a backend may fail with on one relation's account. Lost executors and the like are none of these and stop the run.
+OWN_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, NumberFormatException, SparkRuntimeException)
 
-    Backend `memory`: in walking order; `sql`: by Spark SQL, in order of nodes.
-    """
+
+def _known(g: Graph, rel: str, starts: DataFrame, backend: str) -> DataFrame:
+    """facts() of one relation for `starts` (id)."""
+    if backend != "sql":
+        return facts(g, [rel], starts.select(F.lit(rel).alias("rel"), "id"))
+    one = sql_relatives(g, rel, starts).select(F.lit(rel).alias("rel"), "id", "other")
+    return named(g, one.join(g.nodes.select(F.col("id").alias("other"), F.array("node_ord").alias("path")), "other"))
+
+
+def graph_side(
+    questions: DataFrame, g: Graph, index: DataFrame | None = None, most: int = FACTS, backend: str = BACKEND
+) -> tuple[DataFrame, DataFrame]:
+    """graph_facts(), and (qid, error) of the questions whose relation the backend failed on; all others keep their facts."""
+    g = g.settled()
     asked = written(understood(questions, index if index is not None else name_index(g.nodes)))
-    rels = [r["rel"] for r in asked.select("rel").distinct().collect()] or ["parent"]  # at most eight
-    if backend == "sql":
-        known = None
-        for rel in rels:
-            one = sql_relatives(g, rel, asked.where(F.col("rel") == rel).select("id")).select(F.lit(rel).alias("rel"), "id", "other")
-            known = one if known is None else known.unionByName(one)
-        known = named(g, known.join(g.nodes.select(F.col("id").alias("other"), F.array("node_ord").alias("path")), "other"))
-    else:
-        known = facts(g, rels, asked.select("rel", "id").distinct())
+    known, failed = None, []
+    for rel in [r["rel"] for r in asked.select("rel").distinct().collect()] or ["parent"]:  # at most eight
+        try:
+            one = written(_known(g, rel, asked.where(F.col("rel") == rel).select("id").distinct(), backend))
+        except OWN_ERRORS as e:
+            failed.append((rel, str(e) or type(e).__name__))
+            continue
+        known = one if known is None else known.unionByName(one)
+    errors = asked.join(questions.sparkSession.createDataFrame(failed, "rel string, error string"), "rel").groupBy("qid").agg(F.min("error").alias("error"))
+    if known is None:
+        known = facts(g, ["parent"], asked.select("rel", "id").limit(0))
     known = known.withColumnRenamed("rel", "frel")
     order = g.nodes.select(F.col("id").alias("nid"), "node_ord")
     hits = asked.join(
         known, (F.col("id") == F.col("subject_id")) & (F.col("rel") == F.col("frel"))
     ).where("wanted is null or gender = wanted").join(order, F.col("id") == F.col("nid"), "left")
     ranked = hits.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("node_ord", "path", "object_id")))
-    return ranked.where(F.col("place") <= most).select("qid", "place", "subject_id", "subject", "rel", "relation", "object_id", "object", "ambiguous")
-
+    out = ranked.where(F.col("place") <= most)
+    return out.select("qid", "place", "subject_id", "subject", "rel", "relation", "object_id", "object", "ambiguous"), errors
 
-NO_FACTS = "qid long, place int, subject_id string, subject string, rel string, relation string, object_id string, object string, ambiguous boolean"
 
+def graph_facts(questions: DataFrame, g: Graph, index: DataFrame | None = None, most: int = FACTS, backend: str = BACKEND) -> DataFrame:
+    """The facts that answer each question: qid, place (from 1), subject, rel, relation, object, ambiguous; at most `most`.
 
-def graph_facts_or_none(questions: DataFrame, g: Graph, backend: str = BACKEND) -> tuple[DataFrame, str | None]:
-    """The facts as a written table, and no error; or no facts and the error's text. Passages then carry the answer."""
-    try:
-        return written(graph_facts(questions, g, backend=backend)), None
-    except Exception as e:  # noqa: BLE001  whatever a backend fails with
-        return questions.sparkSession.createDataFrame([], NO_FACTS), str(e) or type(e).__name__
+    Backend `memory`: in walking order; `sql`: by Spark SQL, in order of nodes. A relation that the
+    backend fails on has no facts.
+    """
+    return graph_side(questions, g, index, most, backend)[0]
 
 
 def retrieve(questions: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], k: int = TOP_K) -> DataFrame:
@@ -85,17 +98,16 @@ def ask(
     embed: Callable[[Column], Column] | None = None,
     backend: str = BACKEND,
 ) -> DataFrame:
-    """(qid, answer, citations, meta) of questions (qid, question, sources); blank questions are left out.
+    """(qid, answer, citations, meta, error) of questions (qid, question, sources); blank questions are left out.
 
     With `vectors` and `embed` the best passage of each question is retrieved; else `passages` may
-    give it (qid, work, locator, url, text). The graph side is not filtered by source; where it fails,
-    a warning says so and the passages answer alone.
+    give it (qid, work, locator, url, text). The graph side is not filtered by source; where it fails for
+    a question, `error` says so and the passages answer alone. All other questions keep their facts.
     """
     questions = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "")
     if vectors is not None and embed is not None:
         passages = written(retrieve(questions, vectors, embed).where("rank = 1"))
     # Both sides are written, so that Spark plans each of them alone.
-    found, error = graph_facts_or_none(questions, g, backend)
-    if error:
-        warnings.warn(f"no graph facts: {error}", RuntimeWarning, stacklevel=2)
-    return answer(questions, compose(found), passages, provider)
+    found, errors = graph_side(questions, g, backend=backend)
+    said = answer(questions, compose(written(found)), passages, provider)
+    return said.join(errors, "qid", "left")

@@ -33,6 +33,35 @@ def sql_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sql_relatives(g, "sibling", g.nodes.select("id")).select("id", F.col("other").alias("relative_id"))
 
 
+def _sql_closure(rel: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Ancestors or descendants by the SQL backend's script."""
+        g = K.family(spark, sf_dir)
+        return G.sql_relatives(g, rel, g.nodes.select("id")).select("id", F.col("other").alias("relative_id"))
+
+    return query
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approved edges from orders between customers of one block of eight, or on to the next block: full of cycles."""
+    nodes, rows = _noted(spark, sf_dir)
+    ahead = F.when(F.col("edge_ord") % 3 == 0, 8).otherwise(0)
+    turned = rows.withColumn("dst", F.expr("src div 8") * 8 + F.col("edge_ord") % 11 % 8 + ahead)
+    known = nodes.select(F.col("id").alias("dst"))
+    return G.approved(turned).join(known, "dst", "left_semi").select("src", "dst")
+
+
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers on cycles of reviewed edges, by component."""
+    return G.strongly_connected(_rings(spark, sf_dir)).select("id", "component", "size")
+
+
+_RINGS = """rev AS (SELECT o_custkey AS src, o_custkey // 8 * 8 + o_orderkey % 11 % 8 + CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 0 END AS dst,
+    list_extract(['approved', 'rejected', '', NULL], o_orderkey % 4 + 1) AS status FROM orders),
+e AS (SELECT DISTINCT src, dst FROM rev WHERE coalesce(nullif(status, ''), 'approved') = 'approved' AND src <> dst
+    AND dst IN (SELECT c_custkey FROM customer))"""
+
+
 def _closure(kind: str):
     return lambda spark, sf_dir: G.closure(K.family(spark, sf_dir), kind).select("id", F.col("other").alias("relative_id"))
 
@@ -214,6 +243,16 @@ QUERIES = {
         FROM r JOIN par p ON p.dst = r.other) SELECT id, other AS relative_id FROM r"""),
     "graph_descendants": (_closure("child"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT src, dst FROM par UNION
         SELECT r.id, p.dst FROM r JOIN par p ON p.src = r.other) SELECT id, other AS relative_id FROM r"""),
+    "graph_sql_ancestors": (_sql_closure("ancestor"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT dst, src FROM par
+        UNION SELECT r.id, p.src FROM r JOIN par p ON p.dst = r.other)
+        SELECT id, other AS relative_id FROM r WHERE other IN (SELECT id FROM nodes)"""),
+    "graph_sql_descendants": (_sql_closure("descendant"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT src, dst FROM par
+        UNION SELECT r.id, p.dst FROM r JOIN par p ON p.src = r.other)
+        SELECT id, other AS relative_id FROM r WHERE id IN (SELECT id FROM nodes) AND other IN (SELECT id FROM nodes)"""),
+    "graph_cycles": (graph_cycles, f"""WITH RECURSIVE {_RINGS}, r(id, other) AS (SELECT src, dst FROM e
+        UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.other)
+        SELECT a.id, least(a.id, min(a.other)) AS component, count(DISTINCT a.other) + CASE WHEN bool_or(a.other = a.id) THEN 0 ELSE 1 END AS size
+        FROM r a JOIN r b ON a.id = b.other AND a.other = b.id GROUP BY a.id HAVING bool_or(a.other <> a.id)"""),
     "graph_ancestors_preorder12": (preorder12, f"""WITH RECURSIVE {K.BASE}, {K.walk(True)}, b AS (SELECT id, other, min(path) AS path
         FROM walk GROUP BY id, other), n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id
         ORDER BY path) AS INTEGER) AS place, other AS relative_id FROM b) SELECT * FROM n WHERE place <= 12"""),

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from loomlight.operators import graph as G
 from loomlight.operators.answers import NOTE, REFUSAL, answer, compose
+from loomlight.operators import entities as E
 from loomlight.operators.entities import resolve, resolve_names
 from loomlight.functions.text import normalize_name
 from loomlight.operators.vectors import hashed_words
-from loomlight.plans.ask import ask, graph_facts, graph_facts_or_none
+from loomlight.plans.ask import ask, graph_facts, graph_side
 
 NODE, EDGE = "id string, name string, house string, gender string, aliases array<string>, node_ord long", "type string, src string, dst string, source string, status string, edge_ord long"
 
@@ -212,17 +213,92 @@ def test_sql_backend_has_the_same_facts(spark, nodes, edges, graph):
     assert ask(q, graph, backend="sql").collect()[0]["answer"] == "Ed Marsh's parents were Cy Marsh (father) and Di Reed (mother)."
 
 
-def test_a_failing_backend_gives_no_facts(spark, nodes):
+def test_a_failing_relation_leaves_other_questions_their_facts(spark, graph, monkeypatch):
+    import loomlight.plans.ask as A
+    from pyspark.errors import AnalysisException
+
+    def broken(g, rel, starts, plain=A.sql_relatives):
+        if rel == "ancestor":
+            raise AnalysisException("no such table")
+        return plain(g, rel, starts)
+
+    monkeypatch.setattr(A, "sql_relatives", broken)
+    rows = [(1, "Who were the ancestors of Bo Marsh?"), (2, "Who were Ed Marsh's parents?"), (3, "What is rain?")]
+    q = spark.createDataFrame([(i, t, ["knight"]) for i, t in rows], "qid long, question string, sources array<string>")
+    got = {r["qid"]: r for r in ask(q, graph, backend="sql").collect()}
+    assert "no such table" in got[1]["error"] and got[1]["answer"] and not got[1]["citations"]
+    assert got[2]["error"] is None and got[2]["answer"] == "Ed Marsh's parents were Cy Marsh (father) and Di Reed (mother)."
+    assert got[3]["error"] is None
+    _, errors = graph_side(q, graph, backend="sql")
+    assert [r["qid"] for r in errors.collect()] == [1]
+    monkeypatch.setattr(A, "sql_relatives", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ask(q, graph, backend="sql")
+
+
+def test_a_cycle_ends_the_sql_walk(spark, nodes):
     loop = spark.createDataFrame([("parent", "ada", "bo", "s", None, 0), ("parent", "bo", "ada", "s", None, 1)], EDGE)
     q = spark.createDataFrame([(1, "Who were the ancestors of Bo Marsh?")], "qid long, question string")
-    rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop), backend="sql")
-    assert rows.count() == 0 and "RECURSION" in error
-    asked = q.withColumn("sources", F.array(F.lit("knight")))
-    with pytest.warns(RuntimeWarning, match="no graph facts"):
-        said = ask(asked, G.compile_graph(nodes, loop), backend="sql").collect()
-    assert len(said) == 1 and said[0]["answer"] and not said[0]["citations"]
-    rows, error = graph_facts_or_none(q, G.compile_graph(nodes, loop))
-    assert rows.count() == 2 and error is None
+    rows, errors = graph_side(q, G.compile_graph(nodes, loop), backend="sql")
+    assert rows.count() == 2 and errors.isEmpty()
+    assert graph_facts(q, G.compile_graph(nodes, loop)).count() == 2
+
+
+def random_graph(spark, seed, n=24, m=30):
+    r = random.Random(seed)
+    nodes = spark.createDataFrame([(str(i), f"N{i}", None, None, [], i) for i in range(n)], NODE)
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+    return G.compile_graph(nodes, spark.createDataFrame([("parent", str(a), str(b), "s", None, i) for i, (a, b) in enumerate(pairs)], EDGE)), pairs
+
+
+def test_sql_closure_equals_the_other_one_on_cycles(spark):
+    g, _ = random_graph(spark, 4)
+    for rel, kind in (("ancestor", "parent"), ("descendant", "child")):
+        want = {tuple(r) for r in G.closure(g, kind).collect()}
+        assert any(a == b for a, b in want)
+        assert {(r["id"], r["other"]) for r in G.sql_relatives(g, rel, g.nodes).collect()} == want
+        some = g.nodes.where("id in ('3', '7')")
+        assert {(r["id"], r["other"]) for r in G.sql_relatives(g, rel, some).collect()} == {p for p in want if p[0] in ("3", "7")}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(("reach_", "step_", "starts_"))]
+
+
+def test_strongly_connected_components(spark):
+    for seed, n, m in ((1, 24, 30), (2, 12, 40), (3, 30, 28)):
+        _, pairs = random_graph(spark, seed, n, m)
+        reach = {i: {b for a, b in pairs if a == i and a != b} for i in range(n)}
+        for k in range(n):
+            for i in range(n):
+                if k in reach[i]:
+                    reach[i] |= reach[k]
+        want = {}
+        for i in range(n):
+            own = sorted({j for j in reach[i] if i in reach[j]} | {i})
+            if len(own) > 1:
+                want[i] = (own[0], len(own))
+        edges = spark.createDataFrame(pairs + pairs[:3], "src long, dst long")
+        assert {r["id"]: (r["component"], r["size"]) for r in G.strongly_connected(edges).collect()} == want
+    assert G.strongly_connected(edges.limit(0)).collect() == []
+
+
+def test_windows_meet_only_what_contains(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ab ") for _ in range(n)).strip()
+    keys, texts = sorted({text(r.randrange(1, 9)) for _ in range(60)} - {""}), [text(r.randrange(0, 30)) for _ in range(40)]
+    t = spark.createDataFrame(list(enumerate(texts)), "qid long, norm string")
+    k = spark.createDataFrame([(x,) for x in keys], "key string")
+    assert {tuple(x) for x in E.contained(t, k, 3).collect()} == {(i, x) for i, n in enumerate(texts) for x in keys if len(x) >= 3 and x in n}
+    names = spark.createDataFrame([(n, n) for n in {text(r.randrange(0, 5)) for _ in range(30)}], "raw string, norm string")
+    want = {(n["raw"], min(c, key=lambda x: (-len(x), x))) for n in names.collect() if n["raw"] and (c := [x for x in keys if n["raw"] in x])}
+    assert {tuple(x) for x in E.inside(names, k).collect()} == want
+    assert E.contained(t, k.limit(0)).collect() == [] and E.inside(names.limit(0), k).collect() == []
+
+
+def test_candidates_are_hits(spark):
+    """Rows that leave the join are those of the result: no key is compared with a text that does not have it."""
+    keys = spark.createDataFrame([(f"customer 00000{i:04}",) for i in range(1500)], "key string")
+    texts = spark.createDataFrame([(i, f"who were customer 00000{i:04} s parents") for i in range(0, 1500, 3)], "qid long, norm string")
+    parts = texts.select("qid", F.explode(E.windows(F.col("norm"), E.lengths(keys, "key", 4))).alias("w"))
+    assert parts.join(keys, F.col("w") == F.col("key")).count() == E.contained(texts, keys).count() == 500
 
 
 def test_retrieval_filters_by_each_question(spark, graph):
