@@ -205,25 +205,32 @@ class _Search:
         )
         q = opened.join(w.select(F.col("place").alias("_p"), "parts", "shares"), F.col("place") == F.col("_p"))
         right = q.select("place", spread("parts").alias("part"), part("qid", "shares").alias("share"), F.lit(1).alias("side"), "qid", F.col("values").alias("v"), "books")
-        both = left.unionByName(right.withColumnRenamed("v", "values"), allowMissingColumns=True)
-        dealt = both.repartition("place", "part", "share").sortWithinPartitions("place", "part", "share", "side")
-        kinds = {c: both.schema[c].dataType.simpleString() for c in ("qid", "id")}
-        k, dim = self.k, self.dim
+        return met(left, right.withColumnRenamed("v", "values"), ("place", "part", "share"), self.k, self.dim)
 
-        def run(batches):
-            last, held, ready = None, [], None
-            for key, rows in _runs(batches, "place", "part", "share", "side"):
-                if key[:3] != last:
-                    last, held, ready = key[:3], [], None
-                if not key[3]:
-                    held.append(rows)
-                    continue
-                if held and ready is None:
-                    ready, held = _prepared(held, dim), []
-                if ready is not None:
-                    yield from _scored(rows, ready, k, dim)
-
-        return map_arrow(dealt, run, f"qid {kinds['qid']}, id {kinds['id']}, score double")
+
+def met(vectors: DataFrame, queries: DataFrame, keys: tuple[str, ...], k: int, dim: int) -> DataFrame:
+    """(qid, id, score): the k best for each query (qid, values, books) among the vectors (id, values, book) with equal integer `keys`.
+
+    Both have `side`: 0 for vectors, which a task holds, 1 for queries, which stream past them.
+    """
+    both = vectors.unionByName(queries, allowMissingColumns=True)
+    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "side")
+    kinds = {c: both.schema[c].dataType.simpleString() for c in ("qid", "id")}
+
+    def run(batches):
+        last, held, ready = None, [], None
+        for key, rows in _runs(batches, *keys, "side"):
+            if key[:-1] != last:
+                last, held, ready = key[:-1], [], None
+            if not key[-1]:
+                held.append(rows)
+                continue
+            if held and ready is None:
+                ready, held = _prepared(held, dim), []
+            if ready is not None:
+                yield from _scored(rows, ready, k, dim)
+
+    return map_arrow(dealt, run, f"qid {kinds['qid']}, id {kinds['id']}, score double")
 
 
 def _runs(batches, *names: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:

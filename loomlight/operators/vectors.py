@@ -7,7 +7,6 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,92 +54,34 @@ def books_of(sources: Column, mapping: dict[str, list[str]] | None = None, defau
     return F.when(F.size(books) > 0, books)
 
 
-#: Values of query vectors in one block, bytes of vectors that one task holds, and tasks that share a part of the vectors.
+#: Values of query vectors that ask at one share of the vectors, bytes of vectors that one task holds, and most shares.
 BLOCK_VALUES, PART_BYTES, SHARES = 1 << 16, 64 << 20, 8
 
 
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """(qid, id, score, rank) of the k nearest for every query (qid, values).
+    """(qid, id, score, rank) of the k nearest for every query (qid, values), by a scan.
 
-    A query may have book_id, which must equal, or books, one of which must equal (null: any). Queries
-    form blocks, vectors form parts that fit a task; every block meets every part in a task, which keeps
-    the k best of its part for each query. So the ranking shuffles k rows a query and part.
+    A query may have book_id, which must equal, or books, one of which must equal (null: any). Vectors
+    form parts that fit a task; every query meets every part in a task, which keeps the k best of its
+    part for it. So the ranking shuffles k rows a query and part.
     """
     size = vectors.select(F.size("values").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()[0]
-    parts = max(1, -(-size["n"] * 8 * max(1, size["d"] or 1) // PART_BYTES))
-    blocks = max(1, -(-queries.count() * max(1, size["d"] or 1) // BLOCK_VALUES))
-    shares = min(SHARES, blocks)
+    dim = max(1, size["d"] or 1)
+    parts = max(1, -(-size["n"] * 8 * dim // PART_BYTES))
+    shares = max(1, min(SHARES, -(-queries.count() * dim // BLOCK_VALUES)))
     books = F.col("books") if "books" in queries.columns else F.array("book_id") if "book_id" in queries.columns else F.lit(None).cast("array<string>")
     any_book = F.lit(None).cast("string") if "book_id" not in vectors.columns else F.col("book_id").cast("string")
-    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("values").cast("array<double>").alias("values"), any_book.alias("book_id"))
-    own = own.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn(
-        "task", F.col("share") * parts + F.pmod(F.xxhash64("id"), F.lit(parts))
-    )
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("values").cast("array<double>").alias("qvalues"), books.alias("books"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).groupBy("block").agg(
-        F.collect_list(F.struct("qid", "qvalues", "books")).alias("rows")
-    )
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("task", F.col("part") + (F.col("block") % shares) * parts)
-    none = lambda kind: F.lit(None).cast(kind)
-    rows_type = "array<struct<qid:bigint,qvalues:array<double>,books:array<string>>>"
-    left = own.select("task", F.lit(0).alias("side"), "id", "values", "book_id", none(rows_type).alias("rows"))
-    right = asked.select(
-        "task",
-        F.lit(1).alias("side"),
-        none("long").alias("id"),
-        none("array<double>").alias("values"),
-        none("string").alias("book_id"),
-        "rows",
-    )
-
-    def run(batches):
-        last, held, matrix = None, [], None
-        for b in batches:
-            for task, side, id_, values, book, rows in zip(
-                *(b.column(c).to_pylist() for c in ("task", "side", "id", "values", "book_id", "rows")), strict=True
-            ):
-                if task != last:
-                    last, held, matrix = task, [], None
-                if not side:
-                    held.append((id_, values, book))
-                elif held:
-                    matrix = matrix or _unit(held)
-                    yield _nearest(rows, *matrix, k)
-
-    dealt = left.unionByName(right).repartition("task").sortWithinPartitions("task", "side")
-    out = map_arrow(dealt, run, "qid long, id long, score double")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one_of = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    own = vectors.select(F.col("id").cast("long").alias("id"), F.col("values").cast("array<double>").alias("values"), any_book.alias("book"))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), F.col("values").cast("array<double>").alias("values"), books.alias("books"))
+    left = own.select(one_of("id", parts).alias("part"), every(shares).alias("share"), F.lit(0).alias("side"), "*")
+    right = asked.select(every(parts).alias("part"), one_of("qid", shares).alias("share"), F.lit(1).alias("side"), "*")
+    out = vector_index.met(left, right, ("part", "share"), k, dim)
     best = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _unit(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids in order, unit vectors and books of (id, values, book)."""
-    rows = sorted(rows, key=lambda r: r[0])
-    v = np.array([r[1] for r in rows], float).reshape(len(rows), -1)
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.array([r[0] for r in rows], np.int64), np.divide(v, n, out=np.zeros_like(v), where=n > 0), np.array([r[2] for r in rows], object)
-
-
-def _nearest(rows: list[dict], ids: np.ndarray, unit: np.ndarray, books: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of the vectors for each query, ties by id; queries of one selection of books go together."""
-    groups: dict[tuple | None, list[dict]] = {}
-    for r in rows:
-        groups.setdefault(None if r["books"] is None else tuple(r["books"]), []).append(r)
-    out = []
-    for chosen, some in groups.items():
-        on = np.arange(len(ids)) if chosen is None else np.flatnonzero(np.isin(books.astype(str), chosen))
-        if not len(on):
-            continue
-        q = np.array([r["qvalues"] for r in some], float).reshape(len(some), -1)
-        n = np.linalg.norm(q, axis=1, keepdims=True)
-        s = np.round(np.divide(q, n, out=np.zeros_like(q), where=n > 0) @ unit[on].T, 6)
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        qids = np.repeat(np.array([r["qid"] for r in some], np.int64), order.shape[1])
-        out.append((qids, ids[on][order].ravel(), np.take_along_axis(s, order, 1).ravel()))
-    qids, found, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return pa.RecordBatch.from_arrays([pa.array(qids), pa.array(found), pa.array(score)], names=["qid", "id", "score"])
-
-
 def snippet(match: DataFrame, *more: str) -> DataFrame:
     """Matches as answers cite them: id, score, work, locator, type, book_id, url, text; `more` columns first."""
     return match.select(
@@ -222,7 +163,9 @@ def hashed_words(text: Column, dim: int) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"))
     sign = lambda s, h: s + F.when(F.floor(h / dim) % 2 == 0, 1.0).otherwise(-1.0)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(codes, lambda h: h % dim == i), F.lit(0.0), sign))
+    axes = F.sequence(F.lit(0), F.lit(dim - 1))
+    # Inside transform() the codes stand for one value, and are taken once.
+    return F.transform(F.array(codes), lambda own: F.transform(axes, lambda i: F.aggregate(F.filter(own, lambda h: h % dim == i), F.lit(0.0), sign)))[0]
 
 
 class VectorStore(Protocol):
