@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomlight.functions.text import normalize_name
+from loomlight.storage import written
 
 #: Keys that questions are searched for have so many characters at least.
 LEAST = 4
@@ -73,8 +74,9 @@ def resolve_names(names: DataFrame, index: DataFrame, mode: str = "compat") -> D
     """
     raw = names.select("raw").distinct().withColumn("norm", normalize_name(F.col("raw")))
     unique = index.groupBy("key").agg(F.min("id").alias("id"), F.count_distinct("id").alias("n")).where("n = 1").select("key", "id")
+    unique = written(unique)  # read five times below
     exact = raw.join(unique, F.col("norm") == F.col("key")).select("raw", "id")
-    open_ = raw.where("norm <> ''").join(exact, "raw", "left_anti")
+    open_ = written(raw.where("norm <> ''").join(exact, "raw", "left_anti"))
     long = unique.where(F.length("key") >= 5)
     forward = contained(open_.select(F.col("raw").alias("qid"), "norm"), long.select("key"), 5).select(F.col("qid").alias("raw"), "key")
     found = forward

@@ -11,9 +11,11 @@ from loomlight.operators import chunks as C
 from loomlight.operators import evaluate as E
 from loomlight.operators import review as R
 from loomlight.operators import vectors as V
+from loomlight.operators.graph import edge_key, name_index
 from loomlight.plans import ask as A
 from loomlight.plans import family as K
-from loomlight.storage import scratch, table
+from loomlight.sources import files
+from loomlight.storage import scratch, table, written
 from loomlight.streaming.ingest import pending
 
 NORM = "trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
@@ -184,16 +186,17 @@ def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"}'),
         F.when(F.col("l_orderkey") % 11 == 0, "").otherwise("]"),
     )
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("book_id"), body.alias("output"))
+    ordinal = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordinal")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_returnflag").alias("book_id"), ordinal, body.alias("output"))
 
 
-_OUT = """l AS (SELECT l_orderkey AS chunk_id, l_returnflag AS book_id, list_extract(['parent-of', 'spouse-of', 'rival-of'],
+_OUT = """l AS (SELECT l_orderkey AS chunk_id, l_orderkey * 8 + l_linenumber AS ord, l_returnflag AS book_id, list_extract(['parent-of', 'spouse-of', 'rival-of'],
     l_linenumber % 3 + 1) AS relation,
     'Customer#' || lpad(CAST(l_partkey % 40 + CASE WHEN l_partkey % 5 = 0 THEN 900000000 ELSE 0 END AS VARCHAR), 9, '0') AS a,
     'Customer#' || lpad(CAST(l_suppkey % 40 + CASE WHEN l_suppkey % 5 = 0 THEN 900000000
         ELSE 0 END AS VARCHAR), 9, '0') AS b, 'line ' || l_linenumber AS evidence
     FROM lineitem WHERE l_orderkey % 11 <> 0),
-can AS (SELECT chunk_id, book_id, CASE relation WHEN 'parent-of' THEN 'parent'
+can AS (SELECT chunk_id, ord, book_id, CASE relation WHEN 'parent-of' THEN 'parent'
     ELSE 'spouse' END AS type, a, b, evidence, x.c_custkey AS src, y.c_custkey AS dst
     FROM l LEFT JOIN customer x ON x.c_name = l.a LEFT JOIN customer y ON y.c_name = l.b WHERE relation <> 'rival-of')"""
 _GROUPS = f"""WITH {K.BASE}, {_OUT}, seed AS (SELECT 'parent|' || src || '|' || dst AS key FROM par UNION ALL
@@ -203,18 +206,16 @@ kd AS (SELECT *, src IS NOT NULL AND dst IS NOT NULL AS ok, CASE
     WHEN src IS NULL OR dst IS NULL THEN 'unresolved|' || type || '|' || a || '|' || b
     WHEN type = 'parent' THEN 'parent|' || src || '|' || dst ELSE 'spouse|' || least(CAST(src AS VARCHAR),
         CAST(dst AS VARCHAR)) || '|' || greatest(CAST(src AS VARCHAR), CAST(dst AS VARCHAR)) END AS key FROM can),
-g AS (SELECT key, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks, list_sort(list(DISTINCT evidence)) AS ev, CASE
-    WHEN NOT bool_or(ok) THEN 'needs-node' WHEN key IN (SELECT key FROM seed) THEN 'confirms-seed' ELSE 'novel' END AS cls FROM kd
-    GROUP BY key)"""
+pieces AS (SELECT key AS k, evidence, min(ord) AS o FROM kd GROUP BY key, evidence),
+quotes AS (SELECT k, list(evidence ORDER BY o)[1:2] AS ev FROM pieces GROUP BY k),
+g AS (SELECT key, count(*) AS n, count(DISTINCT chunk_id) AS n_chunks, any_value(ev) AS ev, CASE
+    WHEN NOT bool_or(ok) THEN 'needs-node' WHEN key IN (SELECT key FROM seed) THEN 'confirms-seed' ELSE 'novel' END AS cls
+    FROM kd JOIN quotes ON k = key GROUP BY key)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names are customers' own, so exact resolution is a join on the name."""
-    rows = R.candidates(_outputs(spark, sf_dir))
-    c = table(spark, sf_dir, "customer")
-    a, b = c.select(F.col("c_name").alias("na"), F.col("c_custkey").alias("src")), c.select(F.col("c_name").alias("nb"), F.col("c_custkey").alias("dst"))
-    joined = rows.join(a, F.col("raw_subject") == F.col("na"), "left").join(b, F.col("raw_object") == F.col("nb"), "left")
-    return joined.drop("na", "nb").withColumn("resolved", F.col("src").isNotNull() & F.col("dst").isNotNull())
+    """Names resolve through the index of the customers; theirs are unique, and no name here contains another."""
+    return R.candidates(_outputs(spark, sf_dir), name_index(K.nodes(spark, sf_dir)))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +224,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomlight.operators.graph import edge_key
-
     return R.groups(_candidates(spark, sf_dir), K.edges(spark, sf_dir).withColumn("key", edge_key()))
 
 
@@ -241,7 +240,40 @@ def worklist_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _groups(spark, sf_dir)
     decided = g.where("n_chunks % 2 = 0").select("key")
     top = R.undecided(g, decided).orderBy(F.desc("n"), "key").limit(20)
-    return top.select("key", "n", F.array_join(F.slice("evidence", 1, 2), "; ").alias("evidence"))
+    return top.select("key", "n", F.array_join("evidence", "; ").alias("evidence"))
+
+
+def review_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups from the states of three epochs of candidates, merged; the estimate of chunks is left out."""
+    rows = written(_candidates(spark, sf_dir))
+    epochs = [written(R.states(rows.where(F.col("chunk_id") % 3 == i))) for i in range(3)]
+    some = R.merge(epochs[0].unionByName(epochs[1]).unionByName(epochs[2]))
+    grouped = R.grouped_states(some, K.edges(spark, sf_dir).withColumn("key", edge_key()))
+    return grouped.select("key", "n", F.array_join("evidence", "; ").alias("evidence"), "cls")
+
+
+def reviewed_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on novel edges, written as reviewed edges in two goes to one path and read back."""
+    rows = _candidates(spark, sf_dir)
+    novel = R.groups(rows, K.edges(spark, sf_dir).withColumn("key", edge_key())).where("cls = 'novel'")
+    verdict = F.when(F.col("n") % 2 == 0, "a").when(F.col("n") % 3 == 0, "r").otherwise("s")
+    decided = written(R.decide(novel, novel.select("key", verdict.alias("verdict")), rows))
+    path = scratch(spark)
+    for status in ("approved", "rejected"):
+        files.add_reviewed(spark, decided.where(F.col("status") == status), path)
+    back = files.read_reviewed(spark, path)
+    return back.select(edge_key().alias("key"), "source", "status", F.coalesce(F.size("evidence_chunks"), F.lit(-1)).cast("long").alias("n_chunks"))
+
+
+def parts_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in numbered files of 5,000, written in order and read back."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("text"))
+    files.write_parts(rows, path, 5000, "k")
+    back = files.read_parts(spark, path, "k long, text string")
+    return back.groupBy(F.col("part").cast("long").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("k").alias("first_k"), F.max("k").alias("last_k"), F.sum(F.length("text")).alias("chars")
+    )
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -424,6 +456,13 @@ QUERIES = {
         GROUP BY cls"""),
     "worklist_topk": (worklist_topk, f"""{_GROUPS} SELECT key, n, array_to_string(ev[1:2], '; ') AS evidence FROM g WHERE cls = 'novel'
         AND n_chunks % 2 <> 0 ORDER BY n DESC, key LIMIT 20"""),
+    "review_epochs": (review_epochs, f"{_GROUPS} SELECT key, n, array_to_string(ev, '; ') AS evidence, cls FROM g"),
+    "reviewed_extended": (reviewed_extended, f"""{_GROUPS} SELECT key, CASE WHEN n % 2 = 0 THEN 'extracted:reviewed' END AS source,
+        CASE WHEN n % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN n % 2 = 0 THEN n_chunks ELSE -1 END AS n_chunks
+        FROM g WHERE cls = 'novel' AND (n % 2 = 0 OR n % 3 = 0)"""),
+    "parts_written": (parts_written, """WITH o AS (SELECT o_orderkey AS k, length(o_orderpriority) AS n, row_number() OVER (ORDER BY o_orderkey)
+        AS r FROM orders) SELECT (r - 1) // 5000 + 1 AS part, count(*) AS rows, min(k) AS first_k, max(k) AS last_k,
+        CAST(sum(n) AS BIGINT) AS chars FROM o GROUP BY 1"""),
     "eval_checks": (eval_checks, f"WITH {_CHECKS} SELECT id, name, pass FROM k"),
     "eval_totals": (eval_totals, f"""WITH {_CHECKS} SELECT count(*) FILTER (WHERE pass) AS passed,
         count(*) FILTER (WHERE NOT pass) AS failed, count(*) FILTER (WHERE pass IS NULL) AS skipped FROM k"""),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.sources.ordered import write_ordered
+
 CHUNK = "id string, book_id string, book string, chunk_index int, chars int, text string"
 VECTOR = "id string, values array<float>, metadata struct<book_id:string,book:string,chunk_index:int,text:string>"
 EDGE = "type string, src string, dst string, source string, status string"
@@ -87,7 +89,10 @@ def read_reviewed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reviewed(rows: DataFrame, path: str) -> None:
-    """Reviewed edges (type, src, dst, source, status, optional evidence_chunks), rejected ones too, as JSON lines."""
+    """Reviewed edges (type, src, dst, source, status, optional evidence_chunks and edge_ord), rejected ones too, as JSON lines in order.
+
+    What was at `path` is replaced once all rows are written, so they may be read from there.
+    """
     parent = F.col("type") == "parent"
     ends = [
         F.when(parent, F.col("src")).alias("from"),
@@ -96,7 +101,19 @@ def write_reviewed(rows: DataFrame, path: str) -> None:
         F.when(~parent, F.col("dst")).alias("b"),
     ]
     chunks = [F.col("evidence_chunks").alias("evidenceChunks")] if "evidence_chunks" in rows.columns else []
-    rows.select("type", *ends, "source", "status", *chunks).write.mode("overwrite").json(path)
+    order = [F.col("edge_ord").alias("_ord")] if "edge_ord" in rows.columns else []
+    kept = rows.select("type", *ends, "source", "status", *chunks, *order)
+    if order:  # ordinals of several sources may be equal; a unique number in their order takes their place
+        kept = kept.orderBy("_ord").drop("_ord")
+    write_ordered(kept, path)
+
+
+def add_reviewed(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Reviewed edges added at the end of those at `path`, which is replaced as a whole; read_reviewed reads both."""
+    before = read_reviewed(spark, path).withColumn("_new", F.lit(0))
+    after = rows.withColumn("_new", F.lit(1)) if "edge_ord" in rows.columns else rows.withColumns({"_new": F.lit(1), "edge_ord": F.monotonically_increasing_id()})
+    both = before.unionByName(after, allowMissingColumns=True).orderBy("_new", "edge_ord").drop("_new", "edge_ord")
+    write_reviewed(both, path)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -116,9 +133,15 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return pair.groupBy("key").agg(F.min_by(bare, "o").alias("value"))
 
 
-def write_parts(rows: DataFrame, path: str, size: int = 5000) -> None:
-    """JSON files of at most `size` rows each."""
-    rows.write.mode("overwrite").option("maxRecordsPerFile", size).json(path)
+def write_parts(rows: DataFrame, path: str, size: int = 5000, order: str | None = None) -> None:
+    """JSON lines in files part-001.json, ... of at most `size` rows each, in the order of a unique integer column; what was there goes."""
+    write_ordered(rows, path, order, size)
+
+
+def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of write_parts with `part`, the number of their file."""
+    rows = spark.read.schema(schema).json(path)
+    return rows.withColumn("part", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"))
 
 
 def settings(spark: SparkSession, path: str, given: dict[str, str]) -> dict[str, str]:

@@ -118,13 +118,40 @@ def test_review(spark):
     grouped = R.groups(rows, spark.createDataFrame([("spouse|ida|idb",)], "key string"))
     got = {r["key"]: (r["cls"], r["n"], r["n_chunks"]) for r in grouped.collect()}
     assert got == {"parent|ida|idb": ("novel", 2, 2), "spouse|ida|idb": ("confirms-seed", 1, 1), "unresolved|spouse|B|Q": ("needs-node", 1, 1)}
-    work = R.worklist(grouped).collect()
-    assert work[1]["line"] == "- **ida parent-of idb** (seen 2 times in 2 chunks; pending)\n    - 7\n    - e1"
-    decided = R.decide(grouped, spark.createDataFrame([("parent|ida|idb", "a"), ("spouse|ida|idb", "s")], "key string, verdict string")).collect()
-    assert [(r["type"], r["status"]) for r in decided] == [("parent", "approved")]
+    names = spark.createDataFrame([("ida", "Ida")], "id string, name string")
+    work = [r["line"] for r in R.worklist(grouped, names=names).collect()]
+    assert work[0] == "- **B —spouse-of→ Q**  _(seen 1× in 1 chunk(s); status: pending)_"
+    assert work[1] == "- **Ida —parent-of→ idb**  _(seen 2× in 2 chunk(s); status: pending)_\n    - “e1”\n    - “7”"
+    verdicts = spark.createDataFrame([("parent|ida|idb", "a"), ("spouse|ida|idb", "s"), ("unresolved|spouse|B|Q", "r")], "key string, verdict string")
+    decided = R.decide(grouped, verdicts, rows).orderBy("status").collect()
+    assert [(r["type"], r["status"], r["evidence_chunks"]) for r in decided] == [("parent", "approved", ["c1", "c2"]), ("spouse", "rejected", None)]
     assert R.undecided(grouped, spark.createDataFrame([("parent|ida|idb",)], "key string")).count() == 0
 
 
+def test_review_states_merge(spark):
+    import random
+
+    r = random.Random(6)
+    said = [(i, r.choice("AB"), r.choice("CD"), r.choice(["", "e1", "e2", "e3", "e4"])) for i in range(300)]
+    text = '[{"subject":"%s","relation":"parent-of","object":"%s","evidence":"%s"}]'
+    outputs = spark.createDataFrame([(f"c{i % 90}", "x", text % (a, b, e), 1000 - i) for i, a, b, e in said], "chunk_id string, book_id string, output string, ordinal long")
+    rows = R.candidates(outputs, spark.createDataFrame([(k.lower(), k, 0) for k in "ABC"], "key string, id string, n_aliases int"))
+    seeds = spark.createDataFrame([("parent|A|C",)], "key string")
+    want = {}
+    for i, a, b, e in reversed(said):  # in order of the ordinal
+        n, chunks, quotes = want.setdefault((a, b), (0, set(), []))
+        want[a, b] = n + 1, chunks | {i % 90}, quotes + [e] if e and e not in quotes and len(quotes) < 2 else quotes
+    key = lambda a, b: f"parent|{a}|C" if b == "C" else f"unresolved|parent|{a}|{b}"
+    whole = {r["key"]: (r["n"], r["n_chunks"], r["evidence"], r["cls"]) for r in R.groups(rows, seeds).collect()}
+    cls = lambda a, b: "needs-node" if b == "D" else "confirms-seed" if a == "A" else "novel"
+    assert whole == {key(a, b): (n, len(c), q, cls(a, b)) for (a, b), (n, c, q) in want.items()}
+    epochs = [R.states(rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == i)) for i in range(3)]
+    merged = R.grouped_states(R.merge(R.merge(epochs[0].unionByName(epochs[1])).unionByName(epochs[2])), seeds)
+    for g in merged.collect():
+        n, chunks, quotes, cls = whole[g["key"]]
+        assert (g["n"], g["evidence"], g["cls"]) == (n, quotes, cls) and abs(g["n_chunks"] - chunks) <= 0.05 * chunks + 1
+
+
 def test_regex_extractor(spark):
     rows = spark.createDataFrame(
         [("c", "b", "There was Jon Reed, son of Mary Reed. Ann Poe married to Bo Poe.")], "chunk_id string, book_id string, text string"
@@ -275,11 +302,9 @@ def test_small_parts(spark, tmp_path):
     assert [tuple(r) for r in R.first_chunks(chunks, 2).collect()] == [("a", 0), ("a", 2)]
     (tmp_path / "vars").write_text("A=1\nB=2\n")
     assert files.settings(spark, str(tmp_path / "vars"), {"B": "given"}) == {"A": "1", "B": "given"}
-    lines = spark.createDataFrame(
-        [("novel", -2, "k", "- x"), ("novel", -9, "j", "- y"), ("needs-node", -1, "z", "- z")],
-        "section string, place int, key string, line string",
-    )
-    assert [r["line"].strip() for r in R.worklist_text(lines).collect()] == ["## needs-node (1)", "- z", "## novel (2)", "- y", "- x"]
+    lines = spark.createDataFrame([("novel", -2, 1, "k", "- x"), ("novel", -9, 2, "j", "- y")], "section string, place int, seen int, key string, line string")
+    want = ["# Edges to review", "## Novel (resolved, not in seed) — 2", "- y", "- x", "## Needs node (unresolved name) — 0"]
+    assert [r["line"].strip() for r in R.worklist_text(lines).collect()] == want
 
 
 def plain_chunks(paras, target=1200, overlap=150, hard=1920, least=50):
