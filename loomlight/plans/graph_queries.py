@@ -116,6 +116,60 @@ def graph_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.warnings(nodes, K.edges(spark, sf_dir), rows, plain).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
 
 
+def _faulty(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The derived nodes and edges with every kind of fault: repeats, self edges, another type, third parents, ways back."""
+    nodes, edges = K.nodes(spark, sf_dir), K.edges(spark, sf_dir)
+    k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+
+    def more(every: int, kind: str, src, dst, first: int) -> DataFrame:
+        return k.where(F.col("k") % every == 0).select(
+            F.lit(kind).alias("type"),
+            src.alias("src"),
+            dst.alias("dst"),
+            F.lit("seed").alias("source"),
+            F.lit(None).cast("string").alias("status"),
+            (F.col("k") + (first << 42)).alias("edge_ord"),
+        )
+
+    key, third = F.col("k"), F.expr("k div 3")
+    for one in (
+        more(50, "parent", third, key, 1),
+        more(97, "parent", key, key, 2),
+        more(89, "friend", key, key + 1, 3),
+        more(61, "parent", key - 1, key, 4),
+        more(101, "parent", key, third, 5),
+    ):
+        edges = edges.unionByName(one)
+    return nodes.unionByName(nodes.where("id % 10 = 0").withColumn("node_ord", F.col("node_ord") + (1 << 42))), edges
+
+
+def warnings_of_every_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _faulty(spark, sf_dir)
+    found = G.warnings(nodes, edges, _noted(spark, sf_dir)[1], G.compile_graph(nodes, edges))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+
+
+_FAULTY = """every AS (SELECT 'parent' AS type, src, dst FROM par UNION ALL SELECT 'spouse', b - 1, b FROM pair
+    UNION ALL SELECT 'parent', c_custkey // 3, c_custkey FROM customer WHERE c_custkey % 50 = 0
+    UNION ALL SELECT 'parent', c_custkey, c_custkey FROM customer WHERE c_custkey % 97 = 0
+    UNION ALL SELECT 'friend', c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 89 = 0
+    UNION ALL SELECT 'parent', c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 61 = 0
+    UNION ALL SELECT 'parent', c_custkey, c_custkey // 3 FROM customer WHERE c_custkey % 101 = 0),
+keyed AS (SELECT *, CASE type WHEN 'friend' THEN 'friend|{"src":' || src || ',"dst":' || dst || '}' ELSE type || '|' || src || '|' || dst END AS key
+    FROM every),
+up AS (SELECT DISTINCT dst, src FROM every WHERE type = 'parent' AND src <> dst),
+reach(id, other) AS (SELECT dst, src FROM up UNION SELECT reach.id, up.src FROM reach JOIN up ON up.dst = reach.other),
+loose AS (SELECT DISTINCT 'parent|' || src || '|' || dst AS key, ord FROM ok WHERE src NOT IN (SELECT id FROM nodes)
+    OR dst NOT IN (SELECT id FROM nodes)),
+found AS (SELECT 'duplicate-node' AS kind, CAST(id AS VARCHAR) AS key FROM nodes WHERE id % 10 = 0
+    UNION ALL SELECT 'duplicate-edge', key FROM keyed GROUP BY key HAVING count(*) > 1
+    UNION ALL SELECT 'unknown-node', key FROM loose
+    UNION ALL SELECT DISTINCT 'self-edge', key FROM keyed WHERE src = dst
+    UNION ALL SELECT DISTINCT 'unknown-type', key FROM keyed WHERE type = 'friend'
+    UNION ALL SELECT 'more-than-two-parents', CAST(dst AS VARCHAR) FROM up GROUP BY dst HAVING count(*) > 2
+    UNION ALL SELECT 'ancestor-cycle', CAST(id AS VARCHAR) FROM reach WHERE id = other)"""
+
+
 def fact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.facts(K.family(spark, sf_dir)).groupBy("rel", "relation").agg(F.count(F.lit(1)).alias("n"), F.sum("object_id").alias("object_sum"))
 
@@ -268,6 +322,8 @@ QUERIES = {
     "graph_warnings": (graph_warnings, f"""WITH {K.BASE}, {_REVIEWED}, l AS (SELECT DISTINCT 'parent|' || src || '|' || dst AS key, ord
         FROM ok WHERE src NOT IN (SELECT id FROM nodes) OR dst NOT IN (SELECT id FROM nodes))
         SELECT 'unknown-node' AS kind, count(*) AS n, min(key) AS least FROM l HAVING count(*) > 0"""),
+    "graph_warnings_of_every_kind": (warnings_of_every_kind, f"""WITH RECURSIVE {K.BASE}, {_REVIEWED}, {_FAULTY}
+        SELECT kind, count(*) AS n, min(key) AS least FROM found GROUP BY kind"""),
     "graph_fact_labels": (fact_labels, f"""{K.FACTS} SELECT rel, relation, count(*) AS n, CAST(sum(object_id) AS BIGINT) AS object_sum
         FROM facts GROUP BY rel, relation"""),
     "graph_facts_top12": (facts_top12, f"{K.FACTS}, {K.QUESTIONS} SELECT qid, place, relation, object_id, object FROM cut"),

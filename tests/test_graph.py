@@ -263,7 +263,7 @@ def test_sql_closure_equals_the_other_one_on_cycles(spark):
 
 
 def test_strongly_connected_components(spark):
-    for seed, n, m in ((1, 24, 30), (2, 12, 40), (3, 30, 28)):
+    for seed, n, m in ((1, 24, 30), (2, 10, 30)):
         _, pairs = random_graph(spark, seed, n, m)
         reach = {i: {b for a, b in pairs if a == i and a != b} for i in range(n)}
         for k in range(n):
