@@ -13,7 +13,7 @@ from loomlight.functions.relations import detect
 from loomlight.functions.text import normalize_name
 from loomlight.operators.answers import answer, compose
 from loomlight.operators.entities import resolve
-from loomlight.operators.graph import Graph, facts, name_index, named, sql_relatives
+from loomlight.operators.graph import Graph, name_index, named, relatives, sql_relatives
 from loomlight.operators.vectors import TOP_K, books_of, snippet, top_k_batch
 from loomlight.storage import written
 
@@ -33,12 +33,13 @@ def understood(questions: DataFrame, index: DataFrame) -> DataFrame:
 OWN_ERRORS = (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, NumberFormatException, SparkRuntimeException)
 
 
-def _known(g: Graph, rel: str, starts: DataFrame, backend: str) -> DataFrame:
-    """facts() of one relation for `starts` (id)."""
+def _reached(g: Graph, rel: str, starts: DataFrame, backend: str) -> DataFrame:
+    """(rel, id, other, path) of one relation for `starts` (id)."""
     if backend != "sql":
-        return facts(g, [rel], starts.select(F.lit(rel).alias("rel"), "id"))
-    one = sql_relatives(g, rel, starts).select(F.lit(rel).alias("rel"), "id", "other")
-    return named(g, one.join(g.nodes.select(F.col("id").alias("other"), F.array("node_ord").alias("path")), "other"))
+        rows = relatives(g, rel, starts)
+    else:
+        rows = sql_relatives(g, rel, starts).join(g.nodes.select(F.col("id").alias("other"), F.array("node_ord").alias("path")), "other")
+    return rows.select(F.lit(rel).alias("rel"), "id", "other", "path")
 
 
 def graph_side(
@@ -50,15 +51,15 @@ def graph_side(
     known, failed = None, []
     for rel in [r["rel"] for r in asked.select("rel").distinct().collect()] or ["parent"]:  # at most eight
         try:
-            one = written(_known(g, rel, asked.where(F.col("rel") == rel).select("id").distinct(), backend))
+            one = written(_reached(g, rel, asked.where(F.col("rel") == rel).select("id").distinct(), backend))
         except OWN_ERRORS as e:
             failed.append((rel, str(e) or type(e).__name__))
             continue
         known = one if known is None else known.unionByName(one)
     errors = asked.join(questions.sparkSession.createDataFrame(failed, "rel string, error string"), "rel").groupBy("qid").agg(F.min("error").alias("error"))
     if known is None:
-        known = facts(g, ["parent"], asked.select("rel", "id").limit(0))
-    known = known.withColumnRenamed("rel", "frel")
+        known = _reached(g, "parent", asked.select("id").limit(0), BACKEND)
+    known = named(g, known).withColumnRenamed("rel", "frel")
     order = g.nodes.select(F.col("id").alias("nid"), "node_ord")
     hits = asked.join(
         known, (F.col("id") == F.col("subject_id")) & (F.col("rel") == F.col("frel"))
