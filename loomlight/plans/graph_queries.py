@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from loomlight.operators import graph as G
 from loomlight.operators.answers import answer, compose
+from loomlight.operators.closure_store import ClosureStore
 from loomlight.operators.entities import resolve, resolve_names
 from loomlight.plans import ask as A
 from loomlight.plans import family as K
 from loomlight.functions.relations import detect
 from loomlight.functions.text import normalize_name
-from loomlight.storage import table
+from loomlight.storage import scratch, table
 
 
 def _relation(rel: str, gender: str | None = None):
@@ -66,6 +67,29 @@ def _closure(kind: str):
     return lambda spark, sf_dir: G.closure(K.family(spark, sf_dir), kind).select("id", F.col("other").alias("relative_id"))
 
 
+def closure_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ancestors: the seed's, extended by reviewed edges from orders in two batches. An edge leads to a customer of the same block of sixteen."""
+    store = ClosureStore(spark, scratch(spark))
+    store.create(K.family(spark, sf_dir), "parent")
+    nodes, rows = _noted(spark, sf_dir)
+    known = nodes.select(F.col("id").alias("other"))
+    rows = G.approved(rows).select(F.col("src").alias("id"), F.expr("src div 16 * 16 + edge_ord % 13").alias("other"), "edge_ord")
+    rows = rows.join(known, "other", "left_semi")
+    for batch in (0, 1):
+        store.extend(rows.where(F.col("edge_ord") % 2 == batch))
+    return store.pairs().select("id", F.col("other").alias("relative_id"), F.col("since").cast("long").alias("since"))
+
+
+_EXTENDED = """rev AS (SELECT o_custkey AS id, o_custkey // 16 * 16 + o_orderkey % 13 AS other, o_orderkey % 2 AS batch FROM orders
+    WHERE o_orderkey % 4 <> 1),
+up AS (SELECT dst AS id, src AS other, -1 AS batch FROM par UNION SELECT * FROM rev WHERE id <> other
+    AND other IN (SELECT c_custkey FROM customer)),
+a(id, other) AS (SELECT id, other FROM up WHERE batch < 0 UNION SELECT a.id, up.other FROM a JOIN up ON up.id = a.other WHERE up.batch < 0),
+b(id, other) AS (SELECT id, other FROM up WHERE batch < 1 UNION SELECT b.id, up.other FROM b JOIN up ON up.id = b.other WHERE up.batch < 1),
+c(id, other) AS (SELECT id, other FROM up UNION SELECT c.id, up.other FROM c JOIN up ON up.id = c.other),
+every AS (SELECT id, other, 0 AS since FROM a UNION ALL SELECT id, other, 1 FROM b UNION ALL SELECT id, other, 2 FROM c)"""
+
+
 def preorder12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = G.ordered_closure(K.family(spark, sf_dir), "parent")
     return rows.withColumn(
@@ -303,6 +327,8 @@ QUERIES = {
     "graph_sql_descendants": (_sql_closure("descendant"), f"""WITH RECURSIVE {K.BASE}, r(id, other) AS (SELECT src, dst FROM par
         UNION SELECT r.id, p.dst FROM r JOIN par p ON p.src = r.other)
         SELECT id, other AS relative_id FROM r WHERE id IN (SELECT id FROM nodes) AND other IN (SELECT id FROM nodes)"""),
+    "graph_closure_extended": (closure_extended, f"""WITH RECURSIVE {K.BASE}, {_EXTENDED}
+        SELECT id, other AS relative_id, CAST(min(since) AS BIGINT) AS since FROM every GROUP BY id, other"""),
     "graph_cycles": (graph_cycles, f"""WITH RECURSIVE {_RINGS}, r(id, other) AS (SELECT src, dst FROM e
         UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.other)
         SELECT a.id, least(a.id, min(a.other)) AS component, count(DISTINCT a.other) + CASE WHEN bool_or(a.other = a.id) THEN 0 ELSE 1 END AS size
