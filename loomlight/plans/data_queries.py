@@ -10,6 +10,7 @@ from loomlight.functions import text as X
 from loomlight.operators import chunks as C
 from loomlight.operators import evaluate as E
 from loomlight.operators import review as R
+from loomlight.operators import text_tables as TT
 from loomlight.operators import vectors as V
 from loomlight.operators.graph import edge_key, name_index
 from loomlight.plans import ask as A
@@ -74,6 +75,35 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk(books, "\\n+")
 
 
+def _bundled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Eight documents a bundle behind a list of contents, and the catalogue: most begin with a title page, some with a marker, some name their title only."""
+    k, i = F.expr("doc_id div 8"), F.col("doc_id").cast("string")
+    title = F.concat(F.lit("Volume "), i, F.lit(" of the shelf"))
+    head = F.when((F.col("ord") == 0) | (F.col("doc_id") % 3 == 0), F.concat(title, F.lit("\n\nBantam Books\n"))).when(
+        F.col("doc_id") % 3 == 1, F.concat(F.lit("Here begins volume "), i, F.lit(".\n"))
+    ).otherwise(F.concat(F.lit("This is "), title, F.lit(" indeed.\n")))
+    rows = table(spark, sf_dir, DOCS).select("doc_id", "text", k.alias("raw_id"), (F.row_number().over(W.partitionBy(k).orderBy("doc_id")) - 1).alias("ord"))
+    rows = rows.select("raw_id", "ord", "doc_id", title.alias("title"), F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    each = rows.groupBy("raw_id").agg(F.array_sort(F.collect_list(F.struct("ord", "title", "text"))).alias("b"))
+    contents = F.concat(F.lit("Contents\n"), F.array_join("b.title", "\n"), F.lit("\n"), F.repeat(F.lit("-"), 300), F.lit("\n"))
+    catalog = rows.select("raw_id", "ord", F.col("doc_id").alias("book_id"), "title", F.concat(F.lit("here begins volume "), F.col("doc_id").cast("string"), F.lit("\\.")).alias("start_marker"))
+    return each.select("raw_id", F.concat(contents, F.array_join("b.text", "")).alias("text")), catalog
+
+
+def book_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document found again in its bundle, in stretches of 4,000 characters."""
+    pieces = TT.split_books(*_bundled(spark, sf_dir), size=4000, context=1000)
+    rows = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return pieces.groupBy("raw_id", "book_id", "start").agg(F.sha2(F.array_join(rows["text"], ""), 256).alias("digest"))
+
+
+def chunk_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document by the table function, in stretches of 700 characters."""
+    docs = table(spark, sf_dir, DOCS)
+    text = TT.stretches(docs.select(F.col("doc_id").alias("raw_id"), "text"), size=700, context=1).select(F.col("raw_id").alias("book_id"), "place", "text")
+    return TT.chunk(text.join(docs.select(F.col("doc_id").cast("string").alias("book_id"), F.col("source").alias("book")), "book_id"), "\n+")
+
+
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.report(chunk_documents(spark, sf_dir))
 
@@ -422,6 +452,24 @@ QUERIES = {
         f"""{_CHUNKS} SELECT book_id || '#' || i AS id, book_id, book, CAST(i AS INTEGER) AS chunk_index,
             CAST(length(text) AS INTEGER) AS chars, text FROM numbered""",
     ),
+    "chunk_stretches": (
+        chunk_stretches,
+        f"""{_CHUNKS} SELECT book_id || '#' || i AS id, book_id, book, CAST(i AS INTEGER) AS chunk_index,
+            CAST(length(text) AS INTEGER) AS chars, text FROM numbered""",
+    ),
+    "book_splits": (book_splits, """WITH d AS (SELECT *, doc_id // 8 AS k, row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS ord,
+        'Volume ' || doc_id || ' of the shelf' AS title FROM documents),
+        h AS (SELECT *, CASE WHEN ord = 1 OR doc_id % 3 = 0 THEN title || chr(10) || chr(10) || 'Bantam Books' || chr(10)
+            WHEN doc_id % 3 = 1 THEN 'Here begins volume ' || doc_id || '.' || chr(10)
+            ELSE 'This is ' || title || ' indeed.' || chr(10) END || coalesce(text, '') || chr(10) AS whole,
+            CASE WHEN ord > 1 AND doc_id % 3 = 2 THEN 8 ELSE 0 END AS late FROM d),
+        b AS (SELECT k, 'Contents' || chr(10) || string_agg(title, chr(10) ORDER BY ord) || chr(10) || repeat('-', 300) || chr(10) AS contents,
+            string_agg(whole, '' ORDER BY ord) AS body FROM h GROUP BY k),
+        s AS (SELECT h.k, doc_id, contents || body AS bundle, length(contents) + late + coalesce(sum(length(whole)) OVER (PARTITION BY h.k
+            ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM h JOIN b ON h.k = b.k),
+        e AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY k ORDER BY start), length(bundle)) AS stop FROM s)
+        SELECT CAST(k AS VARCHAR) AS raw_id, CAST(doc_id AS VARCHAR) AS book_id, CAST(start AS BIGINT) AS start,
+            sha256(substr(bundle, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT))) AS digest FROM e"""),
     "chunk_report": (
         chunk_report,
         f"""{_CHUNKS} SELECT book_id, book, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars,
