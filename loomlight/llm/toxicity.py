@@ -2,7 +2,7 @@
 
 Features are the words of a text and their first letters, so that inflected and compounded slurs
 share weights. In labelled texts that name a group, identity terms are swapped for others of their
-list; a penalty on the change of the score keeps neutral mentions from carrying weight.
+list in the text's language; a penalty on the change of the score keeps neutral mentions from carrying weight.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from loomlight.llm.common import claim, slices, written
 from loomlight.llm.linear import Model, Rows, choose_from, code, counted, fit, packed, sigmoid, stems, unpacked, weight, words_in
 from loomlight.ship import map_arrow
 
-# Identity terms, by language and form; a term is swapped for the next of its line.
+# Identity terms, by language and form; a term is swapped for others of its line.
 IDENTITIES = {
     "en": [
         "women men muslims christians jews hindus buddhists atheists immigrants refugees gays lesbians blacks whites asians africans arabs latinos europeans americans elderly teenagers disabled blind deaf catholics protestants",
@@ -43,14 +43,42 @@ IDENTITIES = {
 #: Labelled rows that the fit uses at most, in expectation; and features kept.
 SAMPLE, FEATURES = 8000, 6000
 
-_NEXT = {a: b for lines in IDENTITIES.values() for line in lines for a, b in zip(line.split(), line.split()[1:] + line.split()[:1], strict=True)}
-_TERM = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+#: Frequent words that tell the languages apart.
+FREQUENT = {
+    "en": "the and of is are was were that this with for not they have has it in to",
+    "fr": "le la les et des du une est sont dans pour pas ils elles avec qui que ce",
+    "de": "der die das und ist sind nicht mit für ein eine den dem auf zu sie wir war",
+    "es": "el los las y del una es son en para no ellos con que por lo se su",
+}
+#: Steps along a line from a term to those that stand in for it: a text has one twin for each.
+STEPS = (1, 2, 5, 11)
+
+_WORD = re.compile(r"\w+")
+#: By language, a term's line and place; a term of several lines has the first.
+_PLACES = {lang: {t: (line.split(), i) for line in reversed(lines) for i, t in enumerate(line.split())} for lang, lines in IDENTITIES.items()}
+_FREQUENT = {lang: set(words.split()) for lang, words in FREQUENT.items()}
+
+
+def language_of(words: list[str]) -> str | None:
+    """The language most of whose terms and frequent words are among lower-case `words`, of those that have a term there; ties to the first listed."""
+    has = [lang for lang, places in _PLACES.items() if any(w in places for w in words)]
+    return max(has, key=lambda lang: sum(w in _PLACES[lang] or w in _FREQUENT[lang] for w in words), default=None)
+
+
+def swapped(text: str, step: int = 1) -> str | None:
+    """The text with every identity term of its language replaced by the one `step` further in its line, or None if it has none.
+
+    Steps go round and never end at the term itself.
+    """
+    lang = language_of([w.lower() for w in _WORD.findall(text)])
+    if lang is None:
+        return None
 
+    def other(m: re.Match) -> str:
+        line, i = _PLACES[lang].get(m[0].lower(), ((), 0))
+        return line[(i + 1 + (step - 1) % (len(line) - 1)) % len(line)] if line else m[0]
 
-def swapped(text: str) -> str | None:
-    """The text with every identity term replaced, or None if it has none."""
-    out, n = _TERM.subn(lambda m: _NEXT[m[1].lower()], text)
-    return out if n else None
+    return _WORD.sub(other, text)
 
 
 def features(texts: pa.Array, known: dict[int, int] | None = None) -> Rows:
@@ -101,14 +129,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
                 ],
                 names=["label", "entries", "twin", "length"],
             )
-            other = [swapped(x or "") for x in batch.column("text").to_pylist()]
-            has = [i for i, x in enumerate(other) if x is not None]
-            if has:
+            texts = batch.column("text").to_pylist()
+            for step in STEPS:
+                other = [swapped(x or "", step) for x in texts]
+                has = [i for i, x in enumerate(other) if x is not None]
+                if not has:
+                    break
                 twins = packed(features(pa.array([other[i] for i in has]), known), len(has))
-                take = pa.array(has)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("label").take(take),
+                        batch.column("label").take(pa.array(has)),
                         pa.array([blobs[i] for i in has], pa.binary()),
                         pa.array(twins, pa.binary()),
                         pa.array(plain.dense[has, 0]),
@@ -142,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def held_out(doc_id):
-    """Rows never learnt from: crc32 of doc_id as text, modulo 5, is 0."""
+    """Rows never learnt from: crc32 of doc_id as text, modulo 5, is 0. A row without doc_id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
