@@ -28,8 +28,8 @@ LEAST = 12
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 #: Generated strings of each form.
 SAMPLE_STRINGS = 2000
-#: Nats by which a stretch must favour the random model in all: odds of about 1,100. So the mean that a transition needs falls with the length.
-THRESHOLD = 7.0
+#: Nats by which a stretch must favour the random model in all: odds of about 400. So the mean that a transition needs falls with the length.
+THRESHOLD = 6.0
 #: A stretch ends where its sum was greatest, once it has fallen to 0 or by this much from there.
 DROP = 20.0
 #: Counts that the single-character shares weigh.
