@@ -13,7 +13,7 @@ from loomlight.storage import written
 RELATION = "struct<subject:string,relation:string,object:string,evidence:string>"
 PROMPT_CHARS = 4000
 
-#: Pieces of evidence that a group keeps, the first ones seen.
+#: Pieces of evidence that a worklist shows and a state keeps unless told otherwise, the first ones seen.
 QUOTES = 2
 
 # Titles and wording of a worklist.
@@ -86,18 +86,22 @@ def candidate_key() -> Column:
     )
 
 
-def _first_quotes(pieces: DataFrame) -> DataFrame:
-    """(key, quotes) of pieces (key, evidence, seen): the first different ones, each with where it was first seen.
+def _first_quotes(pieces: DataFrame, most: int | None) -> DataFrame:
+    """(key, quotes) of pieces (key, evidence, seen): the first different ones, each with where it was first seen; without `most` all of them.
 
-    A rank limit comes before they are put together, so no row holds more than QUOTES of them.
+    A rank limit comes before they are put together, so no row holds more than `most` of them.
     """
     each = pieces.where("evidence <> ''").groupBy("key", "evidence").agg(F.min("seen").alias("seen"))
-    first = each.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("seen", "evidence"))).where(F.col("_r") <= QUOTES)
-    return first.groupBy(F.col("key").alias("_q")).agg(F.array_sort(F.collect_list(F.struct("seen", "evidence"))).alias("quotes"))
+    if most is not None:
+        each = each.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("seen", "evidence"))).where(F.col("_r") <= most)
+    return each.groupBy(F.col("key").alias("_q")).agg(F.array_sort(F.collect_list(F.struct("seen", "evidence"))).alias("quotes"))
 
 
-def states(rows: DataFrame) -> DataFrame:
-    """Candidates by edge, in a form that merges: key, n, resolved, seen and edge of the first one, quotes, chunk_sketch (HyperLogLog)."""
+def states(rows: DataFrame, most: int | None = QUOTES) -> DataFrame:
+    """Candidates by edge, in a form that merges: key, n, resolved, seen and edge of the first one, quotes, chunk_sketch (HyperLogLog).
+
+    quotes: the first `most` pieces of evidence, or with None every different one.
+    """
     keyed = rows.withColumn("key", candidate_key())
     one = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
@@ -106,10 +110,10 @@ def states(rows: DataFrame) -> DataFrame:
         F.min_by(F.struct("type", "src", "dst", "raw_subject", "raw_object"), "seen").alias("edge"),
         F.hll_sketch_agg(F.col("chunk_id").cast("string")).alias("chunk_sketch"),
     )
-    return one.join(_first_quotes(keyed), F.col("key") == F.col("_q"), "left").drop("_q")
+    return one.join(_first_quotes(keyed, most), F.col("key") == F.col("_q"), "left").drop("_q")
 
 
-def merge(some: DataFrame) -> DataFrame:
+def merge(some: DataFrame, most: int | None = QUOTES) -> DataFrame:
     """The states of several epochs, united, as if their candidates had come at once. No candidate is read again."""
     one = some.groupBy("key").agg(
         F.sum("n").alias("n"),
@@ -119,7 +123,7 @@ def merge(some: DataFrame) -> DataFrame:
         F.hll_union_agg("chunk_sketch").alias("chunk_sketch"),
     )
     pieces = some.select("key", F.explode("quotes").alias("q")).select("key", "q.evidence", "q.seen")
-    return one.join(_first_quotes(pieces), F.col("key") == F.col("_q"), "left").drop("_q")
+    return one.join(_first_quotes(pieces, most), F.col("key") == F.col("_q"), "left").drop("_q")
 
 
 def grouped_states(some: DataFrame, seed_keys: DataFrame) -> DataFrame:
@@ -139,11 +143,14 @@ def grouped_states(some: DataFrame, seed_keys: DataFrame) -> DataFrame:
     )
 
 
-def groups(rows: DataFrame, seed_keys: DataFrame) -> DataFrame:
-    """Candidates by edge: key, n, n_chunks, evidence (the first pieces seen), resolved, seen, edge (the first), cls (confirms-seed, novel, needs-node)."""
+def groups(rows: DataFrame, seed_keys: DataFrame, most: int | None = QUOTES) -> DataFrame:
+    """Candidates by edge: key, n, n_chunks, evidence (in the order first seen), resolved, seen, edge (the first), cls (confirms-seed, novel, needs-node).
+
+    evidence: the first `most` pieces, enough for a worklist, or with None every different one.
+    """
     rows = written(rows)
     exact = rows.select(candidate_key().alias("_k"), "chunk_id").groupBy("_k").agg(F.count_distinct("chunk_id").alias("_n"))
-    some = grouped_states(states(rows), seed_keys)
+    some = grouped_states(states(rows, most), seed_keys)
     return some.join(exact, F.col("key") == F.col("_k")).withColumn("n_chunks", F.col("_n")).drop("_k", "_n")
 
 
@@ -194,7 +201,7 @@ def worklist(grouped: DataFrame, decided: DataFrame | None = None, names: DataFr
     arrow = F.when(F.col("edge.type") == "parent", ARROWS["parent"]).otherwise(ARROWS["spouse"])
     edge = F.concat(name("src", "raw_subject"), arrow, name("dst", "raw_object"))
     head = F.format_string(SEEN, edge, F.col("n"), F.col("n_chunks"), status)
-    quotes = F.transform("evidence", lambda e: F.format_string(QUOTE, e))
+    quotes = F.transform(F.slice("evidence", 1, QUOTES), lambda e: F.format_string(QUOTE, e))
     return rows.select(
         F.col("cls").alias("section"),
         (-F.col("n")).alias("place"),

@@ -152,6 +152,47 @@ def test_review_states_merge(spark):
         assert (g["n"], g["evidence"], g["cls"]) == (n, quotes, cls) and abs(g["n_chunks"] - chunks) <= 0.05 * chunks + 1
 
 
+def test_review_groups_keep_every_piece_of_evidence(spark, tmp_path):
+    import duckdb
+
+    from loomlight.plans.data_queries import QUERIES
+
+    spark.sql("select id c_custkey, concat('Customer#', lpad(id, 9, '0')) c_name, 'M' c_mktsegment from range(40)").write.parquet(str(tmp_path / "customer.parquet"))
+    # Line numbers 1, 4 and 7 make spouses, 3 and 6 parents; the latest line of a pair comes first.
+    lines = [(1, 7, 1, 2), (2, 1, 1, 2), (2, 1, 1, 2), (3, 4, 2, 1), (4, 6, 1, 2), (5, 3, 1, 2), (6, 4, 5, 2), (7, 1, 5, 2), (8, 7, 5, 2), (9, 4, 1, 3)]
+    lines = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    lines.withColumn("l_returnflag", F.lit("A")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    query, sql = QUERIES["review_groups"]
+    got = {tuple(r) for r in query(spark, str(tmp_path)).collect()}
+    unresolved = "unresolved|spouse|Customer#900000005|Customer#000000002"
+    assert got == {
+        ("spouse|1|2", 4, 3, "line 7; line 1; line 4", "confirms-seed"),
+        ("parent|1|2", 2, 2, "line 6; line 3", "novel"),
+        (unresolved, 3, 3, "line 4; line 1; line 7", "needs-node"),
+        ("spouse|1|3", 1, 1, "line 4", "novel"),
+    }
+    con = duckdb.connect()
+    for name in ("customer", "lineitem"):
+        con.sql(f"create view {name} as from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert set(con.sql(sql).fetchall()) == got
+
+
+def test_review_states_merge_with_every_piece(spark):
+    said = [(i, "e%d" % (i * 7 % 5) if i % 4 else "") for i in range(40)]
+    text = '[{"subject":"A","relation":"parent-of","object":"B","evidence":"%s"}]'
+    outputs = spark.createDataFrame([(f"c{i}", "x", text % e, i) for i, e in said], "chunk_id string, book_id string, output string, ordinal long")
+    rows = R.candidates(outputs, spark.createDataFrame([("a", "ida", 0), ("b", "idb", 0)], "key string, id string, n_aliases int"))
+    seeds = spark.createDataFrame([("parent|x|y",)], "key string")
+    want = list(dict.fromkeys(e for _, e in said if e))
+    whole = R.groups(rows, seeds, most=None)
+    assert [r["evidence"] for r in whole.collect()] == [want] and len(want) == 5
+    epochs = [R.states(rows.where(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == i), most=None) for i in range(2)]
+    merged = R.grouped_states(R.merge(epochs[0].unionByName(epochs[1]), most=None), seeds)
+    assert [r["evidence"] for r in merged.collect()] == [want]
+    # A worklist shows the first two, however many a group has.
+    assert R.worklist(whole).collect()[0]["line"].split("\n")[1:] == [f"    - “{e}”" for e in want[:2]]
+
+
 def test_regex_extractor(spark):
     rows = spark.createDataFrame(
         [("c", "b", "There was Jon Reed, son of Mary Reed. Ann Poe married to Bo Poe.")], "chunk_id string, book_id string, text string"
