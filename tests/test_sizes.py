@@ -1,8 +1,14 @@
 """What grows with the data never goes through the driver, and equal work is done once."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomlight import storage
+from loomlight.operators import graph as G
 from loomlight.operators.entities import resolve, resolve_names
+from loomlight.operators.graph import Graph
+from loomlight.plans import ask as A
+from loomlight.plans.ask import graph_facts
 
 NODE, EDGE = "id long, name string, house string, gender string, aliases array<string>, node_ord long", "type string, src long, dst long, source string, status string, edge_ord long"
 
@@ -11,6 +17,21 @@ def planned(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def broadcasts(monkeypatch):
+    """The plans with broadcasts among those of tables that the graph side has written so far."""
+    seen = []
+
+    def noted(df, *a, **b):
+        if "Broadcast" in (plan := planned(df)):
+            seen.append(plan)
+        return storage.written(df, *a, **b)
+
+    for module in (A, G):
+        monkeypatch.setattr(module, "written", noted)
+    return lambda: seen
+
+
 def test_names_are_resolved_without_a_broadcast(spark):
     rows = spark.range(50).select(F.col("id").alias("qid"), F.concat(F.lit("who is person "), F.lpad(F.col("id").cast("string"), 4, "0")).alias("norm"))
     index = rows.select(F.substring("norm", 8, 20).alias("key"), F.col("qid").alias("id"), F.lit(0).alias("n_aliases"))
@@ -19,3 +40,20 @@ def test_names_are_resolved_without_a_broadcast(spark):
     assert found.where("qid = id and not ambiguous").count() == found.count() == 50
     for mode in ("compat", "strict"):
         assert "Broadcast" not in planned(resolve_names(index.select(F.col("key").alias("raw")), index, mode))
+
+
+def family(spark, n=24):
+    """n people, two parents each, as the derived graph has them."""
+    people = spark.range(n).select("id", F.concat(F.lit("Person"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("name"), F.lit("h").alias("house"), F.lit("male").alias("gender"), F.expr("cast(array() as array<string>)").alias("aliases"), F.col("id").alias("node_ord"))
+    links = spark.createDataFrame([("parent", k // 3 - i, k, "seed", None, 2 * k + i) for k in range(3, n) for i in (0, 1)], EDGE)
+    return Graph(people, links)
+
+
+def asked(spark, words, n=24):
+    return family(spark, n).nodes.select(F.col("id").alias("qid"), F.concat(F.lit("Who were "), "name", F.lit(f"'s {words}?")).alias("question"), F.lit(None).cast("array<string>").alias("sources"))
+
+
+def test_facts_of_questions_are_found_without_a_broadcast(spark, broadcasts):
+    for words in ("parents", "siblings", "ancestors"):
+        found = graph_facts(asked(spark, words), family(spark))
+        assert found.count() and not broadcasts() and "Broadcast" not in planned(found)
