@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomlight import storage
 from loomlight.operators import graph as G
+from loomlight.operators.answers import answer, compose
 from loomlight.operators.entities import resolve, resolve_names
 from loomlight.operators.graph import Graph
 from loomlight.plans import ask as A
@@ -57,3 +58,10 @@ def test_facts_of_questions_are_found_without_a_broadcast(spark, broadcasts):
     for words in ("parents", "siblings", "ancestors"):
         found = graph_facts(asked(spark, words), family(spark))
         assert found.count() and not broadcasts() and "Broadcast" not in planned(found)
+
+
+def test_facts_are_cited_without_a_broadcast(spark):
+    said = compose(graph_facts(asked(spark, "parents"), family(spark)))
+    assert "Broadcast" not in planned(said)
+    cited = answer(asked(spark, "parents"), said, None)
+    assert "Broadcast" not in planned(cited) and cited.where("size(citations) = 2").count() == 21
