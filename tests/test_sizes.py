@@ -65,3 +65,40 @@ def test_facts_are_cited_without_a_broadcast(spark):
     assert "Broadcast" not in planned(said)
     cited = answer(asked(spark, "parents"), said, None)
     assert "Broadcast" not in planned(cited) and cited.where("size(citations) = 2").count() == 21
+
+
+def passages(spark):
+    rows = [(i, [float(i % 3), 1.0, float(i % 5), 0.5], "abfc"[i % 4], "book", i, f"text {i}") for i in range(40)]
+    return spark.createDataFrame(rows, "id long, values array<double>, book_id string, book string, chunk_index long, text string").replace({"a": "agot", "b": "fab"}, subset=["book_id"])
+
+
+def embed(text):
+    return F.array((F.length(text) % 2).cast("double"), F.lit(1.0), F.lit(0.0), F.lit(0.0))
+
+
+def test_equal_questions_ask_for_passages_once(spark, monkeypatch):
+    texts = [(i, "ab" if i % 3 else "abc", [None, ["fire-and-blood"], ["unknown"], []][i % 4]) for i in range(1, 49)]
+    q = spark.createDataFrame(texts, "qid long, question string, sources array<string>")
+    want = A.top_k_batch(passages(spark), q.select("qid", embed(F.col("question")).alias("values"), A.books_of(F.col("sources")).alias("books")), 3)
+    seen, scan = [], A.top_k_batch
+    monkeypatch.setattr(A, "top_k_batch", lambda vectors, queries, k: seen.append(queries.count()) or scan(vectors, queries, k))
+    got = A.retrieve(q, passages(spark), embed, 3)
+    rows = lambda df: sorted(map(tuple, df.select("qid", "rank", "id", "score").collect()))
+    assert rows(got) == rows(want) and len(rows(got)) == 3 * 48
+    assert seen == [6]  # two vectors, three selections of books
+
+
+def test_texts_are_kept_once_for_equal_questions(spark, monkeypatch):
+    texts = []
+
+    def noted(df, *a, **b):
+        out = storage.written(df, *a, **b)
+        if "text" in out.columns:
+            texts.append(out.count())
+        return out
+
+    monkeypatch.setattr(A, "written", noted)
+    rows = A.ask(asked(spark, "parents"), family(spark), vectors=passages(spark), embed=embed).collect()
+    assert texts == [1] and len(rows) == 24
+    assert {r["qid"]: len(r["citations"]) for r in rows} == {k: 3 if k >= 3 else 1 for k in range(24)}
+    assert all(r["answer"].startswith("text ") for r in rows if r["qid"] < 3)
