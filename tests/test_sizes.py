@@ -110,3 +110,14 @@ def test_books_with_one_start_are_cut_in_their_order(spark):
     starts = spark.createDataFrame(rows, "raw_id long, book_id int, start long, text string").repartition(5)
     cut = C.slices(starts).select("book_id", "text").distinct().collect()
     assert sorted(map(tuple, cut)) == [(0, ""), (1, ""), (2, ""), (3, "abc")]
+
+
+def test_facts_are_counted_by_object_without_paths(spark, monkeypatch):
+    links = [("parent", a, b, "seed", None, i) for i, (a, b) in enumerate([(1, 3), (2, 3), (1, 4), (2, 4), (3, 5), (9, 5), (5, 6), (6, 9), (7, 7)])]
+    links += [("spouse", 1, 2, "seed", None, 90), ("spouse", 2, 1, "seed", None, 91), ("parent", 1, 3, "seed", None, 92)]
+    people = family(spark, 9).nodes.withColumn("gender", F.when(F.col("id") % 3 == 0, "male").when(F.col("id") % 3 == 1, "female").otherwise(""))
+    g = Graph(people, spark.createDataFrame(links, EDGE))  # 9 is no one's node
+    want = G.facts(g).groupBy("rel", "relation", "object_id").count()
+    monkeypatch.setattr(G, "ordered_closure", None)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(G.fact_objects(g)) == rows(want)
