@@ -27,8 +27,11 @@ CENTROID_BYTES, SAMPLE_BYTES, TURNS = 8 << 20, 64 << 20, 8
 #: Most cells of books that are told apart; beyond, cells are of all books together.
 CELLS = 1 << 18
 
-#: Bytes of a cell's vectors that a task holds, queries that ask at one part of a cell, and most scores computed at once.
-PART_BYTES, ASKING, SCORES = 64 << 20, 1 << 14, 1 << 21
+#: Bytes of vectors of neighbouring cells that a task holds, queries that ask at one part of them, and most scores computed at once.
+PART_BYTES, ASKING, SCORES = 8 << 20, 1 << 14, 1 << 20
+
+#: Rows of queries sent to piles of cells at once.
+ROWS = 1 << 12
 
 #: By this much more than rounding a bound must fall short before a cell is left out.
 MARGIN = 2e-6
@@ -114,6 +117,15 @@ class _Cells:
     def open_to(self, books: list[str] | None, by_book: bool) -> np.ndarray:
         return np.ones(len(self.cell), bool) if books is None or not by_book else np.isin(self.book.astype(str), books)
 
+    def piles(self, most: int) -> np.ndarray:
+        """A number for each cell: cells in a row share one while they have `most` vectors together at most; a larger cell is alone."""
+        pile, held, now = np.zeros(len(self.cell), np.int64), 0, 0
+        for i in np.lexsort((np.arange(len(self.cell)), self.cell)):
+            if held and held + self.n[i] > most:
+                held, now = 0, now + 1
+            pile[i], held = now, held + int(self.n[i])
+        return pile
+
     def best(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For unit queries and cells: the distance from the centroid, and the largest score that the cell may hold."""
         some = np.maximum(self.cell, 0)
@@ -145,9 +157,11 @@ class _Search:
             cells = written(merged(cells.withColumn("book_id", F.lit(None).cast("string"))))
         found = cells.select(F.col("book_id").cast("string").alias("book_id"), "cell", "n", "near", "far").toArrow()  # bounded by CELLS or the centroids
         self.cells = _Cells(found, centroids)
-        self.held = self.spark.sparkContext.broadcast(self.cells)
-        names = [(i, None if b is None else str(b), int(c), int(n)) for i, (b, c, n) in enumerate(zip(self.cells.book, self.cells.cell, self.cells.n, strict=True))]
-        self.listed = self.spark.createDataFrame(names, "place int, book string, cell int, n long")
+        books = [None if b is None else str(b) for b in self.cells.book]
+        self.pile = self.cells.piles(max(1, PART_BYTES // (8 * self.dim)))
+        pile, size = self.pile, np.bincount(self.pile, self.cells.n, len(self.pile))
+        names = [(i, b, int(c), int(p), int(size[p])) for i, (b, c, p) in enumerate(zip(books, self.cells.cell, pile, strict=True))]
+        self.listed = self.spark.createDataFrame(names, "place int, book string, cell int, pile int, n long")
         self.opened: list[DataFrame] = []
 
     def best(self) -> DataFrame:
@@ -161,57 +175,68 @@ class _Search:
         return hits.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id")))
 
     def _opened(self, asked: DataFrame) -> DataFrame:
-        """(qid, values, books, place) of the cells a query opens: without `limit` the nearest that hold k, else the others that may reach it."""
-        k, by_book, dim, held = self.k, self.by_book, self.dim, self.held
+        """(qid, values, books, pile, places) of the cells a query opens, a row for each pile: without `limit` the nearest that hold k, else the others that may reach it."""
+        k, by_book, dim, held = self.k, self.by_book, self.dim, self.spark.sparkContext.broadcast((self.cells, self.pile))
 
         def run(batches):
-            cells = held.value
+            cells, pile = held.value
             for b in batches:
                 step = max(1, SCORES // max(1, len(cells.cell)))
                 for at in range(0, b.num_rows, step):
                     some = b.slice(at, step)
                     d, top = cells.best(unit(matrix(some.column("values"), dim)))
-                    picked = []
+                    row, piles, places = [], [], []
                     for i, (books, limit) in enumerate(zip(some.column("books").to_pylist(), some.column("limit").to_pylist(), strict=True)):
                         on = np.flatnonzero(cells.open_to(books, by_book))
                         on = on[np.lexsort((on, d[i, on]))]
                         seeds = int(np.searchsorted(np.cumsum(cells.n[on]), k, "left")) + 1
-                        picked.append(on[:seeds] if limit is None else (later := on[seeds:])[top[i, later] >= limit - MARGIN])
-                    row = pa.array(np.repeat(np.arange(some.num_rows), [len(p) for p in picked]))
-                    place = np.concatenate(picked).astype(np.int32) if picked else np.zeros(0, np.int32)
-                    yield pa.RecordBatch.from_arrays([*(some.column(c).take(row) for c in ("qid", "values", "books")), pa.array(place)], names=["qid", "values", "books", "place"])
-
-        out = written(map_arrow(asked, run, f"qid {asked.schema['qid'].dataType.simpleString()}, values array<double>, books array<string>, place int"))
-        self.opened.append(out)
+                        on = on[:seeds] if limit is None else (later := on[seeds:])[top[i, later] >= limit - MARGIN]
+                        on = on[np.argsort(pile[on], kind="stable")].astype(np.int32)
+                        cut = np.flatnonzero(np.diff(pile[on])) + 1
+                        for part in np.split(on, cut) if len(on) else ():
+                            row.append(i)
+                            piles.append(int(pile[part[0]]))
+                            places.append(part)
+                    for i in range(0, len(row), ROWS):  # so no batch grows with the cells that queries open
+                        take, these = pa.array(row[i : i + ROWS], pa.int32()), places[i : i + ROWS]
+                        ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in these])]).astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(some.column(c).take(take) for c in ("qid", "values", "books")), pa.array(piles[i : i + ROWS], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(these)))],
+                            names=["qid", "values", "books", "pile", "places"],
+                        )
+
+        out = written(map_arrow(asked, run, f"qid {asked.schema['qid'].dataType.simpleString()}, values array<double>, books array<string>, pile int, places array<int>"))
+        self.opened.append(out.select("qid", F.explode("places").alias("place")))
         return out
 
     def _found(self, opened: DataFrame) -> DataFrame:
-        """(qid, id, score): for each query and part of an opened cell its k best."""
-        asking = opened.groupBy(F.col("place").alias("_p")).agg(F.count(F.lit(1)).alias("asking"))
+        """(qid, id, score): for each query and part of a pile of cells its k best in the cells that it opens."""
+        asking = opened.groupBy(F.col("pile").alias("_p")).agg(F.count(F.lit(1)).alias("asking"))
         parts = F.ceil(F.col("n") * self.dim * 8 / PART_BYTES).cast("int")
         shares = F.ceil(F.col("asking") / ASKING).cast("int")
-        work = written(asking.join(self.listed, F.col("place") == F.col("_p")).select("place", "book", "cell", parts.alias("parts"), shares.alias("shares")))
+        work = written(asking.join(self.listed, F.col("pile") == F.col("_p")).select("pile", "place", "book", "cell", parts.alias("parts"), shares.alias("shares")))
         wanted = work.select("book", "cell").distinct().collect()  # bounded like the cells
         near = F.col("cell").isin(sorted({r["cell"] for r in wanted}))
         if self.by_book and (books := sorted({r["book"] for r in wanted if r["book"] is not None})) and all(r["book"] is not None for r in wanted):
             near = near & F.col("book_id").cast("string").isin(books)
         own = self.rows(near).select("id", F.col("values").cast("array<double>").alias("values"), F.col("book_id").cast("string").alias("book"), "cell")
-        w = work.select("place", F.col("book").alias("_b"), F.col("cell").alias("_c"), "parts", "shares")
+        w = work.select("pile", "place", F.col("book").alias("_b"), F.col("cell").alias("_c"), "parts", "shares")
         on = (F.col("cell") == F.col("_c")) & (F.col("book").eqNullSafe(F.col("_b")) if self.by_book else F.lit(True))
         part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
         spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         left = own.join(w, on).select(
-            "place", part("id", "parts").alias("part"), spread("shares").alias("share"), F.lit(0).alias("side"), "id", "values", "book"
+            "pile", part("id", "parts").alias("part"), spread("shares").alias("share"), F.lit(0).alias("side"), "id", "values", "book", "place"
         )
-        q = opened.join(w.select(F.col("place").alias("_p"), "parts", "shares"), F.col("place") == F.col("_p"))
-        right = q.select("place", spread("parts").alias("part"), part("qid", "shares").alias("share"), F.lit(1).alias("side"), "qid", F.col("values").alias("v"), "books")
-        return met(left, right.withColumnRenamed("v", "values"), ("place", "part", "share"), self.k, self.dim)
+        q = opened.join(w.select(F.col("pile").alias("_p"), "parts", "shares").distinct(), F.col("pile") == F.col("_p"))
+        right = q.select("pile", spread("parts").alias("part"), part("qid", "shares").alias("share"), F.lit(1).alias("side"), "qid", F.col("values").alias("v"), "books", "places")
+        return met(left, right.withColumnRenamed("v", "values"), ("pile", "part", "share"), self.k, self.dim)
 
 
 def met(vectors: DataFrame, queries: DataFrame, keys: tuple[str, ...], k: int, dim: int) -> DataFrame:
     """(qid, id, score): the k best for each query (qid, values, books) among the vectors (id, values, book) with equal integer `keys`.
 
-    Both have `side`: 0 for vectors, which a task holds, 1 for queries, which stream past them.
+    Both have `side`: 0 for vectors, which a task holds, 1 for queries, which stream past them. Where vectors
+    have `place` and queries `places`, a query meets only those of its places.
     """
     both = vectors.unionByName(queries, allowMissingColumns=True)
     dealt = both.repartition(*keys).sortWithinPartitions(*keys, "side")
@@ -244,30 +269,71 @@ def _runs(batches, *names: str) -> Iterator[tuple[tuple[int, ...], pa.RecordBatc
             yield tuple(keys[at].tolist()), b.slice(at, to - at)
 
 
-def _prepared(held: list[pa.RecordBatch], dim: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """ids in order, unit vectors, books."""
-    t = pa.Table.from_batches(held).select(["id", "values", "book"]).combine_chunks()
+def _prepared(held: list[pa.RecordBatch], dim: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray | None]:
+    """ids in order, unit vectors, books, places if there are any."""
+    names = [c for c in ("id", "values", "book", "place") if c in held[0].schema.names]
+    t = pa.Table.from_batches(held).select(names).combine_chunks()
     t = t.take(pc.sort_indices(t.column("id")))
-    return t.column("id").combine_chunks(), unit(matrix(t.column("values").combine_chunks(), dim)), np.array(t.column("book").to_pylist(), object)
+    place = t.column("place").to_numpy() if "place" in names else None
+    return t.column("id").combine_chunks(), unit(matrix(t.column("values").combine_chunks(), dim)), np.array(t.column("book").to_pylist(), object), place
 
 
-def _scored(rows: pa.RecordBatch, ready: tuple[pa.Array, np.ndarray, np.ndarray], k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    ids, own, book = ready
+def _scored(rows: pa.RecordBatch, ready: tuple, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    ids, own, book, place = ready
     q, groups = unit(matrix(rows.column("values"), dim)), {}
     for i, books in enumerate(rows.column("books").to_pylist()):
         groups.setdefault(None if books is None else tuple(books), []).append(i)
     for books, some in groups.items():
         on = np.arange(len(ids)) if books is None else np.flatnonzero(np.isin(book.astype(str), books))
-        step = max(1, SCORES // max(1, len(on)))
-        for at in range(0, len(some) if len(on) else 0, step):
-            who = np.array(some[at : at + step])
-            score = np.round(q[who] @ own[on].T, 6)
-            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("qid").take(pa.array(np.repeat(who, order.shape[1]))),
-                    ids.take(pa.array(on[order].ravel())),
-                    pa.array(np.take_along_axis(score, order, 1).ravel()),
-                ],
-                names=["qid", "id", "score"],
-            )
+        if not len(on):
+            continue
+        if place is None:
+            step = max(1, SCORES // len(on))
+            for at in range(0, len(some), step):
+                who = np.array(some[at : at + step])
+                score = np.round(q[who] @ own[on].T, 6)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield _hits(rows, ids, np.repeat(who, order.shape[1]), on[order].ravel(), np.take_along_axis(score, order, 1).ravel())
+        else:
+            step = max(1, SCORES // (k * (len(np.unique(place[on])) + 1)))
+            for at in range(0, len(some), step):
+                yield _hits(rows, ids, *_by_place(rows, q, own, on, place, np.array(some[at : at + step]), k))
+
+
+def _by_place(rows: pa.RecordBatch, q, own, on, place, who: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score): the k best of each query of `who` among the vectors `on` of its places."""
+    lists = rows.column("places").take(pa.array(who))
+    asked, at = np.repeat(who, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    order = np.argsort(at, kind="stable")
+    asked, at = asked[order], at[order]
+    on = on[np.argsort(place[on], kind="stable")]  # within a place in order of id
+    some, begin = np.unique(place[on], return_index=True)
+    hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for p, mine in zip(some, np.split(on, begin[1:]), strict=True):
+        these = asked[np.searchsorted(at, p, "left") : np.searchsorted(at, p, "right")]
+        step = max(1, SCORES // len(mine))
+        for i in range(0, len(these), step):
+            part = these[i : i + step]
+            score = np.round(q[part] @ own[mine].T, 6)
+            row, best = _top(score, k)
+            hits.append((part[row], mine[best], score[row, best]))
+    query, vector, score = (np.concatenate(x) for x in zip(*hits, strict=True))
+    order = np.lexsort((vector, -score, query))
+    query, vector, score = query[order], vector[order], score[order]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)]))
+    return query[rank < k], vector[rank < k], score[rank < k]
+
+
+def _top(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row, the first of ties; a few more where ties go on."""
+    if score.shape[1] > 4 * k:
+        row, best = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+        if len(row) <= 2 * k * len(score):
+            return row, best
+    best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(score)), best.shape[1]), best.ravel()
+
+
+def _hits(rows: pa.RecordBatch, ids: pa.Array, query: np.ndarray, vector: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([rows.column("qid").take(pa.array(query)), ids.take(pa.array(vector)), pa.array(score)], names=["qid", "id", "score"])

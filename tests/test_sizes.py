@@ -1,5 +1,6 @@
 """What grows with the data never goes through the driver, and equal work is done once."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,8 @@ from loomlight.operators import chunks as C
 from loomlight.operators import graph as G
 from loomlight.operators.answers import answer, compose
 from loomlight.operators.entities import resolve, resolve_names
+from loomlight.operators import vector_index as I
+from loomlight.operators import vectors as V
 from loomlight.operators.graph import Graph
 from loomlight.plans import ask as A
 from loomlight.plans.ask import graph_facts
@@ -121,3 +124,24 @@ def test_facts_are_counted_by_object_without_paths(spark, monkeypatch):
     monkeypatch.setattr(G, "ordered_closure", None)
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(G.fact_objects(g)) == rows(want)
+
+
+def test_a_query_is_sent_to_piles_of_cells_once(spark, tmp_path, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 10))  # no clusters: the bounds spare little
+    store = V.TableStore(spark, str(tmp_path / "s"), 10)
+    store.upsert(spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)], "id long, values array<double>, book_id string"))
+    sent, met = [], I.met
+
+    def noted(vectors, queries, keys, k, dim):
+        rows = queries.collect()
+        sent.append((len(rows), sum(len(r["places"]) if "places" in r else 1 for r in rows)))
+        return met(vectors, queries, keys, k, dim)
+
+    monkeypatch.setattr(I, "met", noted)
+    monkeypatch.setattr(I, "ROWS", 7)
+    found = store.nearest(spark.createDataFrame([(i, x[i].tolist()) for i in range(30)], "qid long, values array<double>"), 5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [sorted(range(400), key=lambda j: (-round(float(unit[j] @ unit[i]), 6), j))[:5] for i in range(30)]
+    assert [r["id"] for r in found.orderBy("qid", "rank").collect()] == [j for w in want for j in w]
+    (seeds, _), (rest, cells) = sent
+    assert seeds == 30 and rest <= 30 < 100 < cells
