@@ -16,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.operators.graph import Graph, closure
+from loomlight.operators.graph import Graph, closure, reach
 from loomlight.sources.log_table import Conflict
-from loomlight.storage import freeing, get_text, names_in, put_new, written
+from loomlight.storage import freeing, get_text, names_in, put_new, shuffled, written
 
 
 @dataclass
@@ -68,12 +68,12 @@ class ClosureStore:
 
     def reached_from(self, ids: DataFrame) -> DataFrame:
         """(id, other) from ids (id)."""
-        return self._read("id", ids.select("id")).join(ids.select("id").distinct(), "id", "left_semi").select("id", "other")
+        return self._read("id", ids.select("id")).join(shuffled(ids.select("id").distinct()), "id", "left_semi").select("id", "other")
 
     def reaching(self, others: DataFrame) -> DataFrame:
         """(id, other) to others (other)."""
         near = others.select("other")
-        return self._read("other", near).join(near.distinct(), "other", "left_semi").select("id", "other")
+        return self._read("other", near).join(shuffled(near.distinct()), "other", "left_semi").select("id", "other")
 
     def create(self, g: Graph, kind: str) -> DataFrame:
         """The first epoch: the closure of one kind of a graph's links."""
@@ -84,33 +84,38 @@ class ClosureStore:
     def extend(self, added: DataFrame) -> DataFrame:
         """The pairs that added links (id, other) bring, committed as an epoch; nothing is committed if there are none.
 
-        A link that a known pair implies adds nothing. A hop is a new link and what was known to lie behind
-        it, if it is not known itself. New pairs are what leads to a hop, then hop after hop: what the fewest
-        new links can join is found in as many turns, so cycles end the loop. Each turn joins the pairs of the turn
-        before only. Self links, nulls and repeated links count for nothing.
+        A link that a known pair implies adds nothing. Ends of new links that reach one another lead to the same and
+        are reached from the same, so one of them stands for all. Between those that stand, a step is a new link,
+        what was known to lead to one or what was known to lie behind one; what such steps reach, each turn joining
+        the pairs of the turn before only, is then spelt out for all, less what is known. So each pair is made once.
+        Self links, nulls and repeated links count for nothing.
         """
         links = added.select(F.col("id").cast(self.kind), F.col("other").cast(self.kind)).where("id <> other").distinct()
         links = written(links)
-        links = written(links.join(self.reached_from(links), ["id", "other"], "left_anti"))
+        links = written(links.join(shuffled(self.reached_from(links)), ["id", "other"], "left_anti"))
         if links.isEmpty():
             return links
-        behind = self.reached_from(links.select(F.col("other").alias("id"))).select(F.col("id").alias("m"), F.col("other").alias("next"))
-        reach = links.unionByName(links.join(behind, F.col("other") == F.col("m")).select("id", F.col("next").alias("other"))).distinct()
-        hops = written(reach.join(self.reached_from(links), ["id", "other"], "left_anti"))
-        ahead = hops.select(F.col("id").alias("m"), F.col("other").alias("next"))
-        before = self.reaching(hops.select(F.col("id").alias("other")))
-        found = before.join(ahead, F.col("other") == F.col("m")).select("id", F.col("next").alias("other"))
-        fresh = self._unknown(hops.unionByName(found).distinct())
-        new = fresh
-        while not fresh.isEmpty():
-            found = fresh.join(ahead, F.col("other") == F.col("m")).select("id", F.col("next").alias("other")).distinct()
-            fresh = self._unknown(found.join(new, ["id", "other"], "left_anti"))
-            new = new.unionByName(fresh)
-        return self._commit(new)
+        alike = self._alike(links)
+        before = self.reaching(links.select(F.col("id").alias("other")))
+        behind = self.reached_from(links.select(F.col("other").alias("id")))
+        starts = _standing(links.select("id").unionByName(before.select("id")).distinct(), alike, "id").distinct()
+        steps = _between(links.unionByName(before).unionByName(behind), alike)
+        pairs = reach(steps, written(starts)).unionByName(alike.select(F.col("one").alias("id"), F.col("one").alias("other"))).distinct()
+        return self._commit(self._unknown(_spelt(_spelt(pairs, alike, "id"), alike, "other")))
+
+    def _alike(self, links: DataFrame) -> DataFrame:
+        """(id, one): ends of links that reach one another, by known pairs or by the links, with the one that stands for them."""
+        ends = written(links.select("id").unionByName(links.select(F.col("other").alias("id"))).distinct())
+        known = self.reached_from(ends).join(shuffled(ends.select(F.col("id").alias("other"))), "other", "left_semi")
+        old = written(_mutual(written(known.select("id", "other"))))
+        new = written(_mutual(reach(_between(links, old))))
+        every = _standing(_standing(ends.withColumn("one", F.col("id")), old, "one"), new, "one")
+        many = every.groupBy("one").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("one")
+        return written(every.join(shuffled(many), "one", "left_semi").select("id", "one"))
 
     def _unknown(self, found: DataFrame) -> DataFrame:
         found = written(found)
-        return written(found.join(self.reached_from(found), ["id", "other"], "left_anti"))
+        return written(found.join(shuffled(self.reached_from(found)), ["id", "other"], "left_anti"))
 
     def _commit(self, pairs: DataFrame) -> DataFrame:
         name, epochs = f"epoch-{uuid.uuid4().hex[:12]}", self.epochs
@@ -124,3 +129,28 @@ class ClosureStore:
             raise Conflict(f"epoch {len(epochs)} is there already")
         self.state = state
         return self.spark.read.schema(f"id {self.kind}, other {self.kind}").parquet(f"{self.path}/{name}/id").select("id", "other")
+
+
+def _mutual(pairs: DataFrame) -> DataFrame:
+    """(id, one) of ids whose pairs (id, other) also run back: the least of all that do."""
+    back = shuffled(pairs.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    found = pairs.join(back, ["id", "other"]).groupBy("id").agg(F.min("other").alias("least"))
+    return found.select("id", F.least("id", "least").alias("one"))
+
+
+def _standing(rows: DataFrame, alike: DataFrame, column: str) -> DataFrame:
+    """rows with what stands for the values of a column in their place."""
+    a = shuffled(alike.select(F.col("id").alias("_id"), F.col("one").alias("_one")))
+    return rows.join(a, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_one", column)).drop("_id", "_one")
+
+
+def _between(pairs: DataFrame, alike: DataFrame) -> DataFrame:
+    """The steps (id, other) between those that stand, written, each once."""
+    rows = _standing(_standing(pairs, alike, "id"), alike, "other")
+    return written(rows.where("id <> other").select("id", "other").distinct())
+
+
+def _spelt(pairs: DataFrame, alike: DataFrame, column: str) -> DataFrame:
+    """pairs for all that the values of a column stand for."""
+    a = shuffled(alike.select(F.col("one").alias("_one"), F.col("id").alias("_id")))
+    return pairs.join(a, F.col(column) == F.col("_one"), "left").withColumn(column, F.coalesce("_id", column)).select("id", "other")

@@ -8,6 +8,7 @@ from loomlight import storage
 from loomlight.operators import chunks as C
 from loomlight.operators import graph as G
 from loomlight.operators.answers import answer, compose
+from loomlight.operators.closure_store import ClosureStore
 from loomlight.operators.entities import resolve, resolve_names
 from loomlight.operators import vector_index as I
 from loomlight.operators import vectors as V
@@ -145,3 +146,13 @@ def test_a_query_is_sent_to_piles_of_cells_once(spark, tmp_path, monkeypatch):
     assert [r["id"] for r in found.orderBy("qid", "rank").collect()] == [j for w in want for j in w]
     (seeds, _), (rest, cells) = sent
     assert seeds == 30 and rest <= 30 < 100 < cells
+
+
+def test_ends_that_reach_one_another_are_spelt_out_at_the_end(spark, monkeypatch):
+    store, found = ClosureStore(spark, storage.scratch(spark), buckets=2), []
+    store.create(Graph(family(spark).nodes, spark.createDataFrame([("parent", 100, 3, "seed", None, 0), ("parent", 101, 100, "seed", None, 1)], EDGE)), "parent")
+    unknown = ClosureStore._unknown
+    monkeypatch.setattr(ClosureStore, "_unknown", lambda self, rows: found.append(rows.count()) or unknown(self, rows))
+    ring = spark.createDataFrame([(i, (i + 1) % 8) for i in range(8)], "id long, other long")
+    assert store.extend(ring).count() == 8 * 8 + 7 * 2  # 3 is known to lead to both
+    assert found == [8 * 10]  # each pair is made once, in one turn
